@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import token_digests
 from .common import read_table
 from .exact_dedup import exact_groups
+from .minhash import near_duplicate_groups
 from .mixing import mix_sources
 
 
@@ -16,6 +17,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(read_table(spark, sf_dir, "documents"), n=2).withColumnRenamed("id", "doc_id")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
@@ -25,7 +30,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -36,6 +41,22 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM n
 """
 
+OP8_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) = 1 THEN ws
+                        ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS s
+    FROM w),
+shingles AS (SELECT doc_id, unnest(s) AS x FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM common JOIN sets s ON s.doc_id = a JOIN sets t ON t.doc_id = b
+    WHERE 100 * n >= 80 * (len(s.s) + len(t.s) - n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) ON a = doc_id
+"""
+
 OP9_SQL = r"""
 WITH RECURSIVE sizes AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -62,4 +83,4 @@ SELECT doc_id, size, source_size, target,
 FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op9_mix_sources": OP9_SQL}
+ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL}
