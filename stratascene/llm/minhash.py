@@ -260,3 +260,13 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id")
     out = rows.select("id", "n_shingles", "node").join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose identifier names its own component, all columns unchanged; a null identifier stays.
+
+    Where the surviving identifier is that of several rows with different texts, all of them stay.
+    """
+    groups = near_duplicate_groups(docs, id_col, text_col, n, percent)
+    gone = groups.where("NOT kept").select(F.col("id").alias("__id")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left_anti")
