@@ -12,6 +12,7 @@ from .exact_dedup import exact_groups
 from .minhash import near_duplicate_groups
 from .mixing import mix_sources
 from .toxicity import fit_toxicity, held_out, score_toxicity
+from .warc import archive_digests
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_digests(read_table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -37,10 +42,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_warc_archive": op4_warc_archive, "op7_exact_dedup": op7_exact_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP4_SQL = """
+WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+g AS (
+    SELECT page_id, body, octet_length(body) AS n, max(page_id) OVER (PARTITION BY body) AS keeper FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+FROM g
+"""
+
 OP7_SQL = f"""
 WITH n AS (SELECT doc_id, {_LOWER} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -90,4 +106,4 @@ SELECT doc_id, size, source_size, target,
 FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL}
+ORACLE_SQL = {"op4_warc_archive": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL}
