@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import token_digests
 from .common import read_table
 from .exact_dedup import exact_groups
+from .merkle import fingerprints
 from .minhash import near_duplicate_groups
 from .mixing import mix_sources
 from .toxicity import fit_toxicity, held_out, score_toxicity
@@ -25,6 +26,10 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digests(read_table(spark, sf_dir, "pages"))
 
 
+def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -42,7 +47,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_warc_archive": op4_warc_archive, "op7_exact_dedup": op7_exact_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_warc_archive": op4_warc_archive, "op6_merkle_fingerprints": op6_merkle_fingerprints, "op7_exact_dedup": op7_exact_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -57,6 +62,44 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
 FROM g
 """
 
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body, length(coalesce(text, '')) AS n FROM documents),
+e AS (
+    SELECT doc_id, n, body,
+           coalesce(lead(body) OVER (ORDER BY doc_id DESC), first_value(body) OVER (ORDER BY doc_id DESC)) AS nxt
+    FROM d),
+t AS (
+    SELECT doc_id, n, body, nxt, substring(body, 1, n - n // 3) || CASE WHEN n // 3 > 0 THEN substring(nxt, 1, n // 3) ELSE '' END AS edited FROM e),
+every AS (SELECT doc_id, 1 AS which, body AS x FROM t UNION ALL SELECT doc_id, 2, edited FROM t UNION ALL SELECT doc_id, 3, nxt FROM t),
+tree AS (
+    SELECT doc_id, which, list_transform(string_split(x, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
+           lambda p: list_transform(regexp_extract_all(p, '(?s).{1,32}'), lambda y: sha256(y)))) AS secs
+    FROM every),
+prints AS (
+    SELECT doc_id, which,
+           sha256(array_to_string(list_transform(secs, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, ''))), ''))), ''))
+           || '|' || array_to_string(list_transform(secs, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(list_transform(p, lambda y: y[1:4]), '')), '.')), '/') AS f
+    FROM tree),
+marks AS (
+    SELECT doc_id, which, f, string_split(replace(string_split(f, '|')[2], '/', '.'), '.') AS ps FROM prints),
+pieces AS (
+    SELECT doc_id, which, p, k, ps[p][4 * k - 3 : 4 * k] AS m
+    FROM (SELECT doc_id, which, ps, p, unnest(range(1, len(ps[p]) // 4 + 1)) AS k FROM (SELECT doc_id, which, ps, unnest(range(1, len(ps) + 1)) AS p FROM marks))),
+totals AS (SELECT doc_id, which, count(*) AS c FROM pieces GROUP BY ALL),
+same AS (SELECT a.doc_id, b.which, count(*) AS c FROM pieces a JOIN pieces b ON a.doc_id = b.doc_id AND a.which = 1 AND b.which > 1 AND a.p = b.p AND a.k = b.k AND a.m = b.m GROUP BY ALL),
+near AS (
+    SELECT a.doc_id, b.which,
+           CASE WHEN string_split(a.f, '|')[1] = string_split(b.f, '|')[1] THEN 1.0::DOUBLE
+                WHEN greatest(coalesce(x.c, 0), coalesce(y.c, 0)) = 0 THEN 0.0::DOUBLE
+                ELSE coalesce(s.c, 0)::DOUBLE / greatest(coalesce(x.c, 0), coalesce(y.c, 0)) END AS v
+    FROM prints a JOIN prints b ON a.doc_id = b.doc_id AND a.which = 1 AND b.which > 1
+    LEFT JOIN totals x ON x.doc_id = a.doc_id AND x.which = 1 LEFT JOIN totals y ON y.doc_id = a.doc_id AND y.which = b.which
+    LEFT JOIN same s ON s.doc_id = a.doc_id AND s.which = b.which)
+SELECT t.doc_id, t.n::BIGINT AS n_chars, sha256(t.edited) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint, v.v AS near_edited, w.v AS near_next
+FROM t JOIN prints a ON a.doc_id = t.doc_id AND a.which = 1 JOIN prints b ON b.doc_id = t.doc_id AND b.which = 2
+JOIN near v ON v.doc_id = t.doc_id AND v.which = 2 JOIN near w ON w.doc_id = t.doc_id AND w.which = 3
+"""
+
 OP7_SQL = f"""
 WITH n AS (SELECT doc_id, {_LOWER} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -106,4 +149,4 @@ SELECT doc_id, size, source_size, target,
 FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLE_SQL = {"op4_warc_archive": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL}
+ORACLE_SQL = {"op4_warc_archive": OP4_SQL, "op6_merkle_fingerprints": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL}
