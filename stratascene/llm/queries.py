@@ -12,6 +12,7 @@ from .exact_dedup import exact_groups
 from .merkle import fingerprints
 from .minhash import near_duplicate_groups
 from .mixing import mix_sources
+from .packing import pack_documents
 from .toxicity import fit_toxicity, held_out, score_toxicity
 from .warc import archive_digests
 
@@ -26,6 +27,11 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digests(read_table(spark, sf_dir, "pages"))
 
 
+def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packs = pack_documents(read_table(spark, sf_dir, "documents"))
+    return packs.select("pack_id", "n_tokens", "doc_ids", "doc_offsets", "cu_seqlens", F.sha2("input_ids", 256).alias("ids_sha256"))
+
+
 def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -47,7 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_warc_archive": op4_warc_archive, "op6_merkle_fingerprints": op6_merkle_fingerprints, "op7_exact_dedup": op7_exact_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_warc_archive": op4_warc_archive, "op5_token_packing": op5_token_packing, "op6_merkle_fingerprints": op6_merkle_fingerprints, "op7_exact_dedup": op7_exact_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
