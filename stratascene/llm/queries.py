@@ -13,10 +13,15 @@ from .merkle import fingerprints
 from .minhash import near_duplicate_groups
 from .mixing import mix_sources
 from .packing import pack_documents
+from .suffix import repeated_spans
 from .toxicity import fit_toxicity, held_out, score_toxicity
 from .warc import archive_digests
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(read_table(spark, sf_dir, "documents")).drop("spans").withColumnRenamed("id", "doc_id")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
@@ -53,7 +58,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_warc_archive": op4_warc_archive, "op5_token_packing": op5_token_packing, "op6_merkle_fingerprints": op6_merkle_fingerprints, "op7_exact_dedup": op7_exact_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op4_warc_archive": op4_warc_archive, "op5_token_packing": op5_token_packing, "op6_merkle_fingerprints": op6_merkle_fingerprints, "op7_exact_dedup": op7_exact_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
