@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import token_digests
+from .chaining import document_passages
 from .common import read_table
 from .exact_dedup import exact_groups
 from .merkle import fingerprints
@@ -28,6 +29,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op3_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_passages(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digests(read_table(spark, sf_dir, "pages"))
 
@@ -58,7 +63,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op4_warc_archive": op4_warc_archive, "op5_token_packing": op5_token_packing, "op6_merkle_fingerprints": op6_merkle_fingerprints, "op7_exact_dedup": op7_exact_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_collinear_chaining": op3_collinear_chaining, "op4_warc_archive": op4_warc_archive, "op5_token_packing": op5_token_packing, "op6_merkle_fingerprints": op6_merkle_fingerprints, "op7_exact_dedup": op7_exact_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
