@@ -406,8 +406,9 @@ def voxel_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.voxel_fusion(points, 2.5).select("vx", "vy", "n", _r("x", "x"), _r("y", "y"))
 
 
-@query("contained_boxes", """SELECT a.view_id, a.det, count(b.det) AS n FROM (SELECT *, seq_major * 10 + seq_minor AS det FROM detections) a LEFT JOIN (SELECT *, seq_major * 10 + seq_minor AS det FROM detections) b
-ON a.view_id = b.view_id AND a.det <> b.det AND greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) > 0.95 * (a.x2 - a.x1) * (a.y2 - a.y1) GROUP BY ALL""", "detections")
+@query("contained_boxes", """, d AS (SELECT *, seq_major * 10 + seq_minor AS det FROM detections), held AS (SELECT view_id, det, count(*) AS n FROM (SELECT a.view_id, a.det, a.det <> b.det
+AND greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) > 0.95 * (a.x2 - a.x1) * (a.y2 - a.y1) AS ok FROM d a JOIN d b ON a.view_id = b.view_id) WHERE ok GROUP BY ALL)
+SELECT d.view_id, d.det, coalesce(n, 0) AS n FROM d LEFT JOIN held ON d.view_id = held.view_id AND d.det = held.det""", "detections")
 def contained_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.contained_counts(scene(spark, sf_dir, "detections").withColumn("det", F.col("seq_major") * 10 + F.col("seq_minor")))
 
