@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import boxes
+from .functions import boxes, camera
 from .functions.relations import ALIASES, between, norm, radius_join, relation_join
 from .functions.vectors import cosine, literal
 from .operators import graph, mapping, retrieval, views
@@ -497,3 +497,62 @@ def windowed_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming window aggregate, run as a batch."""
     w = windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# --- cameras and small kernels -------------------------------------------------------------------------------------
+
+
+@query("project_points", "SELECT obj_id, round(cx * 600.0 / (cz + 1) + 599.5, 6) AS u, CAST(trunc(cy * 600.0 / (cz + 1) + 339.5) AS INT) AS v FROM objects WHERE cx * 600.0 / (cz + 1) + 599.5 < 1200 AND cy * 600.0 / (cz + 1) + 339.5 < 680", "objects")
+def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = F.col("cz") + 1
+    u, v = camera.project(F.col("cx"), F.col("cy"), z, 600.0, 600.0, 599.5, 339.5)
+    return scene(spark, sf_dir, "objects").where(camera.in_image(u, v, z, 1200, 680)).select("obj_id", _r(u, "u"), v.cast("int").alias("v"))
+
+
+@query("unproject_detections", "SELECT seq_major, seq_minor, round(((x1 + x2) / 2 - 599.5) * (1 + seq_major % 40 / 10.0) / 600.0, 6) AS x, round(((y1 + y2) / 2 - 339.5) * (1 + seq_major % 40 / 10.0) / 600.0, 6) AS y FROM detections", "detections")
+def unproject_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y, _ = camera.unproject((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, 1 + F.col("seq_major") % 40 / 10.0, 600.0, 600.0, 599.5, 339.5)
+    return scene(spark, sf_dir, "detections").select("seq_major", "seq_minor", _r(x, "x"), _r(y, "y"))
+
+
+@query("heading_changes", "SELECT seq_id, frame_id, round(least(((px * 100 - py * 50) % 360 + 360) % 360, 360 - ((px * 100 - py * 50) % 360 + 360) % 360), 6) AS angle FROM trajectory", "trajectory")
+def heading_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scene(spark, sf_dir, "trajectory").select("seq_id", "frame_id", _r(camera.angle_between(F.col("px") * 100, F.col("py") * 50), "angle"))
+
+
+@query("fov_intrinsics", "SELECT DISTINCT ez, round(680 / (2 * tan(radians(30 + ez * 100) / 2)), 6) AS focal FROM objects", "objects")
+def fov_intrinsics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scene(spark, sf_dir, "objects").select("ez").distinct().select("ez", _r(camera.focal_from_fov(30 + F.col("ez") * 100, 680), "focal"))
+
+
+@query("confident_detections", "SELECT obj_id, seq_major, seq_minor, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY obj_id ORDER BY conf DESC, seq_major, seq_minor) AS INT) AS rank, count(*) OVER (PARTITION BY obj_id) AS c FROM detections) WHERE rank <= 10 AND c >= 2", "detections")
+def confident_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = scene(spark, sf_dir, "detections")
+    seen = d.groupBy("obj_id").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("obj_id")
+    rank = F.row_number().over(Window.partitionBy("obj_id").orderBy(F.col("conf").desc(), "seq_major", "seq_minor"))
+    return d.join(seen, "obj_id", "left_semi").withColumn("rank", rank).where("rank <= 10").select("obj_id", "seq_major", "seq_minor", "rank")
+
+
+@query("frequent_views", "SELECT obj_id, view_id, n FROM (SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY n DESC, first, view_id) AS r FROM (SELECT obj_id, view_id, count(*) AS n, min(seq_major * 10 + seq_minor) AS first FROM detections GROUP BY ALL)) WHERE r = 1", "detections")
+def frequent_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = scene(spark, sf_dir, "detections").withColumn("first", F.col("seq_major") * 10 + F.col("seq_minor"))
+    return retrieval.mode_per(d, "obj_id", "view_id", "first")
+
+
+@query("clean_tags", "SELECT obj_id, array_to_string(list_filter([attr, category, 'thing'], lambda x: NOT contains(x, 'ing')), ',') AS tags FROM objects WHERE attr <> category", "objects")
+def clean_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.col("attr"), F.lit(" , "), F.col("category"), F.lit(", ,"))
+    return scene(spark, sf_dir, "objects").where("attr <> category").select("obj_id", F.array_join(camera.clean_tags(text, ("thing",), ("ing",)), ",").alias("tags"))
+
+
+@query("point_overlap")
+def point_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of the point sets that different users leave on the floor."""
+    t = scene(spark, sf_dir, "trajectory").select(F.col("seq_id").alias("obj_id"), F.col("frame_id").alias("pt"), F.col("px").alias("x"), F.col("py").alias("y"), F.lit(0.0).alias("z"))
+    return mapping.point_overlap(t, 0.15)
+
+
+@query("merge_features")
+def merge_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = scene(spark, sf_dir, "features").select(F.col("region").cast("long").alias("obj_id"), F.col("obj_id").alias("seq"), F.lit(1).cast("long").alias("n"), "feat")
+    return mapping.merge_features(f).select("obj_id", "n", F.transform("feat", lambda x: F.round(x, 6)).alias("feat"))
