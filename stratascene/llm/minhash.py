@@ -6,8 +6,9 @@ filled after twice as many rounds at the latest; usually a few do. A coordinate
 similarity, concentrated as if the coordinates were independent.
 
 Sets that are equal collapse to one class first. ``BANDS`` bands of ``ROWS`` coordinates propose pairs: first each class with
-the first class of its bucket, then, where a bucket still holds several components, every pair of different components in it,
-block by block. A pair is a link only if the full sets confirm it.
+the hub of its bucket, the class with the most neighbours. Where a bucket still holds several components, its members are compared
+block by block: first each one with the closest member of every other component, then every pair of components that are still
+apart. A pair is a link only if the full sets confirm it.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from .components import connected_components
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 2.5e-7, one of 0.85 with 5e-11.
 ROWS, BANDS = 6, 50
 BINS = ROWS * BANDS
-#: Pairs whose sketches agree in fewer coordinates aren't verified in the second round; at similarity 0.8 that is over 6 standard deviations away.
-LEAST_AGREEING = int(0.64 * BINS)
+#: Pairs whose sketches agree in fewer coordinates aren't verified in the later rounds; a pair of similarity 0.8 does so with probability 1e-6.
+LEAST_AGREEING = int(0.69 * BINS)
+#: Rounds in which each class is held against one hub.
+STARS = 3
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 128
 #: Shingles that are sketched at once.
@@ -137,7 +140,7 @@ def _sketch_rows(n: int):
                     for row, k in enumerate(full[a:b]):
                         bands[k], marks[k] = bh[row], short[row].tobytes()
                 nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["id", "n_shingles", "node", "bands", "marks"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["id", "n_shingles", "key", "bands", "marks"])
 
     return run
 
@@ -148,82 +151,84 @@ def _confirm(n: int, percent: int):
         for batch in batches:
             us, vs = [], []
             for k in range(batch.num_rows):  # rows come sorted by v, whose set is kept
-                u, v = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                if v != last:
-                    last, last_set = v, shingles(words_of(batch.column(3)[k].as_py()), n)
+                text = batch.column(3)[k].as_py()
+                if text != last:
+                    last, last_set = text, shingles(words_of(text), n)
                 own = shingles(words_of(batch.column(2)[k].as_py()), n)
                 both = len(own & last_set)
                 if both * 100 >= percent * (len(own) + len(last_set) - both):
-                    us.append(u)
-                    vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.string()), pa.array(vs, pa.string())], ["u", "v"])
+                    us.append(batch.column(0)[k].as_py())
+                    vs.append(batch.column(1)[k].as_py())
+            yield _pair_batch(list(zip(us, vs)))
 
     return run
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, slim: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """The pairs ``u, v`` whose full sets are similar enough; their texts are joined from the input once for each class."""
+def _confirmed(pairs: DataFrame, slim: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+    """The pairs ``u, v`` whose full sets are similar enough; only the texts that a pair needs are joined, from the input."""
     pairs = stage_table(pairs, name)
-    needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(classes.select("node", "rep"), "node")
-    texts = stage_table(slim.join(needed, slim["id"].eqNullSafe(needed["rep"])).select("node", "body", "id"), "texts")
-    if texts.count() > needed.count():  # repeated identifiers: keep the texts of the class itself
-        texts = stage_table(texts.mapInArrow(_sketch_check(n), "node string, body string").groupBy("node").agg(F.min("body").alias("body")), "texts")
-    a = texts.select(F.col("node").alias("u"), F.col("body").alias("ub"))
-    b = texts.select(F.col("node").alias("v"), F.col("body").alias("vb"))
-    return stage_table(pairs.join(a, "u").join(b, "v").select("u", "v", "ub", "vb").mapInArrow(_confirm(n, percent), "u string, v string"), name + "-links")
+    needed = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    texts = stage_table(slim.join(needed, "id"), "texts")
+    a = texts.select(F.col("id").alias("u"), F.col("body").alias("ub"))
+    b = texts.select(F.col("id").alias("v"), F.col("body").alias("vb"))
+    return stage_table(pairs.join(a, "u").join(b, "v").select("u", "v", "ub", "vb").mapInArrow(_confirm(n, percent), "u long, v long"), name + "-links")
 
 
-def _sketch_check(n: int):
-    """Rows whose text has the shingle set that their node stands for."""
+def _block_pairs(percent: int, closest: bool):
+    """Pairs of different components within a block pair of a bucket whose sizes and sketches allow a link; rows come sorted by block pair.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(node, body) for node, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if hashlib.blake2b(shingle_hashes(words_of(body), n).tobytes(), digest_size=16).hexdigest() == node]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["node", "body"])
-
-    return run
-
-
-def _block_pairs(percent: int):
-    """Pairs of different components within a block pair of a bucket whose sizes and sketches allow a link; rows come sorted by block pair."""
+    A pair comes out of the first bucket that both are in. ``closest`` leaves each class its closest one of each other component.
+    """
 
-    def pairs_of(group: list[tuple]) -> list[tuple[str, str]]:
-        (_, lo, hi) = group[0][:3]
-        left = [g for g in group if g[3] == lo]
-        right = [g for g in group if g[3] == hi]
+    def pairs_of(group: list[tuple]) -> list[tuple[int, int]]:
+        h, at = group[0][:2]
+        left = [g for g in group if not g[3]]  # classes outside the main component, from every block
+        right = [g for g in group if g[2] == at]  # the block's own
+        if not left or not right:
+            return []
         marks = np.stack([np.frombuffer(g[7], dtype="<u2") for g in right])
+        bands = np.array([g[8] for g in right], dtype=np.int64)
         sizes = np.array([g[6] for g in right])
+        roots = np.array([g[5] for g in right])
+        nodes = np.array([g[4] for g in right])
+        outside = np.array([not g[3] for g in right])
+        every = np.arange(len(right))
         out = []
         for g in left:
             n = g[6]
-            able = np.flatnonzero((np.minimum(sizes, n) * 100 >= percent * np.maximum(sizes, n)) & ((marks == np.frombuffer(g[7], dtype="<u2")).sum(axis=1) >= LEAST_AGREEING))
-            for k in able.tolist():
-                r = right[k]
-                if r[5] != g[5] and (lo != hi or r[4] < g[4]):
-                    out.append((max(g[4], r[4]), min(g[4], r[4])))
+            agree = (marks == np.frombuffer(g[7], dtype="<u2")).sum(axis=1)
+            first = (bands == np.array(g[8], dtype=np.int64)).argmax(axis=1)
+            able = (np.minimum(sizes, n) * 100 >= percent * np.maximum(sizes, n)) & (agree >= LEAST_AGREEING) & (bands[every, first] == h) & (roots != g[5])
+            if not closest:
+                able &= ~outside | (nodes < g[4])  # two outside classes meet both ways
+            found = np.flatnonzero(able)
+            if closest and len(found):
+                found = found[np.lexsort((-agree[found], roots[found]))]
+                found = found[np.unique(roots[found], return_index=True)[1]]
+            out += [(max(g[4], right[r][4]), min(g[4], right[r][4])) for r in found.tolist()]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, found = None, [], set()
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != key:
-                    if group:
+                if row[:2] != key:
+                    if len(group) > 1:
                         found.update(pairs_of(group))
-                    key, group = row[:3], []
+                    key, group = row[:2], []
                 group.append(row)
             if len(found) > 10_000:
                 yield _pair_batch(found)
                 found = set()
-        if group:
+        if len(group) > 1:
             found.update(pairs_of(group))
         yield _pair_batch(found)
 
     return run
 
 
-def _pair_batch(found: set[tuple[str, str]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["u", "v"])
+def _pair_batch(found: list[tuple[int, int]] | set[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["u", "v"])
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -231,34 +236,52 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Documents are linked when ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct ``n``-word shingles; a component is
     what links reach, named by its smallest identifier. A null or empty text has an empty set, is linked with nothing and is its
-    own component; equal sets are always linked. Repeated rows are rows of one class, a null identifier names no component but
-    its own. An empty table gives an empty table. Other columns are ignored.
+    own component; equal sets are always linked. Repeated rows are rows of one class; rows of one identifier and different texts
+    are linked through their own texts. A null identifier names no component: its row takes that of its class, or null. An empty table gives an empty table. Other columns are ignored.
     """
     ship_package(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    rows = stage_table(slim.mapInArrow(_sketch_rows(n), "id long, n_shingles long, node string, bands array<long>, marks binary"), "sketches")
-    classes = stage_table(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
+    rows = stage_table(slim.mapInArrow(_sketch_rows(n), "id long, n_shingles long, key string, bands array<long>, marks binary"), "sketches")
+    classes = stage_table(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")).where("node IS NOT NULL"), "classes")
     entries = classes.select("node", F.explode("bands").alias("h"))
-    buckets = entries.groupBy("h").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    buckets = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = stage_table(entries.join(buckets, "h"), "buckets")
-    links = _confirmed(members.where("node != v").select(F.col("node").alias("u"), "v").distinct(), classes, slim, n, percent, "star")
-    comp = stage_table(connected_components(links), "components")
-    # what the first round left: buckets that hold more than one component
-    rest = members.select("h", "node", "m").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = rest.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("h")
-    rest = rest.join(open_, "h").join(classes.select("node", "n", "marks"), "node")
-    rest = rest.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root", "n", "marks")
-    rest = rest.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
-    second = rest.mapInArrow(_block_pairs(percent), "u string, v string").distinct()
-    more = _confirmed(second, classes, slim, n, percent, "blocks")
-    if not more.isEmpty():
-        stars = comp.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-        comp = stage_table(connected_components(stars.unionByName(more)), "components")
-    named = classes.select("node", "rep").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id")
-    out = rows.select("id", "n_shingles", "node").join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    degree = stage_table(members.groupBy("node").agg(F.sum("m").alias("degree")), "degrees")
+    hubs = stage_table(members.join(degree, "node").groupBy("h").agg(F.max(F.struct("degree", "node")).alias("hub")).select("h", "hub.degree", F.col("hub.node").alias("v")), "hubs")
+    offers = stage_table(members.join(hubs, "h").where("node != v").groupBy("node", "v").agg(F.max("degree").alias("degree")), "offers")
+    comp = members.select("node").distinct().withColumn("root", F.col("node"))
+    links = None
+    for _ in range(STARS):  # each class is held against one hub of another component, the one with the most neighbours
+        roots = comp.select(F.col("node").alias("v"), F.col("root").alias("hub_root"))
+        apart = offers.join(comp, "node").join(roots, "v").where("root != hub_root")
+        star = apart.groupBy("node").agg(F.max(F.struct("degree", "v")).alias("b")).select("node", F.col("b.v").alias("v"))
+        star = stage_table(star, "star")
+        offers = offers.join(star, ["node", "v"], "left_anti")
+        more = _confirmed(star.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct(), slim, n, percent, "star")
+        links = more if links is None else links.unionByName(more)
+        comp = stage_table(connected_components(links), "components")
+        comp = members.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        comp = stage_table(comp, "components")
+    for closest in (True, False):
+        # what the rounds so far left: buckets that hold more than one component
+        rest = members.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = rest.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("h")
+        # the members of a bucket's largest component needn't meet each other: they stay in a block each, the others visit all blocks
+        sizes = rest.join(open_, "h").groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
+        main = sizes.groupBy("h").agg(F.max(F.struct("c", "root")).alias("main")).select("h", F.col("main.root").alias("main"))
+        rest = rest.join(main, "h").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        alone = F.array("own")
+        rest = rest.withColumn("other", F.explode(F.when(F.col("root") == F.col("main"), alone).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+        rest = rest.join(classes.select("node", "n", "marks", "bands"), "node")
+        rest = rest.select("h", F.col("other").alias("at"), "own", (F.col("root") == F.col("main")).alias("main"), "node", "root", "n", "marks", "bands")
+        rest = rest.repartition("h", "at").sortWithinPartitions("h", "at")
+        found = rest.mapInArrow(_block_pairs(percent, closest), "u long, v long").distinct()
+        more = _confirmed(found, slim, n, percent, "blocks")
+        if not more.isEmpty():
+            stars = comp.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+            comp = stage_table(connected_components(stars.unionByName(more)), "components")
+    named = classes.select("key", "node").join(comp, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
+    out = rows.select("id", "n_shingles", "key").join(named, "key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
