@@ -1,12 +1,13 @@
 """A content-addressed WARC archive: payload bytes are stored once, record headers separately, records come back through joins.
 
 Layout under one folder of the shared store: ``payloads`` (digest, page that carries it, bytes), once for each strong digest that
-is stored; ``headers`` (page_id, exact header text, record type, digest); ``warc``, the archive itself, whose files are plain WARC/1.1.
+is stored; ``headers`` (page_id, exact header text, record type, digest); ``warc``, the archive itself, whose files are WARC/1.1 in gzip.
 A payload is addressed by its SHA-256; texts under one digest are compared byte by byte before one copy stands for all.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -41,7 +42,7 @@ def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
     slim = stage_table(_digests(rows), "warc-digests")
     groups = slim.where(f"payload_bytes >= {SMALLEST_SHARED}").groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     groups = stage_table(groups, "warc-groups")
-    copies = slim.join(groups, "digest").select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "keeper").distinct()
+    copies = stage_table(slim.join(groups, "digest").select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "keeper").distinct(), "warc-copies")
     digest = F.sha2("payload", 256)
     joined = rows.withColumn("digest", digest).withColumn("sha1", F.sha1("payload")).join(copies, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
@@ -57,11 +58,12 @@ def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
     block = F.coalesce(F.col("payload"), F.lit("").cast("binary"))
     line = F.concat(F.col("header").cast("binary"), F.lit(END).cast("binary"), block).cast("string")
     # the text sink ends each line with the two line ends that end a WARC record
-    records.select(line.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(f"{root}/warc")
+    records.select(line.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(f"{root}/warc")
 
 
 def _parse(data: bytes) -> Iterator[tuple[bytes, bytes]]:
     """Header and block of each record of an archive file."""
+    data = gzip.decompress(data)
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
