@@ -129,6 +129,28 @@ def test_passages(docs, none):
     assert chaining.document_passages(none).count() == 0
 
 
+def _text(r, n, vocabulary=3000):
+    return [f"v{r.randrange(vocabulary)}" for _ in range(n)]
+
+
+def _spans(spark, texts):
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = {x.id: x for x in chaining.document_passages(df).collect()}
+    return rows, {k: {w for s in x.spans or () for w in range(s.lo, s.hi)} for k, x in rows.items()}
+
+
+def test_passage_of_lines_that_also_occur_alone(spark):
+    """Each line of the passage is alone in many documents, so every seed in it has a reference elsewhere, at both ends of the order."""
+    r = random.Random(5)
+    lines = [_text(r, 6) for _ in range(10)]
+    texts = [sum(lines, []), sum(lines, [])]
+    for k in range(9):  # each seam of two lines, too, is in other documents
+        texts += [_text(r, 30) + lines[k] + lines[k + 1] + _text(r, 30) for _ in range(12)]
+    rows, _ = _spans(spark, texts)
+    assert rows[0].n_words == rows[1].n_words == 60 and rows[0].class_id == rows[1].class_id == 0
+    assert all(rows[k].n_passages == 0 for k in rows if k > 1)
+
+
 def test_packing_gives_every_id_back(docs, none):
     rows = packing.pack_documents(docs, row=64).collect()
     pieces = {}
