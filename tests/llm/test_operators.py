@@ -151,6 +151,14 @@ def test_passage_of_lines_that_also_occur_alone(spark):
     assert all(rows[k].n_passages == 0 for k in rows if k > 1)
 
 
+def test_passages_around_an_insertion(spark):
+    r = random.Random(6)
+    a, b = _text(r, 200), _text(r, 200)
+    rows, spans = _spans(spark, [a + b, a + _text(r, 150) + b])
+    assert rows[0].n_words >= 398 and spans[1] >= {*range(200), *range(350, 550)}
+    assert chaining._common([b"a"] * 300, [b"a", b"b"] * 200) == 200
+
+
 def test_packing_gives_every_id_back(docs, none):
     rows = packing.pack_documents(docs, row=64).collect()
     pieces = {}
