@@ -159,6 +159,27 @@ def test_passages_around_an_insertion(spark):
     assert chaining._common([b"a"] * 300, [b"a", b"b"] * 200) == 200
 
 
+@pytest.mark.parametrize("every", [6, 8, 10, 15])
+def test_fuzzy_passages(spark, every):
+    """Passages of 60 to 100 words with every n-th word changed."""
+    r = random.Random(every)
+    texts = []
+    for _ in range(30):
+        p = _text(r, r.randint(60, 100))
+        texts += [_text(r, 40) + p + _text(r, 40), _text(r, 20) + [f"changed{r.random()}" if k % every == every - 1 else w for k, w in enumerate(p)] + _text(r, 20)]
+    rows, _ = _spans(spark, texts)
+    assert all(rows[k].class_id == k - k % 2 and rows[k].n_words >= 50 for k in rows)
+
+
+def test_second_copy_in_a_document(spark):
+    r = random.Random(7)
+    p = _text(r, 60)
+    for texts in ([p + _text(r, 60) + p, p], [p, p[:5] + _text(r, 60) + p + _text(r, 60) + p]):
+        rows, spans = _spans(spark, texts)
+        long = max(rows, key=lambda k: len(texts[k]))
+        assert spans[long] >= {w for w in range(len(texts[long])) if any(texts[long][s : s + 60] == p for s in range(max(0, w - 59), w + 1))}
+
+
 def test_packing_gives_every_id_back(docs, none):
     rows = packing.pack_documents(docs, row=64).collect()
     pieces = {}
