@@ -12,20 +12,24 @@ from ..functions.relations import norm, radius_join
 from ..functions.vectors import cosine
 
 
-def match_detections(detections: DataFrame, objects: DataFrame, threshold: float = 1.2, bias: float = 0.0, reach: float = 2.0, penalty: float = 0.0) -> DataFrame:
-    """``det_id, obj_id, sim``: for each detection the best object by (1 + bias) * spatial + (1 - bias) * visual, null below ``threshold``.
+def match_detections(detections: DataFrame, objects: DataFrame, threshold: float = 1.2, bias: float = 0.0, reach: float = 2.0, penalty: float = 0.0, meeting: bool = False) -> DataFrame:
+    """``det_id, obj_id, sim``: for each detection the best object by (1 + bias) * spatial + (1 - bias) * visual, null only below ``threshold``.
 
     Boxes that don't meet have no spatial similarity, and visual similarity is at most 1, so with a threshold above 1 - bias only
-    boxes within ``reach``, twice the largest half extent, can match: the pairs come from a grid. ``penalty`` is taken off where just
-    one of the two contains others.
+    boxes within ``reach``, twice the largest half extent, can match: the pairs come from a grid. With a lower one visual similarity
+    alone can do, and each detection is held against every object. ``meeting`` asks for objects whose box meets the detection's only,
+    whatever the threshold. ``penalty`` is taken off where just one of the two contains others.
     """
     d = detections.select(F.col("obj_id").alias("det_id"), *(F.col(c).alias(f"d_{c}") for c in ("cx", "cy", "cz", "ex", "ey", "ez", "feat", "contained")))
     a = boxes.corners(tuple(F.col(f"d_{c}") for c in ("cx", "cy", "cz")), tuple(F.col(f"d_{c}") for c in ("ex", "ey", "ez")))
     b = boxes.corners(tuple(F.col(c) for c in ("cx", "cy", "cz")), tuple(F.col(c) for c in ("ex", "ey", "ez")))
-    pairs = radius_join(d, objects, reach, boxes.intersection(a, b) > 0, ("d_cx", "d_cy"), ("cx", "cy"))
+    if meeting or threshold > 1 - bias + 1e-9 and -1 <= bias <= 1 and penalty >= 0:
+        pairs = radius_join(d, objects, reach, boxes.intersection(a, b) > 0, ("d_cx", "d_cy"), ("cx", "cy"))
+    else:
+        pairs = d.crossJoin(objects)
     sim = (1 + bias) * boxes.iou(a, b) + (1 - bias) * cosine(F.col("d_feat"), F.col("feat")) - F.when((F.col("d_contained") > 0) != (F.col("contained") > 0), penalty).otherwise(0.0)
     best = pairs.select("det_id", "obj_id", sim.alias("sim")).where(F.col("sim") >= threshold)
-    best = best.withColumn("__r", F.row_number().over(Window.partitionBy("det_id").orderBy(F.col("sim").desc(), "obj_id"))).where("__r = 1").drop("__r")
+    best = best.groupBy("det_id").agg(F.max(F.struct("sim", (-F.col("obj_id")).alias("last"))).alias("b")).select("det_id", (-F.col("b.last")).alias("obj_id"), "b.sim")
     return detections.select(F.col("obj_id").alias("det_id")).join(best, "det_id", "left")
 
 

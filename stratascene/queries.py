@@ -397,7 +397,7 @@ def spanning_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT d.obj_id AS det_id, arg_max(s.obj_id, sim) AS obj_id, round(max(sim), 6) AS sim FROM (SELECT obj_id FROM o WHERE obj_id % 2 = 1) d LEFT JOIN (SELECT * FROM s WHERE sim >= 0.1) s ON d.obj_id = s.det_id GROUP BY d.obj_id""", "objects", "features")
 def match_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = scene(spark, sf_dir, "objects").join(scene(spark, sf_dir, "features"), "obj_id").withColumn("contained", F.lit(0))
-    return mapping.match_detections(o.where("obj_id % 2 = 1"), o.where("obj_id % 2 = 0"), threshold=0.1, reach=1.0).select("det_id", "obj_id", _r("sim", "sim"))
+    return mapping.match_detections(o.where("obj_id % 2 = 1"), o.where("obj_id % 2 = 0"), threshold=0.1, reach=1.0, meeting=True).select("det_id", "obj_id", _r("sim", "sim"))
 
 
 @query("voxel_fusion", "SELECT CAST(floor(px / 2.5) AS BIGINT) AS vx, CAST(floor(py / 2.5) AS BIGINT) AS vy, count(*) AS n, round(sum(px / (1 + frame_id / 5.0)) / sum(1 / (1 + frame_id / 5.0)), 6) AS x, round(sum(py / (1 + frame_id / 5.0)) / sum(1 / (1 + frame_id / 5.0)), 6) AS y FROM trajectory GROUP BY ALL HAVING count(*) >= 2", "trajectory")

@@ -112,3 +112,14 @@ def test_pose_layouts(spark, tmp_path):
     assert [r.frame_id for r in frame_range(frames, 1, 8, 3).orderBy("frame_id").collect()] == [1, 4, 7]
     with pytest.raises(ValueError):
         read_poses(spark, "x", "unknown")
+
+
+def test_match_by_looks_alone(spark):
+    """A threshold that visual similarity can reach: the best object needn't meet the detection's box."""
+    schema = "obj_id long, cx double, cy double, cz double, ex double, ey double, ez double, feat array<double>, contained int"
+    box = (1.0, 1.0, 1.0)
+    d = spark.createDataFrame([(1, 0.0, 0.0, 0.0, *box, [1.0, 0.0], 0), (3, 50.0, 0.0, 0.0, *box, [0.0, 1.0], 0)], schema)
+    o = spark.createDataFrame([(2, 0.9, 0.0, 0.0, *box, [0.2, 1.0], 0), (4, 90.0, 0.0, 0.0, *box, [1.0, 0.0], 0), (6, 90.0, 0.0, 0.0, *box, [1.0, 0.0], 0)], schema)
+    assert {r.det_id: r.obj_id for r in mapping.match_detections(d, o, threshold=0.1).collect()} == {1: 4, 3: 2}
+    assert {r.det_id: r.obj_id for r in mapping.match_detections(d, o, threshold=0.1, meeting=True).collect()} == {1: 2, 3: None}
+    assert {r.obj_id for r in mapping.match_detections(d, o).collect()} == {None}
