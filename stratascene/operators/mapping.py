@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
 from ..functions.relations import norm, radius_join
 from ..functions.vectors import cosine
+from .graph import _cut
 
 
 def match_detections(detections: DataFrame, objects: DataFrame, threshold: float = 1.2, bias: float = 0.0, reach: float = 2.0, penalty: float = 0.0, meeting: bool = False) -> DataFrame:
@@ -80,9 +84,42 @@ def suppress(frame: pd.DataFrame, limit: float = 0.5) -> pd.DataFrame:
     return f[alive]
 
 
+def _overlaps(f: DataFrame, limit: float) -> DataFrame:
+    """``s, w``: pairs of a stronger and a weaker box (``__k``) of one view that overlap by more than ``limit``.
+
+    Such boxes have widths in a proportion above ``limit`` and centres less than the larger width apart, so they meet in neighbouring
+    strips, as wide as the boxes of a class of widths, of the class of either.
+    """
+    f = f.select("view_id", "__k", "conf", "det", "x1", "y1", "x2", "y2").where("x2 > x1 AND y2 > y1")
+    base = 1 / limit
+    level = F.floor(F.log(F.col("x2") - F.col("x1")) / F.log(F.lit(base))).cast("long")
+    f = f.withColumn("l", level).withColumn("g", F.explode(F.array(F.col("l"), F.col("l") + 1)))
+    f = f.withColumn("cell", F.floor((F.col("x1") + F.col("x2")) / 2 / F.pow(F.lit(base), F.col("g") + 1)).cast("long"))
+    a = f.select("view_id", "g", "cell", F.col("__k").alias("s"), *(F.col(c).alias(f"s_{c}") for c in ("conf", "det", "l", "x1", "y1", "x2", "y2")))
+    b = f.withColumn("cell", F.explode(F.array(*[F.col("cell") + k for k in (-1, 0, 1)]))).withColumnRenamed("__k", "w")
+    stronger = F.struct(F.col("s_conf"), -F.col("s_det"), -F.col("s")) > F.struct(F.col("conf"), -F.col("det"), -F.col("w"))
+    w, h = (F.greatest(F.lit(0.0), F.least(f"s_{c}2", f"{c}2") - F.greatest(f"s_{c}1", f"{c}1")) for c in "xy")
+    area = (F.col("s_x2") - F.col("s_x1")) * (F.col("s_y2") - F.col("s_y1")) + (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    return a.join(b, ["view_id", "g", "cell"]).where((F.col("g") == F.greatest("l", "s_l")) & stronger & (w * h / (area - w * h) > limit)).select("s", "w")
+
+
 def non_maximum_suppression(detections: DataFrame, limit: float = 0.5) -> DataFrame:
-    """Greedy suppression frame by frame; a frame holds what one camera image shows."""
-    return detections.groupBy("view_id").applyInPandas(lambda f: suppress(f, limit), detections.schema)
+    """Greedy suppression frame by frame: by confidence, boxes that overlap a kept one by more than ``limit``, between 0 and 1, go.
+
+    In rounds over the pairs that overlap: a box without an undecided stronger neighbour is kept and its neighbours go, so that no
+    frame meets in one task. Rows that are equal in all columns count as one; boxes without area overlap nothing.
+    """
+    if not 0 < limit < 1:
+        raise ValueError(f"limit {limit} is not between 0 and 1")
+    f = _cut(detections.distinct().withColumn("__k", F.monotonically_increasing_id()))
+    pairs = _cut(_overlaps(f, limit))
+    gone = pairs.limit(0).select(F.col("w").alias("__k"))
+    while not pairs.isEmpty():
+        kept = pairs.select("s").distinct().join(pairs.select(F.col("w").alias("s")).distinct(), "s", "left_anti")
+        out = _cut(pairs.join(kept, "s").select(F.col("w").alias("__k")).distinct())
+        gone = gone.unionByName(out)
+        pairs = _cut(pairs.join(out.withColumnRenamed("__k", "s"), "s", "left_anti").join(out.withColumnRenamed("__k", "w"), "w", "left_anti").select("s", "w"))
+    return f.join(gone, "__k", "left_anti").select(*detections.columns)
 
 
 def dbscan(points: np.ndarray, eps: float, least: int) -> np.ndarray:
@@ -138,19 +175,30 @@ def keep_largest_cluster(points: DataFrame, eps: float, least: int = 10) -> Data
 def merge_features(contributions: DataFrame) -> DataFrame:
     """``obj_id, n, feat``: feature vectors folded in the order of ``seq``, each step weighted by counts and normalised.
 
-    The fold depends on its order, so an object's contributions meet in one task; they are as many as frames that saw it.
+    The fold depends on its order, so an object's contributions pass through one task, sorted; it holds one vector, whatever their number.
     """
 
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        total, vector = 0, None
-        for n, v in f.sort_values("seq")[["n", "feat"]].itertuples(index=False):
-            v = np.asarray(v, dtype=float)
-            vector = v if vector is None else (vector * total + v * n) / (total + n)
-            vector = vector / max(np.linalg.norm(vector), 1e-8)
-            total += n
-        return pd.DataFrame({"obj_id": [f["obj_id"].iloc[0]], "n": [total], "feat": [vector.tolist()]})
-
-    return contributions.groupBy("obj_id").applyInPandas(one, "obj_id long, n long, feat array<double>")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, obj, total, vector = False, None, 0, None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([obj], pa.int64()), pa.array([total], pa.int64()), pa.array([vector.tolist()], pa.list_(pa.float64()))], ["obj_id", "n", "feat"])
+
+        for batch in batches:
+            for o, n, v in zip(*(c.to_pylist() for c in batch.columns)):
+                if seen and o != obj:
+                    yield row()
+                    total, vector = 0, None
+                seen, obj = True, o
+                v = np.asarray(v, dtype=float)
+                vector = v if vector is None else (vector * total + v * n) / (total + n)
+                vector = vector / max(np.linalg.norm(vector), 1e-8)
+                total += n
+        if seen:
+            yield row()
+
+    rows = contributions.select(F.col("obj_id").cast("long").alias("obj_id"), F.col("n").cast("long").alias("n"), F.col("feat").cast("array<double>").alias("feat"), "seq")
+    return rows.repartition("obj_id").sortWithinPartitions("obj_id", "seq").select("obj_id", "n", "feat").mapInArrow(fold, "obj_id long, n long, feat array<double>")
 
 
 def grid_regions(objects: DataFrame, k: int) -> DataFrame:

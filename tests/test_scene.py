@@ -123,3 +123,42 @@ def test_match_by_looks_alone(spark):
     assert {r.det_id: r.obj_id for r in mapping.match_detections(d, o, threshold=0.1).collect()} == {1: 4, 3: 2}
     assert {r.det_id: r.obj_id for r in mapping.match_detections(d, o, threshold=0.1, meeting=True).collect()} == {1: 2, 3: None}
     assert {r.obj_id for r in mapping.match_detections(d, o).collect()} == {None}
+
+
+def test_trees_nms_and_merging_gather_no_group(spark, monkeypatch):
+    """Against plain Python, with no group handed to a function as a whole."""
+    from pyspark.sql.group import GroupedData
+
+    def whole(*_):
+        raise AssertionError("a whole group in one task")
+
+    r = np.random.default_rng(4)
+    e = pd.DataFrame({"i": r.integers(0, 40, 200), "j": r.integers(0, 40, 200), "w": np.round(r.random(200), 1)}).drop_duplicates(["i", "j"])
+    e = e[e.i < e.j]
+    f = pd.DataFrame({"view_id": r.integers(0, 3, 300), "det": range(300), "conf": np.round(r.random(300), 1), "x1": r.random(300) * 60, "y1": r.random(300) * 60})
+    f["x2"], f["y2"] = f.x1 + 3 + 40 * r.random(300) ** 3, f.y1 + 3 + 40 * r.random(300) ** 3
+    f.loc[250:, ["x1", "x2", "y1", "y2"]] = [5.0, 15.0, 5.0, 15.0]
+    parent = list(range(40))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    want = []
+    for row in e.sort_values(["w", "i", "j"]).itertuples():
+        if find(row.i) != find(row.j):
+            parent[find(row.i)] = find(row.j)
+            want.append((row.i, row.j))
+    monkeypatch.setattr(GroupedData, "applyInPandas", whole)
+    edges = spark.createDataFrame(e)
+    got = spanning_trees(edges, components(spark.range(40).withColumnRenamed("id", "obj_id"), edges))
+    assert sorted((x.i, x.j) for x in got.collect()) == sorted(want)
+    kept = sorted(d for _, g in f.groupby("view_id") for d in mapping.suppress(g)["det"])
+    assert sorted(x.det for x in mapping.non_maximum_suppression(spark.createDataFrame(f)).collect()) == kept
+    c = spark.createDataFrame([(k % 2, k, 1 + k % 3, [1.0 * k, 1.0]) for k in range(1, 60)], "obj_id long, seq long, n long, feat array<double>")
+    for x in mapping.merge_features(c.repartition(3)).collect():
+        total, v = 0, np.zeros(2)
+        for k in range(1, 60):
+            if k % 2 == x.obj_id:
+                v = (v * total + np.array([1.0 * k, 1.0]) * (1 + k % 3)) / (total + 1 + k % 3)
+                v, total = v / np.linalg.norm(v), total + 1 + k % 3
+        assert x.n == total and np.allclose(x.feat, v)
