@@ -84,6 +84,7 @@ class ByteBpe:
         self.ids = np.array([ranks[t] for t in tokens], dtype="<u4")
         self.bytes_of = {ranks[t]: t for t in tokens}
         self.ranks = ranks
+        self.largest = max(ranks.values())
         self.split = regex.compile(pattern)
         self.chars = byte_chars()
         self.to_chars = {b: c for b, c in enumerate(self.chars)}

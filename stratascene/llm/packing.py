@@ -12,9 +12,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import codec
 from .common import ship_package
 
 #: Ids that a task gathers before it packs them.
@@ -33,6 +34,16 @@ def byte_ids(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint16) + np.uint16(FIRST_BYTE)
 
 
+def bpe_ids(path: str, pattern: str) -> Callable[[str], np.ndarray]:
+    """An encoder of texts as ids of the byte-level BPE in the rank file ``path``, 2 bytes each if the largest of them fits."""
+
+    def encode(text: str) -> np.ndarray:
+        bpe = codec(path, pattern)
+        return np.frombuffer(bpe.encode(text), dtype="<u4").astype("<u2" if bpe.largest < 1 << 16 else "<u4")
+
+    return encode
+
+
 class CapacityTree:
     """Counts of rows by free capacity; finds the smallest capacity of at least ``n`` in logarithmic time."""
 
@@ -110,7 +121,7 @@ def pack_documents(docs: DataFrame, row: int = 2048, id_col: str = "doc_id", tex
 
     ``doc_ids`` and ``doc_offsets`` tell which document and which of its ids each segment starts with; ``cu_seqlens`` are cumulative
     segment lengths from 0; positions start from 0 at ``position_resets``; ``input_ids`` are ``row`` little-endian unsigned ids of 2
-    bytes (4 if ``encode`` gives larger ones), padded with 0. Null and empty texts have no ids and are in no row. A null
+    bytes (4 if ``encode`` gives larger ones), padded with 0 after the first ``n_tokens``. Null and empty texts have no ids and are in no row. A null
     identifier is null in ``doc_ids``; repeated rows are packed each; an empty table gives an empty table. Other columns are
     ignored. ``pack_id`` holds the number of the task and of its row: the same input files give the same rows.
     """
@@ -159,3 +170,12 @@ def pack_documents(docs: DataFrame, row: int = 2048, id_col: str = "doc_id", tex
         yield from flush(last=True)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).mapInArrow(run, _SCHEMA)
+
+
+def write_packs(packs: DataFrame, root: str) -> None:
+    """Write packed rows under ``root``: id matrices, with cumulative lengths, position resets and the documents of the segments."""
+    packs.write.parquet(f"{root}/packs")
+
+
+def read_packs(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(_SCHEMA).parquet(f"{root}/packs")

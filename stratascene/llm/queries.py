@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from .bpe import token_digests
 from .chaining import document_passages
-from .common import read_table
+from .common import read_table, shared_path
 from .exact_dedup import exact_groups
 from .merkle import fingerprints
 from .minhash import near_duplicate_groups
 from .mixing import mix_sources
-from .packing import pack_documents
+from .packing import bpe_ids, pack_documents, read_packs, write_packs
 from .suffix import repeated_spans
 from .toxicity import fit_toxicity, held_out, score_toxicity
 from .warc import archive_digests
@@ -38,8 +38,10 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packs = pack_documents(read_table(spark, sf_dir, "documents"))
-    return packs.select("pack_id", "n_tokens", "doc_ids", "doc_offsets", "cu_seqlens", F.sha2("input_ids", 256).alias("ids_sha256"))
+    encode = bpe_ids(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    root = shared_path(spark, "packing")
+    write_packs(pack_documents(read_table(spark, sf_dir, "documents"), encode=encode), root)
+    return read_packs(spark, root).select("pack_id", "n_tokens", "doc_ids", "doc_offsets", "cu_seqlens", "position_resets", F.sha2("input_ids", 256).alias("ids_sha256"))
 
 
 def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

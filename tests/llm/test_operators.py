@@ -194,6 +194,28 @@ def test_packing_gives_every_id_back(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packed_query_writes_token_ids(spark, docs, tmp_path):
+    from stratascene.llm.queries import op5_token_packing
+
+    np = __import__("numpy")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = bpe.ByteBpe(path, public_tokenizers.PATTERN)
+    packing.write_packs(packing.pack_documents(docs, row=64, encode=packing.bpe_ids(path, public_tokenizers.PATTERN)), str(tmp_path / "out"))
+    pieces = {}
+    for r in packing.read_packs(spark, str(tmp_path / "out")).collect():
+        data = np.frombuffer(r.input_ids, dtype="<u2")
+        assert len(data) == 64 and r.position_resets == r.cu_seqlens[:-1] and not data[r.n_tokens :].any()
+        for d, o, a, b in zip(r.doc_ids, r.doc_offsets, r.cu_seqlens, r.cu_seqlens[1:]):
+            pieces.setdefault(d, []).append((o, data[a:b].astype("<u4").tobytes()))
+    for i, t in ROWS:
+        if i not in (4, None) and t:
+            assert b"".join(x for _, x in sorted(pieces[i])) == own.encode(t)
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = op5_token_packing(spark, str(tmp_path)).collect()
+    assert sum(r.n_tokens for r in rows) == sum(len(own.encode(t or "")) // 4 for _, t in ROWS)
+    assert all(r.position_resets == r.cu_seqlens[:-1] for r in rows)
+
+
 def test_warc(spark):
     pages = [(1, "http://a", LONG), (2, "http://b\r\nX: y", LONG), (3, None, "tiny\r\n\r\n"), (4, "u", "tiny\r\n\r\n"), (5, "u", None), (6, "u", ""), (7, "é", "ä" * 600)]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, digest string")
