@@ -24,8 +24,12 @@ RECORDS_PER_FILE = 200
 END = "\r\n\r\n"
 
 
+def _strong(payload: str) -> F.Column:
+    return F.sha2(payload, 256)
+
+
 def _digests(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.sha2("payload", 256).alias("digest"), F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("payload_bytes"))
+    return pages.select("page_id", _strong("payload").alias("digest"), F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("payload_bytes"))
 
 
 def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
@@ -43,8 +47,12 @@ def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
     groups = slim.where(f"payload_bytes >= {SMALLEST_SHARED}").groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     groups = stage_table(groups, "warc-groups")
     copies = stage_table(slim.join(groups, "digest").select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "keeper").distinct(), "warc-copies")
-    digest = F.sha2("payload", 256)
-    joined = rows.withColumn("digest", digest).withColumn("sha1", F.sha1("payload")).join(copies, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
+    # the bytes are compared before a record becomes a revisit: equal ones meet in a group of their own
+    alike = rows.withColumn("digest", _strong("payload")).join(groups.select("digest"), "digest").groupBy("digest", "payload").agg(F.count(F.lit(1)).alias("n")).select("digest")
+    clash = alike.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if clash:
+        raise ValueError(f"different payloads have the digest {clash['digest']}")
+    joined = rows.withColumn("digest", _strong("payload")).withColumn("sha1", F.sha1("payload")).join(copies, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     name = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(">"))

@@ -227,6 +227,14 @@ def test_warc(spark):
     assert {r.record_type for i, r in got.items() if i > 2} == {"response"}
 
 
+def test_warc_compares_bytes_of_equal_digests(spark, tmp_path, monkeypatch):
+    F = __import__("pyspark.sql.functions", fromlist=["x"])
+    df = spark.createDataFrame([(1, "u", "a" * 2000), (2, "u", "b" * 2000)], "page_id long, url string, html string")
+    monkeypatch.setattr(F, "sha2", lambda *_: F.lit("same"))  # as if the two collided
+    with pytest.raises(ValueError, match="different payloads"):
+        warc.write_archive(df, str(tmp_path))
+
+
 def test_merkle(docs, none):
     got = merkle.fingerprints(docs).collect()
     assert len(got) == len(ROWS) and merkle.fingerprints(none).count() == 0
