@@ -39,7 +39,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix), ("byte_bpe", tokens)]
-#: Neither the scores of the first stage nor the ids of the last can be stated in SQL; the tests hold run() against plain Python.
+#: Neither the scores of the first stage nor the ids of the last can be stated in SQL; the tests check only which documents may stay.
 ORACLE_SQL = None
 
 
