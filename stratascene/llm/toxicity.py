@@ -25,8 +25,6 @@ from .common import ship_package, stage_table
 
 #: Labelled rows that the classifier learns from, at most; the hash of the identifier picks them.
 LABELLED = 200_000
-#: Tokens with a score of their own, at most: those with the surest log-odds.
-FEATURES = 1 << 17
 #: Pseudo-counts of the prior: those spread by corpus frequency, and those of each token.
 PRIOR, EACH = 1000.0, 0.1
 SHRINK, DRIFT = 1.64, 0.5
@@ -82,7 +80,7 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class ToxicityModel:
-    """Everything the scan needs; at most ``FEATURES`` tokens."""
+    """Everything the scan needs. Its tokens are those whose log-odds in the labelled rows are surely not 0, so the bound on these rows bounds them."""
 
     keys: np.ndarray
     values: np.ndarray
@@ -160,16 +158,16 @@ def _labelled_rows(model: ToxicityModel):
 
 
 def extreme_value_rate(histogram: list[tuple[float, int]]) -> float:
-    """The positive solution of E[exp(rate * score)] = 1 over (score, tokens), by bisection."""
-    s = np.array([x for x, _ in histogram], dtype=float)
-    p = np.array([n for _, n in histogram], dtype=float)
-    if not len(s) or (s <= 0).all() or (s * p).sum() >= 0:
+    """The positive solution of E[exp(rate * score)] = 1 over (score, tokens), by bisection; 1 where there is none.
+
+    A positive score of weight ``p`` alone brings the mean to 1 at -log(p) / score, so the solution is no larger than that.
+    """
+    seen = [(x, n) for x, n in histogram if n > 0]
+    s, p = (np.array(c, dtype=float) for c in zip(*seen)) if seen else (np.zeros(0), np.zeros(0))
+    if not (s > 0).any() or (s * p).sum() >= 0:
         return 1.0
     p /= p.sum()
-    high = 1.0
-    while (p * np.exp(np.minimum(high * s, 700))).sum() < 1:
-        high *= 2
-    low = 0.0
+    low, high = 0.0, float((-np.log(p[s > 0]) / s[s > 0]).min())
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if (p * np.exp(np.minimum(mid * s, 700))).sum() < 1 else (low, mid)
@@ -211,8 +209,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     error = F.sqrt(1 / yt + 1 / yc)
     scored = counts.withColumn("delta", delta).withColumn("error", error)
     scored = scored.withColumn("score", F.signum("delta") * F.greatest(F.abs("delta") - SHRINK * F.col("error"), F.lit(0.0)))
-    best = scored.where("score != 0").orderBy(F.abs(F.col("delta") / F.col("error")).desc(), "key").limit(FEATURES).select("key", "score").toArrow()
-    keys, values = best.column("key").to_numpy(), best.column("score").to_numpy()
+    sure = scored.where("score != 0").select("key", "score").toArrow()
+    keys, values = sure.column("key").to_numpy(), sure.column("score").to_numpy()
     order = np.argsort(keys)
     model = ToxicityModel(keys[order], values[order])
     histogram = scored.groupBy(F.round(F.col("score") - DRIFT, 2).alias("s")).agg(F.sum("n_clean").alias("n")).collect()

@@ -105,3 +105,13 @@ def test_chains_against_search():
         got = chaining.chains(pairs)
         assert abs(score(got[0]) - max(best(k) for k in range(len(pairs)))) < 1e-9
         assert sorted(p for c in got for p in c) == pairs
+
+
+def test_extreme_value_rate():
+    """No end was in sight where every positive score belonged to tokens without weight."""
+    assert toxicity.extreme_value_rate([(2.0, 0), (-0.5, 10)]) == 1.0
+    assert toxicity.extreme_value_rate([]) == toxicity.extreme_value_rate([(1.0, 5)]) == 1.0
+    for hist in ([(2.0, 1), (-0.5, 10)], [(0.01, 1), (-0.5, 10_000_000)], [(30.0, 3), (1.0, 5), (-5.0, 900)]):
+        rate = toxicity.extreme_value_rate(hist)
+        n = sum(c for _, c in hist)
+        assert abs(sum(c * np.exp(rate * s) for s, c in hist) / n - 1) < 1e-6
