@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, stage_table
+from .common import dealt, ship_package, stage_table
 
 WINDOW = 400
 ANCHOR = 200
@@ -90,20 +90,29 @@ def anchor_cells(data: bytes, window: int = WINDOW, anchor: int = ANCHOR) -> tup
     return np.concatenate(starts), np.concatenate(counts), np.concatenate(offsets), np.concatenate(hashes)
 
 
+def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
+    k = key[order]
+    rank = np.empty(len(key), dtype=np.int64)
+    rank[order] = np.cumsum(np.concatenate(([0], (k[1:] != k[:-1]).astype(np.int64))))
+    return rank
+
+
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` symbols at least, by doubling."""
+    """Suffixes in the order of their first ``depth`` symbols at least, by doubling; the first sort takes as many symbols as fit in 63 bits."""
     n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
-    s = symbols[order]
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.cumsum(np.concatenate(([0], (s[1:] != s[:-1]).astype(np.int64))))
-    h = 1
+    bits = int(symbols.max() + 1).bit_length()
+    h = 63 // bits
+    padded = np.concatenate((symbols + 1, np.zeros(h, dtype=np.int64)))
+    key = np.zeros(n, dtype=np.int64)
+    for k in range(h):
+        key = key << bits | padded[k : n + k]
+    order = np.argsort(key)
+    rank = _ranks(key, order)
     while h < depth and int(rank.max()) < n - 1:
         key = rank * (n + 1)
         key[: n - h] += rank[h:] + 1
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        rank[order] = np.cumsum(np.concatenate(([0], (k[1:] != k[:-1]).astype(np.int64))))
+        order = order[np.argsort(key[order], kind="stable")]  # nearly in order
+        rank = _ranks(key, order)
         h *= 2
     return order
 
@@ -112,27 +121,33 @@ def open_borders(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarr
     """For each border of the suffix array (0 to n), whether the suffixes at its sides share ``least`` symbols or more.
 
     Works on the transform alone: ``before`` holds the symbol before each suffix, ``step`` maps it to the place of the longer suffix.
+    Runs of equal symbols in the transform step together, so an interval is extended run by run.
     """
     n = len(symbols)
     before = symbols[order - 1]  # the first suffix is preceded by the last symbol, as in a rotation
     step = np.empty(n, dtype=np.int64)
-    step[np.argsort(before, kind="stable")] = np.arange(n)
+    step[np.argsort(before * n + np.arange(n))] = np.arange(n)
+    starts = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
+    stops = np.append(starts[1:], n)
+    run = np.repeat(np.arange(len(starts)), stops - starts)
     head = symbols[order]
     closed = np.zeros(n + 1, dtype=bool)
     closed[0] = closed[n] = True
     lb, rb = np.array([0]), np.array([n])
     for _ in range(least):
-        sizes = rb - lb
-        ends = np.cumsum(sizes)
-        interval = np.repeat(np.arange(len(lb)), sizes)
-        places = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(lb, sizes)
-        longer = step[places]
+        first_run = run[lb]
+        runs = run[rb - 1] - first_run + 1
+        ends = np.cumsum(runs)
+        interval = np.repeat(np.arange(len(lb)), runs)
+        which = np.arange(ends[-1]) + np.repeat(first_run - ends + runs, runs)
+        lo = np.maximum(starts[which], lb[interval])
+        longer, size = step[lo], np.minimum(stops[which], rb[interval]) - lo
         by = np.argsort(longer)
-        longer, interval = longer[by], interval[by]
+        longer, size, interval = longer[by], size[by], interval[by]
         new = np.concatenate(([True], (interval[1:] != interval[:-1]) | (head[longer[1:]] != head[longer[:-1]])))
         first = np.flatnonzero(new)
-        lb = longer[first]
-        rb = longer[np.append(first[1:], len(longer)) - 1] + 1
+        last = np.append(first[1:], len(longer)) - 1
+        lb, rb = longer[first], longer[last] + size[last]
         fresh = ~closed[rb]
         lb, rb = lb[fresh], rb[fresh]
         closed[rb] = True
@@ -348,7 +363,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bodies = stage_table(bodies, "bodies")
         sizes = bodies.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
         small = bodies.join(sizes.where(f"members BETWEEN 2 AND {GROUP_CELLS}").select("grp"), "grp").select(*_CELL_COLUMNS)
-        found.append(stage_table(small.repartition("grp").sortWithinPartitions("grp").mapInArrow(_transform, "u1 long, u2 long, lo long, hi long"), "found"))
+        found.append(stage_table(dealt(small, "grp").sortWithinPartitions("grp").mapInArrow(_transform, "u1 long, u2 long, lo long, hi long"), "found"))
         large = sizes.where(f"members > {GROUP_CELLS}").select("grp")
         if large.isEmpty():
             break
