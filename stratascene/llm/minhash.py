@@ -5,10 +5,11 @@ A document's sketch has ``BINS`` coordinates. In round ``i`` every element of th
 filled after twice as many rounds at the latest; usually a few do. A coordinate agrees with probability equal to the Jaccard
 similarity, concentrated as if the coordinates were independent.
 
-Sets that are equal collapse to one class first. ``BANDS`` bands of ``ROWS`` coordinates propose pairs: first each class with
-the hub of its bucket, the class with the most neighbours. Where a bucket still holds several components, its members are compared
-block by block: first each one with the closest member of every other component, then every pair of components that are still
-apart. A pair is a link only if the full sets confirm it.
+Rows of equal sets are one class. ``BANDS`` bands of ``ROWS`` coordinates deal classes into buckets, and what shares a bucket is
+compared in *blocks*: a task holds the texts of a block or two, numbers their shingles, and one matrix product gives all
+intersections of the full sets. First every class meets, in a block, others with the same hub (the class with the most neighbours in its
+buckets) and that hub. Buckets that then hold more than one component are open: classes outside a bucket's largest component meet all
+its blocks. Only links that join components leave a task.
 """
 
 from __future__ import annotations
@@ -17,23 +18,25 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, stage_table
+from .common import dealt, new_name, ship_package, stage_table
 from .components import connected_components
+from .suffix import _filter_bits, _filter_of
 
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 2.5e-7, one of 0.85 with 5e-11.
 ROWS, BANDS = 6, 50
 BINS = ROWS * BANDS
-#: Pairs whose sketches agree in fewer coordinates aren't verified in the later rounds; a pair of similarity 0.8 does so with probability 1e-6.
-LEAST_AGREEING = int(0.69 * BINS)
-#: Rounds in which each class is held against one hub.
-STARS = 3
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 128
+#: Classes, and shingles of these, in a block, on average at most; a task holds two blocks.
+BLOCK, BLOCK_SHINGLES = 256, 200_000
+#: Columns of the matrix that is multiplied at once.
+COLUMNS = 1 << 13
+#: A bucket of more classes names whole blocks for comparison, a smaller one its own classes.
+SMALL = 64
 #: Shingles that are sketched at once.
 CHUNK = 400_000
 #: Words whose hash a worker remembers.
@@ -129,108 +132,175 @@ def _sketch_rows(n: int):
                 part = batch.slice(lo, 1000)
                 if len(_hashes) > MEMORY:
                     _hashes.clear()
-                sets = [shingle_hashes(words_of(x), n) for x in part.column(1).to_pylist()]
+                sets = [shingle_hashes(words_of(x.as_py()), n) for x in part.column(1)]
                 full = [k for k, s in enumerate(sets) if len(s)]
                 bands: list = [None] * len(sets)
-                marks: list = [None] * len(sets)
                 for a, b in _chunks([sets[k] for k in full]):
-                    sk = sketches([sets[k] for k in full[a:b]])
-                    bh = band_hashes(sk).view(np.int64)
-                    short = (sk & np.uint64(0xFFFF)).astype("<u2")
-                    for row, k in enumerate(full[a:b]):
-                        bands[k], marks[k] = bh[row], short[row].tobytes()
-                nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["id", "n_shingles", "key", "bands", "marks"])
+                    for row, k in zip(band_hashes(sketches([sets[k] for k in full[a:b]])).view(np.int64), full[a:b]):
+                        bands[k] = row
+                keys = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64).tolist() if len(s) else (None, None) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*keys)), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "k1", "k2", "bands"])
+        _hashes.clear()
 
     return run
 
 
-def _confirm(n: int, percent: int):
+def _passes(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which keys may be in a filter."""
+    a, b = _filter_bits(keys)
+    return ((words[a >> np.uint64(6)] >> (a & np.uint64(63))) & (words[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def _shared_entries(bits):
+    """``h, id, n, k1, k2`` for the bands of each row that the filter lets through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, set()
+        words = bits.value
         for batch in batches:
-            us, vs = [], []
-            for k in range(batch.num_rows):  # rows come sorted by v, whose set is kept
-                text = batch.column(3)[k].as_py()
-                if text != last:
-                    last, last_set = text, shingles(words_of(text), n)
-                own = shingles(words_of(batch.column(2)[k].as_py()), n)
-                both = len(own & last_set)
-                if both * 100 >= percent * (len(own) + len(last_set) - both):
-                    us.append(batch.column(0)[k].as_py())
-                    vs.append(batch.column(1)[k].as_py())
-            yield _pair_batch(list(zip(us, vs)))
+            h = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+            keep = np.flatnonzero(_passes(h.view(np.uint64), words))
+            row = pa.array(keep // BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), *(batch.column(k).take(row) for k in range(4))], ["h", "id", "n", "k1", "k2"])
 
     return run
 
 
-def _confirmed(pairs: DataFrame, slim: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """The pairs ``u, v`` whose full sets are similar enough; only the texts that a pair needs are joined, from the input."""
-    pairs = stage_table(pairs, name)
-    needed = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = stage_table(slim.join(needed, "id"), "texts")
-    a = texts.select(F.col("id").alias("u"), F.col("body").alias("ub"))
-    b = texts.select(F.col("id").alias("v"), F.col("body").alias("vb"))
-    return stage_table(pairs.join(a, "u").join(b, "v").select("u", "v", "ub", "vb").mapInArrow(_confirm(n, percent), "u long, v long"), name + "-links")
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = k = len(self)
+        return k
 
 
-def _block_pairs(percent: int, closest: bool):
-    """Pairs of different components within a block pair of a bucket whose sizes and sketches allow a link; rows come sorted by block pair.
+def shingle_numbers(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of some texts as sorted distinct pairs (text, shingle); equal shingles of ``n`` words have equal numbers, no hash is taken.
 
-    A pair comes out of the first bucket that both are in. ``closest`` leaves each class its closest one of each other component.
+    Texts of fewer words have no pair: they are linked with equal sequences only.
     """
-
-    def pairs_of(group: list[tuple]) -> list[tuple[int, int]]:
-        h, at = group[0][:2]
-        left = [g for g in group if not g[3]]  # classes outside the main component, from every block
-        right = [g for g in group if g[2] == at]  # the block's own
-        if not left or not right:
-            return []
-        marks = np.stack([np.frombuffer(g[7], dtype="<u2") for g in right])
-        bands = np.array([g[8] for g in right], dtype=np.int64)
-        sizes = np.array([g[6] for g in right])
-        roots = np.array([g[5] for g in right])
-        nodes = np.array([g[4] for g in right])
-        outside = np.array([not g[3] for g in right])
-        every = np.arange(len(right))
-        out = []
-        for g in left:
-            n = g[6]
-            agree = (marks == np.frombuffer(g[7], dtype="<u2")).sum(axis=1)
-            first = (bands == np.array(g[8], dtype=np.int64)).argmax(axis=1)
-            able = (np.minimum(sizes, n) * 100 >= percent * np.maximum(sizes, n)) & (agree >= LEAST_AGREEING) & (bands[every, first] == h) & (roots != g[5])
-            if not closest:
-                able &= ~outside | (nodes < g[4])  # two outside classes meet both ways
-            found = np.flatnonzero(able)
-            if closest and len(found):
-                found = found[np.lexsort((-agree[found], roots[found]))]
-                found = found[np.unique(roots[found], return_index=True)[1]]
-            out += [(max(g[4], right[r][4]), min(g[4], right[r][4])) for r in found.tolist()]
-        return out
+    known = _Numbers()
+    words = [words_of(t) for t in texts]
+    size = np.array([len(w) for w in words])
+    x = np.fromiter((known[w] for ws in words for w in ws), dtype=np.int64, count=int(size.sum()))
+    code, m = x, len(x)
+    for k in range(1, n):
+        m = max(0, len(x) - k)
+        code = np.unique(code[:m] * len(known) + x[k:], return_inverse=True)[1].astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), np.maximum(size - n + 1, 0))
+    ends = np.cumsum(size)
+    starts = ends - size
+    count = np.maximum(size - n + 1, 0)
+    at = np.arange(count.sum()) + np.repeat(starts - (np.cumsum(count) - count), count)
+    most = int(code.max()) + 1 if len(code) else 1
+    pairs = np.unique(text * most + code[at])
+    return pairs // most, pairs % most
+
+
+def links(texts: list[str | None], roots: list[int], n: int, percent: int) -> list[tuple[int, int]]:
+    """Places of linked texts that join different roots, as a spanning forest over the roots."""
+    text, code = shingle_numbers(texts, n)
+    sizes = np.bincount(text, minlength=len(texts)).astype(np.int64)
+    shared = np.bincount(code)[code] > 1 if len(code) else np.zeros(0, dtype=bool)
+    text, code = text[shared], code[shared]
+    code = np.unique(code, return_inverse=True)[1]
+    both = np.zeros((len(texts), len(texts)), dtype=np.float32)
+    by = np.argsort(code, kind="stable")
+    text, code = text[by], code[by]
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        a, b = np.searchsorted(code, [lo, lo + COLUMNS])
+        m = np.zeros((len(texts), COLUMNS), dtype=np.float32)
+        m[text[a:b], code[a:b] - lo] = 1
+        both += m @ m.T
+    inter = both.astype(np.int64)
+    root = np.unique(np.array(roots), return_inverse=True)[1]
+    u, v = np.nonzero((inter > 0) & (inter * 100 >= percent * (sizes[:, None] + sizes[None, :] - inter)) & (root[:, None] != root[None, :]))
+    first = np.unique(root[u] * len(texts) + root[v], return_index=True)[1]
+    edges: dict[int, list[tuple[int, int]]] = {}
+    for x, y in zip(u[first].tolist(), v[first].tolist()):
+        edges.setdefault(int(root[x]), []).append((x, y))
+    found, seen = [], set()
+    for start in edges:
+        todo = [] if start in seen else [start]
+        seen.add(start)
+        while todo:
+            for x, y in edges[todo.pop()]:
+                if (r := int(root[y])) not in seen:
+                    seen.add(r)
+                    todo.append(r)
+                    found.append((x, y))
+    return found
+
+
+def _block_links(n: int, percent: int):
+    """Links ``u, v`` within each block comparison; rows ``a, b, node, root, body`` come sorted by the two block names."""
+
+    def solved(group: list[tuple]) -> list[tuple[int, int]]:
+        nodes, roots, texts = zip(*group)
+        return [(max(nodes[x], nodes[y]), min(nodes[x], nodes[y])) for x, y in links(list(texts), list(roots), n, percent)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, found = None, [], set()
+        key, group, found = None, [], []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:2] != key:
-                    if len(group) > 1:
-                        found.update(pairs_of(group))
-                    key, group = row[:2], []
-                group.append(row)
-            if len(found) > 10_000:
-                yield _pair_batch(found)
-                found = set()
-        if len(group) > 1:
-            found.update(pairs_of(group))
-        yield _pair_batch(found)
+            for lo in range(0, batch.num_rows, 500):
+                for a, b, *row in zip(*(c.to_pylist() for c in batch.slice(lo, 500).columns)):
+                    if (a, b) != key:
+                        if len(group) > 1:
+                            found += solved(group)
+                        key, group = (a, b), []
+                    group.append(row)
+            yield _pair_batch(found)
+            found = []
+        yield _pair_batch(solved(group) if len(group) > 1 else [])
 
     return run
 
 
-def _pair_batch(found: list[tuple[int, int]] | set[tuple[int, int]]) -> pa.RecordBatch:
+def _pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["u", "v"])
 
 
+def _compared(plan: DataFrame, slim: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+    """Links ``u, v`` among the classes (``node, root``) of each block comparison (``a, b``) of ``plan``; only texts that it names leave the scan."""
+    plan = stage_table(plan, name)
+    bits = slim.sparkSession.sparkContext.broadcast(_filter_of(plan.select(F.col("node").alias("anchor")).distinct()))
+
+    @F.pandas_udf("boolean")
+    def named(ids: pd.Series) -> pd.Series:
+        return pd.Series(_passes(ids.to_numpy(dtype=np.int64).view(np.uint64), bits.value))
+
+    texts = slim.where(F.col("id").isNotNull()).where(named("id"))
+    rows = texts.join(plan, texts["id"] == plan["node"]).select("a", "b", "node", "root", "body")
+    found = dealt(rows, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_block_links(n, percent), "u long, v long")
+    return stage_table(found, f"{name}-links")
+
+
+def _salted(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` (``node, n``, keys) with ``block``, a hash of the keys and of one of so many parts that blocks are small enough."""
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("parts")
+    cut = rows.join(rows.groupBy(*keys).agg(parts), list(keys))
+    return cut.withColumn("block", F.xxhash64(*keys, F.pmod(F.xxhash64("node"), F.col("parts")))).drop("parts")
+
+
+def _open_blocks(members: DataFrame, blocks: DataFrame, comp: DataFrame) -> DataFrame:
+    """What the first comparison left: ``a, b, node, root`` for blocks of buckets with more than one component.
+
+    The classes of a bucket's largest component needn't meet each other; all others meet every block of the bucket.
+    """
+    rest = members.join(comp, "node", "left").select("h", "m", "node", F.coalesce("root", "node").alias("root"))
+    open_ = rest.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("h")
+    rest = stage_table(rest.join(open_, "h"), "open")
+    main = rest.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max(F.struct("c", "root")).alias("main")).select("h", F.col("main.root").alias("main"))
+    outside = rest.join(main, "h").groupBy("node").agg(F.max(F.col("root") != F.col("main")).alias("out"))
+    kinds = stage_table(_salted(outside.join(blocks, "node"), "hub", "out").select("node", "out", "block"), "open-blocks")
+    rest = stage_table(rest.join(kinds, "node").select("h", "m", "node", "root", "out", "block"), "open-members")
+    low, high = F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")
+    per = rest.groupBy("h", "m", "block", "out").agg(F.count(F.lit(1)).alias("c"))
+    other = per.select("h", F.col("block").alias("other"), F.col("out").alias("other_out"))
+    small = rest.where(f"m <= {SMALL}").join(other, "h").where("out OR other_out").select(low, high, "node", "root")
+    pairs = per.where(f"m > {SMALL}").join(other, "h").where("out OR other_out").select(low, high).distinct()
+    pairs = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    large = pairs.join(rest.select("node", "root", "block").distinct(), "block").select("a", "b", "node", "root")
+    return small.unionByName(large).distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: ``id, n_shingles, component_id, kept``.
 
@@ -239,57 +309,39 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     own component; equal sets are always linked. Repeated rows are rows of one class; rows of one identifier and different texts
     are linked through their own texts. A null identifier names no component: its row takes that of its class, or null. An empty table gives an empty table. Other columns are ignored.
     """
-    ship_package(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_package(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    rows = stage_table(slim.mapInArrow(_sketch_rows(n), "id long, n_shingles long, key string, bands array<long>, marks binary"), "sketches")
-    classes = stage_table(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")).where("node IS NOT NULL"), "classes")
-    entries = classes.select("node", F.explode("bands").alias("h"))
-    buckets = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = stage_table(entries.join(buckets, "h"), "buckets")
-    degree = stage_table(members.groupBy("node").agg(F.sum("m").alias("degree")), "degrees")
-    hubs = stage_table(members.join(degree, "node").groupBy("h").agg(F.max(F.struct("degree", "node")).alias("hub")).select("h", "hub.degree", F.col("hub.node").alias("v")), "hubs")
-    offers = stage_table(members.join(hubs, "h").where("node != v").groupBy("node", "v").agg(F.max("degree").alias("degree")), "offers")
-    comp = members.select("node").distinct().withColumn("root", F.col("node"))
-    links = None
-    for _ in range(STARS):  # each class is held against one hub of another component, the one with the most neighbours
-        roots = comp.select(F.col("node").alias("v"), F.col("root").alias("hub_root"))
-        apart = offers.join(comp, "node").join(roots, "v").where("root != hub_root")
-        star = apart.groupBy("node").agg(F.max(F.struct("degree", "v")).alias("b")).select("node", F.col("b.v").alias("v"))
-        star = stage_table(star, "star")
-        offers = offers.join(star, ["node", "v"], "left_anti")
-        more = _confirmed(star.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct(), slim, n, percent, "star")
-        links = more if links is None else links.unionByName(more)
-        comp = stage_table(connected_components(links), "components")
-        comp = members.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        comp = stage_table(comp, "components")
-    for closest in (True, False):
-        # what the rounds so far left: buckets that hold more than one component
-        rest = members.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = rest.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("h")
-        # the members of a bucket's largest component needn't meet each other: they stay in a block each, the others visit all blocks
-        sizes = rest.join(open_, "h").groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
-        main = sizes.groupBy("h").agg(F.max(F.struct("c", "root")).alias("main")).select("h", F.col("main.root").alias("main"))
-        rest = rest.join(main, "h").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        alone = F.array("own")
-        rest = rest.withColumn("other", F.explode(F.when(F.col("root") == F.col("main"), alone).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        rest = rest.join(classes.select("node", "n", "marks", "bands"), "node")
-        rest = rest.select("h", F.col("other").alias("at"), "own", (F.col("root") == F.col("main")).alias("main"), "node", "root", "n", "marks", "bands")
-        rest = rest.repartition("h", "at").sortWithinPartitions("h", "at")
-        found = rest.mapInArrow(_block_pairs(percent, closest), "u long, v long").distinct()
-        more = _confirmed(found, slim, n, percent, "blocks")
-        if not more.isEmpty():
-            stars = comp.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-            comp = stage_table(connected_components(stars.unionByName(more)), "components")
-    named = classes.select("key", "node").join(comp, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
-    out = rows.select("id", "n_shingles", "key").join(named, "key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    rows = stage_table(slim.mapInArrow(_sketch_rows(n), "id long, n long, k1 long, k2 long, bands array<long>"), "sketches")
+    full = rows.where("k1 IS NOT NULL")
+    shared = full.select("k1", F.explode("bands").alias("anchor")).groupBy("anchor").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x != y")  # buckets of different sets
+    bits = spark.sparkContext.broadcast(_filter_of(shared))
+    entries = full.select("id", "n", "k1", "k2", "bands").mapInArrow(_shared_entries(bits), "h long, id long, n long, k1 long, k2 long")
+    entries = entries.groupBy("h", "k1", "k2").agg(F.min("id").alias("node"), F.max("n").alias("n")).where("node IS NOT NULL")
+    entries = stage_table(entries.groupBy("h", "node").agg(F.max("n").alias("n")), "entries")
+    members = stage_table(entries.join(entries.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "h"), "buckets")
+    degree = members.groupBy("node").agg(F.sum("m").alias("degree"))
+    hubs = members.join(degree, "node").groupBy("h").agg(F.max(F.struct("degree", "node")).alias("hub"))
+    best = members.join(hubs, "h").groupBy("node").agg(F.max("hub").alias("hub"), F.max("n").alias("n")).select("node", "n", F.col("hub.node").alias("hub"))
+    blocks = stage_table(_salted(best, "hub"), "blocks")
+    plan = blocks.select("node", "block").unionByName(blocks.select(F.col("hub").alias("node"), "block")).distinct()
+    found = _compared(plan.select(F.col("block").alias("a"), F.col("block").alias("b"), "node", F.col("node").alias("root")), slim, n, percent, "hub-blocks")
+    comp = stage_table(connected_components(found), "components")
+    more = _compared(_open_blocks(members, blocks.select("node", "n", "hub"), comp), slim, n, percent, "open-pairs")
+    if not more.isEmpty():
+        comp = stage_table(connected_components(comp.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "components")
+    classes = full.groupBy("k1", "k2").agg(F.min("id").alias("node"))
+    named = classes.join(comp, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component_id"))
+    out = rows.select("id", F.col("n").alias("n_shingles"), "k1", "k2").join(named, ["k1", "k2"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose identifier names its own component, all columns unchanged; a null identifier stays.
 
-    Where the surviving identifier is that of several rows with different texts, all of them stay.
+    Where the surviving identifier is that of several rows with different texts, all of them stay. Null and empty texts stay; extra columns
+    may have any name; an empty table gives an empty table.
     """
     groups = near_duplicate_groups(docs, id_col, text_col, n, percent)
-    gone = groups.where("NOT kept").select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left_anti")
+    gone = new_name(docs, "gone")
+    return docs.join(groups.where("NOT kept").select(F.col("id").alias(gone)).distinct(), docs[id_col].cast("long") == F.col(gone), "left_anti")
