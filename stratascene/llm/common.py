@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of every operator that counts words: space and the five ASCII controls from tab to return.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+#: Bytes of text that a task turns into Python objects at once.
+BATCH_BYTES = 4 << 20
+
 _shipped: set[str] = set()
 
 
@@ -35,9 +41,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests) one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset and driver and executors are one process (tests), one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="stratascene-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -63,6 +71,14 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the column of texts has about ``BATCH_BYTES`` in each, or one row: what a task turns into Python objects at once."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * BATCH_BYTES / max(1, batch.column(text).nbytes)))
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def new_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}

@@ -10,6 +10,7 @@ tells whether a digest stands for one text, and a digest that stands for several
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, stage_table
-
-#: Words of 64 bits in the filter of hit digests that travels to the tasks: 4 MB, whatever the size of the corpus. A fuller filter lets more texts through to verification and changes no result.
-FILTER_WORDS = 1 << 19
+from .common import new_name, ship_package, small_batches, stage_table
+from .filters import filter_of, passes
 
 
 def normalise(text: str | None) -> bytes:
@@ -34,48 +33,24 @@ def _digest(data: bytes, bits: int) -> str:
 
 def _entries(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [normalise(x) for x in batch.column(1).to_pylist()]
-            full = [hashlib.sha256(x).hexdigest() for x in texts]
+        for batch in small_batches(batches):
+            full = [hashlib.sha256(normalise(x.as_py())).hexdigest() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[: bits // 4] for x in full], pa.string()), pa.array(full, pa.string())], ["id", "digest", "text_sha256"])
 
     return run
 
 
-def _positions(digest: str) -> tuple[int, int]:
-    h = hashlib.blake2b(digest.encode(), digest_size=16).digest()
-    n = FILTER_WORDS * 64
-    return int.from_bytes(h[:8], "little") % n, int.from_bytes(h[8:], "little") % n
-
-
-def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = np.array([p for x in batch.column(0).to_pylist() for p in _positions(x)], dtype=np.int64)
-        words, inverse = np.unique(at >> 6, return_inverse=True)
-        bits = np.zeros(len(words), dtype=np.uint64)
-        np.bitwise_or.at(bits, inverse, np.uint64(1) << (at & 63).astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], ["word", "bits"])
-
-
-def hit_filter(hits: DataFrame) -> np.ndarray:
-    """A Bloom filter of the hit digests, OR-ed together on the executors; at most ``FILTER_WORDS`` rows reach the driver."""
-    parts = hits.select("digest").mapInArrow(_filter_parts, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    words = np.zeros(FILTER_WORDS, dtype=np.uint64)
-    words[parts.column("word").to_numpy()] = parts.column("bits").to_numpy().view(np.uint64)
-    return words
+def _key(digest: str) -> int:
+    return int(digest[:15], 16)
 
 
-def _texts_of_hits(bits: int, words: np.ndarray):
+def _texts_of_hits(bits: int, words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, digests, texts = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = normalise(text)
-                digest = _digest(data, bits)
-                if all(int(words[p >> 6]) >> (p & 63) & 1 for p in _positions(digest)):
-                    ids.append(i)
-                    digests.append(digest)
-                    texts.append(data)
+        for batch in small_batches(batches):
+            data = [normalise(x.as_py()) for x in batch.column(1)]
+            found = [_digest(x, bits) for x in data]
+            hit = np.flatnonzero(passes(np.array([_key(x) for x in found], dtype=np.int64), words.value)).tolist()
+            ids, digests, texts = batch.column(0).take(pa.array(hit, pa.int64())).to_pylist(), [found[k] for k in hit], [data[k] for k in hit]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary())], ["id", "digest", "body"])
 
     return run
@@ -99,7 +74,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     level1 = stage_table(runs.groupBy("digest").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "level1")
     hits = level1.where("group_size > 1")
-    words = hit_filter(hits)
+    words = filter_of(hits.select(F.conv(F.substring("digest", 1, 15), 16, 10).cast("long").alias("key")))
     bodies = slim.mapInArrow(_texts_of_hits(digest_bits, words), "id long, digest string, body binary")
     verified = stage_table(bodies.groupBy("digest", "body").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "collisions")
     if verified.isEmpty():
@@ -117,18 +92,18 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that exact deduplication keeps, one for each group of equal texts, all columns unchanged.
 
     Only identifiers travel to the join; a text is hashed again only where its identifier has a dropped row. Repeated rows
-    of one identifier and text leave one row.
+    of one identifier and text leave one row. Null and empty texts are one group; extra columns may have any name; an empty table gives
+    an empty table.
     """
     groups = stage_table(exact_groups(docs, id_col, text_col, keep), "groups")
-    gone = groups.where("NOT kept").groupBy("id").agg(F.collect_set("text_sha256").alias("gone"))
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    digest = F.sha2(F.translate(F.coalesce(docs[text_col].cast("string"), F.lit("")), upper, lower), 256)
-    left = docs.join(gone.withColumnRenamed("id", "__id"), docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left")
-    left = left.where(F.when(F.col("gone").isNull(), F.lit(True)).otherwise(~F.array_contains("gone", digest))).select(*[docs[c] for c in docs.columns])
-    again = groups.where("kept").groupBy("id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    key, gone, sha = (new_name(docs, x) for x in ("key", "gone", "sha"))
+    out = groups.where("NOT kept").groupBy(F.col("id").alias(key)).agg(F.collect_set("text_sha256").alias(gone))
+    own = docs[id_col].cast("long").eqNullSafe(F.col(key))
+    digest = F.sha2(F.translate(F.coalesce(docs[text_col].cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase), 256)
+    left = docs.join(out, own, "left").where(F.when(F.col(gone).isNull(), F.lit(True)).otherwise(~F.array_contains(gone, digest))).select(*docs.columns)
+    again = groups.where("kept").groupBy(F.col("id").alias(key), F.col("text_sha256").alias(sha)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     if again.isEmpty():
         return left
-    same = left[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.sha2(F.translate(F.coalesce(left[text_col].cast("string"), F.lit("")), upper, lower), 256) == F.col("__sha"))
-    marked = left.join(again, same, "left")
-    single = marked.where("__sha IS NULL").select(*[left[c] for c in docs.columns])
-    return single.unionByName(marked.where("__sha IS NOT NULL").dropDuplicates(["__id", "__sha"]).select(*[left[c] for c in docs.columns]))
+    marked = left.join(again, left[id_col].cast("long").eqNullSafe(F.col(key)) & (F.sha2(F.translate(F.coalesce(left[text_col].cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase), 256) == F.col(sha)), "left")
+    single = marked.where(F.col(sha).isNull()).select(*docs.columns)
+    return single.unionByName(marked.where(F.col(sha).isNotNull()).dropDuplicates([key, sha]).select(*docs.columns))

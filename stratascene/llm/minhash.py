@@ -18,7 +18,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import dealt, new_name, ship_package, stage_table
 from .components import connected_components
-from .suffix import _filter_bits, _filter_of
+from .filters import filter_of, may_have, passes
 
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 2.5e-7, one of 0.85 with 5e-11.
 ROWS, BANDS = 6, 50
@@ -145,12 +144,6 @@ def _sketch_rows(n: int):
     return run
 
 
-def _passes(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Which keys may be in a filter."""
-    a, b = _filter_bits(keys)
-    return ((words[a >> np.uint64(6)] >> (a & np.uint64(63))) & (words[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
-
-
 def _shared_entries(bits):
     """``h, id, n, k1, k2`` for the bands of each row that the filter lets through."""
 
@@ -158,7 +151,7 @@ def _shared_entries(bits):
         words = bits.value
         for batch in batches:
             h = batch.column(4).flatten().to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero(_passes(h.view(np.uint64), words))
+            keep = np.flatnonzero(passes(h, words))
             row = pa.array(keep // BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(h[keep]), *(batch.column(k).take(row) for k in range(4))], ["h", "id", "n", "k1", "k2"])
 
@@ -260,13 +253,7 @@ def _pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def _compared(plan: DataFrame, slim: DataFrame, n: int, percent: int, name: str) -> DataFrame:
     """Links ``u, v`` among the classes (``node, root``) of each block comparison (``a, b``) of ``plan``; only texts that it names leave the scan."""
     plan = stage_table(plan, name)
-    bits = slim.sparkSession.sparkContext.broadcast(_filter_of(plan.select(F.col("node").alias("anchor")).distinct()))
-
-    @F.pandas_udf("boolean")
-    def named(ids: pd.Series) -> pd.Series:
-        return pd.Series(_passes(ids.to_numpy(dtype=np.int64).view(np.uint64), bits.value))
-
-    texts = slim.where(F.col("id").isNotNull()).where(named("id"))
+    texts = slim.where(F.col("id").isNotNull()).where(may_have(F.col("id"), filter_of(plan.select("node").distinct())))
     rows = texts.join(plan, texts["id"] == plan["node"]).select("a", "b", "node", "root", "body")
     found = dealt(rows, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_block_links(n, percent), "u long, v long")
     return stage_table(found, f"{name}-links")
@@ -315,7 +302,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = stage_table(slim.mapInArrow(_sketch_rows(n), "id long, n long, k1 long, k2 long, bands array<long>"), "sketches")
     full = rows.where("k1 IS NOT NULL")
     shared = full.select("k1", F.explode("bands").alias("anchor")).groupBy("anchor").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x != y")  # buckets of different sets
-    bits = spark.sparkContext.broadcast(_filter_of(shared))
+    bits = filter_of(shared.select("anchor"))
     entries = full.select("id", "n", "k1", "k2", "bands").mapInArrow(_shared_entries(bits), "h long, id long, n long, k1 long, k2 long")
     entries = entries.groupBy("h", "k1", "k2").agg(F.min("id").alias("node"), F.max("n").alias("n")).where("node IS NOT NULL")
     entries = stage_table(entries.groupBy("h", "node").agg(F.max("n").alias("n")), "entries")

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage_table
+from .common import WORD, new_name, stage_table
 
 #: Rows that a bucket of the hottest source holds on average, at most, before another hex digit is used.
 BUCKET_ROWS = 2_000
@@ -85,11 +85,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, whole: the document at the cut is taken if at least half of it fits.
 
-    A row that the mix takes no word of is left out.
+    A row that the mix takes no word of is left out, so null and empty texts are; null sources are one source; repeated rows of
+    one identifier are each taken as often as the most taken of them; extra columns may have any name; an empty table gives an empty table.
     """
     taken = mix_sources(docs, id_col, text_col, source_col, seed, weights)
     copies = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(F.lit(0))
     per_id = taken.select("id", "source", "size", copies.cast("int").alias("copies")).groupBy("id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
-    per_id = per_id.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    same = docs[id_col].eqNullSafe(F.col("__id")) & docs[source_col].cast("string").eqNullSafe(F.col("__source")) & (word_count(docs[text_col]) == F.col("__size"))
-    return docs.join(per_id, same).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    key, source, size, times, nth = (new_name(docs, x) for x in ("key", "mixed_source", "size", "copies", "nth"))
+    per_id = per_id.select(F.col("id").alias(key), F.col("source").alias(source), F.col("size").alias(size), F.col("copies").alias(times))
+    same = docs[id_col].eqNullSafe(F.col(key)) & docs[source_col].cast("string").eqNullSafe(F.col(source)) & (word_count(docs[text_col]) == F.col(size))
+    return docs.join(per_id, same).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dealt, ship_package, stage_table
+from .filters import filter_of, passes
 
 WINDOW = 400
 ANCHOR = 200
@@ -34,8 +35,6 @@ BLOCK = 1 << 18
 GROUP_CELLS = 400
 #: Bytes that go through the transform at once.
 BATCH_BYTES = 1_000_000
-#: Words of 64 bits in the filter of repeated anchors: 16 MB whatever the corpus. A fuller filter lets more cells through and changes no result.
-FILTER_WORDS = 1 << 21
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -183,33 +182,6 @@ def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["anchor", "n"])
 
 
-def _filter_bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two places of a key in the filter."""
-    n = np.uint64(FILTER_WORDS * 64)
-    a = keys * _M1
-    a ^= a >> np.uint64(31)
-    b = (keys ^ _BASE) * _M2
-    b ^= b >> np.uint64(29)
-    return a % n, b % n
-
-
-def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = np.concatenate(_filter_bits(batch.column(0).to_numpy().view(np.uint64)))
-        words, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
-        bits = np.zeros(len(words), dtype=np.uint64)
-        np.bitwise_or.at(bits, inverse, np.uint64(1) << (at & np.uint64(63)))
-        yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
-
-
-def _filter_of(anchors: DataFrame) -> np.ndarray:
-    """A Bloom filter of the anchors; at most ``FILTER_WORDS`` rows reach the driver."""
-    parts = anchors.select("anchor").mapInArrow(_filter_parts, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    words = np.zeros(FILTER_WORDS, dtype=np.uint64)
-    words[parts.column("word").to_numpy()] = parts.column("bits").to_numpy().view(np.uint64)
-    return words
-
-
 def _cells_of(words_of_filter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of_filter.value
@@ -220,10 +192,7 @@ def _cells_of(words_of_filter):
                 starts, counts, offsets, hashes = anchor_cells(data)
                 if not len(starts):
                     continue
-                a, b = _filter_bits(hashes)
-                one = np.uint64(1)
-                there = (words[a >> np.uint64(6)] >> (a & np.uint64(63)) & one) & (words[b >> np.uint64(6)] >> (b & np.uint64(63)) & one)
-                keep = np.flatnonzero(there)
+                keep = np.flatnonzero(passes(hashes, words))
                 if not len(keep):
                     continue
                 text = xxhash.xxh3_64_intdigest(data) - (1 << 63)
@@ -351,7 +320,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship_package(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
     anchors = slim.select("body").mapInArrow(_anchor_counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    words = spark.sparkContext.broadcast(_filter_of(anchors))
+    words = filter_of(anchors.select("anchor"))
     cells = stage_table(slim.mapInArrow(_cells_of(words), "doc long, text long, start long, n long, off long, anchor long, u1 long, u2 long"), "cells")
     kinds = stage_table(cells.groupBy("anchor", "u1", "u2").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("doc", "text", "start", "n", "off"))), "kinds")
     groups = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("members")).where("members > 1")

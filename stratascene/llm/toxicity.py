@@ -11,6 +11,7 @@ document's probability through a logistic fit on the training rows.
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, stage_table
+from .common import ship_package, small_batches, stage_table
 
 #: Labelled rows that the classifier learns from, at most; the hash of the identifier picks them.
 LABELLED = 200_000
@@ -86,7 +87,7 @@ class ToxicityModel:
     values: np.ndarray
     rate: float = 1.0
     log_k: float = 0.0
-    weights: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0, 0.0])
+    weights: list[float] = field(default_factory=lambda: [-1.0, 0.0, 0.0, 0.0])
 
     def scores(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -122,10 +123,10 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add.at(counts, inverse, np.concatenate([c for _, c in held]))
         return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.ascontiguousarray(counts[:, k])) for k in range(3))], ["key", "n_all", "n_clean", "n_toxic"])
 
-    for batch in batches:
+    for batch in small_batches(batches, 0):
         groups: dict[int, list[np.ndarray]] = {0: [], 1: [], 2: []}
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            groups[0 if label is None else 1 + label].append(np.unique(tokens(text)))
+        for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+            groups[0 if label is None else 1 + label].append(np.unique(tokens(text.as_py())))
         for group, parts in groups.items():
             if parts:
                 keys, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -140,19 +141,22 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, size = [], 0
     if held:
         yield merged()
+    _keys.clear()
 
 
-def _labelled_rows(model: ToxicityModel):
+def _labelled_rows(sent):
     """For each labelled row: tokens, best segment, and the features under the model so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        model = sent.value
+        for batch in small_batches(batches, 0):
             rows = []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n, best, significant = model.passages(text)
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+                n, best, significant = model.passages(text.as_py())
                 rows.append((label, n, best, *model.features(n, significant)[1:]))
             cols = list(zip(*rows)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], ["label", "n", "best", "f1", "f2", "f3"])
+        _keys.clear()
 
     return run
 
@@ -201,8 +205,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     marked = slim.join(F.broadcast(chosen), F.col("__doc") == F.col("__id"), "left").select("body", "label")
     counts = stage_table(marked.mapInArrow(_count_rows, "key long, n_all long, n_clean long, n_toxic long").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n_all", "n_clean", "n_toxic"))).where("n_clean + n_toxic > 0"), "counts")
     whole, clean, toxic = (x or 0 for x in counts.agg(F.sum("n_all"), F.sum("n_clean"), F.sum("n_toxic")).first())
-    if not clean or not toxic:
-        return ToxicityModel(np.array([], dtype=np.int64), np.array([]))
+    if not clean or not toxic:  # no contrast to learn: the share of toxic rows is all that's known, and without rows a text is taken for clean
+        n, ones = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+        return ToxicityModel(np.array([], dtype=np.int64), np.array([]), weights=[math.log((ones + 0.5) / (n - ones + 1)), 0.0, 0.0, 0.0])
     a = F.lit(PRIOR / whole) * F.col("n_all") + EACH
     yt, yc = F.col("n_toxic") + a, F.col("n_clean") + a
     delta = F.log(yt / (toxic + PRIOR - yt)) - F.log(yc / (clean + PRIOR - yc))
@@ -217,9 +222,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     model.rate = extreme_value_rate([(r["s"], r["n"]) for r in histogram])
     train = slim.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("body", "label")
     schema = "label int, n long, best double, f1 double, f2 double, f3 double"
-    seen = train.mapInArrow(_labelled_rows(model), schema).where("label = 0 AND n > 0").agg(F.avg(model.rate * F.col("best") - F.log(F.col("n").cast("double")))).first()[0]
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    seen = train.mapInArrow(_labelled_rows(sent), schema).where("label = 0 AND n > 0").agg(F.avg(model.rate * F.col("best") - F.log(F.col("n").cast("double")))).first()[0]
     model.log_k = (seen or 0.0) - float(np.euler_gamma)
-    rows = train.mapInArrow(_labelled_rows(model), schema).select("label", "f1", "f2", "f3").toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows = train.mapInArrow(_labelled_rows(sent), schema).select("label", "f1", "f2", "f3").toArrow()
     x = np.column_stack([np.ones(rows.num_rows), *(rows.column(c).to_numpy() for c in ("f1", "f2", "f3"))])
     model.weights = logistic_fit(x, rows.column("label").to_numpy().astype(float))
     return model
@@ -232,32 +239,38 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     any other; an empty table gives an empty table. Other columns are ignored.
     """
     ship_package(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("excess", pa.float64())]))
-        for batch in batches:
+        for batch in small_batches(batches):
             x, spans = [], []
-            for text in batch.column(1).to_pylist():
-                n, _, significant = model.passages(text)
+            for text in batch.column(1):
+                n, _, significant = model.passages(text.as_py())
                 x.append(model.features(n, significant))
                 spans.append([{"start": a, "end": b, "excess": e} for a, b, e in significant])
             p = model.probability(np.array(x).reshape(-1, 4))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(spans, kind)], ["id", "score", "predicted", "passages"])
+        _keys.clear()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).mapInArrow(run, "id long, score double, predicted int, passages array<struct<start:long,end:long,excess:double>>")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is below 0.5, unchanged."""
+    """The rows of ``docs`` whose score is below 0.5, unchanged: null and empty texts, null identifiers, repeated rows and extra columns of any name too; an empty table gives an empty table."""
     ship_package(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        model = sent.value
+        for batch in small_batches(batches, at):
             x = []
-            for text in batch.column(at).to_pylist():
-                n, _, significant = model.passages(text)
+            for text in batch.column(at):
+                n, _, significant = model.passages(text.as_py())
                 x.append(model.features(n, significant))
             yield batch.filter(pa.array(model.probability(np.array(x).reshape(-1, 4)) < 0.5))
+        _keys.clear()
 
     at = docs.columns.index(text_col)
     return docs.mapInArrow(run, docs.schema)
