@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dealt, ship_package, stage_table
-from .filters import filter_of, passes
+from .filters import filter_of, may_have, passes
 
 WINDOW = 400
 ANCHOR = 200
@@ -326,7 +326,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     differing = kinds.join(groups.select("anchor"), "anchor")
     listed = differing.groupBy("doc").agg(F.collect_list(F.struct("anchor", "u1", "u2", "text", "start", "n", "off")).alias("cells"))
-    bodies = slim.join(listed, slim["id"].eqNullSafe(listed["doc"])).select("body", "cells").mapInArrow(_cell_bytes, _CELL)
+    key = F.coalesce("id", F.lit(0))
+    some = slim.where(may_have(key, filter_of(listed.select(F.coalesce("doc", F.lit(0)).alias("doc")))))  # other texts needn't travel
+    bodies = some.join(listed, slim["id"].eqNullSafe(listed["doc"])).select("body", "cells").mapInArrow(_cell_bytes, _CELL)
     found = []
     while True:
         bodies = stage_table(bodies, "bodies")
@@ -346,5 +348,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for part in found:
         whole = whole.unionByName(part)
     spans = cells.join(whole, ["u1", "u2"]).groupBy("doc").agg(F.collect_list(F.struct("text", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))).alias("spans"))
-    marked = slim.join(spans, slim["id"].eqNullSafe(spans["doc"]), "left").select("id", "body", "spans")
-    return marked.mapInArrow(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    spans = stage_table(spans, "spans")
+    marked = may_have(key, filter_of(spans.select(F.coalesce("doc", F.lit(0)).alias("doc"))))
+    cut = slim.where(marked).join(spans, slim["id"].eqNullSafe(spans["doc"]), "left").select("id", "body", "spans")
+    whole = slim.where(~marked).select("id", "body", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return cut.unionByName(whole).mapInArrow(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
