@@ -180,7 +180,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in small_batches(batches):
-            ids = [bpe.encode(x) if x else b"" for x in map(pa.Scalar.as_py, batch.column(1))]
+            ids = [bpe.encode(x) if x else b"" for x in (y.as_py() for y in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], ["id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).mapInArrow(run, "id long, ids binary, decoded binary")
@@ -197,7 +197,7 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         bpe = codec(path, pattern)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for text in map(pa.Scalar.as_py, batch.column(1)):
+            for text in (y.as_py() for y in batch.column(1)):
                 ids = bpe.encode(text) if text else b""
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
