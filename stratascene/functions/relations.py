@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 # Names that stand for a relation.
 ALIASES = {
-    "on_top_of": ("on", "on_top_of", "on_top", "atop", "upon"), "above": ("above", "over", "higher_than"), "below": ("below", "under", "beneath", "underneath", "lower_than"),
-    "next_to": ("next_to", "beside", "by", "adjacent_to", "alongside"), "near": ("near", "close_to", "nearby", "around_here", "in_the_vicinity_of"),
-    "in_front_of": ("in_front_of", "front_of", "before"), "behind": ("behind", "back_of", "in_back_of"), "left_of": ("left_of", "to_the_left_of", "left"), "right_of": ("right_of", "to_the_right_of", "right"),
-    "inside": ("inside", "in", "within", "inside_of"), "between": ("between", "in_between", "in_the_middle_of"), "against": ("against", "touching", "leaning_on"), "around": ("around", "surrounding"),
-}
+    "on_top_of": ("on", "upon", "atop", "on_top", "on_top_of", "resting_on"),
+    "above": ("above", "over", "higher_than"),
+    "below": ("below", "under", "beneath", "underneath", "lower_than"),
+    "next_to": ("next_to", "beside", "adjacent_to", "next"),
+    "near": ("near", "by", "close_to"),
+    "in_front_of": ("in_front_of", "front", "facing", "before"),
+    "behind": ("behind", "back", "back_of", "in_back_of"),
+    "left_of": ("left_of", "left", "to_the_left_of", "on_the_left_of"),
+    "right_of": ("right_of", "right", "to_the_right_of", "on_the_right_of"),
+    "inside": ("inside", "in", "within", "contained_in"),
+    "between": ("between", "in_between"),
+    "against": ("against", "leaning_on", "leaning_against"),
+    "around": ("around", "surrounding"),
+}
 _BY_ALIAS = {a: k for k, names in ALIASES.items() for a in names}
 
 #: Horizontal reach of relations that have one: a join needs to look no further.
@@ -97,11 +110,44 @@ def radius_join(left: DataFrame, right: DataFrame, reach: float, condition: Colu
     return a.join(b, (F.col("__gx") == F.col("__hx")) & (F.col("__gy") == F.col("__hy")) & condition).drop("__gx", "__gy", "__hx", "__hy", "__sx", "__sy")
 
 
+def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_xyz: tuple[str, ...], right_xyz: tuple[str, ...], reach: float = 0.5) -> DataFrame:
+    """``left_id, right_id, distance``: for each left row the nearest right row, ties to the lowest identifier; none if there is no right row.
+
+    Rings: rows that find something within the reach are done, the others look twice as far, until the reach covers the extent of both sides.
+    """
+    out, rest = None, cut(left.select(left_id, *left_xyz).where(F.col(left_xyz[0]).isNotNull()))
+    right = right.select(F.col(right_id).alias("__r"), *(F.col(c).alias(f"__{k}") for k, c in enumerate(right_xyz)))
+    both = left.select(*(F.col(c).alias(f"__{k}") for k, c in enumerate(left_xyz))).unionByName(right.drop("__r"))
+    low_high = both.agg(*(f(f"__{k}") for k in range(len(left_xyz)) for f in (F.min, F.max))).first()
+    extent = sum((hi - lo) ** 2 for lo, hi in zip(low_high[::2], low_high[1::2])) ** 0.5 if None not in low_high else 0.0
+    dist = norm(*(F.col(c) - F.col(f"__{k}") for k, c in enumerate(left_xyz)))
+    while True:
+        found = radius_join(rest, right, reach, dist <= reach, (left_xyz[0], left_xyz[1]), ("__0", "__1"))
+        found = cut(found.groupBy(left_id).agg(F.min(F.struct(dist.alias("distance"), F.col("__r").alias(right_id))).alias("b")).select(left_id, f"b.{right_id}", "b.distance"))
+        out = found if out is None else out.unionByName(found)
+        if reach > extent:
+            return out
+        rest = cut(rest.join(found.select(left_id), left_id, "left_anti"))
+        if rest.isEmpty():
+            return out
+        reach *= 2
+
+
+#: Rows of a side that is broadcast, at most.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_blocks(side: DataFrame, by: str, most: int = BROADCAST_ROWS) -> list[DataFrame]:
+    """``side`` in blocks of about ``most`` rows, each marked for broadcasting: its size is counted first, so what is broadcast doesn't grow with the data."""
+    parts = max(1, -(-side.count() // most))
+    return [F.broadcast(side if parts == 1 else side.where(F.pmod(F.xxhash64(by), F.lit(parts)) == k)) for k in range(parts)]
+
+
 def relation_join(targets: DataFrame, anchors: DataFrame, name: str, exclude_self: bool = False) -> DataFrame:
     """``obj_id, score``: targets that satisfy a relation with any anchor, with their best score.
 
-    Both sides have ``obj_id, cx, cy, cz`` (and ``ex, ey, ez`` for inside). Relations with a reach are joined on a grid; directions,
-    which reach everywhere, and boxes are tested against every anchor, which Spark broadcasts when it is small.
+    Both sides have ``obj_id, cx, cy, cz`` (and ``ex, ey, ez`` for inside). Relations with a reach are joined on a grid, that of
+    inside follows from the largest anchor; directions reach everywhere and are tested against all anchors, a counted block at a time.
     """
     key = canonical(name) or "near"
     a = anchors.select(F.col("obj_id").alias("a_id"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("cz").alias("az"), *([F.col(c).alias(f"a_{c}") for c in ("ex", "ey", "ez")] if key == "inside" else []))
@@ -111,5 +157,11 @@ def relation_join(targets: DataFrame, anchors: DataFrame, name: str, exclude_sel
         ok, score = relation(key, (F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay"), F.col("cz") - F.col("az")))
     if exclude_self:
         ok = ok & (F.col("obj_id") != F.col("a_id"))
-    joined = radius_join(targets, a, REACH[key], ok, ("cx", "cy"), ("ax", "ay")) if key in REACH else targets.join(a, ok)
-    return joined.groupBy("obj_id").agg(F.max(score).alias("score"))
+    reach = REACH.get(key)
+    if key == "inside":
+        largest = a.agg(F.max(F.greatest("a_ex", "a_ey"))).first()[0]
+        reach = (largest or 0.0) / 2 + 0.2
+    if reach is not None:
+        return radius_join(targets, a, reach, ok, ("cx", "cy"), ("ax", "ay")).groupBy("obj_id").agg(F.max(score).alias("score"))
+    best = [targets.join(block, ok).groupBy("obj_id").agg(F.max(score).alias("score")) for block in broadcast_blocks(a, "a_id")]
+    return best[0] if len(best) == 1 else reduce(DataFrame.unionByName, best).groupBy("obj_id").agg(F.max("score").alias("score"))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes
 from ..functions.relations import norm, radius_join
-from ..functions.vectors import cosine
-from .graph import _cut
+from ..functions.vectors import cosine, normalise
+from ..storage import cut as _cut
 
 
 def match_detections(detections: DataFrame, objects: DataFrame, threshold: float = 1.2, bias: float = 0.0, reach: float = 2.0, penalty: float = 0.0, meeting: bool = False) -> DataFrame:
@@ -53,14 +53,32 @@ def point_overlap(points: DataFrame, voxel: float) -> DataFrame:
     return hits.join(points.groupBy(F.col("obj_id").alias("i")).agg(F.count(F.lit(1)).alias("size")), "i").select("i", "j", (F.col("hits") / F.col("size")).alias("ratio"))
 
 
+def box_pairs(detections: DataFrame, cell: float = 100.0) -> DataFrame:
+    """``view_id, det, other, inter, area, other_area``: pairs of different boxes of a view that meet, each both ways.
+
+    Boxes are dealt to the grid cells that they cover, and a pair comes out of the cell that holds the corner where it begins to meet.
+    """
+    cols = ("x1", "y1", "x2", "y2")
+    covered = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell).cast("int"), F.floor(F.col(hi) / cell).cast("int"))
+    a = detections.where("x2 > x1 AND y2 > y1").select("view_id", "det", *cols).withColumn("gx", F.explode(covered("x1", "x2"))).withColumn("gy", F.explode(covered("y1", "y2")))
+    b = a.select("view_id", "gx", "gy", F.col("det").alias("other"), *(F.col(c).alias(f"o{c}") for c in cols))
+    left, top = F.greatest("x1", "ox1"), F.greatest("y1", "oy1")
+    w, h = F.least("x2", "ox2") - left, F.least("y2", "oy2") - top
+    first = (F.floor(left / cell) == F.col("gx")) & (F.floor(top / cell) == F.col("gy"))
+    pairs = a.join(b, ["view_id", "gx", "gy"]).where((F.col("det") != F.col("other")) & first & (w > 0) & (h > 0))
+    return pairs.select("view_id", "det", "other", (w * h).alias("inter"), ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"), ((F.col("ox2") - F.col("ox1")) * (F.col("oy2") - F.col("oy1"))).alias("other_area"))
+
+
 def contained_counts(detections: DataFrame, share: float = 0.95) -> DataFrame:
     """``view_id, det, n``: in each view, how many other boxes hold more than ``share`` of a box's area."""
-    cols = ("x1", "y1", "x2", "y2")
-    a = detections.select("view_id", "det", *cols)
-    b = detections.select(F.col("view_id").alias("v"), F.col("det").alias("other"), *(F.col(c).alias(f"o{c}") for c in cols))
-    inter = F.greatest(F.lit(0.0), F.least("x2", "ox2") - F.greatest("x1", "ox1")) * F.greatest(F.lit(0.0), F.least("y2", "oy2") - F.greatest("y1", "oy1"))
-    held = a.join(b, (F.col("view_id") == F.col("v")) & (F.col("det") != F.col("other")) & (inter > share * (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))))
-    return a.select("view_id", "det").join(held.groupBy("view_id", "det").agg(F.count(F.lit(1)).alias("n")), ["view_id", "det"], "left").select("view_id", "det", F.coalesce("n", F.lit(0)).alias("n"))
+    held = box_pairs(detections).where(F.col("inter") > share * F.col("area")).groupBy("view_id", "det").agg(F.count(F.lit(1)).alias("n"))
+    return detections.select("view_id", "det").join(held, ["view_id", "det"], "left").select("view_id", "det", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def holding_pairs(detections: DataFrame, largest_share: float = 0.7, least_share: float = 0.8) -> DataFrame:
+    """``view_id, det, other``: box ``other`` lies in box ``det``, whose mask it is to be taken from."""
+    inside = (F.col("inter") / F.col("area") < largest_share) & (F.col("inter") / F.col("other_area") > least_share)
+    return box_pairs(detections).where(inside).select("view_id", "det", "other", "inter", "area")
 
 
 def filter_detections(detections: DataFrame, background: tuple[str, ...] = ("wall", "floor", "ceiling"), least_area: float = 25.0, largest_share: float = 0.5, least_conf: float = 0.25, image_area: float = 1200.0 * 680.0) -> DataFrame:
@@ -210,3 +228,63 @@ def grid_regions(objects: DataFrame, k: int) -> DataFrame:
     marked = objects.crossJoin(F.broadcast(bounds)).select("obj_id", (cell("cx") * g * g + cell("cy") * g + cell("cz")).alias("cell"))  # one row
     numbered = marked.select("cell").distinct().withColumn("region", F.row_number().over(Window.orderBy("cell")) - 1)
     return marked.join(F.broadcast(numbered), "cell").select("obj_id", "region")  # a row for each cell of the grid
+
+
+def point_overlap_between(new: DataFrame, old: DataFrame, voxel: float) -> DataFrame:
+    """``i, j, ratio``: the share of a new object's points that have a point of map object j nearer than ``voxel``; objects whose bounds don't meet have none."""
+    a = new.select(F.col("obj_id").alias("i"), F.col("pt").alias("a"), "x", "y", "z")
+    b = old.select(F.col("obj_id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
+    near = radius_join(a, b, voxel, norm(F.col("x") - F.col("bx"), F.col("y") - F.col("by"), F.col("z") - F.col("bz")) < voxel, ("x", "y"), ("bx", "by"))
+    hits = near.select("i", "j", "a").distinct().groupBy("i", "j").agg(F.count(F.lit(1)).alias("hits"))
+    hits = hits.join(new.groupBy(F.col("obj_id").alias("i")).agg(F.count(F.lit(1)).alias("size"), *_bounds("i")), "i")
+    hits = hits.join(old.groupBy(F.col("obj_id").alias("j")).agg(*_bounds("j")), "j")
+    meet = None
+    for c in "xyz":
+        apart = F.least(F.col(f"i_hi_{c}"), F.col(f"j_hi_{c}")) > F.greatest(F.col(f"i_lo_{c}"), F.col(f"j_lo_{c}"))
+        meet = apart if meet is None else meet & apart
+    return hits.where(meet).select("i", "j", (F.col("hits") / F.col("size")).alias("ratio"))
+
+
+def _bounds(side: str) -> list[Column]:
+    return [f(c).alias(f"{side}_{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
+
+
+def overlap_merges(pairs: DataFrame, threshold: float, visual: float, text: float) -> DataFrame:
+    """``i, j, ratio``: which objects are merged into which, from pairs ``i, j, ratio, visual, text``.
+
+    Pairs are taken by falling ratio, ties by identifiers: ``i`` goes into ``j`` if ratio and both similarities are above their thresholds and
+    ``j`` hasn't gone itself; one that went may go again. In rounds: a pair waits while an earlier pair of its ``j`` is undecided.
+    """
+    order = F.struct((-F.col("ratio")).alias("r"), "i", "j")
+    waiting = _cut(pairs.where((F.col("ratio") > threshold) & (F.col("visual") > visual) & (F.col("text") > text)).select("i", "j", "ratio", order.alias("at")))
+    done = waiting.limit(0)
+    while not waiting.isEmpty():
+        gone = done.groupBy(F.col("i").alias("j")).agg(F.min("at").alias("gone"))
+        unsure = waiting.groupBy(F.col("i").alias("j")).agg(F.min("at").alias("unsure"))
+        seen = waiting.join(gone, "j", "left").join(unsure, "j", "left")
+        state = F.when(F.col("gone") < F.col("at"), F.lit("no")).when(F.col("unsure") < F.col("at"), F.lit("wait")).otherwise(F.lit("yes"))
+        seen = _cut(seen.select("i", "j", "ratio", "at", state.alias("state")))
+        done = done.unionByName(seen.where("state = 'yes'").drop("state"))
+        waiting = seen.where("state = 'wait'").drop("state")
+    return done.select("i", "j", "ratio")
+
+
+def object_filter(points: DataFrame, detections: DataFrame, least_points: int, least_detections: int) -> DataFrame:
+    """``obj_id, points, detections`` of objects with enough of both."""
+    n = points.groupBy("obj_id").agg(F.count(F.lit(1)).alias("points")).where(F.col("points") >= least_points)
+    m = detections.groupBy("obj_id").agg(F.count(F.lit(1)).alias("detections")).where(F.col("detections") >= least_detections)
+    return n.join(m, "obj_id")
+
+
+def multiview_mean(rows: DataFrame, key: str, feature: str = "feat") -> DataFrame:
+    """``key, feat``: the sum of what views say about a point over their number, which counts as 1e-5 where it is 0."""
+    dims = rows.select(key, F.posexplode(feature).alias("k", "v")).groupBy(key, "k").agg((F.sum("v") / F.greatest(F.count("v").cast("double"), F.lit(1e-5))).alias("v"))
+    return dims.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("feat"))
+
+
+def voxel_features(points: DataFrame, size: float, least: int = 2) -> DataFrame:
+    """``vx, vy, vz, n, feat``: weighted mean features (weight ``w``) of voxels with ``least`` observations, to unit length; sums of each dimension meet in the shuffle."""
+    keys = [F.floor(F.col(c) / size).cast("long").alias(f"v{c}") for c in "xyz"]
+    dims = points.select(*keys, "w", F.posexplode("feat").alias("k", "f")).groupBy("vx", "vy", "vz", "k").agg((F.sum(F.col("w") * F.col("f")) / F.sum("w")).alias("f"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    whole = dims.groupBy("vx", "vy", "vz").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "f"))), lambda x: x["f"]).alias("feat"))
+    return whole.withColumn("feat", normalise(F.col("feat")))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.relations import broadcast_blocks
 from ..functions.vectors import cosine
 
 
@@ -29,11 +32,13 @@ def hierarchical_search(features: DataFrame, query: Column, regions: int, k: int
 
 
 def classify(features: DataFrame, classes: DataFrame, ignored: tuple[int, ...] = ()) -> DataFrame:
-    """``obj_id, pred, sim``: the class whose vector is closest, ignored ones last; ties go to the lowest class."""
-    sim = F.when(F.col("class_id").isin(*ignored), -1e10).otherwise(cosine(F.col("feat"), F.col("cfeat"))) if ignored else cosine(F.col("feat"), F.col("cfeat"))
-    scored = features.join(classes).select("obj_id", "class_id", sim.alias("sim"))
-    best = scored.groupBy("obj_id").agg(F.max(F.struct(F.col("sim"), (-F.col("class_id")).alias("minus"))).alias("b"))
-    return best.select("obj_id", (-F.col("b.minus")).alias("pred"), F.col("b.sim").alias("sim"))
+    """``obj_id, pred, sim``: the class whose vector is closest, ignored ones last; ties go to the lowest class. Classes are broadcast, a counted block at a time."""
+    sim = cosine(F.col("feat"), F.col("cfeat"))
+    sim = F.when(F.col("class_id").isin(*ignored), -1e10).otherwise(sim) if ignored else sim
+    best = F.max(F.struct(sim.alias("sim"), (-F.col("class_id")).alias("minus"))).alias("b")
+    each = [features.select("obj_id", "feat").crossJoin(block).groupBy("obj_id").agg(best) for block in broadcast_blocks(classes, "class_id")]
+    whole = each[0] if len(each) == 1 else reduce(DataFrame.unionByName, each).groupBy("obj_id").agg(F.max("b").alias("b"))
+    return whole.select("obj_id", (-F.col("b.minus")).alias("pred"), F.col("b.sim").alias("sim"))
 
 
 def confusion(pairs: DataFrame) -> DataFrame:
@@ -62,3 +67,21 @@ def mode_per(rows: DataFrame, key: str, value: str, *ties: str) -> DataFrame:
     counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), *first)
     order = Window.partitionBy(key).orderBy(F.col("n").desc(), *(f"__{t}" for t in ties), value)
     return counts.withColumn("__r", F.row_number().over(order)).where("__r = 1").select(key, value, "n")
+
+
+def metrics_summary(matrix: DataFrame, by: str | None = None) -> DataFrame:
+    """One row (or one for each ``by``): ``classes, miou, fmiou`` and how many classes have an IoU above 0.15, 0.25, 0.5 and 0.75."""
+    keys = [by] if by else []
+    gt = matrix.groupBy(*keys, F.col("gt").alias("class_id")).agg(F.sum("n").alias("g"), F.sum(F.when(F.col("gt") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
+    pred = matrix.groupBy(*keys, F.col("pred").alias("class_id")).agg(F.sum("n").alias("p"))
+    m = gt.join(pred, [*keys, "class_id"], "full_outer").select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("g", "tp", "p")))
+    m = m.withColumn("iou", F.col("tp") / F.greatest(F.lit(1.0), F.col("g") + F.col("p") - F.col("tp")))
+    above = [F.sum((F.col("iou") > t).cast("long")).alias(f"acc_{int(t * 100)}") for t in (0.15, 0.25, 0.5, 0.75)]
+    return m.groupBy(*keys).agg(F.count(F.lit(1)).alias("classes"), F.avg("iou").alias("miou"), (F.sum(F.col("iou") * F.col("g")) / F.sum("g")).alias("fmiou"), *above)
+
+
+def softmax(rows: DataFrame, column: str) -> DataFrame:
+    """``share``: exp of a column over its sum in all rows, after the largest value is taken off; the bounds are one row, joined."""
+    top = rows.agg(F.max(column).alias("__top"))
+    shifted = rows.crossJoin(F.broadcast(top)).withColumn("__e", F.exp(F.col(column) - F.col("__top")))
+    return shifted.crossJoin(F.broadcast(shifted.agg(F.sum("__e").alias("__sum")))).withColumn("share", F.col("__e") / F.col("__sum")).drop("__e", "__sum", "__top")  # one row each

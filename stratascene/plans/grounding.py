@@ -11,13 +11,34 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.relations import between, canonical, norm, relation_join
+from ..functions.relations import between, canonical, nearest_join, norm, relation_join
 
 # Words that count as a colour.
 COLOURS = {
-    "red": ("red", "crimson", "scarlet", "maroon"), "blue": ("blue", "navy", "azure", "cyan"), "green": ("green", "olive", "lime"), "yellow": ("yellow", "gold", "amber"),
-    "white": ("white", "ivory", "cream"), "black": ("black", "ebony"), "brown": ("brown", "tan", "beige"), "gray": ("gray", "grey", "silver"),
+    "red": ("red", "crimson", "scarlet", "maroon", "ruby"),
+    "blue": ("blue", "navy", "azure", "cobalt", "cyan", "teal"),
+    "green": ("green", "olive", "lime", "emerald", "forest"),
+    "yellow": ("yellow", "gold", "golden", "amber"),
+    "orange": ("orange", "tangerine", "coral"),
+    "purple": ("purple", "violet", "lavender", "magenta", "plum"),
+    "pink": ("pink", "rose", "salmon", "fuchsia"),
+    "brown": ("brown", "chocolate", "tan", "beige", "khaki", "coffee"),
+    "black": ("black", "dark", "ebony", "charcoal"),
+    "white": ("white", "ivory", "cream", "pearl"),
+    "gray": ("gray", "grey", "silver", "slate"),
+}
+_FAMILY = {word: family for family, words in COLOURS.items() for word in words}
+# Plain colour words, each of which stands for itself.
+COLOUR_WORDS = ("red", "blue", "green", "yellow", "orange", "purple", "pink", "black", "white", "gray", "grey", "brown", "beige", "tan", "gold", "silver", "bronze", "copper")
+# Words that ask for an extreme size.
+SIZE_WORDS = {"large": "max", "big": "max", "biggest": "max", "largest": "max", "huge": "max", "small": "min", "little": "min", "smallest": "min", "tiny": "min"}
+# Names that objects of a category also go by.
+SYNONYMS = {
+    "pillow": ("throw_pillow", "cushion"), "couch": ("sofa",), "sofa": ("couch",), "lamp": ("table_lamp", "floor_lamp"), "table": ("side_table", "coffee_table", "dining_table"),
+    "chair": ("armchair", "dining_chair"), "tv": ("television",), "television": ("tv",),
 }
+# Other names of pre-filters.
+QUICK_ALIASES = {"on": "on_top_of", "upon": "on_top_of", "atop": "on_top_of", "over": "above", "beneath": "below", "underneath": "below", "nearby": "near", "adjacent": "next_to", "adjacent_to": "next_to"}
 # Pre-filters against the mean anchor: kind, comparison, threshold with its loose factor.
 QUICK = {
     "on_top_of": ("vertical", "gt", 0.0), "above": ("vertical", "gt", 0.1), "below": ("vertical", "lt", -0.1), "under": ("vertical", "lt", -0.1), "higher_than": ("vertical", "gt", 0.05), "lower_than": ("vertical", "lt", -0.05),
@@ -76,19 +97,45 @@ def fallback_if_empty(rows: DataFrame, passes: F.Column) -> DataFrame:
 def colour_filter(objects: DataFrame, colour: str) -> DataFrame:
     text = F.lower(F.concat_ws(" ", "attr", "category"))
     hit = None
-    for word in COLOURS.get(colour.lower(), (colour.lower(),)):
+    for word in COLOURS.get(_FAMILY.get(colour.lower(), colour.lower()), (colour.lower(),)):
         hit = text.contains(word) if hit is None else hit | text.contains(word)
     return fallback_if_empty(objects, hit)
 
 
-def quick_filter(candidates: DataFrame, anchors: DataFrame, relation: str) -> DataFrame:
-    """Candidates that fit a relation to the mean anchor; all of them if none does or the relation has no such filter."""
-    kind, op, threshold = QUICK.get(relation.strip().lower().replace(" ", "_")) or QUICK.get(canonical(relation) or "", (None, None, None))
+def size_rank(objects: DataFrame, order: str, k: int = 1) -> DataFrame:
+    """The ``k`` largest (``max``) or smallest objects by volume, else by ``n_points``, else 1; ties by identifier."""
+    points = F.col("n_points").cast("double") if "n_points" in objects.columns else F.lit(None).cast("double")
+    size = F.coalesce(F.col("ex") * F.col("ey") * F.col("ez"), points, F.lit(1.0))
+    return objects.orderBy(size.desc() if order == "max" else size.asc(), "obj_id").limit(k)
+
+
+def attribute_filter(objects: DataFrame, word: str) -> DataFrame:
+    """Objects with one attribute: a plain colour word in their text (all if none has it), a size word's extreme, or unchanged."""
+    w = word.strip().lower()
+    if w in COLOUR_WORDS:
+        return fallback_if_empty(objects, F.lower(F.concat_ws(" ", "attr", "category")).contains(w))
+    return size_rank(objects, SIZE_WORDS[w]) if w in SIZE_WORDS else objects
+
+
+def quick_name(relation: str) -> str:
+    name = relation.strip().lower().replace(" ", "_")
+    return QUICK_ALIASES.get(name, name)
+
+
+def quick_filter(candidates: DataFrame, anchors: DataFrame, relation: str, configs: dict[str, tuple[str, str, float]] | None = None) -> DataFrame:
+    """Candidates that fit a relation to the mean anchor; all of them if none does or the relation has no such filter.
+
+    ``configs`` adds or replaces filters: kinds are vertical, x, y (horizontal), distance, and xy or z for distances of these axes alone.
+    """
+    table = QUICK | (configs or {})
+    kind, op, threshold = table.get(quick_name(relation)) or table.get(canonical(relation) or "", (None, None, None))
     if kind is None:
         return candidates
     mean = anchors.agg(F.avg("cx").alias("__mx"), F.avg("cy").alias("__my"), F.avg("cz").alias("__mz"))
     joined = candidates.crossJoin(F.broadcast(mean))  # one row
-    value = F.col("cz") - F.col("__mz") if kind == "vertical" else norm(F.col("cx") - F.col("__mx"), F.col("cy") - F.col("__my"), F.col("cz") - F.col("__mz"))
+    dx, dy, dz = (F.col(f"c{a}") - F.col(f"__m{a}") for a in "xyz")
+    value = {"vertical": dz, "x": dx, "y": dy, "xy": norm(dx, dy), "z": F.abs(dz)}.get(kind)
+    value = norm(dx, dy, dz) if value is None else value
     return fallback_if_empty(joined, value > threshold if op == "gt" else value < threshold).drop("__mx", "__my", "__mz")
 
 
@@ -107,7 +154,7 @@ class Grounding:
         if node not in self.done:
             rows = category_scan(self.objects, node.category, self.synonyms)
             for word in node.attributes:
-                if word.lower() in COLOURS:
+                if word.lower() in _FAMILY:
                     rows = colour_filter(rows, word)
             rows = rows.withColumn("score", F.lit(1.0))
             for name, anchors in node.constraints:
@@ -140,10 +187,11 @@ class Grounding:
     def _select(self, rows: DataFrame, select: Select) -> DataFrame:
         metric = _metric(select.metric)
         if select.metric == "distance" and select.reference is not None:
-            refs = self.answers(select.reference).select(F.col("cx").alias("__rx"), F.col("cy").alias("__ry"), F.col("cz").alias("__rz"))
-            far = norm(F.col("cx") - F.col("__rx"), F.col("cy") - F.col("__ry"), F.col("cz") - F.col("__rz"))
-            near = rows.select("obj_id", "cx", "cy", "cz").join(refs).groupBy("obj_id").agg(F.min(far).alias("__m"))
+            refs = self.answers(select.reference).select(F.col("obj_id").alias("ref_id"), "cx", "cy", "cz")
+            near = nearest_join(rows.select("obj_id", "cx", "cy", "cz"), refs, "obj_id", "ref_id", ("cx", "cy", "cz"), ("cx", "cy", "cz")).select("obj_id", F.col("distance").alias("__m"))
             rows, metric = rows.join(near, "obj_id"), F.col("__m")
+        if select.kind == "comparative":  # its reference is evaluated and changes nothing
+            return rows
         metric = F.col("score") if metric is None else metric
         if select.kind == "superlative":
             order = metric.asc() if select.order == "min" else metric.desc()

@@ -12,29 +12,11 @@ from .functions.relations import ALIASES, between, norm, radius_join, relation_j
 from .functions.vectors import cosine, literal
 from .operators import graph, mapping, retrieval, views
 from .plans.grounding import Grounding, Node, Select, category_scan, colour_filter, quick_filter, spatial_query, superlative_query
-from .sources.adapters import duckdb_views, scene
+from .registry import ORACLE_SQL, QUERIES, query
+from .registry import rounded as _r
+from .sources.adapters import scene
 from .streaming.windows import windowed_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, *used: str):
-    """Register a query and, over the scene views that it uses, its SQL."""
-
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = (duckdb_views(*used) if used else "") + sql
-        return f
-
-    return register
-
-
-def _r(c: str | F.Column, alias: str) -> F.Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(alias)
-
-
 # --- relations -----------------------------------------------------------------------------------------------------
 
 _D = "SELECT t.obj_id, t.cx - a.cx AS dx, t.cy - a.cy AS dy, t.cz - a.cz AS dz FROM objects t, objects a WHERE t.category = 'bolt' AND a.category = 'anvil'"
@@ -94,9 +76,21 @@ def rel_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(ok).select("obj_id", _r(score, "score"))
 
 
-@query("relation_aliases", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{k}')" for k, names in ALIASES.items() for a in names) + ") v(alias, relation)")
+_SAID = {"resting_on": "on_top_of", "over": "above", "underneath": "below", "next": "next_to", "by": "near", "facing": "in_front_of", "back": "behind", "on_the_left_of": "left_of", "on_the_right_of": "right_of", "contained_in": "inside", "in_between": "between", "leaning_against": "against", "surrounding": "around", "alongside": None}
+
+
+@query(
+    "relation_aliases",
+    """, said AS (SELECT obj_id, (['resting_on', 'over', 'underneath', 'next', 'by', 'facing', 'back', 'on_the_left_of', 'on_the_right_of', 'contained_in', 'in_between', 'leaning_against', 'surrounding', 'alongside'])[1 + obj_id % 14] AS word FROM objects)
+SELECT obj_id, CASE word WHEN 'resting_on' THEN 'on_top_of' WHEN 'over' THEN 'above' WHEN 'underneath' THEN 'below' WHEN 'next' THEN 'next_to' WHEN 'by' THEN 'near' WHEN 'facing' THEN 'in_front_of' WHEN 'back' THEN 'behind'
+WHEN 'on_the_left_of' THEN 'left_of' WHEN 'on_the_right_of' THEN 'right_of' WHEN 'contained_in' THEN 'inside' WHEN 'in_between' THEN 'between' WHEN 'leaning_against' THEN 'against' WHEN 'surrounding' THEN 'around' END AS relation FROM said""",
+    "objects",
+)
 def relation_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(a, k) for k, names in ALIASES.items() for a in names], "alias string, relation string")
+    """What objects' relation words mean; an unknown one means nothing."""
+    word = F.element_at(F.array(*[F.lit(w) for w in _SAID]), (1 + F.col("obj_id") % 14).cast("int"))
+    names = F.create_map(*[F.lit(x) for k, ws in ALIASES.items() for w in ws for x in (w, k)])
+    return scene(spark, sf_dir, "objects").select("obj_id", names[word].alias("relation"))
 
 
 # --- grounding -----------------------------------------------------------------------------------------------------
@@ -556,3 +550,6 @@ def point_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = scene(spark, sf_dir, "features").select(F.col("region").cast("long").alias("obj_id"), F.col("obj_id").alias("seq"), F.lit(1).cast("long").alias("n"), "feat")
     return mapping.merge_features(f).select("obj_id", "n", F.transform("feat", lambda x: F.round(x, 6)).alias("feat"))
+
+
+from . import queries_geometry, queries_mapping, queries_points, queries_retrieval, queries_sources  # noqa: E402, F401  they register themselves

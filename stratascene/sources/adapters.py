@@ -21,9 +21,15 @@ CAST(0.0 AS DOUBLE) AS fwz FROM (SELECT DISTINCT CAST(l_orderkey % 400 AS BIGINT
 TRAJECTORY = """SELECT CAST(user_id AS BIGINT) AS seq_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS frame_id,
 event_type, CAST(event_id % 101 AS DOUBLE) / 10 AS px, CAST(event_id % 89 AS DOUBLE) / 10 AS py FROM {events}"""
 
+POINTS = """SELECT CAST(l_partkey AS BIGINT) AS obj_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS pt, CAST(l_orderkey % 400 AS BIGINT) AS view_id,
+CAST((l_partkey * 7919) % 997 AS DOUBLE) / 100 + CAST((l_orderkey * 13 + l_linenumber * 7) % 41 - 20 AS DOUBLE) / 100 AS x,
+CAST((l_partkey * 104729) % 991 AS DOUBLE) / 100 + CAST((l_orderkey * 17 + l_linenumber * 5) % 37 - 18 AS DOUBLE) / 100 AS y,
+CAST((l_partkey * 1299709) % 251 AS DOUBLE) / 100 + CAST((l_orderkey * 19 + l_linenumber * 3) % 31 - 15 AS DOUBLE) / 100 AS z,
+1 + CAST((l_orderkey + l_linenumber) % 100 AS DOUBLE) / 10 AS depth FROM {lineitem}"""
+
 FEATURES = "SELECT CAST(vec_id AS BIGINT) AS obj_id, CAST(embedding AS {array}) AS feat, CAST(label AS INT) AS region FROM {embeddings}"
 
-VIEWS = {"objects": (OBJECTS, "part"), "detections": (DETECTIONS, "lineitem"), "poses": (POSES, "lineitem"), "trajectory": (TRAJECTORY, "events"), "features": (FEATURES, "embeddings")}
+VIEWS = {"objects": (OBJECTS, "part"), "detections": (DETECTIONS, "lineitem"), "poses": (POSES, "lineitem"), "trajectory": (TRAJECTORY, "events"), "features": (FEATURES, "embeddings"), "points": (POINTS, "lineitem")}
 
 
 def scene(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
