@@ -217,18 +217,24 @@ def knn_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scene(spark, sf_dir, "objects").orderBy(d, "obj_id").limit(10).select("obj_id", _r(d, "distance"))
 
 
+_BOTH = "sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) + (a.cz - b.cz) * (a.cz - b.cz))"
+
+
 @query(
     "nearby_descriptions",
-    f"""SELECT a.obj_id, first(b.category ORDER BY round({_DIST}, 9), b.obj_id) AS nearest, count(DISTINCT b.category) AS categories
-FROM objects a, objects b WHERE a.obj_id <> b.obj_id AND {_DIST} < 1.5 GROUP BY a.obj_id""",
+    f""", d AS (SELECT a.obj_id, a.category, a.cx - b.cx AS dx, a.cy - b.cy AS dy, b.obj_id AS other, b.category AS name, {_BOTH} AS d FROM objects a, objects b WHERE a.obj_id <> b.obj_id AND {_BOTH} < 3),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY round(d, 9), other) AS r FROM d WHERE d < 2) WHERE r = 1), z AS (SELECT obj_id, list_sort(list(DISTINCT name)) AS names FROM d GROUP BY obj_id)
+SELECT o.obj_id, CASE WHEN n.obj_id IS NULL THEN 'Standalone ' || o.category ELSE CASE WHEN abs(dx) > abs(dy) THEN CASE WHEN dx > 0 THEN 'To the right of' ELSE 'To the left of' END WHEN dy > 0 THEN 'In front of' ELSE 'Behind' END || ' the ' || name END AS spatial,
+round(n.d, 4) AS distance, CASE WHEN names IS NULL THEN '' WHEN list_contains(names, 'anvil') THEN 'Part of the forge' WHEN list_contains(names, 'gear') OR list_contains(names, 'ring') THEN 'Part of the workshop' ELSE 'Near ' || array_to_string(names[1:3], ', ') END AS context
+FROM objects o LEFT JOIN n ON n.obj_id = o.obj_id LEFT JOIN z ON z.obj_id = o.obj_id""",
     "objects",
 )
 def nearby_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = scene(spark, sf_dir, "objects").select("obj_id", "cx", "cy", "cz")
-    b = scene(spark, sf_dir, "objects").select(F.col("obj_id").alias("other"), F.col("category").alias("name"), F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("cz").alias("bz"))
-    dist = norm(F.col("cx") - F.col("bx"), F.col("cy") - F.col("by"), F.col("cz") - F.col("bz"))
-    pairs = radius_join(o, b, 1.5, (dist < 1.5) & (F.col("obj_id") != F.col("other")), ("cx", "cy"), ("bx", "by")).withColumn("d", dist)
-    return pairs.groupBy("obj_id").agg(F.min_by("name", F.struct(F.round("d", 9).alias("d"), "other")).alias("nearest"), F.countDistinct("name").alias("categories"))
+    """Where an object stands: the nearest one within 2 m and its side, and the zone that categories within 3 m make."""
+    from .operators.descriptions import describe
+
+    d = describe(scene(spark, sf_dir, "objects"), {"forge": ("anvil",), "workshop": ("gear", "ring")})
+    return d.select("obj_id", F.regexp_replace("spatial", ", about .*$", "").alias("spatial"), _r("distance", "distance", 4), "context")
 
 
 # --- views ---------------------------------------------------------------------------------------------------------
@@ -386,12 +392,42 @@ def spanning_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.spanning_trees(edges, graph.components(scene(spark, sf_dir, "objects"), edges))
 
 
-@query("match_detections", f""", o AS (SELECT * FROM objects JOIN features USING (obj_id)), s AS (SELECT a.obj_id AS det_id, b.obj_id, ({_I}) / (a.ex * a.ey * a.ez + b.ex * b.ey * b.ez - ({_I}) + 1e-10)
-+ list_dot_product(a.feat, b.feat) / (sqrt(list_dot_product(a.feat, a.feat)) * sqrt(list_dot_product(b.feat, b.feat))) AS sim FROM o a, o b WHERE a.obj_id % 2 = 1 AND b.obj_id % 2 = 0 AND ({_I}) > 0)
-SELECT d.obj_id AS det_id, arg_max(s.obj_id, sim) AS obj_id, round(max(sim), 6) AS sim FROM (SELECT obj_id FROM o WHERE obj_id % 2 = 1) d LEFT JOIN (SELECT * FROM s WHERE sim >= 0.1) s ON d.obj_id = s.det_id GROUP BY d.obj_id""", "objects", "features")
+_SIMS = f"""o AS (SELECT * FROM objects JOIN features USING (obj_id)), s AS (SELECT a.obj_id AS det_id, b.obj_id, a.obj_id % 3 = 0 AS held_a, b.obj_id % 5 = 0 AS held_b, ({_I}) AS inter, ({_I}) / (a.ex * a.ey * a.ez + b.ex * b.ey * b.ez - ({_I}) + 1e-10) AS spatial,
+list_dot_product(a.feat, b.feat) / (sqrt(list_dot_product(a.feat, a.feat)) * sqrt(list_dot_product(b.feat, b.feat))) AS visual FROM o a, o b WHERE a.obj_id % 2 = 1 AND b.obj_id % 2 = 0)"""
+
+
+def _best_sql(sim: str, where: str) -> str:
+    return f", {_SIMS} SELECT d.obj_id AS det_id, arg_max(s.obj_id, sim) AS obj_id, round(max(sim), 6) AS sim FROM (SELECT obj_id FROM o WHERE obj_id % 2 = 1) d LEFT JOIN (SELECT *, {sim} AS sim FROM s WHERE {where}) s ON d.obj_id = s.det_id GROUP BY d.obj_id"
+
+
+def _matched(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    o = scene(spark, sf_dir, "objects").join(scene(spark, sf_dir, "features"), "obj_id")
+    a, b = (o.where(f"obj_id % 2 = {k}").withColumn("contained", (F.col("obj_id") % m == 0).cast("int")) for k, m in ((1, 3), (0, 5)))
+    return mapping.match_detections(a, b, reach=1.0, **how).select("det_id", "obj_id", _r("sim", "sim"))
+
+
+@query("match_detections", _best_sql("spatial + visual", "spatial + visual >= 1.05"), "objects", "features")
 def match_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = scene(spark, sf_dir, "objects").join(scene(spark, sf_dir, "features"), "obj_id").withColumn("contained", F.lit(0))
-    return mapping.match_detections(o.where("obj_id % 2 = 1"), o.where("obj_id % 2 = 0"), threshold=0.1, reach=1.0, meeting=True).select("det_id", "obj_id", _r("sim", "sim"))
+    """The best object of each detection. Above 1 only boxes that meet can match, which the SQL doesn't presume."""
+    return _matched(spark, sf_dir, threshold=1.05)
+
+
+@query("match_detections_biased", _best_sql("1.8 * spatial + 0.2 * visual - CASE WHEN held_a <> held_b THEN 0.05 ELSE 0.0 END", "1.8 * spatial + 0.2 * visual - CASE WHEN held_a <> held_b THEN 0.05 ELSE 0.0 END >= 0.3"), "objects", "features")
+def match_detections_biased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More weight on boxes, and a penalty where just one side contains others."""
+    return _matched(spark, sf_dir, threshold=0.3, bias=0.8, penalty=0.05)
+
+
+@query("match_meeting_detections", _best_sql("spatial + visual", "inter > 0 AND spatial + visual >= 0.1"), "objects", "features")
+def match_meeting_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best object of each detection among those whose box meets its own."""
+    return _matched(spark, sf_dir, threshold=0.1, meeting=True)
+
+
+@query("match_assignment", f", {_SIMS} SELECT det_id, obj_id FROM (SELECT det_id, obj_id, 1.8 * spatial + 0.2 * visual AS sim, row_number() OVER (PARTITION BY det_id ORDER BY 1.8 * spatial + 0.2 * visual DESC, obj_id) AS r FROM s) WHERE r = 1 AND sim > 0.25", "objects", "features")
+def match_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells that are true in the matrix of assignments: the best object of a detection, if it is above the threshold."""
+    return _matched(spark, sf_dir, threshold=0.25, bias=0.8).where("sim > 0.25").select("det_id", "obj_id")
 
 
 @query("voxel_fusion", "SELECT CAST(floor(px / 2.5) AS BIGINT) AS vx, CAST(floor(py / 2.5) AS BIGINT) AS vy, count(*) AS n, round(sum(px / (1 + frame_id / 5.0)) / sum(1 / (1 + frame_id / 5.0)), 6) AS x, round(sum(py / (1 + frame_id / 5.0)) / sum(1 / (1 + frame_id / 5.0)), 6) AS y FROM trajectory GROUP BY ALL HAVING count(*) >= 2", "trajectory")
@@ -439,6 +475,12 @@ def scene_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scene(spark, sf_dir, "objects").rollup("category").agg(F.count(F.lit(1)).alias("n"), _r(F.min("cx") - 0.5, "x0"), _r(F.max("cx") + 0.5, "x1"), _r(F.avg("cz"), "z"))
 
 
+@query("scene_extent", "SELECT round(min(cx) - 0.5, 6) AS x0, round(max(cx) + 0.5, 6) AS x1, round(min(cy) - 0.5, 6) AS y0, round(max(cy) + 0.5, 6) AS y1, round(min(cz) - 0.5, 6) AS z0, round(max(cz) + 0.5, 6) AS z1 FROM objects", "objects")
+def scene_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounds of all centroids, half a metre wider."""
+    return scene(spark, sf_dir, "objects").agg(*(_r(f(f"c{a}") + d, f"{a}{k}") for a in "xyz" for k, (f, d) in enumerate(((F.min, -0.5), (F.max, 0.5)))))
+
+
 @query("category_counts", "SELECT category, count(*) AS n FROM objects GROUP BY category ORDER BY n DESC, category LIMIT 5", "objects")
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scene(spark, sf_dir, "objects").groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "category").limit(5)
@@ -539,7 +581,8 @@ def clean_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scene(spark, sf_dir, "objects").where("attr <> category").select("obj_id", F.array_join(camera.clean_tags(text, ("thing",), ("ing",)), ",").alias("tags"))
 
 
-@query("point_overlap")
+@query("point_overlap", """, n AS (SELECT a.seq_id AS i, b.seq_id AS j, a.frame_id AS pt FROM trajectory a, trajectory b WHERE a.seq_id <> b.seq_id AND sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) < 0.15 GROUP BY ALL),
+c AS (SELECT seq_id AS i, count(*) AS size FROM trajectory GROUP BY seq_id) SELECT n.i, n.j, count(*) / any_value(c.size) AS ratio FROM n JOIN c ON c.i = n.i GROUP BY n.i, n.j""", "trajectory")
 def point_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of the point sets that different users leave on the floor."""
     t = scene(spark, sf_dir, "trajectory").select(F.col("seq_id").alias("obj_id"), F.col("frame_id").alias("pt"), F.col("px").alias("x"), F.col("py").alias("y"), F.lit(0.0).alias("z"))

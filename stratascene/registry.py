@@ -19,7 +19,8 @@ def query(name: str, sql: str | None = None, *used: str):
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[name] = f
         if sql is not None:
-            ORACLE_SQL[name] = (duckdb_views(*used) if used else "") + sql
+            views = duckdb_views(*used).rstrip() if used else ""
+            ORACLE_SQL[name] = f"{views}{sql}" if sql.startswith(",") else f"{views} {sql}" if views else sql
         return f
 
     return register
