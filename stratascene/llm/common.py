@@ -19,11 +19,14 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text that a task turns into Python objects at once.
 BATCH_BYTES = 4 << 20
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package once per application, so that a cluster needs no installed copy of it."""
+    """Give the executors this package once per application, so that a cluster needs no installed copy of it, and keep Arrow batches small unless told otherwise."""
+    if not spark.sparkContext.getConf().contains(_BATCH):  # a batch is held several times on its way to Python and back
+        spark.conf.set(_BATCH, str(2 * BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

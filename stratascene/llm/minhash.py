@@ -39,7 +39,7 @@ SMALL = 64
 #: Shingles that are sketched at once.
 CHUNK = 400_000
 #: Words whose hash a worker remembers.
-MEMORY = 500_000
+MEMORY = 150_000
 
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 

@@ -29,10 +29,10 @@ LABELLED = 200_000
 #: Pseudo-counts of the prior: those spread by corpus frequency, and those of each token.
 PRIOR, EACH = 1000.0, 0.1
 SHRINK, DRIFT = 1.64, 0.5
-MEMORY = 500_000
+MEMORY = 150_000
 PUNCTUATION = string.punctuation.encode()
 #: Distinct tokens of one task before their counts go out.
-FLUSH = 1_000_000
+FLUSH = 500_000
 
 
 def token_key(word: bytes) -> int:
