@@ -61,3 +61,8 @@ def joint_coverage(scores: DataFrame, k: int) -> DataFrame:
         added = scores.join(F.broadcast(best.select("view_id")), "view_id").select("obj_id", F.col("score").alias("added"))  # one view
         cover = cover.join(added, "obj_id", "left").select("obj_id", F.greatest("covered", F.coalesce("added", F.lit(0.0))).alias("covered"))
     return reduce(DataFrame.unionByName, chosen)
+
+
+def scene_indices(objects: DataFrame, poses: DataFrame, features: DataFrame, points: DataFrame) -> dict[str, DataFrame]:
+    """The tables that searches use, by name; none is computed before it is read."""
+    return {"features": features.where("feat IS NOT NULL"), "points": points, "regions": features.select("region").distinct(), "visibility": visibility(objects, poses)}

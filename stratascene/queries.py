@@ -412,10 +412,10 @@ def match_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir, threshold=1.05)
 
 
-@query("match_detections_biased", _best_sql("1.8 * spatial + 0.2 * visual - CASE WHEN held_a <> held_b THEN 0.05 ELSE 0.0 END", "1.8 * spatial + 0.2 * visual - CASE WHEN held_a <> held_b THEN 0.05 ELSE 0.0 END >= 0.3"), "objects", "features")
+@query("match_detections_biased", _best_sql("1.95 * spatial + 0.05 * visual - CASE WHEN held_a <> held_b THEN 0.002 ELSE 0.0 END", "1.95 * spatial + 0.05 * visual - CASE WHEN held_a <> held_b THEN 0.002 ELSE 0.0 END >= 0.055"), "objects", "features")
 def match_detections_biased(spark: SparkSession, sf_dir: str) -> DataFrame:
     """More weight on boxes, and a penalty where just one side contains others."""
-    return _matched(spark, sf_dir, threshold=0.3, bias=0.8, penalty=0.05)
+    return _matched(spark, sf_dir, threshold=0.055, bias=0.95, penalty=0.002)
 
 
 @query("match_meeting_detections", _best_sql("spatial + visual", "inter > 0 AND spatial + visual >= 0.1"), "objects", "features")
@@ -424,10 +424,10 @@ def match_meeting_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir, threshold=0.1, meeting=True)
 
 
-@query("match_assignment", f", {_SIMS} SELECT det_id, obj_id FROM (SELECT det_id, obj_id, 1.8 * spatial + 0.2 * visual AS sim, row_number() OVER (PARTITION BY det_id ORDER BY 1.8 * spatial + 0.2 * visual DESC, obj_id) AS r FROM s) WHERE r = 1 AND sim > 0.25", "objects", "features")
+@query("match_assignment", f", {_SIMS} SELECT det_id, obj_id FROM (SELECT det_id, obj_id, 2.0 * spatial AS sim, row_number() OVER (PARTITION BY det_id ORDER BY 2.0 * spatial DESC, obj_id) AS r FROM s) WHERE r = 1 AND sim > 0.01", "objects", "features")
 def match_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells that are true in the matrix of assignments: the best object of a detection, if it is above the threshold."""
-    return _matched(spark, sf_dir, threshold=0.25, bias=0.8).where("sim > 0.25").select("det_id", "obj_id")
+    return _matched(spark, sf_dir, threshold=0.01, bias=1.0).where("sim > 0.01").select("det_id", "obj_id")
 
 
 @query("voxel_fusion", "SELECT CAST(floor(px / 2.5) AS BIGINT) AS vx, CAST(floor(py / 2.5) AS BIGINT) AS vy, count(*) AS n, round(sum(px / (1 + frame_id / 5.0)) / sum(1 / (1 + frame_id / 5.0)), 6) AS x, round(sum(py / (1 + frame_id / 5.0)) / sum(1 / (1 + frame_id / 5.0)), 6) AS y FROM trajectory GROUP BY ALL HAVING count(*) >= 2", "trajectory")

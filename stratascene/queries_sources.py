@@ -1 +1,122 @@
-"""Queries."""
+"""Queries on sources, sinks and small dimension tables; what is written is read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .operators import views
+from .registry import query
+from .registry import rounded as _r
+from .sources import sinks
+from .sources.adapters import scene
+from .storage import shared_path
+
+
+@query("affordances", "SELECT obj_id, coalesce(s_name, '') AS object_tag, coalesce(s_nationkey, -1) AS use FROM objects LEFT JOIN supplier ON s_suppkey = obj_id", "objects")
+def affordances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects with what is told about some of them, and defaults for the others."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("obj_id"), F.col("s_name").alias("object_tag"), F.col("s_nationkey").alias("use"))
+    return sinks.enriched(scene(spark, sf_dir, "objects").select("obj_id"), s, {"object_tag": "", "use": -1})
+
+
+@query("class_colours", "SELECT category, CAST(('0x' || substr(md5(category), 1, 2)) AS INT) / 255 AS r, CAST(('0x' || substr(md5(category), 3, 2)) AS INT) / 255 AS g, CAST(('0x' || substr(md5(category), 5, 2)) AS INT) / 255 AS b FROM (SELECT DISTINCT category FROM objects) UNION ALL SELECT '-1', 0.0, 0.0, 0.0", "objects")
+def class_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.class_colours(scene(spark, sf_dir, "objects").select("category").distinct())
+
+
+@query("class_names", "SELECT DISTINCT category FROM objects WHERE category NOT IN ('rod', 'pipe', 'plate')", "objects")
+def class_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class list, one name a line, written, read back, and without the background."""
+    path = shared_path(spark, "classes")
+    scene(spark, sf_dir, "objects").select("category").distinct().write.text(path)
+    return sinks.read_class_names(spark, path, ("rod", "pipe", "plate"))
+
+
+@query("camel_classes", "SELECT category, array_to_string(regexp_extract_all(replace(upper(attr[1]) || attr[2:] || upper(category[1]) || category[2:], 'TV', 'Tv'), '[A-Z][^A-Z]*'), ' ') AS name FROM (SELECT DISTINCT attr, category FROM objects)", "objects")
+def camel_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = scene(spark, sf_dir, "objects").select("attr", "category").distinct()
+    return o.select("category", sinks.spaced_camel(F.concat(F.initcap("attr"), F.initcap("category"))).alias("name"))
+
+
+@query("map_round_trip", "SELECT obj_id, category, round(cx, 6) AS cx FROM objects WHERE category <> 'rod'", "objects")
+def map_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map that is written raw and cleaned, found again by its name, the cleaned one first."""
+    root = shared_path(spark, "maps")
+    o = scene(spark, sf_dir, "objects")
+    sinks.write_map(o, root, "full_scene")
+    sinks.write_map(o.where("category <> 'rod'"), root, "full_scene_post")
+    found = sinks.first_by_priority(spark.createDataFrame([("full_scene",), ("full_scene_post",)], "name string"), ("%ram%_post", "%_post", "%"))
+    return sinks.read_map(spark, root, found).select("obj_id", "category", _r("cx", "cx"))
+
+
+@query("snapshot_round_trip", "SELECT view_id AS frame_id, obj_id, count(*) AS n FROM detections WHERE view_id IN (3, 5) GROUP BY ALL", "detections")
+def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of each frame with few columns, of which two frames are read."""
+    path = shared_path(spark, "snapshots")
+    d = scene(spark, sf_dir, "detections").where("view_id < 10").groupBy(F.col("view_id").alias("frame_id"), "obj_id").agg(F.count(F.lit(1)).alias("n"), F.max("conf").alias("conf"))
+    sinks.write_snapshots(d, path, ("obj_id", "n"))
+    return spark.read.parquet(path).where("frame_id IN (3, 5)").select(F.col("frame_id").cast("long").alias("frame_id"), "obj_id", "n")
+
+
+@query("visibility_round_trip", "SELECT obj_id, view_id, count(*) AS n, 5 AS stride FROM detections GROUP BY ALL", "detections")
+def visibility_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A visibility index with what it was built by."""
+    path = shared_path(spark, "visibility")
+    sinks.write_visibility(scene(spark, sf_dir, "detections").groupBy("obj_id", "view_id").agg(F.count(F.lit(1)).alias("n")), path, stride=5)
+    return sinks.read_visibility(spark, path, stride=5)
+
+
+@query("graph_json_round_trip", "SELECT obj_id, category, round(ex * ey * ez, 6) AS volume FROM objects", "objects")
+def graph_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "graph")
+    scene(spark, sf_dir, "objects").select("obj_id", "category", F.round(F.col("ex") * F.col("ey") * F.col("ez"), 6).alias("volume")).write.json(path)
+    return spark.read.schema("obj_id long, category string, volume double").json(path)
+
+
+@query("metrics_csv_round_trip", "SELECT category, count(*) AS n, round(avg(ex), 6) AS mean FROM objects GROUP BY category", "objects")
+def metrics_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "metrics")
+    scene(spark, sf_dir, "objects").groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ex"), 6).alias("mean")).write.option("header", True).csv(path)
+    return spark.read.schema("category string, n long, mean double").option("header", True).csv(path)
+
+
+@query("ply_round_trip", "SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, CAST(obj_id % 256 AS INT) AS r FROM points WHERE obj_id <= 100", "points")
+def ply_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coloured points as one PLY file for each part, each with its own header, read back."""
+    from .sources.poses import read_ply, write_ply
+
+    path = shared_path(spark, "ply")
+    write_ply(scene(spark, sf_dir, "points").where("obj_id <= 100").select("x", "y", "z", (F.col("obj_id") % 256).alias("r"), F.lit(7).alias("g"), F.lit(9).alias("b")), path)
+    return read_ply(spark, path).select("x", "y", "z", "r")
+
+
+@query("image_listing", "SELECT user_id AS scene, 'frame' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS path, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS view_id FROM events QUALIFY (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 5 = 0")
+def image_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth image of each scene by the order of its path, numbered."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("scene"), F.concat(F.lit("frame"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("path"))
+    return e.withColumn("view_id", F.row_number().over(Window.partitionBy("scene").orderBy("path")) - 1).where("view_id % 5 = 0")
+
+
+@query("newest_files", "SELECT user_id, max_by(event_id, struct_pack(a := ts, b := event_id)) AS event_id FROM events GROUP BY user_id")
+def newest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest file of each scene."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@query("sampled_points", "SELECT pt, CAST(('0x' || substr(md5(CAST(pt AS VARCHAR)), 1, 4)) AS INT) AS key FROM points WHERE CAST(('0x' || substr(md5(CAST(pt AS VARCHAR)), 1, 4)) AS INT) % 10 = 3", "points")
+def sampled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the points, the same in every run: the subset is a feature here."""
+    key = F.conv(F.substring(F.md5(F.col("pt").cast("string")), 1, 4), 16, 10).cast("int")
+    return scene(spark, sf_dir, "points").select("pt", key.alias("key")).where("key % 10 = 3")
+
+
+@query("indices", ", v AS (SELECT obj_id, view_id FROM objects, poses WHERE 1 - sqrt((cx - px) * (cx - px) + (cy - py) * (cy - py) + (cz - pz) * (cz - pz)) / 5.0 >= 0.1) SELECT 'features' AS name, count(*) AS n FROM features UNION ALL SELECT 'points', count(*) FROM points UNION ALL SELECT 'regions', count(DISTINCT region) FROM features UNION ALL SELECT 'visibility', count(*) FROM v", "objects", "poses", "features", "points")
+def indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All indices of a scene, which are DataFrames, and their sizes."""
+    tables = views.scene_indices(*(scene(spark, sf_dir, n) for n in ("objects", "poses", "features", "points")))
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -14,13 +14,16 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None, *used: str):
-    """Register a query and, over the scene views that it uses, its SQL; SQL that goes on with more views starts with a comma."""
+    """Register a query and, over the scene views that it uses, its SQL; SQL that goes on with more views starts with a comma, after ``RECURSIVE`` if one of them is."""
 
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[name] = f
         if sql is not None:
             views = duckdb_views(*used).rstrip() if used else ""
-            ORACLE_SQL[name] = f"{views}{sql}" if sql.startswith(",") else f"{views} {sql}" if views else sql
+            rest = sql.removeprefix("RECURSIVE")
+            if rest != sql:
+                views = views.replace("WITH ", "WITH RECURSIVE ", 1)
+            ORACLE_SQL[name] = f"{views}{rest}" if rest.startswith(",") else f"{views} {rest}" if views else rest
         return f
 
     return register

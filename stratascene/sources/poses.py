@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.matrices import flipped_axes
+
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """Lines of each file in order, numbered from 0 within the file; a file is read by one task, as its order demands."""
@@ -57,10 +62,41 @@ def frame_range(frames: DataFrame, start: int = 0, end: int = -1, stride: int =
 
 
 def write_ply(points: DataFrame, path: str) -> None:
-    """ASCII PLY of ``x, y, z, r, g, b``: the header, then one line a point, as one text file of ordered parts."""
-    n = points.count()
-    head = ["ply", "format ascii 1.0", f"element vertex {n}", *(f"property float {c}" for c in "xyz"), *(f"property uchar {c}" for c in ("red", "green", "blue")), "end_header"]
-    spark = points.sparkSession
-    header = spark.createDataFrame([("\n".join(head),)], "value string")
-    body = points.select(F.format_string("%.6f %.6f %.6f %d %d %d", *(F.col(c).cast("double") for c in "xyz"), *(F.col(c).cast("int") for c in "rgb")).alias("value"))
-    header.unionAll(body).write.text(path)
+    """ASCII PLY of ``x, y, z, r, g, b``: each part is a PLY file of its own, with a header that states its number of points.
+
+    A part's lines are counted and written by the task that holds them, in order; ``points.coalesce(1)`` makes one file.
+    """
+
+    def lines(batches):  # noqa: ANN001, ANN202
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        head = ["ply", "format ascii 1.0", f"element vertex {len(rows)}", *(f"property float {c}" for c in "xyz"), *(f"property uchar {c}" for c in ("red", "green", "blue")), "end_header"]
+        yield pa.RecordBatch.from_arrays([pa.array([*head, *("%.6f %.6f %.6f %d %d %d" % r for r in rows)])], ["value"])
+
+    cols = [F.col(c).cast("double").alias(c) for c in "xyz"] + [F.col(c).cast("int").alias(c) for c in "rgb"]
+    points.select(*cols).mapInArrow(lines, "value string").write.text(path)
+
+
+def read_ply(spark: SparkSession, path: str) -> DataFrame:
+    """``x, y, z, r, g, b`` of ASCII PLY files; header lines aren't six numbers."""
+    v = spark.read.text(path).select(F.split(F.trim("value"), " ").alias("v")).where(F.size("v") == 6).select(*(F.col("v")[k].try_cast("double" if k < 3 else "int").alias(c) for k, c in enumerate("xyzrgb")))
+    return v.where("x IS NOT NULL AND b IS NOT NULL")
+
+
+def read_pose_files(spark: SparkSession, path: str, flip: bool = False) -> DataFrame:
+    """``file, m`` from one matrix a file, its sixteen numbers on any number of lines; ``flip`` turns y-up axes into z-up ones."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), _numbers(F.col("value")).alias("m")).where(F.size("m") == 16)
+    return files.withColumn("m", flipped_axes(F.col("m"))) if flip else files
+
+
+def read_pose_json(spark: SparkSession, path: str, flip: bool = True) -> DataFrame:
+    """``file, m`` from JSON files with a ``pose`` of four rows."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.flatten(F.from_json("value", "pose array<array<double>>")["pose"]).alias("m")).where(F.size("m") == 16)
+    return whole.withColumn("m", flipped_axes(F.col("m"))) if flip else whole
+
+
+READERS |= {"files": read_pose_files, "json": read_pose_json}
+
+
+def register_reader(layout: str, reader: Callable[[SparkSession, str], DataFrame]) -> None:
+    """Make ``read_poses`` know another layout."""
+    READERS[layout.lower()] = reader
