@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relations import broadcast_blocks
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, normalise
 
 
 def vector_top_k(features: DataFrame, query: Column, k: int) -> DataFrame:
@@ -85,3 +87,32 @@ def softmax(rows: DataFrame, column: str) -> DataFrame:
     top = rows.agg(F.max(column).alias("__top"))
     shifted = rows.crossJoin(F.broadcast(top)).withColumn("__e", F.exp(F.col(column) - F.col("__top")))
     return shifted.crossJoin(F.broadcast(shifted.agg(F.sum("__e").alias("__sum")))).withColumn("share", F.col("__e") / F.col("__sum")).drop("__e", "__sum", "__top")  # one row each
+
+
+def closeness(a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Mean and largest absolute difference of two vectors, and the mean difference against the second one's parts."""
+    diff = F.zip_with(a, b, lambda x, y: F.abs(x - y))
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x) / F.size(v)
+    return mean(diff), F.array_max(diff), mean(F.zip_with(diff, b, lambda d, y: d / (F.abs(y) + 1e-8)))
+
+
+def mode_name(rows: DataFrame, key: str, name: str, order: str, stop: tuple[str, ...] = ()) -> DataFrame:
+    """``key, name``: the most frequent name of each key, ties to the first in ``order``; the first one where all are stop-words."""
+    counts = rows.groupBy(key, F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    stopped = F.col("name").isin(*stop)
+    best = Window.partitionBy(key).orderBy(stopped, F.when(stopped, 0).otherwise(F.col("n")).desc(), "first")
+    return counts.withColumn("r", F.row_number().over(best)).where("r = 1").select(key, "name")
+
+
+def kmeans_regions(objects: DataFrame, most: int = 10, weight: float = 0.3, seed: int = 42) -> DataFrame:
+    """``obj_id, region`` by k-means on places scaled to 0..1 and features to length ``weight``; between 2 and ``most`` regions, one if there are fewer than 3 objects."""
+    n = objects.count()
+    if n < 3:
+        return objects.select("obj_id", F.lit(0).alias("region"))
+    bounds = objects.agg(*(f(f"c{a}").alias(f"__{k}{a}") for a in "xyz" for k, f in (("lo", F.min), ("hi", F.max))))
+    placed = objects.crossJoin(F.broadcast(bounds))  # one row
+    place = [(F.col(f"c{a}") - F.col(f"__lo{a}")) / F.greatest(F.col(f"__hi{a}") - F.col(f"__lo{a}"), F.lit(1e-8)) for a in "xyz"]
+    x = F.concat(F.array(*place), F.transform(normalise(F.col("feat")), lambda v: v * weight))
+    rows = placed.select("obj_id", array_to_vector(x).alias("features"))
+    model = KMeans(k=min(most, max(2, int(n**0.5))), seed=seed).fit(rows)
+    return model.transform(rows).select("obj_id", F.col("prediction").alias("region"))

@@ -66,3 +66,26 @@ def joint_coverage(scores: DataFrame, k: int) -> DataFrame:
 def scene_indices(objects: DataFrame, poses: DataFrame, features: DataFrame, points: DataFrame) -> dict[str, DataFrame]:
     """The tables that searches use, by name; none is computed before it is read."""
     return {"features": features.where("feat IS NOT NULL"), "points": points, "regions": features.select("region").distinct(), "visibility": visibility(objects, poses)}
+
+
+def _geometric(objects: DataFrame, poses: DataFrame) -> DataFrame:
+    """``obj_id, view_id, geo`` of views within reach: how near an object is and how far it is ahead."""
+    d = norm(F.col("cx") - F.col("px"), F.col("cy") - F.col("py"), F.col("cz") - F.col("pz"))
+    pairs = radius_join(objects.select("obj_id", "cx", "cy", "cz"), poses, MAX_DISTANCE, d <= MAX_DISTANCE, ("cx", "cy"), ("px", "py")).withColumn("d", d)
+    ahead = -((F.col("cx") - F.col("px")) * F.col("fwx") + (F.col("cy") - F.col("py")) * F.col("fwy") + (F.col("cz") - F.col("pz")) * F.col("fwz")) / (F.col("d") + 1e-8)
+    return pairs.select("obj_id", "view_id", (0.6 * F.greatest(F.lit(0.0), 1 - F.col("d") / MAX_DISTANCE) + 0.4 * F.greatest(F.lit(0.0), ahead)).alias("geo"))
+
+
+def geometric_visibility(objects: DataFrame, poses: DataFrame) -> DataFrame:
+    """``obj_id, view_id, score`` above 0.1, for objects without detections."""
+    return _geometric(objects, poses).where("geo > 0.1").select("obj_id", "view_id", F.col("geo").alias("score"))
+
+
+def online_visibility(detections: DataFrame, objects: DataFrame, poses: DataFrame) -> DataFrame:
+    """``obj_id, view_id, score`` as ``detection_visibility`` has it, the quality from the number of detections alone."""
+    area = IMAGE_WIDTH * IMAGE_HEIGHT
+    clipped = ((F.col("x1") < 10) | (F.col("y1") < 10) | (F.col("x2") > IMAGE_WIDTH - 10) | (F.col("y2") > IMAGE_HEIGHT - 10)).cast("double")
+    complete = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) / (0.3 * area)) - 0.3 * clipped)
+    per = detections.groupBy("obj_id", "view_id").agg(F.max(complete).alias("complete"), F.count(F.lit(1)).alias("n"))
+    known = per.join(objects.select("obj_id"), "obj_id").join(poses.select("view_id"), "view_id").join(_geometric(objects, poses), ["obj_id", "view_id"], "left")
+    return known.select("obj_id", "view_id", (0.5 * F.col("complete") + 0.3 * F.coalesce("geo", F.lit(0.0)) + 0.2 * F.least(F.lit(1.0), F.col("n") / 3)).alias("score"))

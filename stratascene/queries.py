@@ -392,17 +392,17 @@ def spanning_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.spanning_trees(edges, graph.components(scene(spark, sf_dir, "objects"), edges))
 
 
-_SIMS = f"""o AS (SELECT * FROM objects JOIN features USING (obj_id)), s AS (SELECT a.obj_id AS det_id, b.obj_id, a.obj_id % 3 = 0 AS held_a, b.obj_id % 5 = 0 AS held_b, ({_I}) AS inter, ({_I}) / (a.ex * a.ey * a.ez + b.ex * b.ey * b.ez - ({_I}) + 1e-10) AS spatial,
-list_dot_product(a.feat, b.feat) / (sqrt(list_dot_product(a.feat, a.feat)) * sqrt(list_dot_product(b.feat, b.feat))) AS visual FROM o a, o b WHERE a.obj_id % 2 = 1 AND b.obj_id % 2 = 0)"""
+_SIMS = f"""o AS (SELECT * FROM objects JOIN features USING (obj_id)), s AS (SELECT a.obj_id AS det_id, b.obj_id, a.obj_id % 2 = 0 AS held_a, b.obj_id % 5 = 0 AS held_b, ({_I}) AS inter, ({_I}) / (a.ex * a.ey * a.ez + b.ex * b.ey * b.ez - ({_I}) + 1e-10) AS spatial,
+list_dot_product(a.feat, b.feat) / (sqrt(list_dot_product(a.feat, a.feat)) * sqrt(list_dot_product(b.feat, b.feat))) AS visual FROM o a, o b WHERE a.obj_id % 3 = 1 AND b.obj_id % 3 <> 1)"""
 
 
 def _best_sql(sim: str, where: str) -> str:
-    return f", {_SIMS} SELECT d.obj_id AS det_id, arg_max(s.obj_id, sim) AS obj_id, round(max(sim), 6) AS sim FROM (SELECT obj_id FROM o WHERE obj_id % 2 = 1) d LEFT JOIN (SELECT *, {sim} AS sim FROM s WHERE {where}) s ON d.obj_id = s.det_id GROUP BY d.obj_id"
+    return f", {_SIMS} SELECT d.obj_id AS det_id, arg_max(s.obj_id, sim) AS obj_id, round(max(sim), 6) AS sim FROM (SELECT obj_id FROM o WHERE obj_id % 3 = 1) d LEFT JOIN (SELECT *, {sim} AS sim FROM s WHERE {where}) s ON d.obj_id = s.det_id GROUP BY d.obj_id"
 
 
 def _matched(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     o = scene(spark, sf_dir, "objects").join(scene(spark, sf_dir, "features"), "obj_id")
-    a, b = (o.where(f"obj_id % 2 = {k}").withColumn("contained", (F.col("obj_id") % m == 0).cast("int")) for k, m in ((1, 3), (0, 5)))
+    a, b = (o.where(f"obj_id % 3 {k} 1").withColumn("contained", (F.col("obj_id") % m == 0).cast("int")) for k, m in (("=", 2), ("<>", 5)))
     return mapping.match_detections(a, b, reach=1.0, **how).select("det_id", "obj_id", _r("sim", "sim"))
 
 
