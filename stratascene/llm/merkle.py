@@ -2,8 +2,8 @@
 
 Sections are parted by an empty line, paragraphs by a line end, pieces have ``PIECE`` code points. A piece's node is its SHA-256,
 a paragraph's that of its pieces' nodes, a section's that of its paragraphs', the root that of the sections'. Equal roots mean
-equal texts. The fingerprint is the root and, by section and paragraph, a short mark of every piece, so that two fingerprints
-alone tell which branches differ and how much of two texts agrees.
+equal texts. The fingerprint is the tree in short: the root, the node of every section and paragraph, and a mark of every piece, so that two
+fingerprints alone tell which branches differ, from the root down, and how much of two texts agrees.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import stage_table
 
 PIECE = 32
-#: Hex digits of a piece's mark.
-MARK = 4
+#: Hex digits of an inner node and of a piece's mark in the fingerprint.
+NODE, MARK = 16, 4
 #: Documents in one slice of the order by identifier, on average.
 SLICE_ROWS = 2_000
 #: Slices at most; beyond, slices grow.
@@ -33,35 +33,54 @@ def _joined(nodes: F.Column) -> F.Column:
 
 
 def fingerprint(text: F.Column) -> F.Column:
-    """The fingerprint of a text that isn't null: root, ``|``, then piece marks, paragraphs parted by ``.`` and sections by ``/``."""
+    """The fingerprint of a text that isn't null: ``root|section/section...``, a section ``node:paragraph.paragraph...``, a paragraph ``node=marks``."""
+
+    def paragraph(p: F.Column) -> F.Column:
+        pieces = _pieces(p)
+        return F.struct(_joined(pieces).alias("node"), F.array_join(F.transform(pieces, lambda x: F.substring(x, 1, MARK)), "").alias("marks"))
 
     def section(s: F.Column) -> F.Column:
-        paragraphs = F.transform(F.split(s, "\n", -1), _pieces)
-        node = _joined(F.transform(paragraphs, _joined))
-        marks = F.array_join(F.transform(paragraphs, lambda p: F.array_join(F.transform(p, lambda x: F.substring(x, 1, MARK)), "")), ".")
-        return F.struct(node.alias("node"), marks.alias("marks"))
+        paragraphs = F.transform(F.split(s, "\n", -1), paragraph)
+        node = _joined(F.transform(paragraphs, lambda p: p["node"]))
+        short = F.array_join(F.transform(paragraphs, lambda p: F.concat(F.substring(p["node"], 1, NODE), F.lit("="), p["marks"])), ".")
+        return F.struct(node.alias("node"), F.concat(F.substring(node, 1, NODE), F.lit(":"), short).alias("short"))
 
     sections = F.transform(F.split(text, "\n\n", -1), section)
-    return F.concat(_joined(F.transform(sections, lambda x: x["node"])), F.lit("|"), F.array_join(F.transform(sections, lambda x: x["marks"]), "/"))
+    return F.concat(_joined(F.transform(sections, lambda x: x["node"])), F.lit("|"), F.array_join(F.transform(sections, lambda x: x["short"]), "/"))
+
+
+def _sections(print_: F.Column) -> F.Column:
+    return F.split(F.substring_index(print_, "|", -1), "/", -1)
+
+
+def _paragraphs(section: F.Column) -> F.Column:
+    return F.split(F.substring_index(section, ":", -1), "[.]", -1)
 
 
 def _paragraph_marks(print_: F.Column) -> F.Column:
-    return F.transform(F.split(F.substring_index(print_, "|", -1), "[./]", -1), lambda p: F.regexp_extract_all(p, F.lit(f".{{{MARK}}}"), F.lit(0)))
+    return F.transform(F.flatten(F.transform(_sections(print_), _paragraphs)), lambda p: F.regexp_extract_all(F.substring_index(p, "=", -1), F.lit(f".{{{MARK}}}"), F.lit(0)))
 
 
 def likeness(a: F.Column, b: F.Column) -> F.Column:
     """Share of pieces with equal marks at the same place of the same paragraph, from two fingerprints; 1 for equal roots."""
     equal = F.transform(F.arrays_zip(_paragraph_marks(a).alias("x"), _paragraph_marks(b).alias("y")), lambda z: F.when(z["x"].isNull() | z["y"].isNull(), F.lit(0)).otherwise(F.size(F.filter(F.arrays_zip(z["x"].alias("p"), z["y"].alias("q")), lambda m: m["p"] == m["q"]))))
     same = F.aggregate(equal, F.lit(0), lambda acc, n: acc + n)
-    size = lambda f: (F.length(F.regexp_replace(F.substring_index(f, "|", -1), "[./]", "")) / MARK)
+    size = lambda f: F.length(F.regexp_replace(F.substring_index(f, "|", -1), f"[0-9a-f]{{{NODE}}}[:=]|[./]", "")) / MARK
     most = F.greatest(size(a), size(b))
     return F.when(F.substring_index(a, "|", 1) == F.substring_index(b, "|", 1), F.lit(1.0)).when(most == 0, F.lit(0.0)).otherwise(same / most)
 
 
 def differing_branches(a: F.Column, b: F.Column) -> F.Column:
-    """Paragraph numbers (from 0, over all sections) at which two fingerprints differ."""
-    zipped = F.arrays_zip(F.split(F.substring_index(a, "|", -1), "[./]", -1).alias("x"), F.split(F.substring_index(b, "|", -1), "[./]", -1).alias("y"))
-    return F.filter(F.transform(zipped, lambda z, k: F.when(z["x"].eqNullSafe(z["y"]), F.lit(-1)).otherwise(k)), lambda k: k >= 0)
+    """``section, paragraph`` (numbers from 0) of the paragraphs whose nodes differ, or that only one text has; branches under equal nodes aren't entered."""
+    kind = "array<struct<section:int,paragraph:int>>"
+
+    def in_section(z: F.Column, s: F.Column) -> F.Column:
+        pairs = F.arrays_zip(_paragraphs(F.coalesce(z["x"], F.lit(":"))).alias("p"), _paragraphs(F.coalesce(z["y"], F.lit(":"))).alias("q"))
+        unequal = F.transform(pairs, lambda w, k: F.when(~F.substring_index(w["p"], "=", 1).eqNullSafe(F.substring_index(w["q"], "=", 1)), F.struct(s.alias("section"), k.alias("paragraph"))))
+        return F.when(F.substring_index(z["x"], ":", 1).eqNullSafe(F.substring_index(z["y"], ":", 1)), F.array().cast(kind)).otherwise(F.filter(unequal, lambda w: w.isNotNull()))
+
+    every = F.flatten(F.transform(F.arrays_zip(_sections(a).alias("x"), _sections(b).alias("y")), in_section))
+    return F.when(F.substring_index(a, "|", 1) == F.substring_index(b, "|", 1), F.array().cast(kind)).otherwise(every)
 
 
 def _slices(ids: DataFrame) -> tuple[list[int], int]:
@@ -108,7 +127,7 @@ def with_next(rows: DataFrame, value: list[str]) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
+    """One row per input row: ``id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_branches``, the last the number of differing paragraphs.
 
     The edited text has its last ``floor(n_chars / 3)`` code points replaced by the first as many, or all, of the next document in
     descending order of identifiers, after the last of the first. A null text is empty; a single document is its own next;
@@ -121,5 +140,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited = F.concat(F.substring(F.col("body"), F.lit(1), n - cut), F.substring(F.col("next_body"), F.lit(1), cut))
     rows = rows.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
     rows = rows.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
-    rows = stage_table(rows, "fingerprints")
-    return rows.select("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    rows = stage_table(rows, "fingerprints", compression="zstd")
+    return rows.select("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), F.size(differing_branches(F.col("fingerprint"), F.col("edited_fingerprint"))).cast("long").alias("edited_branches"))

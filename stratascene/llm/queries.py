@@ -93,13 +93,23 @@ tree AS (
     SELECT doc_id, which, list_transform(string_split(x, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
            lambda p: list_transform(regexp_extract_all(p, '(?s).{1,32}'), lambda y: sha256(y)))) AS secs
     FROM every),
-prints AS (
-    SELECT doc_id, which,
-           sha256(array_to_string(list_transform(secs, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, ''))), ''))), ''))
-           || '|' || array_to_string(list_transform(secs, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(list_transform(p, lambda y: y[1:4]), '')), '.')), '/') AS f
+nodes AS (
+    SELECT doc_id, which, list_transform(secs, lambda s: list_transform(s, lambda p: {'n': sha256(array_to_string(p, '')), 'm': array_to_string(list_transform(p, lambda y: y[1:4]), '')})) AS secs
     FROM tree),
+tops AS (
+    SELECT doc_id, which, secs, list_transform(secs, lambda s: sha256(array_to_string(list_transform(s, lambda p: p.n), ''))) AS sn FROM nodes),
+prints AS (
+    SELECT doc_id, which, secs, sha256(array_to_string(sn, '')) || '|' || array_to_string(list_transform(secs, lambda s, i: sn[i][1:16] || ':' || array_to_string(list_transform(s, lambda p: p.n[1:16] || '=' || p.m), '.')), '/') AS f
+    FROM tops),
+branches AS (
+    SELECT doc_id, which, s, p, secs[s][p].n AS n
+    FROM (SELECT doc_id, which, secs, s, unnest(range(1, len(secs[s]) + 1)) AS p FROM (SELECT doc_id, which, secs, unnest(range(1, len(secs) + 1)) AS s FROM prints WHERE which < 3))),
+changed AS (
+    SELECT doc_id, count(*) AS c
+    FROM (SELECT doc_id, s, p, n FROM branches WHERE which = 1) a FULL JOIN (SELECT doc_id, s, p, n FROM branches WHERE which = 2) b USING (doc_id, s, p)
+    WHERE a.n IS DISTINCT FROM b.n GROUP BY doc_id),
 marks AS (
-    SELECT doc_id, which, f, string_split(replace(string_split(f, '|')[2], '/', '.'), '.') AS ps FROM prints),
+    SELECT doc_id, which, f, flatten(list_transform(secs, lambda s: list_transform(s, lambda p: p.m))) AS ps FROM prints),
 pieces AS (
     SELECT doc_id, which, p, k, ps[p][4 * k - 3 : 4 * k] AS m
     FROM (SELECT doc_id, which, ps, p, unnest(range(1, len(ps[p]) // 4 + 1)) AS k FROM (SELECT doc_id, which, ps, unnest(range(1, len(ps) + 1)) AS p FROM marks))),
@@ -113,8 +123,8 @@ near AS (
     FROM prints a JOIN prints b ON a.doc_id = b.doc_id AND a.which = 1 AND b.which > 1
     LEFT JOIN totals x ON x.doc_id = a.doc_id AND x.which = 1 LEFT JOIN totals y ON y.doc_id = a.doc_id AND y.which = b.which
     LEFT JOIN same s ON s.doc_id = a.doc_id AND s.which = b.which)
-SELECT t.doc_id, t.n::BIGINT AS n_chars, sha256(t.edited) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint, v.v AS near_edited, w.v AS near_next
-FROM t JOIN prints a ON a.doc_id = t.doc_id AND a.which = 1 JOIN prints b ON b.doc_id = t.doc_id AND b.which = 2
+SELECT t.doc_id, t.n::BIGINT AS n_chars, sha256(t.edited) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint, v.v AS near_edited, w.v AS near_next, coalesce(g.c, 0) AS edited_branches
+FROM t LEFT JOIN changed g ON g.doc_id = t.doc_id JOIN prints a ON a.doc_id = t.doc_id AND a.which = 1 JOIN prints b ON b.doc_id = t.doc_id AND b.which = 2
 JOIN near v ON v.doc_id = t.doc_id AND v.which = 2 JOIN near w ON w.doc_id = t.doc_id AND w.which = 3
 """
 
