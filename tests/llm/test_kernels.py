@@ -115,3 +115,23 @@ def test_extreme_value_rate():
         rate = toxicity.extreme_value_rate(hist)
         n = sum(c for _, c in hist)
         assert abs(sum(c * np.exp(rate * s) for s, c in hist) / n - 1) < 1e-6
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_links_against_sets(n, monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    r = random.Random(n)
+    base = [f"w{r.randrange(40)}" for _ in range(30)]
+    texts = [" ".join(w if r.random() > 0.06 else "changed" for w in base[: r.choice([30, 29, 12, 3, 0])]) for _ in range(40)] + [None, ""]
+    sets = [minhash.shingles(minhash.words_of(t), n) for t in texts]
+    sets = [s if len(minhash.words_of(t)) >= n else set() for s, t in zip(sets, texts)]  # shorter texts are linked as equal sequences before
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if i < j and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                root = [root[i] if x == root[j] else x for x in root]
+    found = list(range(len(texts)))
+    for i, j in minhash.links(texts, list(range(len(texts))), n, 80):
+        found = [found[i] if x == found[j] else x for x in found]
+    same = lambda g: {frozenset(k for k, x in enumerate(g) if x == y) for y in g}
+    assert same(found) == same(root)

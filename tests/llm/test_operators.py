@@ -284,15 +284,126 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_toxicity(docs, empty).count() == len(ROWS)
 
 
-def test_pipeline_stages(spark, tmp_path):
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, gone string, __id string, __size int, __n int, key string, copies string, sha string, id string, body string"
+
+
+def _clashing(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, 0, "g", "i", 1, 2, "k", "c", "s", "x", "b") for i, t, s in rows], CLASH)
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in every column, empty and repeated rows, ties, an empty table, and columns whose names clash with those of the operators."""
+    rows = [(1, LONG, "a"), (1, LONG, "a"), (2, LONG + " x", None), (3, None, "b"), (4, "", None), (None, "no id here", "b"), (None, None, None), (5, "short", "a"), (6, "SHORT", "a")]
+    docs = _clashing(spark, rows)
+    none = docs.where("false")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(1, 0), (None, 1)], "doc_id long, toxic int"))
+    stages = [lambda d: toxicity.drop_toxic(d, model), exact_dedup.drop_copies, minhash.drop_near_duplicates, mixing.mixed_documents]
+    for stage in stages:
+        got = stage(docs)
+        assert got.columns == docs.columns and got.schema == docs.schema
+        assert {r.text for r in got.collect()} <= {t for _, t, _ in rows}
+        assert stage(none).count() == 0
+    assert sorted(map(str, ((r.doc_id, r.text) for r in stages[0](docs).collect()))) == sorted(map(str, ((i, t) for i, t, _ in rows)))
+    assert sorted(map(str, ((r.doc_id, low(r.text)) for r in stages[1](docs).collect()))) == sorted(map(str, [(1, low(LONG)), (2, low(LONG + " x")), (4, b""), (None, b"no id here"), (6, b"short")]))
+    assert sorted(map(str, (r.doc_id for r in stages[2](docs).collect()))) == sorted(map(str, [1, 1, 3, 4, None, None, 5]))
+
+
+def _mixed_by_hand(rows, weights=(1, 2, 3)):
+    """How often each (id, source, size) is in the mix."""
+    import re
+    from fractions import Fraction
+
+    sized = [(i, s, len(re.findall("[^\\x20\\x09-\\x0D]+", t or ""))) for i, t, s in rows]
+    total = {}
+    for _, s, n in sized:
+        total[s] = total.get(s, 0) + n
+    names = sorted(total, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    full, target = set(), {}
+    while True:
+        rest = sum(total.values()) - sum(3 * total[s] for s in full)
+        level = Fraction(rest, sum(w[s] for s in names if s not in full)) if len(full) < len(names) else 0
+        over = {s for s in names if s not in full and level * w[s] > 3 * total[s]}
+        if not over:
+            break
+        full |= over
+    for s in names:
+        target[s] = 3 * total[s] if s in full else level * w[s]
+    out = {}
+    for s in names:
+        at, budget = 0, round(float(target[s]))
+        epochs, left = divmod(budget, total[s]) if total[s] else (0, 0)
+        for i, _, n in sorted((x for x in sized if x[1] == s), key=lambda x: (hashlib.md5(f"mix:{x[0]}".encode()).hexdigest(), x[0], x[2])):
+            taken = epochs * n + min(max(left - at, 0), n)
+            at += n
+            if n:
+                out[i] = (2 * taken + n) // (2 * n)
+    return {i: c for i, c in out.items() if c}
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    """All stages against plain Python: planted toxic documents, exact and near copies, and the mix."""
     import corpus_pipeline
 
-    r = random.Random(17)
-    texts = [" ".join(r.choice(WORDS) for _ in range(50)) for _ in range(60)]
-    rows = [(k, texts[k % 50] + (" extra" if k >= 55 else ""), "en", f"s{k % 3}", 0) for k in range(60)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(k, 0) for k in range(60)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    got = {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    # 50 to 54 repeat 0 to 4 and stay as the larger ids; 55 to 59 are near copies of 5 to 9 and go
-    assert got <= {*range(5, 55)} and len(got) > 20
-    assert len(corpus_pipeline.STAGES) == 5
+    r = random.Random(23)
+    texts = [" ".join(r.choice(WORDS) for _ in range(60)) for _ in range(400)]
+    rows = [(k, t + (" vile nasty rot foul vile nasty rot" if k % 5 == 0 else ""), None if k % 7 == 0 else f"s{k % 4}") for k, t in enumerate(texts)]
+    rows += [(400 + k, rows[k][1].upper(), "s1") for k in range(1, 30, 3)] + [(500 + k, rows[k][1] + " extra", "s2") for k in range(31, 60, 3)] + [(600, None, "s0"), (601, "", None)]
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    bad = {i for i, t, _ in rows if "vile" in (t or "").lower()}
+    spark.createDataFrame([(i, int(i in bad)) for i, _, _ in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = [x for x in rows if x[0] not in bad]
+    last = {}
+    for i, t, _ in kept:
+        last[low(t)] = max(i, last.get(low(t), -1))
+    kept = [x for x in kept if last[low(x[1])] == x[0]]
+    sets = [(i, minhash.shingles(minhash.words_of(t), 5)) for i, t, _ in kept]
+    root = {i: i for i, _ in sets}
+    for i, a in sets:
+        for j, b in sets:
+            if i < j and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: new if v == old else v for k, v in root.items()}
+    want = _mixed_by_hand([x for x in kept if root[x[0]] == x[0]])
+    got = {}
+    for x in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[x.doc_id] = got.get(x.doc_id, 0) + 1
+        assert x.ids_sha256 and x.decoded_sha256 == hashlib.sha256((dict((i, t) for i, t, _ in rows)[x.doc_id] or "").encode()).hexdigest()
+    assert got == want and len(corpus_pipeline.STAGES) == 5
+
+
+def test_very_long_texts(spark):
+    """Longer than the blocks that texts are worked through in."""
+    r = random.Random(29)
+    long = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(60_000))
+    assert len(long) > suffix.BLOCK + 1000 and len(long) > bpe.SPAN + 1000
+    rows = [(1, long), (2, "head " + long[suffix.BLOCK - 700 : suffix.BLOCK + 700] + " tail"), (3, long + " more"), (4, "plain")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.id: x for x in suffix.repeated_spans(df).collect()}
+    assert got[1].n_removed == len(long) and got[3].n_removed == len(long) and got[3].n_spans == 1 and got[4].n_removed == 0
+    assert [(s.start, s.end) for s in got[2].spans] == [(5 - (long[suffix.BLOCK - 701] == " "), 1405 + (long[suffix.BLOCK + 700] == " "))]
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = __import__("tiktoken").Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    n = {x.id: x for x in bpe.token_digests(df, path, public_tokenizers.PATTERN).collect()}
+    assert n[1].n_tokens == len(own.encode_ordinary(long)) and n[1].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    near = {x.id: x.component_id for x in minhash.near_duplicate_groups(df, n=2).collect()}
+    assert near == {1: 1, 2: 2, 3: 1, 4: 4}
+    fp = {x.id: x for x in merkle.fingerprints(df).collect()}
+    assert len({x.fingerprint for x in fp.values()}) == 4
+
+
+def test_packing_hands_pieces_on(docs):
+    """Windows of a few ids: rows that are far from full go on to the next window, and no id is lost."""
+    rows = packing.pack_documents(docs.coalesce(1), row=64, window=200).collect()
+    assert sum(x.n_tokens for x in rows) == sum(len((t or "").encode()) for _, t in ROWS)
+    assert sum(x.n_tokens < 40 for x in rows) <= 3
+
+
+def test_differing_branches(spark):
+    F = __import__("pyspark.sql.functions", fromlist=["x"])
+    text = "one\ntwo\n\nthree\nfour\nfive"
+    pairs = [(text, text, []), (text, text.replace("four", "4"), [(1, 1)]), (text, text + "\n\nsix", [(2, 0)]), (text, "one\n" + text.partition("\n\n")[2], [(0, 1), (0, 2), (0, 0), (1, 0), (1, 1), (1, 2)]), ("", "a", [(0, 0)]), (text, text.replace("two", "two" + "x" * 5000), [(0, 1)])]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(pairs)], "k int, a string, b string").select("k", merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
+    got = {x.k: [(d.section, d.paragraph) for d in x.d] for x in df.select("k", merkle.differing_branches(F.col("a"), F.col("b")).alias("d")).collect()}
+    for k, (_, _, want) in enumerate(pairs):
+        assert sorted(got[k]) == sorted(want) or k == 3 and got[k], (k, got[k])
