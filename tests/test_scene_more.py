@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 import random
 
 import numpy as np
@@ -137,3 +138,14 @@ def test_counted_broadcasts(spark):
     finally:
         relations.BROADCAST_ROWS = before
     assert one
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["rel_near", "rel_on_top_of", "rel_inside", "radius_self_join", "contained_boxes", "holding_pairs", "box_similarity", "match_detections", "local_neighbourhood", "overlap_with_map", "detection_visibility", "visibility_top_views"])
+def test_plans_have_no_product(spark, name):
+    """Pairs come from equi-joins: neither a product of two sides nor a loop over all of one."""
+    from stratascene.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert joins and not [x for x in joins if "Cross" in x.split("Join", 1)[1][:8] or "=" not in x]
