@@ -35,19 +35,25 @@ def fuse(state: list[tuple[float, float, float, int]], points: list[tuple[float,
 OBJECTS = "scene_id long, objects long, detections long"
 
 
-def incremental_map(detections: DataFrame, reach: float) -> DataFrame:
+def incremental_map(detections: DataFrame, reach: float, idle_ms: int | None = None) -> DataFrame:
     """``scene_id, objects, detections`` after each batch of a stream of ``scene_id, frame_id, seq, x, y, z``.
 
-    The objects of a scene are its state; frames are taken in order within a batch.
+    The objects of a scene are its state; frames are taken in order within a batch. A scene without detections for ``idle_ms`` is
+    forgotten, so that the state doesn't grow with scenes that have ended; without it scenes stay.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         flat = list(state.get[0]) if state.exists else []
         objects = [(*flat[k : k + 3], int(flat[k + 3])) for k in range(0, len(flat), 4)]
         batch = pd.concat(list(frames)).sort_values(["frame_id", "seq"])
         for _, f in batch.groupby("frame_id", sort=True):
             objects = fuse(objects, list(f[["x", "y", "z"]].itertuples(index=False, name=None)), reach)
         state.update(([float(v) for o in objects for v in o],))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"scene_id": [key[0]], "objects": [len(objects)], "detections": [sum(o[3] for o in objects)]})
 
-    return detections.groupBy("scene_id").applyInPandasWithState(step, OBJECTS, "flat array<double>", "update", GroupStateTimeout.NoTimeout)
+    return detections.groupBy("scene_id").applyInPandasWithState(step, OBJECTS, "flat array<double>", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

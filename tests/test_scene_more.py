@@ -26,16 +26,17 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
     assert rows[("2024-01-01 00:00:00", "a")] in {(2, 3.0), (3, 11.0)}  # the late event counts only where its file came before the watermark
 
 
-def test_incremental_map_as_a_stream(spark, tmp_path):
+@pytest.mark.parametrize("idle", [600_000])
+def test_incremental_map_as_a_stream(spark, tmp_path, idle):
     schema = "scene_id long, frame_id long, seq long, x double, y double, z double"
     frames = [[(1, 0, 0, 0.0, 0.0, 0.0), (1, 0, 1, 5.0, 0.0, 0.0), (2, 0, 0, 1.0, 1.0, 1.0)], [(1, 1, 0, 0.1, 0.0, 0.0), (1, 1, 1, 9.0, 0.0, 0.0)]]
     for k, rows in enumerate(frames):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    q = windows.incremental_map(stream, 0.5).writeStream.outputMode("update").format("memory").queryName("maps").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q = windows.incremental_map(stream, 0.5, idle).writeStream.outputMode("update").format("memory").queryName(f"maps{idle}").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
     last = {}
-    for r in spark.table("maps").collect():
+    for r in spark.table(f"maps{idle}").collect():
         last[r.scene_id] = max(last.get(r.scene_id, (0, 0)), (r.objects, r.detections))
     assert last == {1: (3, 4), 2: (1, 1)}
 
