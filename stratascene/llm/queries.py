@@ -10,6 +10,7 @@ from .bpe import token_digests
 from .chaining import document_passages
 from .common import read_table, shared_path
 from .exact_dedup import exact_groups
+from .interaction import audit_filters
 from .merkle import fingerprints
 from .minhash import near_duplicate_groups
 from .mixing import mix_sources
@@ -65,7 +66,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_collinear_chaining": op3_collinear_chaining, "op4_warc_archive": op4_warc_archive, "op5_token_packing": op5_token_packing, "op6_merkle_fingerprints": op6_merkle_fingerprints, "op7_exact_dedup": op7_exact_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_collinear_chaining": op3_collinear_chaining, "op4_warc_archive": op4_warc_archive, "op5_token_packing": op5_token_packing, "op6_merkle_fingerprints": op6_merkle_fingerprints, "op7_exact_dedup": op7_exact_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe, "op11_filter_audit": op11_filter_audit}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -177,4 +182,29 @@ SELECT doc_id, size, source_size, target,
 FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLE_SQL = {"op4_warc_archive": OP4_SQL, "op6_merkle_fingerprints": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL}
+OP11_SQL = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           (CASE WHEN len(w) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END)
+           || (CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+           || (CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+    FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (
+    SELECT a.c || b.c || d.c || e.c || f.c AS o FROM letters a, letters b, letters d, letters e, letters f
+    WHERE len(list_distinct([a.c, b.c, d.c, e.c, f.c])) = 5),
+steps AS (SELECT o, k, o[k] AS c, CASE WHEN k = 1 THEN '' ELSE o[1 : k - 1] END AS before FROM (SELECT o, unnest([1, 2, 3, 4, 5]) AS k FROM orders)),
+seen AS (
+    SELECT part, o, k, n, g, x, fails, contains(fails, c) AS fail, fails <> '' AND len(list_intersect(string_split(fails, ''), string_split(before, ''))) > 0 AS gone FROM cells, steps)
+SELECT part, o AS filter_order, k::INTEGER AS step, coalesce(sum(n) FILTER (NOT fail AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fail AND NOT gone), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (fail AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fail AND length(fails) = 1), 0)::BIGINT AS unique_fails,
+       coalesce(sum(g) FILTER (fail AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(x) FILTER (fail AND NOT gone), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(sum(n) FILTER (fail AND NOT gone)) OVER (PARTITION BY part, o[k]), 0)::BIGINT AS shapley
+FROM seen GROUP BY part, o, k
+"""
+
+ORACLE_SQL = {"op4_warc_archive": OP4_SQL, "op6_merkle_fingerprints": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL, "op11_filter_audit": OP11_SQL}
