@@ -14,6 +14,7 @@ from .interaction import audit_filters
 from .merkle import fingerprints
 from .minhash import near_duplicate_groups
 from .mixing import mix_sources
+from .negatives import hard_negatives
 from .packing import bpe_ids, pack_documents, read_packs, write_packs
 from .suffix import repeated_spans
 from .toxicity import fit_toxicity, held_out, score_toxicity
@@ -70,7 +71,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_collinear_chaining": op3_collinear_chaining, "op4_warc_archive": op4_warc_archive, "op5_token_packing": op5_token_packing, "op6_merkle_fingerprints": op6_merkle_fingerprints, "op7_exact_dedup": op7_exact_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe, "op11_filter_audit": op11_filter_audit}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(vectors, F.col("id") % 50 == 0)
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_collinear_chaining": op3_collinear_chaining, "op4_warc_archive": op4_warc_archive, "op5_token_packing": op5_token_packing, "op6_merkle_fingerprints": op6_merkle_fingerprints, "op7_exact_dedup": op7_exact_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe, "op11_filter_audit": op11_filter_audit, "op12_hard_negatives": op12_hard_negatives}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -207,4 +213,19 @@ SELECT part, o AS filter_order, k::INTEGER AS step, coalesce(sum(n) FILTER (NOT
 FROM seen GROUP BY part, o, k
 """
 
-ORACLE_SQL = {"op4_warc_archive": OP4_SQL, "op6_merkle_fingerprints": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL, "op11_filter_audit": OP11_SQL}
+OP12_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_dot_product(a.c, v.c)::BIGINT AS score
+    FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) a, v),
+p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same AND vec_id <> anchor_id
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 3
+"""
+
+ORACLE_SQL = {"op4_warc_archive": OP4_SQL, "op6_merkle_fingerprints": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_hard_negatives": OP12_SQL}
