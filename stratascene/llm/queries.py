@@ -11,6 +11,7 @@ from .chaining import document_passages
 from .common import read_table, shared_path
 from .exact_dedup import exact_groups
 from .interaction import audit_filters
+from .licenses import TEMPLATES, scan_licenses, stride_of, words_of
 from .merkle import fingerprints
 from .minhash import near_duplicate_groups
 from .mixing import mix_sources
@@ -76,7 +77,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors, F.col("id") % 50 == 0)
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_collinear_chaining": op3_collinear_chaining, "op4_warc_archive": op4_warc_archive, "op5_token_packing": op5_token_packing, "op6_merkle_fingerprints": op6_merkle_fingerprints, "op7_exact_dedup": op7_exact_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe, "op11_filter_audit": op11_filter_audit, "op12_hard_negatives": op12_hard_negatives}
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents")).drop("matches").withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_collinear_chaining": op3_collinear_chaining, "op4_warc_archive": op4_warc_archive, "op5_token_packing": op5_token_packing, "op6_merkle_fingerprints": op6_merkle_fingerprints, "op7_exact_dedup": op7_exact_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_mix_sources": op9_mix_sources, "op10_byte_bpe": op10_byte_bpe, "op11_filter_audit": op11_filter_audit, "op12_hard_negatives": op12_hard_negatives, "op13_license_scan": op13_license_scan}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -228,4 +233,24 @@ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 *
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 3
 """
 
-ORACLE_SQL = {"op4_warc_archive": OP4_SQL, "op6_merkle_fingerprints": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_hard_negatives": OP12_SQL}
+_TEMPLATES = ", ".join(f"('{t.label}', {t.exact}, {[w.decode() for w in words_of(t.text.encode())]})" for t in TEMPLATES)
+
+OP13_SQL = rf"""
+WITH t AS (SELECT label, exact, words, list_distinct(words) AS own FROM (VALUES {_TEMPLATES}) v(label, exact, words)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+blocks AS (SELECT r, list_distinct(ws[start + 1 : start + {2 * stride_of(TEMPLATES)}]) AS own FROM (SELECT r, ws, unnest(range(0, len(ws), {stride_of(TEMPLATES)})) AS start FROM d)),
+notices AS (
+    SELECT r, label, len(list_intersect(b.own, t.own)) / len(t.own) AS share FROM blocks b, t
+    WHERE NOT exact AND 100 * len(list_intersect(b.own, t.own)) >= 80 * len(t.own)),
+places AS (
+    SELECT r, label, i - 1 AS place FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d), t
+    WHERE exact AND ws[i] = words[1] AND ws[i : i + len(words) - 1] = words),
+base AS (SELECT r, count(*) AS n, min(place) AS a, max(place) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r),
+shares AS (SELECT r, max(share) AS share FROM notices GROUP BY r),
+every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM places UNION ALL SELECT r, label FROM notices) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a AS first_word, b AS last_word, coalesce(base.labels, '') AS base_labels, coalesce(every.labels, '') AS labels,
+       CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN shares USING (r) LEFT JOIN every USING (r)
+"""
+
+ORACLE_SQL = {"op4_warc_archive": OP4_SQL, "op6_merkle_fingerprints": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_license_scan": OP13_SQL}
