@@ -138,14 +138,14 @@ def _sketch_rows(n: int):
                     for row, k in zip(band_hashes(sketches([sets[k] for k in full[a:b]])).view(np.int64), full[a:b]):
                         bands[k] = row
                 keys = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64).tolist() if len(s) else (None, None) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*keys)), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*keys)), pa.array(bands, pa.list_(pa.int64()))], ["id", "hash", "n", "k1", "k2", "bands"])
         _hashes.clear()
 
     return run
 
 
 def _shared_entries(bits):
-    """``h, id, n, k1, k2`` for the bands of each row that the filter lets through."""
+    """``h, row, n, k1, k2`` for the bands of each row that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bits.value
@@ -153,7 +153,7 @@ def _shared_entries(bits):
             h = batch.column(4).flatten().to_numpy(zero_copy_only=False)
             keep = np.flatnonzero(passes(h, words))
             row = pa.array(keep // BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), *(batch.column(k).take(row) for k in range(4))], ["h", "id", "n", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), *(batch.column(k).take(row) for k in range(4))], ["h", "row", "n", "k1", "k2"])
 
     return run
 
@@ -223,22 +223,23 @@ def links(texts: list[str | None], roots: list[int], n: int, percent: int) -> li
 
 
 def _block_links(n: int, percent: int):
-    """Links ``u, v`` within each block comparison; rows ``a, b, node, root, body`` come sorted by the two block names."""
+    """Links ``u, v`` within each block comparison; rows ``a, b, node, root, body`` come sorted by the two block names; of a class's repeated rows one counts."""
 
-    def solved(group: list[tuple]) -> list[tuple[int, int]]:
-        nodes, roots, texts = zip(*group)
+    def solved(group: dict[int, tuple]) -> list[tuple[int, int]]:
+        nodes, roots, texts = group, *zip(*group.values())
+        nodes = list(nodes)
         return [(max(nodes[x], nodes[y]), min(nodes[x], nodes[y])) for x, y in links(list(texts), list(roots), n, percent)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, found = None, [], []
+        key, group, found = None, {}, []
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
-                for a, b, *row in zip(*(c.to_pylist() for c in batch.slice(lo, 500).columns)):
+                for a, b, node, root, body in zip(*(c.to_pylist() for c in batch.slice(lo, 500).columns)):
                     if (a, b) != key:
                         if len(group) > 1:
                             found += solved(group)
-                        key, group = (a, b), []
-                    group.append(row)
+                        key, group = (a, b), {}
+                    group.setdefault(node, (root, body))
             yield _pair_batch(found)
             found = []
         yield _pair_batch(solved(group) if len(group) > 1 else [])
@@ -250,11 +251,14 @@ def _pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["u", "v"])
 
 
-def _compared(plan: DataFrame, slim: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """Links ``u, v`` among the classes (``node, root``) of each block comparison (``a, b``) of ``plan``; only texts that it names leave the scan."""
-    plan = stage_table(plan, name)
-    texts = slim.where(F.col("id").isNotNull()).where(may_have(F.col("id"), filter_of(plan.select("node").distinct())))
-    rows = texts.join(plan, texts["id"] == plan["node"]).select("a", "b", "node", "root", "body")
+def _compared(plan: DataFrame, rows: DataFrame, slim: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+    """Links ``u, v`` among the classes (``node, root``) of each block comparison (``a, b``) of ``plan``; only texts that it names leave the scan.
+
+    A class's text is found again by the identifier and hash of its first row, so that rows of one identifier may have different texts.
+    """
+    plan = stage_table(plan.join(rows.select(F.col("row").alias("node"), F.col("id").alias("name"), F.col("hash").alias("text_hash")), "node"), name)
+    texts = slim.where(may_have(F.xxhash64("id", "hash"), filter_of(plan.select(F.xxhash64("name", "text_hash")).distinct())))
+    rows = texts.join(plan, texts["id"].eqNullSafe(plan["name"]) & (texts["hash"] == plan["text_hash"])).select("a", "b", "node", "root", "body")
     found = dealt(rows, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_block_links(n, percent), "u long, v long")
     return stage_table(found, f"{name}-links")
 
@@ -288,47 +292,56 @@ def _open_blocks(members: DataFrame, blocks: DataFrame, comp: DataFrame) -> Data
     return small.unionByName(large).distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: ``id, n_shingles, component_id, kept``.
+def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """One row per input row: ``id, hash`` (of its text), ``n`` (its set's size) and ``first`` (identifier and hash of the first row of its component; null without a set or any identifier).
 
-    Documents are linked when ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct ``n``-word shingles; a component is
-    what links reach, named by its smallest identifier. A null or empty text has an empty set, is linked with nothing and is its
-    own component; equal sets are always linked. Repeated rows are rows of one class; rows of one identifier and different texts
-    are linked through their own texts. A null identifier names no component: its row takes that of its class, or null. An empty table gives an empty table. Other columns are ignored.
+    A class is named by the number of one of its rows, which are numbered as they are written.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    rows = stage_table(slim.mapInArrow(_sketch_rows(n), "id long, n long, k1 long, k2 long, bands array<long>"), "sketches")
+    ship_package(docs.sparkSession)
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).withColumn("hash", F.xxhash64("body"))
+    sketched = slim.mapInArrow(_sketch_rows(n), "id long, hash long, n long, k1 long, k2 long, bands array<long>")
+    rows = stage_table(sketched.withColumn("row", F.monotonically_increasing_id()), "sketches")
     full = rows.where("k1 IS NOT NULL")
     shared = full.select("k1", F.explode("bands").alias("anchor")).groupBy("anchor").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x != y")  # buckets of different sets
     bits = filter_of(shared.select("anchor"))
-    entries = full.select("id", "n", "k1", "k2", "bands").mapInArrow(_shared_entries(bits), "h long, id long, n long, k1 long, k2 long")
-    entries = entries.groupBy("h", "k1", "k2").agg(F.min("id").alias("node"), F.max("n").alias("n")).where("node IS NOT NULL")
-    entries = stage_table(entries.groupBy("h", "node").agg(F.max("n").alias("n")), "entries")
+    entries = full.select("row", "n", "k1", "k2", "bands").mapInArrow(_shared_entries(bits), "h long, row long, n long, k1 long, k2 long")
+    names = stage_table(full.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "hash"))).alias("first")), "classes")
+    entries = stage_table(entries.groupBy("h", "k1", "k2").agg(F.min("row").alias("node"), F.max("n").alias("n")).drop("k1", "k2"), "entries")
     members = stage_table(entries.join(entries.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "h"), "buckets")
     degree = members.groupBy("node").agg(F.sum("m").alias("degree"))
     hubs = members.join(degree, "node").groupBy("h").agg(F.max(F.struct("degree", "node")).alias("hub"))
     best = members.join(hubs, "h").groupBy("node").agg(F.max("hub").alias("hub"), F.max("n").alias("n")).select("node", "n", F.col("hub.node").alias("hub"))
     blocks = stage_table(_salted(best, "hub"), "blocks")
     plan = blocks.select("node", "block").unionByName(blocks.select(F.col("hub").alias("node"), "block")).distinct()
-    found = _compared(plan.select(F.col("block").alias("a"), F.col("block").alias("b"), "node", F.col("node").alias("root")), slim, n, percent, "hub-blocks")
+    found = _compared(plan.select(F.col("block").alias("a"), F.col("block").alias("b"), "node", F.col("node").alias("root")), rows, slim, n, percent, "hub-blocks")
     comp = stage_table(connected_components(found), "components")
-    more = _compared(_open_blocks(members, blocks.select("node", "n", "hub"), comp), slim, n, percent, "open-pairs")
+    more = _compared(_open_blocks(members, blocks.select("node", "n", "hub"), comp), rows, slim, n, percent, "open-pairs")
     if not more.isEmpty():
         comp = stage_table(connected_components(comp.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "components")
-    classes = full.groupBy("k1", "k2").agg(F.min("id").alias("node"))
-    named = classes.join(comp, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component_id"))
-    out = rows.select("id", F.col("n").alias("n_shingles"), "k1", "k2").join(named, ["k1", "k2"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    rooted = stage_table(names.join(comp, "node", "left").select("k1", "k2", "first", F.coalesce("root", "node").alias("root")), "roots")
+    named = rooted.drop("first").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root")
+    return rows.select("id", "hash", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select("id", "hash", "n", "first")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """One row per input row: ``id, n_shingles, component_id, kept``.
+
+    Documents are linked when ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct ``n``-word shingles; a component is
+    what links reach, named by its smallest identifier. A null or empty text has an empty set, is linked with nothing and is its
+    own component; equal sets are always linked. Repeated rows are rows of one class; rows of one identifier and different texts
+    are linked through their own texts only. A null identifier names no component: its row takes that of its links, or null. An empty table gives an empty table. Other columns are ignored.
+    """
+    out = _classes(docs, id_col, text_col, n, percent).select("id", F.col("n").alias("n_shingles"), F.coalesce("first.id", "id").alias("component_id"))
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose identifier names its own component, all columns unchanged; a null identifier stays.
+    """The rows of ``docs`` whose text is the first of its component (by identifier), all columns unchanged; a null identifier stays.
 
-    Where the surviving identifier is that of several rows with different texts, all of them stay. Null and empty texts stay; extra columns
-    may have any name; an empty table gives an empty table.
+    Rows are known by identifier and text: of one identifier's texts, those that are near another's first text go and the others stay; equal
+    rows stay or go together. Null and empty texts stay; extra columns may have any name; an empty table gives an empty table.
     """
-    groups = near_duplicate_groups(docs, id_col, text_col, n, percent)
-    gone = new_name(docs, "gone")
-    return docs.join(groups.where("NOT kept").select(F.col("id").alias(gone)).distinct(), docs[id_col].cast("long") == F.col(gone), "left_anti")
+    rows = _classes(docs, id_col, text_col, n, percent).where((F.col("id") != F.col("first.id")) | (F.col("hash") != F.col("first.hash")))
+    name, text = new_name(docs, "gone"), new_name(docs, "gone_hash")
+    gone = rows.select(F.col("id").alias(name), F.col("hash").alias(text)).distinct()
+    return docs.join(gone, (docs[id_col].cast("long") == F.col(name)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(text)), "left_anti")

@@ -35,11 +35,10 @@ def byte_ids(text: str) -> np.ndarray:
 
 
 def bpe_ids(path: str, pattern: str) -> Callable[[str], np.ndarray]:
-    """An encoder of texts as ids of the byte-level BPE in the rank file ``path``, 2 bytes each if the largest of them fits."""
+    """An encoder of texts as ids of the byte-level BPE in the rank file ``path``."""
 
     def encode(text: str) -> np.ndarray:
-        bpe = codec(path, pattern)
-        return np.frombuffer(bpe.encode(text), dtype="<u4").astype("<u2" if bpe.largest < 1 << 16 else "<u4")
+        return np.frombuffer(codec(path, pattern).encode(text), dtype="<u4")
 
     return encode
 
@@ -100,12 +99,12 @@ def position_ids(cu_seqlens: list[int]) -> np.ndarray:
 _SCHEMA = "pack_id long, n_tokens int, doc_ids array<long>, doc_offsets array<long>, cu_seqlens array<int>, position_resets array<int>, input_ids binary"
 
 
-def _batch(first: int, packs: list[list[tuple]], row: int) -> pa.RecordBatch:
+def _batch(first: int, packs: list[list[tuple]], row: int, kind: str) -> pa.RecordBatch:
     ids, docs, offsets, ends, resets, data = [], [], [], [], [], []
     for k, pieces in enumerate(packs):
         lengths = [len(p[2]) for p in pieces]
         cu = [0, *np.cumsum(lengths).tolist()]
-        matrix = np.full(row, PAD, dtype="<u2" if pieces[0][2].dtype.itemsize <= 2 else "<u4")
+        matrix = np.full(row, PAD, dtype=kind)
         matrix[: cu[-1]] = np.concatenate([p[2] for p in pieces])
         ids.append(first + k)
         docs.append([p[0] for p in pieces])
@@ -116,16 +115,23 @@ def _batch(first: int, packs: list[list[tuple]], row: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([c[-1] for c in ends], pa.int32()), pa.array(docs, pa.list_(pa.int64())), pa.array(offsets, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int32())), pa.array(resets, pa.list_(pa.int32())), pa.array(data, pa.binary())], ["pack_id", "n_tokens", "doc_ids", "doc_offsets", "cu_seqlens", "position_resets", "input_ids"])
 
 
-def pack_documents(docs: DataFrame, row: int = 2048, id_col: str = "doc_id", text_col: str = "text", encode: Callable[[str], np.ndarray] = byte_ids, window: int = WINDOW) -> DataFrame:
+def pack_documents(docs: DataFrame, row: int = 2048, id_col: str = "doc_id", text_col: str = "text", encode: Callable[[str], np.ndarray] = byte_ids, window: int = WINDOW, id_bytes: int = 2) -> DataFrame:
     """One row per packed row of ``row`` ids: ``pack_id, n_tokens, doc_ids, doc_offsets, cu_seqlens, position_resets, input_ids``.
 
     ``doc_ids`` and ``doc_offsets`` tell which document and which of its ids each segment starts with; ``cu_seqlens`` are cumulative
-    segment lengths from 0; positions start from 0 at ``position_resets``; ``input_ids`` are ``row`` little-endian unsigned ids of 2
-    bytes (4 if ``encode`` gives larger ones), padded with 0 after the first ``n_tokens``. Null and empty texts have no ids and are in no row. A null
+    segment lengths from 0; positions start from 0 at ``position_resets``; ``input_ids`` are ``row`` little-endian unsigned ids of
+    ``id_bytes`` (2 or 4, in every row), padded with 0 after the first ``n_tokens``; an id that doesn't fit is an error. Null and empty texts have no ids and are in no row. A null
     identifier is null in ``doc_ids``; repeated rows are packed each; an empty table gives an empty table. Other columns are
     ignored. ``pack_id`` holds the number of the task and of its row: the same input files give the same rows.
     """
     ship_package(docs.sparkSession)
+    kind = {2: "<u2", 4: "<u4"}[id_bytes]
+
+    def encoded(text: str) -> np.ndarray:
+        ids = np.asarray(encode(text))
+        if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << 8 * id_bytes:
+            raise ValueError(f"ids from {ids.min()} to {ids.max()} don't fit into {id_bytes} bytes")
+        return ids.astype(kind, copy=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 33
@@ -154,12 +160,12 @@ def pack_documents(docs: DataFrame, row: int = 2048, id_col: str = "doc_id", tex
             nonlocal made
             packs = packed(last)
             for k in range(0, len(packs), ROWS_OUT):
-                yield _batch(made, packs[k : k + ROWS_OUT], row)
+                yield _batch(made, packs[k : k + ROWS_OUT], row, kind)
                 made += len(packs[k : k + ROWS_OUT])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "")
+                ids = encoded(text.as_py() or "")
                 whole = len(ids) // row * row
                 full += [[(doc, k, ids[k : k + row])] for k in range(0, whole, row)]
                 if whole < len(ids):

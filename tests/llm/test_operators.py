@@ -407,3 +407,30 @@ def test_differing_branches(spark):
     got = {x.k: [(d.section, d.paragraph) for d in x.d] for x in df.select("k", merkle.differing_branches(F.col("a"), F.col("b")).alias("d")).collect()}
     for k, (_, _, want) in enumerate(pairs):
         assert sorted(got[k]) == sorted(want) or k == 3 and got[k], (k, got[k])
+
+
+def test_one_identifier_several_texts(spark):
+    one = " ".join(R.choice(WORDS) for _ in range(200))
+    other = " ".join(R.choice(WORDS) for _ in range(200))
+    rows = [(1, one), (2, one + " more"), (2, other), (3, "x y z x y z q"), (None, one + " and"), (None, other[:-1] + "q"), (5, other + " more"), (6, ""), (6, other + " too")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.id, r.component_id) for r in minhash.near_duplicate_groups(table).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (2, 2), (3, 3), (None, 1), (None, 2), (5, 2), (6, 6), (6, 2)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in minhash.drop_near_duplicates(table).collect()), key=str)
+    assert kept == sorted([rows[k] for k in (0, 2, 3, 4, 5, 7)], key=str)
+
+
+def test_packed_ids_of_any_width(spark):
+    table = spark.createDataFrame([(1, "aaaa"), (2, "b")], "doc_id long, text string").coalesce(1)
+
+    def mixed(text):
+        import numpy as np
+
+        return np.array([1, 2, 3, 4], dtype="<u2") if text == "aaaa" else np.array([70000], dtype="<u4")
+
+    rows = packing.pack_documents(table, row=8, encode=mixed, id_bytes=4).collect()
+    import numpy as np
+
+    assert [np.frombuffer(r.input_ids, dtype="<u4").tolist() for r in rows] == [[1, 2, 3, 4, 70000, 0, 0, 0]]
+    with pytest.raises(Exception, match="don't fit"):
+        packing.pack_documents(table, row=8, encode=mixed).collect()
