@@ -595,4 +595,4 @@ def merge_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.merge_features(f).select("obj_id", "n", F.transform("feat", lambda x: F.round(x, 6)).alias("feat"))
 
 
-from . import queries_fusion, queries_geometry, queries_mapping, queries_points, queries_retrieval, queries_sources  # noqa: E402, F401  they register themselves
+from . import queries_clouds, queries_fusion, queries_geometry, queries_mapping, queries_points, queries_retrieval, queries_sources  # noqa: E402, F401  they register themselves
