@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -82,6 +83,14 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[
             yield batch.slice(lo, rows)
 
 
+def give_back() -> None:
+    """Return what this worker process has freed to the system, where that can be asked for: workers stay for the next stage, which has its own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def new_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt, new_name, ship_package, stage_table
+from .common import dealt, give_back, new_name, ship_package, stage_table
 from .components import connected_components
 from .filters import filter_of, may_have, passes
 
@@ -140,6 +140,7 @@ def _sketch_rows(n: int):
                 keys = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64).tolist() if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*keys)), pa.array(bands, pa.list_(pa.int64()))], ["id", "hash", "n", "k1", "k2", "bands"])
         _hashes.clear()
+        give_back()
 
     return run
 
@@ -243,6 +244,8 @@ def _block_links(n: int, percent: int):
             yield _pair_batch(found)
             found = []
         yield _pair_batch(solved(group) if len(group) > 1 else [])
+        group.clear()
+        give_back()
 
     return run
 
@@ -319,7 +322,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     if not more.isEmpty():
         comp = stage_table(connected_components(comp.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "components")
     rooted = stage_table(names.join(comp, "node", "left").select("k1", "k2", "first", F.coalesce("root", "node").alias("root")), "roots")
-    named = rooted.drop("first").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root")
+    firsts = stage_table(rooted.groupBy("root").agg(F.min("first").alias("first")), "firsts")  # written, so that a component of very many classes can be split in the join
+    named = rooted.drop("first").join(firsts, "root")
     return rows.select("id", "hash", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select("id", "hash", "n", "first")
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, small_batches, stage_table
+from .common import give_back, ship_package, small_batches, stage_table
 
 #: Labelled rows that the classifier learns from, at most; the hash of the identifier picks them.
 LABELLED = 200_000
@@ -142,6 +142,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held:
         yield merged()
     _keys.clear()
+    give_back()
 
 
 def _labelled_rows(sent):
@@ -157,6 +158,7 @@ def _labelled_rows(sent):
             cols = list(zip(*rows)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], ["label", "n", "best", "f1", "f2", "f3"])
         _keys.clear()
+        give_back()
 
     return run
 
@@ -253,6 +255,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             p = model.probability(np.array(x).reshape(-1, 4))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(spans, kind)], ["id", "score", "predicted", "passages"])
         _keys.clear()
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).mapInArrow(run, "id long, score double, predicted int, passages array<struct<start:long,end:long,excess:double>>")
 
@@ -271,6 +274,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", te
                 x.append(model.features(n, significant))
             yield batch.filter(pa.array(model.probability(np.array(x).reshape(-1, 4)) < 0.5))
         _keys.clear()
+        give_back()
 
     at = docs.columns.index(text_col)
     return docs.mapInArrow(run, docs.schema)
