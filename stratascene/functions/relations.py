@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
+from .trees import best_scores
 
 # Names that stand for a relation.
 ALIASES = {
@@ -143,11 +142,40 @@ def broadcast_blocks(side: DataFrame, by: str, most: int = BROADCAST_ROWS) -> li
     return [F.broadcast(side if parts == 1 else side.where(F.pmod(F.xxhash64(by), F.lit(parts)) == k)) for k in range(parts)]
 
 
+#: Directions: the axis along which they look and its sign, and the axis across.
+_DIRECTIONS = {"in_front_of": ("y", 1, "x"), "behind": ("y", -1, "x"), "left_of": ("x", -1, "y"), "right_of": ("x", 1, "y")}
+
+
+def direction_join(targets: DataFrame, anchors: DataFrame, name: str) -> DataFrame:
+    """``obj_id, score``: targets (``obj_id, cx, cy``) that lie in a direction of any anchor (``ax, ay``), with their best score.
+
+    Directions reach everywhere, so that pairs are found by a search in a packed tree: the score rises with the way along the direction and
+    doesn't with the way across, so that the corners of a node's bounds say what its anchors can score.
+    """
+    main, sign, side = _DIRECTIONS[name]
+
+    def rate(along: Column, across: Column) -> Column:
+        reached = F.least(F.lit(1.0), along / 2)
+        return F.when((along > 0) & (across <= along), reached * F.greatest(F.lit(0.0), 1 - across / along) if main == "y" else reached)
+
+    def score(at: dict[str, Column]) -> Column:
+        return rate(F.col("__p") - at["p"], F.abs(F.col("__q") - at["q"]))
+
+    def bounds(box: dict[str, tuple[Column, Column]]) -> tuple[Column, Column]:
+        (p0, p1), (q0, q1), p, q = box["p"], box["q"], F.col("__p"), F.col("__q")
+        nearest = F.greatest(F.lit(0.0), q0 - q, q - q1)
+        return rate(p - p1, F.greatest(F.abs(q - q0), F.abs(q - q1))), rate(p - p0, nearest)
+
+    places = targets.select(F.col("obj_id"), (sign * F.col(f"c{main}")).alias("__p"), F.col(f"c{side}").alias("__q")).dropna()
+    points = anchors.select((sign * F.col(f"a{main}")).alias("p"), F.col(f"a{side}").alias("q"))
+    return best_scores(places.distinct(), points, "obj_id", ("p", "q"), score, bounds)
+
+
 def relation_join(targets: DataFrame, anchors: DataFrame, name: str, exclude_self: bool = False) -> DataFrame:
     """``obj_id, score``: targets that satisfy a relation with any anchor, with their best score.
 
     Both sides have ``obj_id, cx, cy, cz`` (and ``ex, ey, ez`` for inside). Relations with a reach are joined on a grid, that of
-    inside follows from the largest anchor; directions reach everywhere and are tested against all anchors, a counted block at a time.
+    inside follows from the largest anchor; directions reach everywhere and are searched for in a tree. An object isn't in a direction of itself.
     """
     key = canonical(name) or "near"
     a = anchors.select(F.col("obj_id").alias("a_id"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("cz").alias("az"), *([F.col(c).alias(f"a_{c}") for c in ("ex", "ey", "ez")] if key == "inside" else []))
@@ -163,5 +191,4 @@ def relation_join(targets: DataFrame, anchors: DataFrame, name: str, exclude_sel
         reach = (largest or 0.0) / 2 + 0.2
     if reach is not None:
         return radius_join(targets, a, reach, ok, ("cx", "cy"), ("ax", "ay")).groupBy("obj_id").agg(F.max(score).alias("score"))
-    best = [targets.join(block, ok).groupBy("obj_id").agg(F.max(score).alias("score")) for block in broadcast_blocks(a, "a_id")]
-    return best[0] if len(best) == 1 else reduce(DataFrame.unionByName, best).groupBy("obj_id").agg(F.max("score").alias("score"))
+    return direction_join(targets, a, key)

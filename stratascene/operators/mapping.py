@@ -140,56 +140,6 @@ def non_maximum_suppression(detections: DataFrame, limit: float = 0.5) -> DataFr
     return f.join(gone, "__k", "left_anti").select(*detections.columns)
 
 
-def dbscan(points: np.ndarray, eps: float, least: int) -> np.ndarray:
-    """Cluster of each point, -1 for noise, on a grid of cells as wide as ``eps``."""
-    cells: dict[tuple, list[int]] = {}
-    keys = np.floor(points / eps).astype(int)
-    for k, c in enumerate(map(tuple, keys)):
-        cells.setdefault(c, []).append(k)
-
-    def near(k: int) -> list[int]:
-        found = [j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) for j in cells.get((keys[k][0] + dx, keys[k][1] + dy, keys[k][2] + dz), ())]
-        d = ((points[found] - points[k]) ** 2).sum(axis=1)
-        return [j for j, x in zip(found, d) if x <= eps * eps]
-
-    label = np.full(len(points), -1)
-    seen = np.zeros(len(points), dtype=bool)
-    cluster = 0
-    for k in range(len(points)):
-        if seen[k]:
-            continue
-        seen[k] = True
-        todo = near(k)
-        if len(todo) < least:
-            continue
-        label[k] = cluster
-        while todo:
-            j = todo.pop()
-            if label[j] < 0:
-                label[j] = cluster
-            if not seen[j]:
-                seen[j] = True
-                more = near(j)
-                if len(more) >= least:
-                    todo += more
-        cluster += 1
-    return label
-
-
-def keep_largest_cluster(points: DataFrame, eps: float, least: int = 10) -> DataFrame:
-    """Each object's points without noise and smaller clusters; unchanged where the largest has fewer than 5."""
-
-    def clean(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("pt")
-        label = dbscan(f[["x", "y", "z"]].to_numpy(), eps, least)
-        if not (label >= 0).any():
-            return f
-        best = np.bincount(label[label >= 0]).argmax()
-        return f[label == best] if (label == best).sum() >= 5 else f
-
-    return points.groupBy("obj_id").applyInPandas(clean, points.schema)
-
-
 def merge_features(contributions: DataFrame) -> DataFrame:
     """``obj_id, n, feat``: feature vectors folded in the order of ``seq``, each step weighted by counts and normalised.
 

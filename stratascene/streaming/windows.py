@@ -1,13 +1,9 @@
-"""Streams of observations: event-time windows, and an object map that grows as frames arrive."""
+"""Streams of observations: event-time windows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -15,45 +11,3 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     timed = timed.withWatermark("ts", late) if timed.isStreaming else timed
     return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
-
-
-def fuse(state: list[tuple[float, float, float, int]], points: list[tuple[float, float, float]], reach: float) -> list[tuple[float, float, float, int]]:
-    """Objects after a frame: each detection joins the nearest object that was there before the frame, within ``reach``, or starts one."""
-    before = list(state)
-    after = [list(o) for o in state]
-    for x, y, z in points:
-        near = [((x - ox) ** 2 + (y - oy) ** 2 + (z - oz) ** 2, k) for k, (ox, oy, oz, _) in enumerate(before)]
-        d, k = min(near, default=(float("inf"), -1))
-        if d <= reach * reach:
-            ox, oy, oz, n = after[k]
-            after[k] = [(ox * n + x) / (n + 1), (oy * n + y) / (n + 1), (oz * n + z) / (n + 1), n + 1]
-        else:
-            after.append([x, y, z, 1])
-    return [tuple(o) for o in after]
-
-
-OBJECTS = "scene_id long, objects long, detections long"
-
-
-def incremental_map(detections: DataFrame, reach: float, idle_ms: int | None = None) -> DataFrame:
-    """``scene_id, objects, detections`` after each batch of a stream of ``scene_id, frame_id, seq, x, y, z``.
-
-    The objects of a scene are its state; frames are taken in order within a batch. A scene without detections for ``idle_ms`` is
-    forgotten, so that the state doesn't grow with scenes that have ended; without it scenes stay.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        flat = list(state.get[0]) if state.exists else []
-        objects = [(*flat[k : k + 3], int(flat[k + 3])) for k in range(0, len(flat), 4)]
-        batch = pd.concat(list(frames)).sort_values(["frame_id", "seq"])
-        for _, f in batch.groupby("frame_id", sort=True):
-            objects = fuse(objects, list(f[["x", "y", "z"]].itertuples(index=False, name=None)), reach)
-        state.update(([float(v) for o in objects for v in o],))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"scene_id": [key[0]], "objects": [len(objects)], "detections": [sum(o[3] for o in objects)]})
-
-    return detections.groupBy("scene_id").applyInPandasWithState(step, OBJECTS, "flat array<double>", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

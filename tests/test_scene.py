@@ -12,7 +12,6 @@ from stratascene.operators.graph import components, spanning_trees
 from stratascene.operators.retrieval import segmentation_metrics
 from stratascene.plans.grounding import Grounding, Node, Select, spatial_query
 from stratascene.sources.poses import frame_range, read_poses
-from stratascene.streaming.windows import fuse
 
 CASES = [
     ("on_top_of", (0.3, 0, 0.15), True, 0.44), ("on_top_of", (0.6, 0, 0.2), False, None), ("above", (0.6, 0, 0.5), True, 0.45), ("below", (0, 0.5, -0.4), True, 0.45), ("next_to", (0.6, 0, 0), True, 0.4),
@@ -87,16 +86,9 @@ def test_components_and_trees(spark):
     assert sorted((r.i, r.j) for r in spanning_trees(edges, labels).collect()) == [(1, 3), (2, 3), (5, 6)]
 
 
-def test_suppress_and_dbscan():
+def test_suppress():
     f = pd.DataFrame({"det": [1, 2, 3], "conf": [0.9, 0.8, 0.7], "x1": [0, 1, 20], "y1": [0, 1, 20], "x2": [10, 11, 30], "y2": [10, 11, 30]})
     assert mapping.suppress(f)["det"].tolist() == [1, 3]
-    points = np.array([[0, 0, 0], [0.1, 0, 0], [0.2, 0, 0], [5, 5, 5]], dtype=float)
-    assert mapping.dbscan(points, 0.15, 2).tolist() == [0, 0, 0, -1]
-
-
-def test_fuse_matches_the_objects_before_the_frame():
-    state = fuse([], [(0, 0, 0), (0.1, 0, 0)], 0.5)
-    assert len(state) == 2 and fuse(state, [(0, 0, 0)], 0.5)[0][3] == 2
 
 
 def test_pose_layouts(spark, tmp_path):

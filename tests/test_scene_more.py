@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratascene.functions import relations
+from stratascene.functions import relations, trees
 from stratascene.operators import graph, mapping, oriented, retrieval
 from stratascene.sources import poses, sinks
 from stratascene.streaming import windows
@@ -26,21 +26,6 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
     assert rows[("2024-01-01 00:00:00", "a")] in {(2, 3.0), (3, 11.0)}  # the late event counts only where its file came before the watermark
 
 
-@pytest.mark.parametrize("idle", [600_000])
-def test_incremental_map_as_a_stream(spark, tmp_path, idle):
-    schema = "scene_id long, frame_id long, seq long, x double, y double, z double"
-    frames = [[(1, 0, 0, 0.0, 0.0, 0.0), (1, 0, 1, 5.0, 0.0, 0.0), (2, 0, 0, 1.0, 1.0, 1.0)], [(1, 1, 0, 0.1, 0.0, 0.0), (1, 1, 1, 9.0, 0.0, 0.0)]]
-    for k, rows in enumerate(frames):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    q = windows.incremental_map(stream, 0.5, idle).writeStream.outputMode("update").format("memory").queryName(f"maps{idle}").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    last = {}
-    for r in spark.table(f"maps{idle}").collect():
-        last[r.scene_id] = max(last.get(r.scene_id, (0, 0)), (r.objects, r.detections))
-    assert last == {1: (3, 4), 2: (1, 1)}
-
-
 def test_sources(spark, tmp_path):
     m = [1, 0, 0, 2, 0, 1, 0, 3, 0, 0, 1, 4, 0, 0, 0, 1]
     (tmp_path / "one").mkdir()
@@ -131,14 +116,29 @@ def test_regions(spark):
 def test_counted_broadcasts(spark):
     blocks = relations.broadcast_blocks(spark.range(250), "id", most=100)
     assert len(blocks) == 3 and sum(b.count() for b in blocks) == 250
-    o = spark.createDataFrame([(k, float(k % 7), float(k % 5), 0.0) for k in range(30)], "obj_id long, cx double, cy double, cz double")
-    one = sorted(map(str, relations.relation_join(o, o, "left_of").collect()))
-    relations.BROADCAST_ROWS, before = 7, relations.BROADCAST_ROWS
-    try:
-        assert len(relations.broadcast_blocks(o, "obj_id", 7)) == 5
-    finally:
-        relations.BROADCAST_ROWS = before
-    assert one
+
+
+@pytest.mark.parametrize("name", ["in_front_of", "behind", "left_of", "right_of"])
+def test_directions_against_all_pairs(spark, monkeypatch, name):
+    r = random.Random(8)
+    place = lambda: (round(r.gauss(0, 2), r.choice([0, 3])), round(r.gauss(0, 2), r.choice([0, 3])))
+    o = [(k, *place(), 0.0) for k in range(400)] + [(1000 + k, 1.0, 1.0, 0.0) for k in range(30)] + [(2000, None, 1.0, 0.0), (2001, 50.0, 50.0, 0.0), (2002, -50.0, 0.0, 0.0)]
+    table = spark.createDataFrame(o, "obj_id long, cx double, cy double, cz double")
+
+    def rate(t, a):
+        dx, dy = t[1] - a[1], t[2] - a[2]
+        along, across = {"in_front_of": (dy, abs(dx)), "behind": (-dy, abs(dx)), "left_of": (-dx, abs(dy)), "right_of": (dx, abs(dy))}[name]
+        if along > 0 and across <= along:
+            return min(1, along / 2) * (max(0, 1 - across / along) if name in ("in_front_of", "behind") else 1)
+
+    known = [x for x in o if x[1] is not None]
+    want = {t[0]: round(max(s), 9) for t in known if (s := [x for x in (rate(t, a) for a in known) if x is not None])}
+    for most, block, fanout in ((4096, 64, 16), (10, 8, 4)):  # at once, and down several levels
+        monkeypatch.setattr(trees, "BROADCAST", most)
+        monkeypatch.setattr(trees, "BLOCK", block)
+        monkeypatch.setattr(trees, "FANOUT", fanout)
+        got = {x.obj_id: round(x.score, 9) for x in relations.relation_join(table, table, name).collect()}
+        assert got == want
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
