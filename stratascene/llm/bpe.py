@@ -22,10 +22,10 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, small_batches
+from .common import give_back, ship_package, small_batches
 
-#: Pre-tokens whose ids a worker remembers; a full memory is emptied, which costs time only.
-MEMORY = 600_000
+#: Pre-tokens whose ids a worker remembers, of so many characters at most; a full memory is emptied, which costs time only, and so is one of more than ``KEPT`` after a task.
+MEMORY, REMEMBERED, KEPT = 600_000, 100, 100_000
 #: Characters of one text that are cut into pre-tokens at once; bounds the memory for very long texts.
 SPAN = 1 << 18
 #: Parts the pre-tokens that one call encodes; stands for no byte.
@@ -136,6 +136,9 @@ class ByteBpe:
                     return self._encode_newer(text)
                 known |= self._ids(new)
                 ids = b"".join(map(known.__getitem__, words))
+                for w in new:
+                    if len(w) > REMEMBERED:
+                        known.pop(w, None)
             out.append(ids)
         return b"".join(out)
 
@@ -159,6 +162,12 @@ class ByteBpe:
                 words, size = [], 0
         yield words
 
+    def rest(self) -> None:
+        """After a task: the worker waits for another, of this stage or the next."""
+        if len(self.known) > KEPT:
+            self.known.clear()
+        give_back()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
@@ -182,6 +191,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         for batch in small_batches(batches):
             ids = [bpe.encode(x) if x else b"" for x in (y.as_py() for y in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], ["id", "ids", "decoded"])
+        bpe.rest()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).mapInArrow(run, "id long, ids binary, decoded binary")
 
@@ -203,5 +213,6 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.rest()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 #: Bytes of text that a task turns into Python objects at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
