@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relations import broadcast_blocks
 from ..functions.vectors import cosine, normalise
+from ..storage import cut
+from .kmeans import kmeans
 
 
 def vector_top_k(features: DataFrame, query: Column, k: int) -> DataFrame:
@@ -104,15 +104,21 @@ def mode_name(rows: DataFrame, key: str, name: str, order: str, stop: tuple[str,
     return counts.withColumn("r", F.row_number().over(best)).where("r = 1").select(key, "name")
 
 
-def kmeans_regions(objects: DataFrame, most: int = 10, weight: float = 0.3, seed: int = 42) -> DataFrame:
-    """``obj_id, region`` by k-means on places scaled to 0..1 and features to length ``weight``; between 2 and ``most`` regions, one if there are fewer than 3 objects."""
-    n = objects.count()
-    if n < 3:
-        return objects.select("obj_id", F.lit(0).alias("region"))
-    bounds = objects.agg(*(f(f"c{a}").alias(f"__{k}{a}") for a in "xyz" for k, f in (("lo", F.min), ("hi", F.max))))
-    placed = objects.crossJoin(F.broadcast(bounds))  # one row
-    place = [(F.col(f"c{a}") - F.col(f"__lo{a}")) / F.greatest(F.col(f"__hi{a}") - F.col(f"__lo{a}"), F.lit(1e-8)) for a in "xyz"]
-    x = F.concat(F.array(*place), F.transform(normalise(F.col("feat")), lambda v: v * weight))
-    rows = placed.select("obj_id", array_to_vector(x).alias("features"))
-    model = KMeans(k=min(most, max(2, int(n**0.5))), seed=seed).fit(rows)
-    return model.transform(rows).select("obj_id", F.col("prediction").alias("region"))
+def kmeans_regions(objects: DataFrame, regions: int | None = None, weight: float = 0.3, seed: int = 42, starts: int = 10) -> DataFrame:
+    """``obj_id, region`` by k-means on places scaled to 0..1 and features to length ``weight``; objects without a place have no region.
+
+    The number of regions is the root of that of objects, from 2 to 10. There is one region, of all, if there are fewer than 3 objects, or fewer with
+    a place than regions. A null feature counts as zeros.
+    """
+    one = objects.select("obj_id", F.lit(0).alias("region"))
+    placed = objects.where("cx IS NOT NULL AND cy IS NOT NULL AND cz IS NOT NULL")
+    row = placed.agg(*(f(f"c{a}") for a in "xyz" for f in (F.min, F.max)), F.max(F.size("feat")), F.count(F.lit(1))).first()
+    n, valid = objects.count(), row[-1]
+    k = regions or max(2, min(10, int(n**0.5)))
+    if n < 3 or valid < k:
+        return one
+    place = [(F.col(f"c{a}") - low) / (high - low + 1e-8) for a, low, high in zip("xyz", row[:-2:2], row[1:-2:2])]
+    zeros = F.array_repeat(F.lit(0.0), max(row[-2] or 0, 0))
+    x = F.concat(F.array(*place), F.coalesce(F.transform(normalise(F.col("feat")), lambda v: v * weight), zeros))
+    rows = cut(placed.select(F.col("obj_id").cast("long").alias("id"), x.alias("x")), "places")
+    return kmeans(rows, k, starts, seed=seed).select(F.col("id").alias("obj_id"), F.col("cluster").alias("region"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relations import norm, radius_join
+from ..storage import cut
 
 MAX_DISTANCE = 5.0
 IMAGE_WIDTH, IMAGE_HEIGHT, FOCAL = 1200.0, 680.0, 600.0
@@ -50,24 +51,22 @@ def top_per(rows: DataFrame, key: str, k: int, tie: str, min_score: float | None
 def joint_coverage(scores: DataFrame, k: int) -> DataFrame:
     """``round, view_id, gain``: ``k`` views chosen one after another, each the one that adds most to what objects are covered by.
 
-    A round is a join with the cover so far and a top-1; a round without gain ends the list. Ties go to the lowest view.
+    A round is a join with the cover so far and a top-1; a round without gain ends the list. Ties go to the lowest view. The scores and each round's view and
+    cover are written, so that the work grows with the rounds.
     """
+    scores = cut(scores.select("obj_id", "view_id", "score"), "scores")
     chosen: list[DataFrame] = []
     cover = scores.select("obj_id").distinct().withColumn("covered", F.lit(0.0))
     for n in range(1, k + 1):
         gains = scores.join(cover, "obj_id").groupBy("view_id").agg(F.sum(F.greatest(F.lit(0.0), F.col("score") - F.col("covered"))).alias("gain"))
-        best = gains.where("gain > 0").orderBy(F.col("gain").desc(), "view_id").limit(1).withColumn("round", F.lit(n))
-        chosen.append(best.select("round", "view_id", "gain"))
+        best = cut(gains.where("gain > 0").orderBy(F.col("gain").desc(), "view_id").limit(1).withColumn("round", F.lit(n)).select("round", "view_id", "gain"), "view")
+        chosen.append(best)
         added = scores.join(F.broadcast(best.select("view_id")), "view_id").select("obj_id", F.col("score").alias("added"))  # one view
-        cover = cover.join(added, "obj_id", "left").select("obj_id", F.greatest("covered", F.coalesce("added", F.lit(0.0))).alias("covered"))
+        if n < k:
+            cover = cut(cover.join(added, "obj_id", "left").select("obj_id", F.greatest("covered", F.coalesce("added", F.lit(0.0))).alias("covered")), "cover")
     return reduce(DataFrame.unionByName, chosen)
 
 
-def scene_indices(objects: DataFrame, poses: DataFrame, features: DataFrame, points: DataFrame) -> dict[str, DataFrame]:
-    """The tables that searches use, by name; none is computed before it is read."""
-    return {"features": features.where("feat IS NOT NULL"), "points": points, "regions": features.select("region").distinct(), "visibility": visibility(objects, poses)}
-
-
 def _geometric(objects: DataFrame, poses: DataFrame) -> DataFrame:
     """``obj_id, view_id, geo`` of views within reach: how near an object is and how far it is ahead."""
     d = norm(F.col("cx") - F.col("px"), F.col("cy") - F.col("py"), F.col("cz") - F.col("pz"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import boxes
 from .functions.relations import norm, radius_join
-from .functions.vectors import cosine
 from .operators import graph, mapping
+from .operators.vector_join import top_k_join
 from .registry import query
 from .registry import rounded as _r
 from .sources.adapters import scene
@@ -78,18 +78,14 @@ def spatial_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlaps(spark, sf_dir).select("i", "j", _r("iou", "iou"), _r("ratio", "overlap"))
 
 
-@query("visual_similarity", ", f AS (SELECT * FROM features WHERE obj_id <= 60) SELECT a.obj_id AS i, b.obj_id AS j, round(list_dot_product(a.feat, b.feat) / (sqrt(list_dot_product(a.feat, a.feat)) * sqrt(list_dot_product(b.feat, b.feat))), 6) AS sim FROM f a, f b WHERE a.obj_id % 2 = 0 AND b.obj_id % 2 = 1", "features")
+_COS = "round(list_dot_product(a.feat, b.feat) / (sqrt(list_dot_product(a.feat, a.feat)) * sqrt(list_dot_product(b.feat, b.feat))), 9)"
+
+
+@query("visual_similarity", f" SELECT a.obj_id AS det_id, b.obj_id, round({_COS}, 6) AS sim, (row_number() OVER w)::INTEGER AS rank FROM features a, features b WHERE a.obj_id % 2 = 0 AND b.obj_id % 2 = 1 WINDOW w AS (PARTITION BY a.obj_id ORDER BY {_COS} DESC, b.obj_id) QUALIFY rank <= 5", "features")
 def visual_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix of likenesses between detections and objects; objects are broadcast, a counted block at a time."""
-    from .functions.relations import broadcast_blocks
-
-    f = scene(spark, sf_dir, "features").where("obj_id <= 60")
-    b = f.where("obj_id % 2 = 1").select(F.col("obj_id").alias("j"), F.col("feat").alias("other"))
-    parts = [f.where("obj_id % 2 = 0").crossJoin(block).select(F.col("obj_id").alias("i"), "j", _r(cosine(F.col("feat"), F.col("other")), "sim")) for block in broadcast_blocks(b, "j")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The five objects that look most like each detection."""
+    f = scene(spark, sf_dir, "features")
+    return top_k_join(f.where("obj_id % 2 = 0").withColumnRenamed("obj_id", "det_id"), f.where("obj_id % 2 = 1"), 5).select("det_id", "obj_id", _r("sim", "sim"), "rank")
 
 
 @query("graph_relations", f", {_PAIRS} SELECT i, j, CASE WHEN a.cz - b.cz > (a.ez + b.ez) / 4 THEN 'a on b' ELSE 'b on a' END AS relation FROM p JOIN objects a ON a.obj_id = i JOIN objects b ON b.obj_id = j WHERE abs(a.cz - b.cz) > (a.ez + b.ez) / 4", "objects")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import views
 from .registry import query
 from .registry import rounded as _r
-from .sources import sinks
+from .sources import indices, sinks, spatial_index
 from .sources.adapters import scene
 from .storage import shared_path
 
@@ -111,12 +110,38 @@ def sampled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scene(spark, sf_dir, "points").select("pt", key.alias("key")).where("key % 10 = 3")
 
 
-@query("indices", ", v AS (SELECT obj_id, view_id FROM objects, poses WHERE 1 - sqrt((cx - px) * (cx - px) + (cy - py) * (cy - py) + (cz - pz) * (cz - pz)) / 5.0 >= 0.1) SELECT 'features' AS name, count(*) AS n FROM features UNION ALL SELECT 'points', count(*) FROM points UNION ALL SELECT 'regions', count(DISTINCT region) FROM features UNION ALL SELECT 'visibility', count(*) FROM v", "objects", "poses", "features", "points")
-def indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All indices of a scene, which are DataFrames, and their sizes."""
-    tables = views.scene_indices(*(scene(spark, sf_dir, n) for n in ("objects", "poses", "features", "points")))
+_SEEN = "v AS (SELECT obj_id, view_id FROM objects, poses WHERE 1 - sqrt((cx - px) * (cx - px) + (cy - py) * (cy - py) + (cz - pz) * (cz - pz)) / 5.0 >= 0.1)"
+
+
+@query("indices", f", {_SEEN} SELECT 'features' AS name, count(*) AS n FROM features UNION ALL SELECT 'points', count(*) FROM points UNION ALL SELECT 'places', count(*) FROM objects UNION ALL SELECT 'regions', count(DISTINCT region) FROM features UNION ALL SELECT 'views_of', sum(least(n, 50))::BIGINT FROM (SELECT count(*) AS n FROM v GROUP BY obj_id) UNION ALL SELECT 'objects_in', sum(least(n, 50))::BIGINT FROM (SELECT count(*) AS n FROM v GROUP BY view_id)", "objects", "poses", "features", "points")
+def all_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All indices of a scene, built, opened again, and their sizes."""
+    path = shared_path(spark, "indices")
+    objects, poses, features, points = (scene(spark, sf_dir, n) for n in ("objects", "poses", "features", "points"))
+    indices.build_indices(objects, poses, features, points, path, regions=features.select("obj_id", "region"), rows_per_file=10_000)
+    i = indices.open_indices(spark, path)
+    tables = {"features": i.features, "points": i.points.files, "places": i.places.files, "regions": i.region_features, "views_of": i.views_of, "objects_in": i.objects_in}
     out = None
     for name, df in tables.items():
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        one = df.agg((F.sum("n") if "file" in df.columns else F.count(F.lit(1))).alias("n")).select(F.lit(name).alias("name"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_AT = "sqrt((x - 5.0) * (x - 5.0) + (y - 5.0) * (y - 5.0) + (z - 1.0) * (z - 1.0))"
+
+
+def _points_index(spark: SparkSession, sf_dir: str) -> spatial_index.SpatialIndex:
+    return spatial_index.build(scene(spark, sf_dir, "points"), shared_path(spark, "points"), rows_per_file=4000)
+
+
+@query("indexed_ball", f"SELECT obj_id, pt, round({_AT}, 6) AS distance FROM points WHERE {_AT} <= 1.5", "points")
+def indexed_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index that is built of all points has within reach of a place."""
+    return _points_index(spark, sf_dir).ball((5.0, 5.0, 1.0), 1.5).select("obj_id", "pt", F.round("distance", 6).alias("distance"))
+
+
+@query("indexed_nearest", f"SELECT round({_AT}, 6) AS distance FROM points ORDER BY {_AT} LIMIT 30", "points")
+def indexed_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thirty points of an index that are nearest to a place."""
+    return _points_index(spark, sf_dir).nearest((5.0, 5.0, 1.0), 30).select(F.round("distance", 6).alias("distance"))

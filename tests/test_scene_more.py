@@ -105,14 +105,6 @@ def test_components_and_folds(spark):
         assert x.n == want[x.obj_id][0] and np.allclose(x.feat, want[x.obj_id][1])
 
 
-def test_regions(spark):
-    rows = [(k, float(k % 2) * 9 + k / 100, 0.0, 0.0, [1.0, float(k % 2)]) for k in range(30)]
-    df = spark.createDataFrame(rows, "obj_id long, cx double, cy double, cz double, feat array<double>")
-    got = {x.obj_id: x.region for x in retrieval.kmeans_regions(df, most=2).collect()}
-    assert len({got[k] for k in range(0, 30, 2)}) == 1 and len(set(got.values())) == 2
-    assert {x.region for x in retrieval.kmeans_regions(df.limit(2)).collect()} == {0}
-
-
 def test_counted_broadcasts(spark):
     blocks = relations.broadcast_blocks(spark.range(250), "id", most=100)
     assert len(blocks) == 3 and sum(b.count() for b in blocks) == 250
