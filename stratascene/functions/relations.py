@@ -26,8 +26,28 @@ ALIASES = {
 }
 _BY_ALIAS = {a: k for k, names in ALIASES.items() for a in names}
 
-#: Horizontal reach of relations that have one: a join needs to look no further.
-REACH = {"on_top_of": 0.5, "above": 1.0, "below": 1.0, "next_to": 1.0, "near": 2.0, "around": 2.0, "against": 0.5}
+#: Directions: the axis along which they look and its sign, and the axis across.
+_DIRECTIONS = {"in_front_of": ("y", 1, "x"), "behind": ("y", -1, "x"), "left_of": ("x", -1, "y"), "right_of": ("x", 1, "y")}
+# Thresholds of relations, in metres.
+THRESHOLDS = {
+    "on_top_of": {"max_horizontal": 0.5, "min_vertical": 0.0}, "above": {"max_horizontal": 1.0, "min_vertical": 0.1}, "below": {"max_horizontal": 1.0, "max_vertical": -0.1},
+    "next_to": {"max_distance": 1.0}, "near": {"max_distance": 2.0}, "against": {"max_distance": 0.5}, "inside": {"margin": 0.1}, "between": {"max_distance_ratio": 0.3},
+}
+Thresholds = dict[str, dict[str, float]]
+
+
+def thresholds_of(name: str, custom: Thresholds | None = None) -> dict[str, float]:
+    """The thresholds of a relation, some replaced by one's own; a relation without any has those of near."""
+    key = name if name in THRESHOLDS else "near"
+    return THRESHOLDS[key] | (custom or {}).get(key, {}) | (custom or {}).get(name, {})
+
+
+def reach_of(name: str, custom: Thresholds | None = None) -> float | None:
+    """How far apart a relation's objects are at most, horizontally: a join needs to look no further. None for directions."""
+    if name in _DIRECTIONS:
+        return None
+    t = thresholds_of(name, custom)
+    return t.get("max_horizontal", t.get("max_distance"))
 
 
 def canonical(relation: str) -> str | None:
@@ -42,22 +62,19 @@ def norm(*parts: Column) -> Column:
     return F.sqrt(total)
 
 
-def relation(name: str, d: tuple[Column, Column, Column]) -> tuple[Column, Column]:
+def relation(name: str, d: tuple[Column, Column, Column], custom: Thresholds | None = None) -> tuple[Column, Column]:
     """Whether a displacement (target less anchor) satisfies a relation, and its score in 0..1. An unknown name means near."""
     dx, dy, dz = d
+    t = thresholds_of(name, custom)
     h, r = norm(dx, dy), norm(dx, dy, dz)
     zero, one = F.lit(0.0), F.lit(1.0)
     ramp = lambda x: F.greatest(zero, 1 - x)
     if name == "on_top_of":
-        return (dz >= 0) & (h <= 0.5), 0.6 * ramp(h / 0.5) + 0.4 * F.least(one, dz / 0.3)
+        return (dz >= t["min_vertical"]) & (h <= t["max_horizontal"]), 0.6 * ramp(h / t["max_horizontal"]) + 0.4 * F.least(one, dz / 0.3)
     if name == "above":
-        return (dz >= 0.1) & (h <= 1), 0.5 * ramp(h) + 0.5 * F.least(one, dz)
+        return (dz >= t["min_vertical"]) & (h <= t["max_horizontal"]), 0.5 * ramp(h / t["max_horizontal"]) + 0.5 * F.least(one, dz)
     if name == "below":
-        return (dz <= -0.1) & (h <= 1), 0.5 * ramp(h) + 0.5 * F.least(one, F.abs(dz))
-    if name == "next_to":
-        return r <= 1, ramp(r)
-    if name == "against":
-        return r <= 0.5, ramp(r / 0.5)
+        return (dz <= t["max_vertical"]) & (h <= t["max_horizontal"]), 0.5 * ramp(h / t["max_horizontal"]) + 0.5 * F.least(one, F.abs(dz))
     if name == "in_front_of":
         return (dy > 0) & (F.abs(dx) <= dy), F.least(one, dy / 2) * ramp(F.abs(dx) / dy)
     if name == "behind":
@@ -66,7 +83,7 @@ def relation(name: str, d: tuple[Column, Column, Column]) -> tuple[Column, Colum
         return (dx < 0) & (F.abs(dy) <= F.abs(dx)), F.least(one, F.abs(dx) / 2)
     if name == "right_of":
         return (dx > 0) & (F.abs(dy) <= F.abs(dx)), F.least(one, F.abs(dx) / 2)
-    return r <= 2, ramp(r / 2)
+    return r <= t["max_distance"], ramp(r / t["max_distance"])
 
 
 def inside(t: tuple[Column, ...], c: tuple[Column, ...], size: tuple[Column, ...], margin: float = 0.1) -> tuple[Column, Column]:
@@ -80,7 +97,7 @@ def inside(t: tuple[Column, ...], c: tuple[Column, ...], size: tuple[Column, ...
     return ok, F.greatest(F.lit(0.0), 1 - total / 3)
 
 
-def between(t: tuple[Column, ...], a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, Column]:
+def between(t: tuple[Column, ...], a: tuple[Column, ...], b: tuple[Column, ...], ratio: float = 0.3) -> tuple[Column, Column]:
     """Whether a point lies between two others: its projection on their line within them, and near enough to the line."""
     ab = [q - p for p, q in zip(a, b)]
     at = [q - p for p, q in zip(a, t)]
@@ -88,8 +105,8 @@ def between(t: tuple[Column, ...], a: tuple[Column, ...], b: tuple[Column, ...])
     safe = F.when(length >= 1e-6, length)
     proj = (at[0] * ab[0] + at[1] * ab[1] + at[2] * ab[2]) / safe
     off = norm(*(x - proj * y / safe for x, y in zip(at, ab)))
-    ok = (length >= 1e-6) & (proj >= 0) & (proj <= length) & (off <= 0.3 * length)
-    return F.coalesce(ok, F.lit(False)), 0.5 * (1 - F.abs(proj - length / 2) / (length / 2)) + 0.5 * (1 - off / (0.3 * length))
+    ok = (length >= 1e-6) & (proj >= 0) & (proj <= length) & (off <= ratio * length)
+    return F.coalesce(ok, F.lit(False)), 0.5 * (1 - F.abs(proj - length / 2) / (length / 2)) + 0.5 * (1 - off / (ratio * length))
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -142,10 +159,6 @@ def broadcast_blocks(side: DataFrame, by: str, most: int = BROADCAST_ROWS) -> li
     return [F.broadcast(side if parts == 1 else side.where(F.pmod(F.xxhash64(by), F.lit(parts)) == k)) for k in range(parts)]
 
 
-#: Directions: the axis along which they look and its sign, and the axis across.
-_DIRECTIONS = {"in_front_of": ("y", 1, "x"), "behind": ("y", -1, "x"), "left_of": ("x", -1, "y"), "right_of": ("x", 1, "y")}
-
-
 def direction_join(targets: DataFrame, anchors: DataFrame, name: str) -> DataFrame:
     """``obj_id, score``: targets (``obj_id, cx, cy``) that lie in a direction of any anchor (``ax, ay``), with their best score.
 
@@ -171,7 +184,7 @@ def direction_join(targets: DataFrame, anchors: DataFrame, name: str) -> DataFra
     return best_scores(places.distinct(), points, "obj_id", ("p", "q"), score, bounds)
 
 
-def relation_join(targets: DataFrame, anchors: DataFrame, name: str, exclude_self: bool = False) -> DataFrame:
+def relation_join(targets: DataFrame, anchors: DataFrame, name: str, exclude_self: bool = False, thresholds: Thresholds | None = None) -> DataFrame:
     """``obj_id, score``: targets that satisfy a relation with any anchor, with their best score.
 
     Both sides have ``obj_id, cx, cy, cz`` (and ``ex, ey, ez`` for inside). Relations with a reach are joined on a grid, that of
@@ -180,15 +193,15 @@ def relation_join(targets: DataFrame, anchors: DataFrame, name: str, exclude_sel
     key = canonical(name) or "near"
     a = anchors.select(F.col("obj_id").alias("a_id"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("cz").alias("az"), *([F.col(c).alias(f"a_{c}") for c in ("ex", "ey", "ez")] if key == "inside" else []))
     if key == "inside":
-        ok, score = inside((F.col("cx"), F.col("cy"), F.col("cz")), (F.col("ax"), F.col("ay"), F.col("az")), (F.col("a_ex"), F.col("a_ey"), F.col("a_ez")))
+        ok, score = inside((F.col("cx"), F.col("cy"), F.col("cz")), (F.col("ax"), F.col("ay"), F.col("az")), (F.col("a_ex"), F.col("a_ey"), F.col("a_ez")), thresholds_of("inside", thresholds)["margin"])
     else:
-        ok, score = relation(key, (F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay"), F.col("cz") - F.col("az")))
+        ok, score = relation(key, (F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay"), F.col("cz") - F.col("az")), thresholds)
     if exclude_self:
         ok = ok & (F.col("obj_id") != F.col("a_id"))
-    reach = REACH.get(key)
+    reach = reach_of(key, thresholds)
     if key == "inside":
         largest = a.agg(F.max(F.greatest("a_ex", "a_ey"))).first()[0]
-        reach = (largest or 0.0) / 2 + 0.2
+        reach = (largest or 0.0) / 2 + 2 * thresholds_of("inside", thresholds)["margin"]
     if reach is not None:
         return radius_join(targets, a, reach, ok, ("cx", "cy"), ("ax", "ay")).groupBy("obj_id").agg(F.max(score).alias("score"))
     return direction_join(targets, a, key)

@@ -47,6 +47,38 @@ def filter_type(relation: str | None) -> str | None:
     return _FILTERS.get(relation or "")
 
 
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+
+
+def relations_named(words: Column) -> tuple[Column, Column]:
+    """The relation that words in a column name, and its kind of pre-filter; null where there is none."""
+    w = F.replace(F.lower(F.trim(words)), F.lit(" "), F.lit("_"))
+    relation = _looked_up({r: r for r in RELATIONS} | RELATION_NAMES, w)
+    return relation, _looked_up(_FILTERS, relation)
+
+
+def strategy_of(kind: Column) -> Column:
+    """``views, max_views, style`` for a type of question in a column; an unknown one counts as that of one object."""
+    parts = []
+    for k, name in enumerate(("views", "max_views", "style")):
+        found = _looked_up({t: str(s[k]) for t, s in STRATEGIES.items()}, F.lower(F.trim(kind)))
+        parts.append(F.coalesce(found, F.lit(str(STRATEGIES["simple_object"][k]))).cast("int" if k == 1 else "string").alias(name))
+    return F.struct(*parts)
+
+
+def mentions(texts: DataFrame, names: DataFrame, key: str = "k", text: str = "text", name: str = "category") -> DataFrame:
+    """``key, name, n``: at how many places texts have a name's words, whole and one after another, in any case.
+
+    Words meet names by an equi-join on a name's first word, so that names may be many.
+    """
+    split = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\w+"), F.lit(0))
+    said = texts.select(key, split(F.col(text)).alias("__words")).select(key, "__words", F.posexplode("__words").alias("__at", "__first"))
+    known = names.select(name).distinct().withColumn("__parts", split(F.col(name))).where(F.size("__parts") > 0).withColumn("__first", F.col("__parts")[0])
+    whole = said.join(known, "__first").where(F.slice("__words", F.col("__at") + 1, F.size("__parts")) == F.col("__parts"))
+    return whole.groupBy(key, name).agg(F.count(F.lit(1)).alias("n"))
+
+
 def find_objects(objects: DataFrame, term: str, k: int, features: DataFrame | None = None, vector: Column | None = None, least: float = 0.2) -> DataFrame:
     """``obj_id`` of ``k`` objects whose category is in the term or has it in it; if none is, those closest to a vector above ``least``."""
     t, name = term.strip().lower(), F.lower("category")

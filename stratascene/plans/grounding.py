@@ -1,17 +1,21 @@
 """Nested spatial questions as data, compiled to one DataFrame plan.
 
-A ``Node`` asks for objects of a category; constraints relate them to the answers of other nodes, a select picks by rank. Nodes
-that are asked twice share one DataFrame.
+A ``Node`` asks for objects of a category; constraints relate them to the answers of other nodes, a select picks by rank. A node that
+is asked for more than once is computed once and written.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.relations import between, canonical, nearest_join, norm, relation_join
+from ..functions.relations import Thresholds, between, canonical, nearest_join, norm, relation_join, thresholds_of
+from ..functions.vectors import cosine, literal
+from ..storage import cut
 
 # Words that count as a colour.
 COLOURS = {
@@ -75,14 +79,27 @@ def superlative_query(target: str, metric: str, order: str) -> Node:
     return Node(target, select=Select("superlative", metric, order))
 
 
-def category_scan(objects: DataFrame, category: str, synonyms: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """Objects of the first stage that finds any: the same name, a part of the name either way round, a synonym."""
-    q, name = category.strip().lower(), F.lower("category")
-    others = [s.lower() for s in (synonyms or {}).get(q, ())]
+def _named(objects: DataFrame) -> F.Column:
+    """An object's tag, or its category where it has none, in lower case."""
+    category = F.lower("category")
+    return F.coalesce(F.nullif(F.lower(F.trim("object_tag")), F.lit("")), category) if "object_tag" in objects.columns else category
+
+
+def category_scan(objects: DataFrame, category: str, synonyms: dict[str, tuple[str, ...]] | None = None, features: DataFrame | None = None, query: F.Column | None = None, k: int = 10, least: float = 0.2) -> DataFrame:
+    """Objects of the first stage that finds any: the same name, a part of the name either way round, a synonym, the look.
+
+    The look is asked for last, if there are ``features`` and the ``query`` vector of the words: the ``k`` objects most like it, if above ``least``.
+    """
+    q, name = category.strip().lower(), _named(objects)
+    others = [s.lower() for s in (SYNONYMS if synonyms is None else synonyms).get(q, ())]
     stage = F.when(name == q, 1).when(name.contains(q) | F.lit(q).contains(name), 2)
     if others:
         stage = stage.when(name.isin(others), 3)
     staged = objects.withColumn("__stage", stage).where("__stage IS NOT NULL")
+    if features is not None and query is not None:
+        look = features.where("feat IS NOT NULL").join(objects.select("obj_id"), "obj_id", "left_semi").select("obj_id", cosine(F.col("feat"), query).alias("__sim"))
+        look = look.orderBy(F.col("__sim").desc(), "obj_id").limit(k).where(F.col("__sim") > least).select("obj_id")
+        staged = staged.unionByName(objects.join(F.broadcast(look), "obj_id", "left_semi").withColumn("__stage", F.lit(4)))  # k rows
     first = staged.agg(F.min("__stage").alias("__first"))
     return staged.join(F.broadcast(first), F.col("__stage") == F.col("__first")).drop("__stage", "__first")  # one row
 
@@ -144,15 +161,43 @@ def _metric(name: str) -> F.Column | None:
 
 
 class Grounding:
-    """Answers of nodes over one table of objects (``obj_id, category, attr, cx..cz, ex..ez``), with a ``score``."""
+    """Answers of nodes over one table of objects (``obj_id, category, attr, cx..cz, ex..ez``, and ``object_tag`` if there is one), with a ``score``.
 
-    def __init__(self, objects: DataFrame, quick_filters: bool = True, synonyms: dict[str, tuple[str, ...]] | None = None) -> None:
+    ``synonyms`` replace the table of names; ``features`` and ``encoder``, which makes a vector of words, find categories by their look; an encoder that fails finds
+    nothing. ``thresholds`` replace those of relations.
+    """
+
+    def __init__(self, objects: DataFrame, quick_filters: bool = True, synonyms: dict[str, tuple[str, ...]] | None = None, features: DataFrame | None = None, encoder: Callable[[str], list[float] | None] | None = None, thresholds: Thresholds | None = None) -> None:
         self.objects, self.quick, self.synonyms = objects, quick_filters, synonyms
+        self.features, self.encoder, self.thresholds = features, encoder, thresholds
         self.done: dict[Node, DataFrame] = {}
+        self.asked: Counter[Node] = Counter()
+
+    def _count(self, node: Node) -> None:
+        self.asked[node] += 1
+        if self.asked[node] == 1:
+            for _, anchors in node.constraints:
+                for a in anchors:
+                    self._count(a)
+            if node.select and node.select.reference is not None:
+                self._count(node.select.reference)
+
+    def _look(self, words: str) -> F.Column | None:
+        try:
+            vector = self.encoder(words) if self.encoder and self.features is not None else None
+        except Exception:  # whatever an encoder raises: its words find nothing by their look
+            vector = None
+        return None if vector is None else literal([float(v) for v in vector])
 
     def answers(self, node: Node) -> DataFrame:
+        """The answers of a node, and of those that it asks for."""
+        if node not in self.done:
+            self._count(node)
+        return self._answers(node)
+
+    def _answers(self, node: Node) -> DataFrame:
         if node not in self.done:
-            rows = category_scan(self.objects, node.category, self.synonyms)
+            rows = category_scan(self.objects, node.category, self.synonyms, self.features, self._look(node.category))
             for word in node.attributes:
                 if word.lower() in _FAMILY:
                     rows = colour_filter(rows, word)
@@ -161,11 +206,11 @@ class Grounding:
                 rows = self._constrain(rows, name, anchors)
             if node.select:
                 rows = self._select(rows, node.select)
-            self.done[node] = rows
+            self.done[node] = cut(rows, "node") if self.asked[node] > 1 else rows
         return self.done[node]
 
     def _constrain(self, rows: DataFrame, name: str, anchors: tuple[Node, ...]) -> DataFrame:
-        found = [self.answers(a).select("obj_id", "cx", "cy", "cz", "ex", "ey", "ez") for a in anchors]
+        found = [self._answers(a).select("obj_id", "cx", "cy", "cz", "ex", "ey", "ez") for a in anchors]
         every = found[0]
         for f in found[1:]:
             every = every.unionByName(f)
@@ -175,10 +220,10 @@ class Grounding:
             joined = kept
             for f in firsts:
                 joined = joined.crossJoin(F.broadcast(f))  # one row each
-            ok, best = between(tuple(F.col(c) for c in ("cx", "cy", "cz")), tuple(F.col(f"__{c}0") for c in ("cx", "cy", "cz")), tuple(F.col(f"__{c}1") for c in ("cx", "cy", "cz")))
+            ok, best = between(tuple(F.col(c) for c in ("cx", "cy", "cz")), tuple(F.col(f"__{c}0") for c in ("cx", "cy", "cz")), tuple(F.col(f"__{c}1") for c in ("cx", "cy", "cz")), thresholds_of("between", self.thresholds)["max_distance_ratio"])
             scored = joined.where(ok).select("obj_id", best.alias("__s"))
         else:
-            scored = relation_join(kept.select("obj_id", "cx", "cy", "cz"), every, name).withColumnRenamed("score", "__s")
+            scored = relation_join(kept.select("obj_id", "cx", "cy", "cz"), every, name, thresholds=self.thresholds).withColumnRenamed("score", "__s")
         # without any anchor the constraint says nothing
         none = every.agg((F.count(F.lit(1)) == 0).alias("__none"))
         out = rows.join(scored, "obj_id", "left").crossJoin(F.broadcast(none)).where("__s IS NOT NULL OR __none")
@@ -187,7 +232,7 @@ class Grounding:
     def _select(self, rows: DataFrame, select: Select) -> DataFrame:
         metric = _metric(select.metric)
         if select.metric == "distance" and select.reference is not None:
-            refs = self.answers(select.reference).select(F.col("obj_id").alias("ref_id"), "cx", "cy", "cz")
+            refs = self._answers(select.reference).select(F.col("obj_id").alias("ref_id"), "cx", "cy", "cz")
             near = nearest_join(rows.select("obj_id", "cx", "cy", "cz"), refs, "obj_id", "ref_id", ("cx", "cy", "cz"), ("cx", "cy", "cz")).select("obj_id", F.col("distance").alias("__m"))
             rows, metric = rows.join(near, "obj_id"), F.col("__m")
         if select.kind == "comparative":  # its reference is evaluated and changes nothing

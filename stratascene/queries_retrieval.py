@@ -33,6 +33,32 @@ def category_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return category_scan(scene(spark, sf_dir, "objects"), "cogwheel", {"cogwheel": ("gear", "ring")}).select("obj_id", "category")
 
 
+@query("default_synonyms", "SELECT obj_id, category FROM (SELECT obj_id, replace(replace(category, 'gear', 'sofa'), 'bolt', 'television') AS category FROM objects) WHERE category = 'sofa'", "objects")
+def default_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No object is called a couch, but some are sofas."""
+    o = scene(spark, sf_dir, "objects").withColumn("category", F.expr("replace(replace(category, 'gear', 'sofa'), 'bolt', 'television')"))
+    return Grounding(o).answers(Node("Couch")).select("obj_id", "category")
+
+
+@query("tagged_objects", "SELECT obj_id FROM objects WHERE obj_id % 3 = 0 AND category = 'gear' OR obj_id % 3 <> 0 AND category = 'ring'", "objects")
+def tagged_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object's tag counts before its category; an empty one doesn't."""
+    tag = F.when(F.col("obj_id") % 3 == 0, F.when(F.col("category") == "gear", "RING").otherwise("thing")).otherwise("")
+    return Grounding(scene(spark, sf_dir, "objects").withColumn("object_tag", tag)).answers(Node("ring")).select("obj_id")
+
+
+@query("ground_by_look", f"SELECT obj_id FROM (SELECT obj_id, {_SIM} AS sim FROM features JOIN objects USING (obj_id) ORDER BY {_SIM} DESC, obj_id LIMIT 10) WHERE sim > 0.2", "features", "objects")
+def ground_by_look(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that name nothing find objects by the vector that an encoder makes of them."""
+    return Grounding(scene(spark, sf_dir, "objects"), features=scene(spark, sf_dir, "features"), encoder=lambda words: _Q if words == "unicorn" else None).answers(Node("unicorn")).select("obj_id")
+
+
+@query("ground_own_thresholds", f"SELECT obj_id, round(max(greatest(0.0, 1 - sqrt(dx * dx + dy * dy + dz * dz) / 3.5)), 6) AS score FROM ({_D}) WHERE sqrt(dx * dx + dy * dy + dz * dz) <= 3.5 GROUP BY obj_id", "objects")
+def ground_own_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near by one's own measure."""
+    return Grounding(scene(spark, sf_dir, "objects"), quick_filters=False, thresholds={"near": {"max_distance": 3.5}}).answers(spatial_query("bolt", "close to", "anvil")).select("obj_id", _r("score", "score"))
+
+
 @query("colour_word", ", q AS (SELECT obj_id, contains(lower(attr || ' ' || category), 'green') AS ok FROM objects WHERE category = 'gear') SELECT obj_id FROM q WHERE ok OR NOT (SELECT bool_or(ok) FROM q)", "objects")
 def colour_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribute_filter(scene(spark, sf_dir, "objects").where("category = 'gear'"), "green").select("obj_id")
@@ -93,10 +119,14 @@ def ground_ordinal_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Grounding(scene(spark, sf_dir, "objects")).answers(Node("ring", select=Select("ordinal", "x", "asc", 1_000_000))).select("obj_id")
 
 
-@query("relation_types", "SELECT * FROM (VALUES ('on top of', 'on', 'vertical'), ('under', 'below', 'vertical'), ('nearby', 'near', 'distance'), ('adjacent', 'next_to', 'distance'), ('to the left of', 'left_of', NULL), ('in back of', 'behind', NULL), ('in between', 'between', NULL), ('hanging from', NULL, NULL)) v(words, relation, filter)")
+_WORDS = "CASE event_id % 8 WHEN 0 THEN 'on top of' WHEN 1 THEN ' Under' WHEN 2 THEN 'nearby' WHEN 3 THEN 'adjacent' WHEN 4 THEN 'to the left of' WHEN 5 THEN 'in back of' WHEN 6 THEN 'in between' ELSE 'hanging from' END"
+
+
+@query("relation_types", f"SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'on' WHEN 1 THEN 'below' WHEN 2 THEN 'near' WHEN 3 THEN 'next_to' WHEN 4 THEN 'left_of' WHEN 5 THEN 'behind' WHEN 6 THEN 'between' END AS relation, CASE event_id % 8 WHEN 0 THEN 'vertical' WHEN 1 THEN 'vertical' WHEN 2 THEN 'distance' WHEN 3 THEN 'distance' END AS filter FROM events")
 def relation_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = ("on top of", "under", "nearby", "adjacent", "to the left of", "in back of", "in between", "hanging from")
-    return spark.createDataFrame([(w, K.relation_name(w), K.filter_type(K.relation_name(w))) for w in words], "words string, relation string, filter string")
+    """The relations that words name, and whether a pre-filter can decide them."""
+    relation, kind = K.relations_named(F.expr(_WORDS))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", relation.alias("relation"), kind.alias("filter"))
 
 
 _ANCHOR = ", a AS (SELECT * FROM objects WHERE category = 'anvil' ORDER BY obj_id LIMIT 1), c AS (SELECT o.obj_id, sqrt((o.cx - a.cx) * (o.cx - a.cx) + (o.cy - a.cy) * (o.cy - a.cy) + (o.cz - a.cz) * (o.cz - a.cz)) AS d FROM objects o, a WHERE o.category = 'bolt') "
@@ -177,13 +207,11 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", K.parsed_reply(F.col("reply")).alias("p"), K.tag_of(F.col("reply")).alias("tag")).select("event_id", "p.picked", "p.confidence", "tag")
 
 
-@query("reply_mentions", "WITH o AS (SELECT p_partkey % 25 AS k, 'the ' || p_name || ' by the ' || split_part(p_name, ' ', 2) AS text FROM part), c AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS category FROM part), n AS (SELECT k, category, sum((length(text) - length(replace(text, category, ''))) // length(category))::BIGINT AS n FROM o, c GROUP BY ALL) SELECT k, category, n FROM n WHERE n > 0")
+@query("reply_mentions", "WITH o AS (SELECT p_partkey % 25 AS k, 'the ' || p_name || ' by the ' || split_part(p_name, ' ', 2) AS text FROM part), w AS (SELECT k, unnest(string_split(text, ' ')) AS word FROM o), c AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS category FROM part) SELECT k, category, count(*) AS n FROM w JOIN c ON c.category = w.word GROUP BY ALL")
 def reply_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often replies mention each category."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 25).alias("k"), F.concat(F.lit("the "), F.col("p_name"), F.lit(" by the "), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("text"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("category"))
-    names = F.broadcast(p.select("category").distinct().limit(10_000))  # a list of names, bounded
-    n = p.select("k", "text").crossJoin(names).groupBy("k", "category").agg(F.sum(F.floor((F.length("text") - F.length(F.replace("text", "category", F.lit("")))) / F.length("category"))).cast("long").alias("n"))
-    return n.where("n > 0")
+    return K.mentions(p, p)
 
 
 @query("question_words", r"SELECT p_partkey, trim(regexp_replace(lower('The ' || p_name || ' between a ' || p_name), '\b(the|a|an)\b\s*', '', 'g')) AS clean FROM part")
@@ -193,9 +221,13 @@ def question_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", K.without_articles(F.concat(F.lit("The "), F.col("p_name"), F.lit(" between a "), F.col("p_name"))).alias("clean"))
 
 
-@query("strategies", "SELECT * FROM (VALUES ('simple_object', 'best_single', 1, 'simple'), ('spatial_relation', 'joint_coverage', 3, 'spatial'), ('counting', 'multi_angle', 4, 'counting'), ('attribute', 'close_up', 2, 'attribute'), ('functional_region', 'region_overview', 2, 'region'), ('comparison', 'same_frame', 2, 'comparison')) v(type, views, max_views, style)")
+_TYPE = "CASE event_id % 7 WHEN 0 THEN 'Simple_Object' WHEN 1 THEN 'spatial_relation' WHEN 2 THEN 'counting' WHEN 3 THEN 'attribute' WHEN 4 THEN 'functional_region' WHEN 5 THEN 'comparison' ELSE 'riddle' END"
+
+
+@query("strategies", "SELECT event_id, CASE event_id % 7 WHEN 1 THEN 'joint_coverage' WHEN 2 THEN 'multi_angle' WHEN 3 THEN 'close_up' WHEN 4 THEN 'region_overview' WHEN 5 THEN 'same_frame' ELSE 'best_single' END AS views, CASE event_id % 7 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 2 WHEN 4 THEN 2 WHEN 5 THEN 2 ELSE 1 END AS max_views, CASE event_id % 7 WHEN 1 THEN 'spatial' WHEN 2 THEN 'counting' WHEN 3 THEN 'attribute' WHEN 4 THEN 'region' WHEN 5 THEN 'comparison' ELSE 'simple' END AS style FROM events")
 def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t, *s) for t, s in K.STRATEGIES.items()], "type string, views string, max_views int, style string")
+    """How views are chosen for each question, by its type."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", K.strategy_of(F.expr(_TYPE)).alias("s")).select("event_id", "s.*")
 
 
 @query("online_visibility", """, g AS (SELECT obj_id, view_id, max(greatest(0.0, least(1.0, (x2 - x1) * (y2 - y1) / (0.3 * 816000.0)) - 0.3 * CASE WHEN x1 < 10 OR y1 < 10 OR x2 > 1190 OR y2 > 670 THEN 1.0 ELSE 0.0 END)) AS c, count(*) AS n FROM detections WHERE obj_id % 7 <> 0 GROUP BY ALL),
