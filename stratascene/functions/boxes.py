@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Box = tuple[tuple[Column, ...], tuple[Column, ...]]
@@ -43,6 +43,11 @@ def giou(a: Box, b: Box, eps: float = 1e-10) -> Column:
     return i / (union + eps) - (hull - union) / (hull + eps)
 
 
+def widest(boxes: DataFrame, extents: tuple[str, ...] = ("ex", "ey")) -> float:
+    """The largest extent: boxes whose centres are further apart don't meet. One row comes to the driver."""
+    return float(boxes.agg(F.max(F.greatest(*extents))).first()[0] or 0.0) or 1.0
+
+
 def max_overlap(a: Box, b: Box) -> Column:
     i = intersection(a, b)
     return F.greatest(i / volume(a), i / volume(b))

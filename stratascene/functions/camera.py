@@ -15,7 +15,7 @@ def project(x: Column, y: Column, z: Column, fx: float, fy: float, cx: float, cy
     u, v = x * fx / z + cx, y * fy / z + cy
     if rounding == "truncate":
         return u.cast("int"), v.cast("int")
-    return (F.round(u).cast("int"), F.round(v).cast("int")) if rounding == "nearest" else (u, v)
+    return tuple(F.round(F.round(c, 9)).cast("int") for c in (u, v)) if rounding == "nearest" else (u, v)
 
 
 def in_image(u: Column, v: Column, z: Column, width: float, height: float) -> Column:

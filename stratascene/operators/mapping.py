@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,29 +12,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
-from ..functions.relations import norm, radius_join
+from ..functions.relations import broadcast_blocks, norm, radius_join
 from ..functions.vectors import cosine, normalise
 from ..storage import cut as _cut
 
 
-def match_detections(detections: DataFrame, objects: DataFrame, threshold: float = 1.2, bias: float = 0.0, reach: float = 2.0, penalty: float = 0.0, meeting: bool = False) -> DataFrame:
+def match_detections(detections: DataFrame, objects: DataFrame, threshold: float = 1.2, bias: float = 0.0, reach: float | None = None, penalty: float = 0.0, meeting: bool = False) -> DataFrame:
     """``det_id, obj_id, sim``: for each detection the best object by (1 + bias) * spatial + (1 - bias) * visual, null only below ``threshold``.
 
     Boxes that don't meet have no spatial similarity, and visual similarity is at most 1, so with a threshold above 1 - bias only
-    boxes within ``reach``, twice the largest half extent, can match: the pairs come from a grid. With a lower one visual similarity
-    alone can do, and each detection is held against every object. ``meeting`` asks for objects whose box meets the detection's only,
+    boxes within ``reach`` (by default the largest extent of all boxes) can match: the pairs come from a grid. With a lower one visual similarity
+    alone can do, and each detection is held against every object, a counted block of them at a time. ``meeting`` asks for objects whose box meets the detection's only,
     whatever the threshold. ``penalty`` is taken off where just one of the two contains others.
     """
     d = detections.select(F.col("obj_id").alias("det_id"), *(F.col(c).alias(f"d_{c}") for c in ("cx", "cy", "cz", "ex", "ey", "ez", "feat", "contained")))
     a = boxes.corners(tuple(F.col(f"d_{c}") for c in ("cx", "cy", "cz")), tuple(F.col(f"d_{c}") for c in ("ex", "ey", "ez")))
     b = boxes.corners(tuple(F.col(c) for c in ("cx", "cy", "cz")), tuple(F.col(c) for c in ("ex", "ey", "ez")))
     if meeting or threshold > 1 - bias + 1e-9 and -1 <= bias <= 1 and penalty >= 0:
-        pairs = radius_join(d, objects, reach, boxes.intersection(a, b) > 0, ("d_cx", "d_cy"), ("cx", "cy"))
+        reach = reach or max(boxes.widest(detections), boxes.widest(objects))
+        parts = [radius_join(d, objects, reach, boxes.intersection(a, b) > 0, ("d_cx", "d_cy"), ("cx", "cy"))]
     else:
-        pairs = d.crossJoin(objects)
+        parts = [d.crossJoin(block) for block in broadcast_blocks(objects, "obj_id")]
     sim = (1 + bias) * boxes.iou(a, b) + (1 - bias) * cosine(F.col("d_feat"), F.col("feat")) - F.when((F.col("d_contained") > 0) != (F.col("contained") > 0), penalty).otherwise(0.0)
-    best = pairs.select("det_id", "obj_id", sim.alias("sim")).where(F.col("sim") >= threshold)
-    best = best.groupBy("det_id").agg(F.max(F.struct("sim", (-F.col("obj_id")).alias("last"))).alias("b")).select("det_id", (-F.col("b.last")).alias("obj_id"), "b.sim")
+    first = F.max(F.struct("sim", (-F.col("obj_id")).alias("last"))).alias("b")
+    best = reduce(DataFrame.unionByName, [p.select("det_id", "obj_id", sim.alias("sim")).where(F.col("sim") >= threshold).groupBy("det_id").agg(first) for p in parts])
+    best = (best if len(parts) == 1 else best.groupBy("det_id").agg(F.max("b").alias("b"))).select("det_id", (-F.col("b.last")).alias("obj_id"), "b.sim")
     return detections.select(F.col("obj_id").alias("det_id")).join(best, "det_id", "left")
 
 
@@ -219,6 +222,40 @@ def overlap_merges(pairs: DataFrame, threshold: float, visual: float, text: floa
     return done.select("i", "j", "ratio")
 
 
+def spatial_similarities(detections: DataFrame, objects: DataFrame, kind: str, detection_points: DataFrame | None = None, object_points: DataFrame | None = None, voxel: float = 0.025) -> DataFrame:
+    """``det_id, obj_id, sim`` of a kind: iou, giou, iou_accurate, giou_accurate (boxes with ``yaw``) or overlap (of points); another kind is a ValueError.
+
+    Pairs whose boxes don't meet are left out: their similarity is 0, or below it for the two giou.
+    """
+    if kind == "overlap":
+        if detection_points is None or object_points is None:
+            raise ValueError("overlap needs the points of both sides")
+        return point_overlap_between(detection_points, object_points, voxel).select(F.col("i").alias("det_id"), F.col("j").alias("obj_id"), F.col("ratio").alias("sim"))
+    if kind in ("iou_accurate", "giou_accurate"):
+        from .oriented import similarities
+
+        found = similarities(detections, kind == "giou_accurate", objects).where("inter > 0")
+        return found.select(F.col("i").alias("det_id"), F.col("j").alias("obj_id"), F.col(kind.removesuffix("_accurate")).alias("sim"))
+    if kind not in ("iou", "giou"):
+        raise ValueError(f"unknown spatial similarity {kind!r}")
+    cols = ("cx", "cy", "cz", "ex", "ey", "ez")
+    d, o = detections.select(F.col("obj_id").alias("det_id"), *(F.col(c).alias(f"a_{c}") for c in cols)), objects.select("obj_id", *(F.col(c).alias(f"b_{c}") for c in cols))
+    a, b = (boxes.corners(tuple(F.col(f"{s}_{c}") for c in cols[:3]), tuple(F.col(f"{s}_{c}") for c in cols[3:])) for s in "ab")
+    met = radius_join(d, o, max(boxes.widest(detections), boxes.widest(objects)), boxes.intersection(a, b) > 0, ("a_cx", "a_cy"), ("b_cx", "b_cy"))
+    return met.select("det_id", "obj_id", (boxes.iou(a, b) if kind == "iou" else boxes.giou(a, b)).alias("sim"))
+
+
+def merge_objects(pairs: DataFrame, features: DataFrame, text_features: DataFrame, threshold: float, visual: float = 0.7, text: float = 0.7) -> DataFrame:
+    """``i, j, ratio``: the merges of ``overlap_merges``, from pairs ``i, j, ratio`` and the vectors of objects; none if the threshold isn't above 0."""
+    if threshold <= 0:
+        return pairs.limit(0).select("i", "j", "ratio")
+    near = pairs.where(F.col("ratio") > threshold).select("i", "j", "ratio")
+    for name, table in (("visual", features), ("text", text_features)):
+        one = lambda side: table.select(F.col("obj_id").alias(side), F.col("feat").alias(f"__{side}"))  # noqa: B023, E731
+        near = near.join(one("i"), "i").join(one("j"), "j").withColumn(name, F.round(cosine(F.col("__i"), F.col("__j")), 9)).drop("__i", "__j")
+    return overlap_merges(near, threshold, visual, text)
+
+
 def object_filter(points: DataFrame, detections: DataFrame, least_points: int, least_detections: int) -> DataFrame:
     """``obj_id, points, detections`` of objects with enough of both."""
     n = points.groupBy("obj_id").agg(F.count(F.lit(1)).alias("points")).where(F.col("points") >= least_points)

@@ -376,19 +376,30 @@ def _overlapping(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, boxes.Box
     left = o.select(F.col("obj_id").alias("i"), *(F.col(c).alias(f"a_{c}") for c in cols))
     right = o.select(F.col("obj_id").alias("j"), *(F.col(c).alias(f"b_{c}") for c in cols))
     a, b = (boxes.corners(tuple(F.col(f"{s}_{c}") for c in cols[:3]), tuple(F.col(f"{s}_{c}") for c in cols[3:])) for s in "ab")
-    return radius_join(left, right, 1.0, (F.col("i") < F.col("j")) & (boxes.intersection(a, b) > 1e-9), ("a_cx", "a_cy"), ("b_cx", "b_cy")), a, b  # extents are 1 at most
+    return radius_join(left, right, boxes.widest(o), (F.col("i") < F.col("j")) & (boxes.intersection(a, b) > 1e-9), ("a_cx", "a_cy"), ("b_cx", "b_cy")), a, b
 
 
-@query("scene_components")
+_EDGES = f"e AS MATERIALIZED (SELECT a.obj_id AS i, b.obj_id AS j, round(greatest({_I} / (a.ex * a.ey * a.ez), {_I} / (b.ex * b.ey * b.ez)) + 1e-9, 6) AS w FROM objects a, objects b WHERE a.obj_id < b.obj_id AND {_I} > 1e-9)"
+_LABELS = f"""{_EDGES}, ways AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e UNION ALL SELECT obj_id, obj_id FROM objects),
+l AS (SELECT 0 AS round, obj_id, obj_id AS component FROM objects UNION ALL SELECT round + 1, i, min(component) FROM l JOIN ways ON j = obj_id WHERE round < 60 GROUP BY round, i)"""
+
+
+@query("scene_components", f"RECURSIVE, {_LABELS} SELECT obj_id, component FROM l WHERE round = 60", "objects")
 def scene_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, _, _ = _overlapping(spark, sf_dir)
     return graph.components(scene(spark, sf_dir, "objects"), pairs)
 
 
-@query("spanning_trees")
+@query(
+    "spanning_trees",
+    f"""RECURSIVE, {_LABELS}, r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY w, i, j) AS k FROM e), n AS (SELECT list(obj_id ORDER BY obj_id) AS ids FROM objects),
+s AS (SELECT 0::BIGINT AS k, ids AS trees, false AS kept FROM n UNION ALL SELECT r.k, CASE WHEN trees[x.a] = trees[x.b] THEN trees ELSE list_transform(trees, lambda t: CASE WHEN t = trees[x.b] THEN trees[x.a] ELSE t END) END, trees[x.a] <> trees[x.b] FROM s JOIN r ON r.k = s.k + 1 JOIN (SELECT k, list_position(ids, i) AS a, list_position(ids, j) AS b FROM r, n) x ON x.k = r.k)
+SELECT component, i, j, w FROM s JOIN r USING (k) JOIN l ON l.obj_id = i AND l.round = 60 WHERE kept""",
+    "objects",
+)
 def spanning_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, a, b = _overlapping(spark, sf_dir)
-    edges = pairs.select("i", "j", F.round(boxes.max_overlap(a, b), 6).alias("w"))
+    edges = pairs.select("i", "j", F.round(boxes.max_overlap(a, b) + 1e-9, 6).alias("w"))
     return graph.spanning_trees(edges, graph.components(scene(spark, sf_dir, "objects"), edges))
 
 
@@ -403,7 +414,7 @@ def _best_sql(sim: str, where: str) -> str:
 def _matched(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     o = scene(spark, sf_dir, "objects").join(scene(spark, sf_dir, "features"), "obj_id")
     a, b = (o.where(f"obj_id % 3 {k} 1").withColumn("contained", (F.col("obj_id") % m == 0).cast("int")) for k, m in (("=", 2), ("<>", 5)))
-    return mapping.match_detections(a, b, reach=1.0, **how).select("det_id", "obj_id", _r("sim", "sim"))
+    return mapping.match_detections(a, b, **how).select("det_id", "obj_id", _r("sim", "sim"))
 
 
 @query("match_detections", _best_sql("spatial + visual", "spatial + visual >= 1.05"), "objects", "features")
@@ -449,9 +460,17 @@ def filter_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.filter_detections(d, ("ring",), 3000.0, 0.05, 0.95).select("obj_id", "view_id", "seq_major", "seq_minor")
 
 
-@query("nms")
+@query(
+    "nms",
+    """RECURSIVE, d AS MATERIALIZED (SELECT DISTINCT view_id, (seq_major * 10 + seq_minor) * 10000000 + obj_id AS det, conf, x1, y1, x2, y2 FROM detections), n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY conf DESC, det, x1, y1, x2, y2) AS k, (x2 - x1) * (y2 - y1) AS area FROM d),
+p AS (SELECT a.view_id, a.k, list(b.k) AS weaker FROM n a JOIN n b ON a.view_id = b.view_id AND a.k < b.k AND greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) > 0.5 * (a.area + b.area - greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1))) GROUP BY ALL),
+w AS MATERIALIZED (SELECT n.view_id, n.k, n.det, coalesce(weaker, []::BIGINT[]) AS weaker FROM n LEFT JOIN p USING (view_id, k)),
+s AS (SELECT view_id, 0::BIGINT AS k, []::BIGINT[] AS gone FROM n GROUP BY view_id UNION ALL SELECT s.view_id, w.k, CASE WHEN list_contains(gone, w.k) THEN gone ELSE list_concat(gone, weaker) END FROM s JOIN w ON w.view_id = s.view_id AND w.k = s.k + 1)
+SELECT w.view_id, w.det FROM s JOIN w ON w.view_id = s.view_id AND w.k = s.k + 1 WHERE NOT list_contains(gone, w.k)""",
+    "detections",
+)
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = scene(spark, sf_dir, "detections").withColumn("det", F.col("seq_major") * 10 + F.col("seq_minor"))
+    d = scene(spark, sf_dir, "detections").withColumn("det", (F.col("seq_major") * 10 + F.col("seq_minor")) * 10_000_000 + F.col("obj_id"))
     return mapping.non_maximum_suppression(d.select("view_id", "det", "conf", "x1", "y1", "x2", "y2"), 0.5).select("view_id", "det")
 
 
@@ -589,7 +608,10 @@ def point_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.point_overlap(t, 0.15)
 
 
-@query("merge_features")
+_FOLD = "lambda x, y: {'n': x.n + y.n, 'feat': list_transform([list_transform(range(1, 65), lambda k: (x.feat[k] * x.n + y.feat[k] * y.n) / (x.n + y.n))], lambda v: list_transform(v, lambda e: e / greatest(sqrt(list_dot_product(v, v)), 1e-8)))[1]}"
+
+
+@query("merge_features", f", g AS (SELECT region, list({{'n': 1::BIGINT, 'feat': feat}} ORDER BY obj_id) AS l FROM features GROUP BY region), m AS (SELECT region, list_reduce(list_concat([{{'n': 0::BIGINT, 'feat': l[1].feat}}], l), {_FOLD}) AS r FROM g) SELECT region::BIGINT AS obj_id, r.n AS n, list_transform(r.feat, lambda e: round(e, 6)) AS feat FROM m", "features")
 def merge_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = scene(spark, sf_dir, "features").select(F.col("region").cast("long").alias("obj_id"), F.col("obj_id").alias("seq"), F.lit(1).cast("long").alias("n"), "feat")
     return mapping.merge_features(f).select("obj_id", "n", F.transform("feat", lambda x: F.round(x, 6)).alias("feat"))

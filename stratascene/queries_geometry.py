@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import camera, matrices
+from .functions.relations import broadcast_blocks
 from .functions.relations import norm
 from .operators import oriented
 from .registry import query
@@ -151,15 +154,16 @@ def depth_occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pixel_mapping",
-    """, o AS (SELECT obj_id, view_id, fwx * (cx - px) + fwy * (cy - py) AS ahead, -fwy * (cx - px) + fwx * (cy - py) AS across, cz - pz AS up FROM objects, poses WHERE view_id < 40),
-q AS (SELECT obj_id, view_id, ahead, CAST(round(across * 60.0 / ahead + 60) AS INT) AS col, CAST(round(up * 60.0 / ahead + 34) AS INT) AS row FROM o WHERE ahead > 0.01), s AS (SELECT * FROM q WHERE col >= 0 AND col < 120 AND row >= 0 AND row < 68),
+    """, o AS (SELECT obj_id, view_id, fwx * (cx - px) + fwy * (cy - py) AS ahead, -fwy * (cx - px) + fwx * (cy - py) AS across, cz - pz AS up FROM objects, poses),
+q AS (SELECT obj_id, view_id, ahead, CAST(round(round(across * 60.0 / ahead + 60, 9)) AS INT) AS col, CAST(round(round(up * 60.0 / ahead + 34, 9)) AS INT) AS row FROM o WHERE ahead > 0.01), s AS (SELECT * FROM q WHERE col >= 0 AND col < 120 AND row >= 0 AND row < 68),
 m AS (SELECT view_id, CAST(floor(x1 / 10) AS INT) AS col, CAST(floor(y1 / 10) AS INT) AS row, min(seq_major % 40) AS depth FROM detections GROUP BY ALL) SELECT s.obj_id, s.view_id, s.row, s.col, m.depth FROM s JOIN m USING (view_id, row, col)""",
     "objects", "poses", "detections",
 )
 def pixel_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects as pixels of views, joined with what a map holds at these pixels."""
-    views = _poses(spark, sf_dir).where("view_id < 40").select("view_id", matrices.rigid_inverse(F.col("m")).alias("back"))
-    q = scene(spark, sf_dir, "objects").select("obj_id", "cx", "cy", "cz").crossJoin(F.broadcast(views))  # forty stated views
+    views = _poses(spark, sf_dir).select("view_id", matrices.rigid_inverse(F.col("m")).alias("back"))
+    o = scene(spark, sf_dir, "objects").select("obj_id", "cx", "cy", "cz")
+    q = reduce(DataFrame.unionByName, [o.crossJoin(block) for block in broadcast_blocks(views, "view_id")])  # each object is projected into each view
     ahead, across, up = matrices.apply(F.col("back"), F.col("cx"), F.col("cy"), F.col("cz"))
     q = q.select("obj_id", "view_id", ahead.alias("ahead"), across.alias("across"), up.alias("up"))
     col, row = camera.project(F.col("across"), F.col("up"), F.col("ahead"), 60.0, 60.0, 60.0, 34.0, "nearest")
@@ -187,21 +191,45 @@ def heat_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scene(spark, sf_dir, "features").where(F.abs(F.col("feat")[0]) < 4).select("obj_id", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
-# --- oriented boxes, turned by a quarter, so that plain boxes state their result ----------------------------------
+# --- oriented boxes at any angle: the SQL adds up what of either's edges lies in the other -------------------------
+
+_YAW = "CAST(obj_id * 37 % 360 AS DOUBLE) * pi() / 180"
+
+
+def _enter(c: str, h: str, last: bool) -> str:
+    """Where an edge enters a slab, or leaves it."""
+    f, inside, outside = ("greatest", "1", "-1") if last else ("least", "0", "2")
+    return f"CASE WHEN abs(d{c}) < 1e-12 THEN CASE WHEN abs({c}0) < {h} THEN {inside} ELSE {outside} END ELSE {f}((-{h} - {c}0) / d{c}, ({h} - {c}0) / d{c}) END"
+
 
-_OB = "o AS (SELECT obj_id, cx, cy, cz, greatest(CASE WHEN obj_id % 2 = 1 THEN ey ELSE ex END, 0.02) AS ex, greatest(CASE WHEN obj_id % 2 = 1 THEN ex ELSE ey END, 0.02) AS ey, greatest(ez, 0.02) AS ez FROM objects WHERE obj_id <= 400)"
-_AX = {"i": "greatest(0.0, least(a.{c} + a.{e} / 2, b.{c} + b.{e} / 2) - greatest(a.{c} - a.{e} / 2, b.{c} - b.{e} / 2))", "h": "(greatest(a.{c} + a.{e} / 2, b.{c} + b.{e} / 2) - least(a.{c} - a.{e} / 2, b.{c} - b.{e} / 2))"}
-_OI = " * ".join(_AX["i"].format(c=f"c{x}", e=f"e{x}") for x in "xyz")
+_EDGES = f"""o AS MATERIALIZED (SELECT obj_id, cx, cy, cz, greatest(ex, 0.02) AS ex, greatest(ey, 0.02) AS ey, greatest(ez, 0.02) AS ez, {_YAW} AS yaw FROM objects),
+p AS MATERIALIZED (SELECT a.obj_id AS i, b.obj_id AS j, a AS a, b AS b, a.ex * a.ey * a.ez AS va, b.ex * b.ey * b.ez AS vb, greatest(0.0, least(a.cz + a.ez / 2, b.cz + b.ez / 2) - greatest(a.cz - a.ez / 2, b.cz - b.ez / 2)) AS high
+      FROM o a, o b WHERE a.obj_id < b.obj_id AND sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) <= (sqrt(a.ex ** 2 + a.ey ** 2) + sqrt(b.ex ** 2 + b.ey ** 2)) / 2),
+s AS (SELECT i, j, a AS u, b AS v FROM p UNION ALL SELECT i, j, b, a FROM p),
+c AS (SELECT i, j, v, u.cx + cos(u.yaw) * sx * u.ex / 2 - sin(u.yaw) * sy * u.ey / 2 AS x, u.cy + sin(u.yaw) * sx * u.ex / 2 + cos(u.yaw) * sy * u.ey / 2 AS y,
+             u.cx + cos(u.yaw) * tx * u.ex / 2 - sin(u.yaw) * ty * u.ey / 2 AS x2, u.cy + sin(u.yaw) * tx * u.ex / 2 + cos(u.yaw) * ty * u.ey / 2 AS y2
+      FROM s, (VALUES (-1, -1, 1, -1), (1, -1, 1, 1), (1, 1, -1, 1), (-1, 1, -1, -1)) e(sx, sy, tx, ty)),
+w AS (SELECT i, j, v.ex / 2 AS hx, v.ey / 2 AS hy, x, y, x2, y2, cos(v.yaw) * (x - v.cx) + sin(v.yaw) * (y - v.cy) AS x0, cos(v.yaw) * (y - v.cy) - sin(v.yaw) * (x - v.cx) AS y0,
+             cos(v.yaw) * (x2 - x) + sin(v.yaw) * (y2 - y) AS dx, cos(v.yaw) * (y2 - y) - sin(v.yaw) * (x2 - x) AS dy FROM c),
+t AS (SELECT *, greatest(0.0, {_enter('x', 'hx', False)}, {_enter('y', 'hy', False)}) AS t0, least(1.0, {_enter('x', 'hx', True)}, {_enter('y', 'hy', True)}) AS t1 FROM w),
+area AS (SELECT i, j, sum((x + t0 * (x2 - x)) * (y + t1 * (y2 - y)) - (x + t1 * (x2 - x)) * (y + t0 * (y2 - y))) / 2 AS area FROM t WHERE t1 > t0 GROUP BY i, j)"""
 
 
 @query(
     "oriented_box_iou",
-    f""", {_OB}, p AS (SELECT a.obj_id AS i, b.obj_id AS j, {_OI} AS inter, a.ex * a.ey * a.ez AS va, b.ex * b.ey * b.ez AS vb FROM o a, o b WHERE a.obj_id < b.obj_id)
-SELECT i, j, round(inter / (va + vb - inter), 6) AS iou, round(least(1.0, inter / va), 6) AS contained, round(va, 6) AS volume FROM p WHERE inter > 1e-6""",
+    f""", {_EDGES} SELECT i, j, round(area * high / (va + vb - area * high), 6) AS iou, round(least(1.0, area * high / va), 6) AS contained, round(va, 6) AS volume FROM p JOIN area USING (i, j) WHERE area * high > 1e-6""",
     "objects",
 )
 def oriented_box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IoU and share held of boxes that are turned about the vertical, by clipping their faces."""
-    o = scene(spark, sf_dir, "objects").where("obj_id <= 400").withColumn("yaw", F.when(F.col("obj_id") % 2 == 1, F.lit(oriented.QUARTER)).otherwise(0.0))
-    p = oriented.similarities(o).where("inter > 1e-6")
-    return p.select("i", "j", _r("iou", "iou"), _r("contained", "contained"), _r("volume", "volume"))
+    """IoU and share held of boxes that are turned about the vertical by any angle."""
+    return oriented.similarities(_turned(spark, sf_dir)).where("inter > 1e-6").select("i", "j", _r("iou", "iou"), _r("contained", "contained"), _r("volume", "volume"))
+
+
+@query("oriented_box_giou")
+def oriented_box_giou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GIoU by the convex hull of both boxes, for those that meet."""
+    return oriented.similarities(_turned(spark, sf_dir), hull=True).where("inter > 1e-6").select("i", "j", _r("giou", "giou", 5))
+
+
+def _turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scene(spark, sf_dir, "objects").withColumn("yaw", F.radians((F.col("obj_id") * 37 % 360).cast("double")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import boxes
 from .functions.relations import norm, radius_join
+from .functions.trees import numbered
 from .operators import graph, mapping
 from .operators.vector_join import top_k_join
 from .registry import query
@@ -17,10 +18,10 @@ _DET = "d AS (SELECT *, seq_major * 10 + seq_minor AS det FROM detections)"
 _W, _H = "greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1))", "greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
 
 
-@query("holding_pairs", f", {_DET}, p AS (SELECT a.view_id, a.det, b.det AS other, {_W} * {_H} AS inter, (a.x2 - a.x1) * (a.y2 - a.y1) AS area, (b.x2 - b.x1) * (b.y2 - b.y1) AS small FROM d a JOIN d b ON a.view_id = b.view_id AND a.det <> b.det WHERE a.view_id < 20) SELECT view_id, det, other, round(area - inter, 4) AS rest FROM p WHERE inter / area < 0.7 AND inter / small > 0.8", "detections")
+@query("holding_pairs", f", {_DET}, p AS (SELECT a.view_id, a.det, b.det AS other, {_W} * {_H} AS inter, (a.x2 - a.x1) * (a.y2 - a.y1) AS area, (b.x2 - b.x1) * (b.y2 - b.y1) AS small FROM d a JOIN d b ON a.view_id = b.view_id AND a.det <> b.det) SELECT view_id, det, other, round(area - inter, 4) AS rest FROM p WHERE inter / area < 0.7 AND inter / small > 0.8", "detections")
 def holding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes that hold others, and the area that is left without one."""
-    d = scene(spark, sf_dir, "detections").where("view_id < 20").withColumn("det", F.col("seq_major") * 10 + F.col("seq_minor"))
+    d = scene(spark, sf_dir, "detections").withColumn("det", F.col("seq_major") * 10 + F.col("seq_minor"))
     return mapping.holding_pairs(d).select("view_id", "det", "other", _r(F.col("area") - F.col("inter"), "rest", 4))
 
 
@@ -43,29 +44,45 @@ def overlap_with_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of objects whose boxes meet, with how much of the smaller is in the larger."""
     cols = ("cx", "cy", "cz", "ex", "ey", "ez")
-    o = scene(spark, sf_dir, "objects").where("obj_id <= 1000")
+    o = scene(spark, sf_dir, "objects")
     left = o.select(F.col("obj_id").alias("i"), *(F.col(c).alias(f"a_{c}") for c in cols))
     right = o.select(F.col("obj_id").alias("j"), *(F.col(c).alias(f"b_{c}") for c in cols))
     a, b = (boxes.corners(tuple(F.col(f"{s}_{c}") for c in cols[:3]), tuple(F.col(f"{s}_{c}") for c in cols[3:])) for s in "ab")
-    met = radius_join(left, right, 1.0, (F.col("i") != F.col("j")) & (boxes.intersection(a, b) > 1e-9), ("a_cx", "a_cy"), ("b_cx", "b_cy"))
+    met = radius_join(left, right, boxes.widest(o), (F.col("i") != F.col("j")) & (boxes.intersection(a, b) > 1e-9), ("a_cx", "a_cy"), ("b_cx", "b_cy"))
     return met.select("i", "j", F.round(boxes.intersection(a, b) / boxes.volume(a), 9).alias("ratio"), F.round(boxes.iou(a, b), 9).alias("iou"))
 
 
 _AX = " * ".join(f"greatest(0.0, least(a.c{x} + a.e{x} / 2, b.c{x} + b.e{x} / 2) - greatest(a.c{x} - a.e{x} / 2, b.c{x} - b.e{x} / 2))" for x in "xyz")
-_PAIRS = f"p AS (SELECT a.obj_id AS i, b.obj_id AS j, round(({_AX}) / (a.ex * a.ey * a.ez), 9) AS ratio, (a.obj_id * 7 + b.obj_id) % 10 / 10.0 AS visual, (a.obj_id + b.obj_id * 3) % 7 / 7.0 AS text FROM objects a, objects b WHERE a.obj_id <> b.obj_id AND a.obj_id <= 1000 AND b.obj_id <= 1000 AND ({_AX}) > 1e-9)"
+_AH = " * ".join(f"(greatest(a.c{x} + a.e{x} / 2, b.c{x} + b.e{x} / 2) - least(a.c{x} - a.e{x} / 2, b.c{x} - b.e{x} / 2))" for x in "xyz")
+_PAIRS = f"p AS (SELECT a.obj_id AS i, b.obj_id AS j, round(({_AX}) / (a.ex * a.ey * a.ez), 9) AS ratio FROM objects a, objects b WHERE a.obj_id <> b.obj_id AND ({_AX}) > 1e-9)"
+
+
+_LOOK = "round(list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1}))), 9)"
 
 
 @query(
     "overlap_merges",
-    f"""RECURSIVE, {_PAIRS}, r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ratio DESC, i, j) AS k FROM p WHERE ratio > 0.1 AND visual > 0.2 AND text > 0.1),
+    f"""RECURSIVE, {_PAIRS}, r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ratio DESC, i, j) AS k FROM (SELECT p.*, {_LOOK.format('f.feat', 'g.feat')} AS visual, {_LOOK.format('f.feat[1:16]', 'g.feat[1:16]')} AS text FROM p JOIN features f ON f.obj_id = i % 500 JOIN features g ON g.obj_id = j % 500) WHERE ratio > 0.1 AND visual > 0.0 AND text > -0.1),
 s AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL SELECT r.k, CASE WHEN list_contains(gone, r.j) THEN gone ELSE list_append(gone, r.i) END FROM s JOIN r ON r.k = s.k + 1)
 SELECT r.i, r.j, round(r.ratio, 6) AS ratio FROM r JOIN s ON s.k = r.k - 1 WHERE NOT list_contains(gone, r.j)""",
-    "objects",
-)
+    "objects", "features",
+)
 def overlap_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which objects go into which, one pair after another by how much they overlap."""
-    p = _overlaps(spark, sf_dir).withColumn("visual", (F.col("i") * 7 + F.col("j")) % 10 / 10.0).withColumn("text", (F.col("i") + F.col("j") * 3) % 7 / 7.0)
-    return mapping.overlap_merges(p, 0.1, 0.2, 0.1).select("i", "j", _r("ratio", "ratio"))
+    """Which objects go into which, one pair after another by how much they overlap, if they are alike in look and name."""
+    looks = scene(spark, sf_dir, "features").select(F.col("obj_id").alias("look"), "feat")
+    f = scene(spark, sf_dir, "objects").join(looks, F.col("look") == F.col("obj_id") % 500).select("obj_id", "feat")
+    return mapping.merge_objects(_overlaps(spark, sf_dir), f, f.withColumn("feat", F.slice("feat", 1, 16)), 0.1, 0.0, -0.1).select("i", "j", _r("ratio", "ratio"))
+
+
+_KINDS = " UNION ALL ".join(f"SELECT '{k}' AS kind, a.obj_id AS det_id, b.obj_id, round({e}, 6) AS sim FROM objects a, objects b WHERE a.obj_id % 2 = 0 AND b.obj_id % 2 = 1 AND ({_AX}) > 0" for k, e in (("iou", f"({_AX}) / (a.ex * a.ey * a.ez + b.ex * b.ey * b.ez - ({_AX}) + 1e-10)"), ("giou", f"({_AX}) / (a.ex * a.ey * a.ez + b.ex * b.ey * b.ez - ({_AX}) + 1e-10) - (({_AH}) - (a.ex * a.ey * a.ez + b.ex * b.ey * b.ez - ({_AX}))) / (({_AH}) + 1e-10)")))
+
+
+@query("spatial_kinds", _KINDS, "objects")
+def spatial_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarities of detections' and objects' boxes by the name of their kind."""
+    o = scene(spark, sf_dir, "objects")
+    both = [mapping.spatial_similarities(o.where("obj_id % 2 = 0"), o.where("obj_id % 2 = 1"), k).withColumn("kind", F.lit(k)) for k in ("iou", "giou")]
+    return both[0].unionByName(both[1]).select("kind", "det_id", "obj_id", _r("sim", "sim"))
 
 
 @query("overlap_pairs_sorted", f", {_PAIRS} SELECT i, j, round(ratio, 6) AS ratio FROM p ORDER BY ratio DESC, i, j LIMIT 40", "objects")
@@ -73,9 +90,9 @@ def overlap_pairs_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlaps(spark, sf_dir).orderBy(F.col("ratio").desc(), "i", "j").limit(40).select("i", "j", _r("ratio", "ratio"))
 
 
-@query("spatial_similarity", f", {_PAIRS}, q AS (SELECT a.obj_id AS i, b.obj_id AS j, ({_AX}) / (a.ex * a.ey * a.ez + b.ex * b.ey * b.ez - ({_AX}) + 1e-10) AS iou FROM objects a, objects b WHERE a.obj_id <> b.obj_id AND a.obj_id <= 1000 AND b.obj_id <= 1000 AND ({_AX}) > 1e-9) SELECT i, j, round(iou, 6) AS iou, round(ratio, 6) AS overlap FROM q JOIN p USING (i, j)", "objects")
+@query("spatial_similarity", f", {_PAIRS}, q AS (SELECT a.obj_id AS i, b.obj_id AS j, ({_AX}) / (a.ex * a.ey * a.ez + b.ex * b.ey * b.ez - ({_AX}) + 1e-10) AS iou FROM objects a, objects b WHERE a.obj_id <> b.obj_id AND ({_AX}) > 1e-9) SELECT i, j, round(round(iou, 9) + 1e-9, 6) AS iou, round(ratio + 1e-9, 6) AS overlap FROM q JOIN p USING (i, j)", "objects")
 def spatial_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlaps(spark, sf_dir).select("i", "j", _r("iou", "iou"), _r("ratio", "overlap"))
+    return _overlaps(spark, sf_dir).select("i", "j", _r(F.col("iou") + 1e-9, "iou"), _r(F.col("ratio") + 1e-9, "overlap"))
 
 
 _COS = "round(list_dot_product(a.feat, b.feat) / (sqrt(list_dot_product(a.feat, a.feat)) * sqrt(list_dot_product(b.feat, b.feat))), 9)"
@@ -94,9 +111,9 @@ def graph_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.geometric_label(_overlaps(spark, sf_dir), scene(spark, sf_dir, "objects")).where("relation <> 'none of these'")
 
 
-@query("object_filter", ", n AS (SELECT obj_id, count(*) AS points FROM points GROUP BY obj_id HAVING count(*) >= 30), m AS (SELECT obj_id, count(*) AS detections FROM detections WHERE conf >= 0.95 GROUP BY obj_id HAVING count(*) >= 15) SELECT * FROM n JOIN m USING (obj_id)", "points", "detections")
+@query("object_filter", ", n AS (SELECT obj_id, count(*) AS points FROM points GROUP BY obj_id HAVING count(*) >= 30), m AS (SELECT obj_id, count(*) AS detections FROM detections GROUP BY obj_id HAVING count(*) >= 25) SELECT * FROM n JOIN m USING (obj_id)", "points", "detections")
 def object_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping.object_filter(scene(spark, sf_dir, "points"), scene(spark, sf_dir, "detections").where("conf >= 0.95"), 30, 15)
+    return mapping.object_filter(scene(spark, sf_dir, "points"), scene(spark, sf_dir, "detections"), 30, 25)
 
 
 @query("foreground_split", "SELECT obj_id, category IN ('rod', 'pipe', 'plate') AS background, ex * ey * ez >= 0.001 AS solid FROM objects", "objects")
@@ -157,17 +174,17 @@ def object_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("obj_id", *(_r(F.coalesce(f"m{a}", f"c{a}", F.lit(0.0)) + 1e-9, a, 4) for a in "xyz"), _r(F.coalesce(F.col("x1") - F.col("x0"), F.col("ex")), "width"))
 
 
-@query("merged_lists", "SELECT category, list_sort(flatten(list([view_id, obj_id]))) AS members, sum(n) AS n FROM (SELECT obj_id, view_id, count(*)::BIGINT AS n FROM detections WHERE obj_id <= 40 GROUP BY ALL) JOIN objects USING (obj_id) GROUP BY category", "detections", "objects")
+@query("merged_lists", "SELECT category, list_sort(flatten(list([view_id, obj_id]))) AS members, sum(n) AS n FROM (SELECT obj_id, view_id, count(*)::BIGINT AS n FROM detections GROUP BY ALL) JOIN objects USING (obj_id) GROUP BY category", "detections", "objects")
 def merged_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of merged objects put together, and numbers added up."""
-    d = scene(spark, sf_dir, "detections").where("obj_id <= 40").groupBy("obj_id", "view_id").agg(F.count(F.lit(1)).alias("n")).join(scene(spark, sf_dir, "objects").select("obj_id", "category"), "obj_id")
+    d = scene(spark, sf_dir, "detections").groupBy("obj_id", "view_id").agg(F.count(F.lit(1)).alias("n")).join(scene(spark, sf_dir, "objects").select("obj_id", "category"), "obj_id")
     return d.groupBy("category").agg(F.array_sort(F.flatten(F.collect_list(F.array("view_id", "obj_id")))).alias("members"), F.sum("n").alias("n"))
 
 
-@query("rekeyed_maps", ", m AS (SELECT obj_id, view_id + 1000 AS k, count(*) AS n FROM detections WHERE obj_id <= 60 GROUP BY ALL) SELECT obj_id, max(CASE WHEN k = 1007 THEN n ELSE 0 END) AS at_7, count(*) AS keys FROM m GROUP BY obj_id", "detections")
+@query("rekeyed_maps", ", m AS (SELECT obj_id, view_id + 1000 AS k, count(*) AS n FROM detections GROUP BY ALL) SELECT obj_id, max(CASE WHEN k = 1007 THEN n ELSE 0 END) AS at_7, count(*) AS keys FROM m GROUP BY obj_id", "detections")
 def rekeyed_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maps of counts by view, moved by an offset and read with a default."""
-    d = scene(spark, sf_dir, "detections").where("obj_id <= 60").groupBy("obj_id", "view_id").agg(F.count(F.lit(1)).alias("n"))
+    d = scene(spark, sf_dir, "detections").groupBy("obj_id", "view_id").agg(F.count(F.lit(1)).alias("n"))
     m = d.groupBy("obj_id").agg(F.map_from_entries(F.collect_list(F.struct("view_id", "n"))).alias("m")).withColumn("m", F.transform_keys("m", lambda k, v: k + 1000))
     return m.select("obj_id", F.coalesce(F.try_element_at("m", F.lit(1007).cast("long")), F.lit(0)).alias("at_7"), F.size("m").cast("long").alias("keys"))
 
@@ -188,10 +205,14 @@ def trajectory_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(m, "seq_id").select("seq_id", "frame_id", _r(0.6 * F.col("pos") / F.greatest("mp", F.lit(1e-8)) + 0.4 * F.col("angle") / F.greatest("ma", F.lit(1e-8)), "signal"))
 
 
-@query("visibility_jaccard", ", v AS (SELECT view_id, list(DISTINCT obj_id) AS objs FROM detections WHERE obj_id % 10 = 0 GROUP BY view_id), l AS (SELECT view_id, objs, lag(objs, 3) OVER (ORDER BY view_id) AS before FROM v) SELECT view_id, round(len(list_intersect(objs, before)) / greatest(len(list_distinct(list_concat(objs, before))), 1), 6) AS jaccard FROM l WHERE before IS NOT NULL", "detections")
+_LAGS = (3, 8, 15)
+
+
+@query("visibility_jaccard", ", v AS (SELECT view_id, list(DISTINCT obj_id) AS objs, row_number() OVER (ORDER BY view_id) AS n FROM detections GROUP BY view_id) SELECT a.view_id, k AS lag, round(len(list_intersect(a.objs, b.objs)) / greatest(len(list_distinct(list_concat(a.objs, b.objs))), 1), 6) AS jaccard FROM v a, (VALUES (3), (8), (15)) l(k), v b WHERE b.n = a.n - k", "detections")
 def visibility_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far a view shows the same objects as the third before it."""
-    v = scene(spark, sf_dir, "detections").where("obj_id % 10 = 0").groupBy("view_id").agg(F.collect_set("obj_id").alias("objs"))
-    before = v.withColumn("n", F.row_number().over(Window.orderBy("view_id")))  # one sequence of frames
-    j = before.select("view_id", "objs", F.lag("objs", 3).over(Window.orderBy("n")).alias("before")).where("before IS NOT NULL")
-    return j.select("view_id", _r(F.size(F.array_intersect("objs", "before")) / F.greatest(F.size(F.array_union("objs", "before")), F.lit(1)), "jaccard"))
+    """How far a view shows the same objects as the third, eighth and fifteenth before it."""
+    v = numbered(scene(spark, sf_dir, "detections").groupBy("view_id").agg(F.collect_set("obj_id").alias("objs")), "view_id")
+    before = v.select(F.col("number").alias("n"), F.col("objs").alias("before"))
+    later = v.withColumn("lag", F.explode(F.array(*[F.lit(k) for k in _LAGS]))).withColumn("n", F.col("number") - F.col("lag"))
+    j = later.join(before, "n")
+    return j.select("view_id", "lag", _r(F.size(F.array_intersect("objs", "before")) / F.greatest(F.size(F.array_union("objs", "before")), F.lit(1)), "jaccard"))

@@ -70,10 +70,10 @@ def points_within_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.within_object(scene(spark, sf_dir, "points"), 7, _PLACE, 5).select("pt", _r("distance", "distance"))
 
 
-@query("local_neighbourhood", f"SELECT a.pt, b.pt AS other, b.obj_id AS other_obj FROM points a, points b WHERE a.obj_id % 50 = 3 AND {_D3} <= 0.3", "points")
+@query("local_neighbourhood", f"SELECT a.pt, b.pt AS other, b.obj_id AS other_obj FROM points a, points b WHERE a.obj_id % 20 = 0 AND {_D3} <= 0.3", "points")
 def local_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = scene(spark, sf_dir, "points")
-    return P.neighbourhoods(p, p.where("obj_id % 50 = 3"), 0.3)
+    return P.neighbourhoods(p, p.where("obj_id % 20 = 0"), 0.3)
 
 
 @query("point_features_propagated", "SELECT pt, round(list_sum(feat), 6) AS total FROM points JOIN features USING (obj_id)", "points", "features")
@@ -84,38 +84,38 @@ def point_features_propagated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "point_features_blended",
-    f""", n AS (SELECT a.pt, b.obj_id, count(*) AS w FROM points a, points b WHERE a.obj_id % 50 = 3 AND {_D3} <= 0.3 GROUP BY ALL),
+    f""", n AS (SELECT a.pt, b.obj_id, count(*) AS w FROM points a, points b WHERE a.obj_id % 20 = 0 AND {_D3} <= 0.3 GROUP BY ALL),
 d AS (SELECT pt, k, sum(w * v) / sum(w) AS v FROM (SELECT pt, w, unnest(feat) AS v, generate_subscripts(feat, 1) AS k FROM n JOIN features USING (obj_id)) GROUP BY pt, k) SELECT pt, round(sum(v), 6) AS total, round(sum(v * k), 5) AS moment FROM d GROUP BY pt""",
     "points", "features",
 )
 def point_features_blended(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = scene(spark, sf_dir, "points")
-    f = P.blended_features(p, p.where("obj_id % 50 = 3"), scene(spark, sf_dir, "features"), 0.3)
+    f = P.blended_features(p, p.where("obj_id % 20 = 0"), scene(spark, sf_dir, "features"), 0.3)
     moment = F.aggregate(F.transform("feat", lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x)
     return f.select("pt", _r(F.aggregate("feat", F.lit(0.0), lambda a, x: a + x), "total"), _r(moment, "moment", 5))
 
 
 @query(
     "points_to_nearest_object",
-    """, d AS (SELECT p.pt, o.obj_id AS nearest, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) AS d FROM points p, objects o WHERE p.obj_id % 40 = 1)
+    """, d AS (SELECT p.pt, o.obj_id AS nearest, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) AS d FROM points p, objects o WHERE p.obj_id % 20 = 0)
 SELECT pt, nearest, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY pt ORDER BY d, nearest) AS r FROM d) WHERE r = 1""",
     "points", "objects",
 )
 def points_to_nearest_object(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = nearest_join(scene(spark, sf_dir, "points").where("obj_id % 40 = 1"), scene(spark, sf_dir, "objects").withColumnRenamed("obj_id", "nearest"), "pt", "nearest", ("x", "y", "z"), ("cx", "cy", "cz"))
+    near = nearest_join(scene(spark, sf_dir, "points").where("obj_id % 20 = 0"), scene(spark, sf_dir, "objects").withColumnRenamed("obj_id", "nearest"), "pt", "nearest", ("x", "y", "z"), ("cx", "cy", "cz"))
     return near.select("pt", "nearest", _r("distance", "distance"))
 
 
 @query(
     "cloud_association",
-    """, d AS (SELECT a.pt AS pred, b.pt AS gt, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d FROM points a, points b WHERE a.obj_id % 30 = 2 AND b.obj_id % 3 = 0)
+    """, d AS (SELECT a.pt AS pred, b.pt AS gt, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d FROM points a, points b WHERE a.obj_id % 20 = 0 AND b.obj_id % 20 <> 0)
 SELECT pred, gt FROM (SELECT *, row_number() OVER (PARTITION BY pred ORDER BY sqrt(d), gt) AS r FROM d) WHERE r = 1""",
     "points",
 )
 def cloud_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each predicted point's nearest point of the ground truth."""
     p = scene(spark, sf_dir, "points")
-    pred, gt = p.where("obj_id % 30 = 2").withColumnRenamed("pt", "pred"), p.where("obj_id % 3 = 0").withColumnRenamed("pt", "gt")
+    pred, gt = p.where("obj_id % 20 = 0").withColumnRenamed("pt", "pred"), p.where("obj_id % 20 <> 0").withColumnRenamed("pt", "gt")
     return nearest_join(pred, gt, "pred", "gt", ("x", "y", "z"), ("x", "y", "z"), 0.1).select("pred", "gt")
 
 

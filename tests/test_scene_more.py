@@ -52,16 +52,31 @@ def test_sources(spark, tmp_path):
         assert sinks.read_visibility(spark, str(tmp_path / "v"), 4).count() == 2
 
 
-def test_oriented_boxes_against_sampling():
+def test_oriented_boxes_against_sampling(spark):
     r = np.random.default_rng(3)
-    for _ in range(12):
-        a, b = (oriented.corners(r.uniform(-0.3, 0.3, 3), r.uniform(0.4, 1.2, 3), r.uniform(0, 3)) for _ in range(2))
-        p = r.uniform(-1.5, 1.5, (200_000, 3))
-        inside = [np.all([p @ n <= d for n, d in oriented._planes(x)], axis=0) for x in (a, b)]
-        assert abs(oriented.intersection(a, b) - (inside[0] & inside[1]).mean() * 27) < 0.03
-    box = oriented.corners(np.zeros(3), np.array([1.0, 2.0, 3.0]), 0.7)
-    assert abs(oriented.intersection(box, box) - 6) < 1e-9 and abs(oriented.hull_volume(box) - 6) < 1e-9
-    assert abs(oriented.hull_volume(np.concatenate((box, box + [0, 0, 3]))) - 12) < 1e-9
+    rows = [(k, *map(float, r.uniform(0, 1, 3)), *map(float, r.uniform(0.3, 1.2, 3)), float(r.uniform(-4, 4))) for k in range(8)]
+    rows += [(20, 5.0, 5.0, 0.0, 2.0, 1.0, 1.0, 0.0), (21, 5.0, 5.0, 0.0, 2.0, 1.0, 1.0, 0.0), (22, 5.0, 5.0, 0.0, 1.0, 2.0, 1.0, oriented.QUARTER), (23, 6.5, 5.0, 0.5, 1.0, 1.0, 1.0, 0.0), (24, 5.0, 5.0, 0.25, 1.0, 0.001, 0.5, 0.3)]
+    boxes = {x[0]: (np.array(x[1:4]), np.maximum(x[4:7], 0.02), x[7]) for x in rows}
+    table = spark.createDataFrame(rows, "obj_id long, cx double, cy double, cz double, ex double, ey double, ez double, yaw double").repartition(3)
+    got = {(x.i, x.j): x for x in oriented.similarities(table, hull=True).collect()}
+    cloud = r.uniform(-0.7, 1.7, (200_000, 3))
+    for i, j in itertools.combinations(range(8), 2):
+        inside = np.ones(len(cloud), dtype=bool)
+        for c, e, yaw in (boxes[i], boxes[j]):
+            d = cloud - c
+            turned = np.stack([np.cos(yaw) * d[:, 0] + np.sin(yaw) * d[:, 1], np.cos(yaw) * d[:, 1] - np.sin(yaw) * d[:, 0], d[:, 2]], axis=1)
+            inside &= (np.abs(turned) <= e / 2).all(axis=1)
+        share = inside.mean() * 2.4**3
+        assert abs((got[i, j].inter if (i, j) in got else 0.0) - share) < 0.01
+        if (i, j) in got:
+            whole = sum(np.prod(boxes[k][1]) for k in (i, j)) - got[i, j].inter
+            around = oriented.hull_volume(np.concatenate([oriented.corners(*boxes[k]) for k in (i, j)]))
+            assert whole <= around + 1e-9 and abs(got[i, j].giou - (got[i, j].inter / whole - (around - whole) / around)) < 1e-9
+    assert abs(got[20, 21].iou - 1) < 1e-9 and abs(got[20, 22].iou - 1) < 1e-9 and abs(got[20, 21].giou - 1) < 1e-9
+    assert (20, 23) not in got or got[20, 23].inter == 0
+    assert abs(got[20, 24].contained - 1) > 0.5 and abs(got[20, 24].inter - 1.0 * 0.02 * 0.5) < 1e-9
+    cube = np.array(list(itertools.product((0.0, 1.0), repeat=3)))
+    assert abs(oriented.hull_volume(np.concatenate([cube, cube + [0, 0, 2]])) - 3) < 1e-9 and abs(oriented.hull_volume(np.concatenate([cube, cube + 1])) - 4) < 1e-9
 
 
 def test_overlap_merges_against_a_loop(spark):
