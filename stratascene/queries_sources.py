@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions.relations import norm, radius_join
+from .operators.graph import geometric_label
+from .operators.retrieval import region_features
 from .registry import query
 from .registry import rounded as _r
 from .sources import indices, sinks, spatial_index
 from .sources.adapters import scene
+from .sources.frames import register_frames
+from .sources.poses import write_trajectory
 from .storage import shared_path
 
 
@@ -53,7 +60,7 @@ def map_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots of each frame with few columns, of which two frames are read."""
     path = shared_path(spark, "snapshots")
-    d = scene(spark, sf_dir, "detections").where("view_id < 10").groupBy(F.col("view_id").alias("frame_id"), "obj_id").agg(F.count(F.lit(1)).alias("n"), F.max("conf").alias("conf"))
+    d = scene(spark, sf_dir, "detections").groupBy(F.col("view_id").alias("frame_id"), "obj_id").agg(F.count(F.lit(1)).alias("n"), F.max("conf").alias("conf"))
     sinks.write_snapshots(d, path, ("obj_id", "n"))
     return spark.read.parquet(path).where("frame_id IN (3, 5)").select(F.col("frame_id").cast("long").alias("frame_id"), "obj_id", "n")
 
@@ -80,13 +87,13 @@ def metrics_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("category string, n long, mean double").option("header", True).csv(path)
 
 
-@query("ply_round_trip", "SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, CAST(obj_id % 256 AS INT) AS r FROM points WHERE obj_id <= 100", "points")
+@query("ply_round_trip", "SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, CAST(obj_id % 256 AS INT) AS r FROM points", "points")
 def ply_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coloured points as one PLY file for each part, each with its own header, read back."""
     from .sources.poses import read_ply, write_ply
 
     path = shared_path(spark, "ply")
-    write_ply(scene(spark, sf_dir, "points").where("obj_id <= 100").select("x", "y", "z", (F.col("obj_id") % 256).alias("r"), F.lit(7).alias("g"), F.lit(9).alias("b")), path)
+    write_ply(scene(spark, sf_dir, "points").select("x", "y", "z", (F.col("obj_id") % 256).alias("r"), F.lit(7).alias("g"), F.lit(9).alias("b")), path)
     return read_ply(spark, path).select("x", "y", "z", "r")
 
 
@@ -145,3 +152,41 @@ def indexed_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indexed_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The thirty points of an index that are nearest to a place."""
     return _points_index(spark, sf_dir).nearest((5.0, 5.0, 1.0), 30).select(F.round("distance", 6).alias("distance"))
+
+
+@query("frames_round_trip", "SELECT n AS frame_id, view_id::DOUBLE AS view, px AS x, py AS y FROM (SELECT *, row_number() OVER (ORDER BY view_id) - 1 AS n FROM poses) WHERE n >= 10 AND n < 350 AND (n - 10) % 7 = 0 AND n >= 30", "poses")
+def frames_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poses written as a scene's folder and read by its format: from the tenth to the 350th frame, every seventh, none before the thirtieth."""
+    path = shared_path(spark, "scene")
+    zero = F.lit(0.0)
+    m = F.array(F.lit(1.0), zero, zero, F.col("px"), zero, F.lit(1.0), zero, F.col("py"), zero, zero, F.lit(1.0), F.col("view_id").cast("double"), zero, zero, zero, F.lit(1.0))
+    write_trajectory(scene(spark, sf_dir, "poses").select("view_id", m.alias("m")), f"{path}/traj.txt", "view_id")
+    register_frames(spark)
+    found = spark.read.format("scene_frames").options(layout="replica", start=10, end=350, stride=7, frames=10).load(path).where("frame_id >= 30")
+    return found.select("frame_id", F.col("pose")[11].alias("view"), F.col("pose")[3].alias("x"), F.col("pose")[7].alias("y"))
+
+
+@query(
+    "scene_round_trip",
+    """, e AS (SELECT a.obj_id AS i, b.obj_id AS j, CASE WHEN a.cz - b.cz > (a.ez + b.ez) / 4 THEN 'a on b' WHEN a.cz - b.cz < -(a.ez + b.ez) / 4 THEN 'b on a' ELSE 'none of these' END AS relation FROM objects a, objects b WHERE a.obj_id < b.obj_id AND sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) <= 0.3)
+SELECT 'object' AS kind, obj_id AS a, NULL::BIGINT AS b, category AS label FROM objects UNION ALL SELECT 'region', region, count(*), NULL FROM features GROUP BY region UNION ALL SELECT 'member', obj_id, region, NULL FROM features UNION ALL SELECT 'edge', i, j, relation FROM e""",
+    "objects", "features",
+)
+def scene_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scene with its regions and the edges of its graph, written and read."""
+    path = shared_path(spark, "scene")
+    o, f = scene(spark, sf_dir, "objects"), scene(spark, sf_dir, "features")
+    near = radius_join(o.select(F.col("obj_id").alias("i"), "cx", "cy"), o.select(F.col("obj_id").alias("j"), F.col("cx").alias("x"), F.col("cy").alias("y")), 0.3, (F.col("i") < F.col("j")) & (norm(F.col("cx") - F.col("x"), F.col("cy") - F.col("y")) <= 0.3), ("cx", "cy"), ("x", "y"))
+    sinks.write_scene(path, o, region_features(f), f.select("obj_id", "region"), geometric_label(near.select("i", "j"), o))
+    s = sinks.read_scene(spark, path)
+    rows = lambda kind, table, a, b, label: table.select(F.lit(kind).alias("kind"), F.col(a).cast("long").alias("a"), (F.col(b) if b else F.lit(None)).cast("long").alias("b"), (F.col(label) if label else F.lit(None)).cast("string").alias("label"))
+    parts = [rows("object", s["objects"], "obj_id", None, "category"), rows("region", s["regions"], "region", "n", None), rows("member", s["members"], "obj_id", "region", None), rows("edge", s["edges"], "i", "j", "relation")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("cloud_round_trip", "SELECT pt, p.obj_id, round(list_sum(list_transform(feat, lambda v: v::FLOAT::DOUBLE)), 6) AS total FROM points p JOIN features USING (obj_id)", "points", "features")
+def cloud_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with the vectors of their objects, as a dense cloud."""
+    path = shared_path(spark, "cloud")
+    sinks.write_cloud(scene(spark, sf_dir, "points"), scene(spark, sf_dir, "features"), path)
+    return sinks.read_cloud(spark, path).select("pt", "obj_id", F.round(F.aggregate("feat", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))

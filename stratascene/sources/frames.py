@@ -1,11 +1,11 @@
 """A data source for folders of scenes: ``spark.read.format("scene_frames")``.
 
 Each layout says where a scene keeps its colour and depth images and its camera poses. Frames are numbered in natural order of their names;
-a partition is a range of frames, and reads the poses of its own range only. ``start``, ``end`` and ``stride`` are options, and comparisons of
-``frame_id`` are taken over as well.
+a partition is a range of frames, and reads the poses of its own range only. ``start``, ``end`` and ``stride`` are options, as filters that Spark hands to a
+Python source would stay in force for other uses of the same DataFrame.
 
     register_frames(spark)
-    spark.read.format("scene_frames").option("layout", "scannet").option("start", 10).option("stride", 5).load(folder).where("frame_id < 200")
+    spark.read.format("scene_frames").option("layout", "scannet").option("start", 10).option("end", 200).option("stride", 5).load(folder)
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ import io
 import itertools
 import json
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "frame_id long, colour string, depth string, pose array<double>"
 #: Frames of a partition.
@@ -178,22 +180,8 @@ class _Reader(DataSourceReader):
         self.start, self.end, self.stride = (int(options.get(k, d)) for k, d in (("start", 0), ("end", -1), ("stride", 1)))
         if self.start < 0 or self.stride < 1:
             raise ValueError("start is 0 at least, and stride 1")
-        self.least, self.most = 0, None
         self.per = int(options.get("frames", FRAMES))
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            own = getattr(f, "attribute", None) == ("frame_id",) and isinstance(getattr(f, "value", None), int)
-            high = lambda v: v if self.most is None else min(v, self.most)
-            if own and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                self.least = max(self.least, f.value + isinstance(f, GreaterThan))
-            elif own and isinstance(f, (LessThan, LessThanOrEqual)):
-                self.most = high(f.value - isinstance(f, LessThan))
-            elif own and isinstance(f, EqualTo):
-                self.least, self.most = max(self.least, f.value), high(f.value)
-            else:
-                yield f
-
     def _scene(self) -> tuple[Folder, list[str], list[str], list[str]]:
         folder = Folder(self.path)
         return folder, folder.find(self.layout.colour), folder.find(self.layout.depth), folder.find(self.layout.pose_files)
@@ -204,10 +192,8 @@ class _Reader(DataSourceReader):
         if not n and self.layout.trajectory:
             n = sum(1 for _ in folder.lines(self.layout.trajectory)) // self.layout.lines
         last = n if self.end < 0 else min(n, self.end)
-        last = last if self.most is None else min(last, self.most + 1)
-        first = self.start + -(-max(0, self.least - self.start) // self.stride) * self.stride
         wide = max(1, self.per) * self.stride
-        return [_Range(lo, min(lo + wide, last)) for lo in range(first, last, wide)]
+        return [_Range(lo, min(lo + wide, last)) for lo in range(self.start, last, wide)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         folder, colour, depth, poses = self._scene()
@@ -245,6 +231,6 @@ class SceneFrames(DataSource):
 
 def register_frames(spark: SparkSession, **own: type[Layout]) -> None:
     """Make the format known to a session, with layouts of one's own by name."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the processes that plan and read needn't have this package
     kind = type("SceneFrames", (SceneFrames,), {"layouts": LAYOUTS | {k.lower(): v for k, v in own.items()}}) if own else SceneFrames
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(kind)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.matrices import flipped_axes
+from ..storage import cut
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -64,16 +64,18 @@ def frame_range(frames: DataFrame, start: int = 0, end: int = -1, stride: int =
 def write_ply(points: DataFrame, path: str) -> None:
     """ASCII PLY of ``x, y, z, r, g, b``: each part is a PLY file of its own, with a header that states its number of points.
 
-    A part's lines are counted and written by the task that holds them, in order; ``points.coalesce(1)`` makes one file.
+    Lines are sorted by part and written in order, a part's header with its number of points first; ``points.coalesce(1)`` makes one part. No task holds
+    more of its part than a batch.
     """
-
-    def lines(batches):  # noqa: ANN001, ANN202
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-        head = ["ply", "format ascii 1.0", f"element vertex {len(rows)}", *(f"property float {c}" for c in "xyz"), *(f"property uchar {c}" for c in ("red", "green", "blue")), "end_header"]
-        yield pa.RecordBatch.from_arrays([pa.array([*head, *("%.6f %.6f %.6f %d %d %d" % r for r in rows)])], ["value"])
-
     cols = [F.col(c).cast("double").alias(c) for c in "xyz"] + [F.col(c).cast("int").alias(c) for c in "rgb"]
-    points.select(*cols).mapInArrow(lines, "value string").write.text(path)
+    rows = cut(points.select(*cols).withColumn("part", F.spark_partition_id()), "ply")
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    texts = ["ply", "format ascii 1.0", None, *(f"property float {c}" for c in "xyz"), *(f"property uchar {c}" for c in ("red", "green", "blue")), "end_header"]
+    head = F.array(*[F.lit(t) if t else F.format_string("element vertex %d", "n") for t in texts])
+    heads = counts.select("part", F.posexplode(head).alias("line", "value"))
+    body = rows.select("part", F.lit(len(texts)).alias("line"), F.format_string("%.6f %.6f %.6f %d %d %d", *"xyzrgb").alias("value"))
+    parts = max(1, counts.count())
+    heads.unionByName(body).repartitionByRange(parts, "part").sortWithinPartitions("part", "line").select("value").write.text(path)
 
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
@@ -100,3 +102,8 @@ READERS |= {"files": read_pose_files, "json": read_pose_json}
 def register_reader(layout: str, reader: Callable[[SparkSession, str], DataFrame]) -> None:
     """Make ``read_poses`` know another layout."""
     READERS[layout.lower()] = reader
+
+
+def write_trajectory(poses: DataFrame, path: str, by: str = "frame_id", matrix: str = "m") -> None:
+    """A trajectory of sixteen numbers a line, in an order; its part files follow each other."""
+    poses.repartitionByRange(by).sortWithinPartitions(by).select(F.array_join(F.transform(matrix, lambda v: v.cast("string")), " ").alias("value")).write.text(path)

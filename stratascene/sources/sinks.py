@@ -54,6 +54,34 @@ def write_snapshots(objects: DataFrame, path: str, columns: tuple[str, ...]) ->
     objects.select("frame_id", *columns).write.mode("append").partitionBy("frame_id").parquet(path)
 
 
+def write_scene(path: str, objects: DataFrame, regions: DataFrame, members: DataFrame, edges: DataFrame) -> None:
+    """A whole scene: objects, regions (``region, feat`` and more), which objects are in them (``obj_id, region``), and the edges of its graph (``i, j, relation``), each as JSON or, with vectors, as Parquet."""
+    objects.write.parquet(f"{path}/objects")
+    regions.write.parquet(f"{path}/regions")
+    members.select("obj_id", "region").write.json(f"{path}/members")
+    edges.select("i", "j", "relation").write.json(f"{path}/edges")
+
+
+def read_scene(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """``objects, regions, members, edges`` of a scene that ``write_scene`` has written."""
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("objects", "regions")}
+    tables["members"] = spark.read.schema("obj_id long, region long").json(f"{path}/members")
+    tables["edges"] = spark.read.schema("i long, j long, relation string").json(f"{path}/edges")
+    return tables
+
+
+def write_cloud(points: DataFrame, features: DataFrame, path: str) -> None:
+    """A dense cloud: the vectors of the points that have one, in single precision, and for every point whether it has one."""
+    seen = points.select("pt", "obj_id", "x", "y", "z").join(features.where("feat IS NOT NULL").select("obj_id", F.col("feat").cast("array<float>").alias("feat")), "obj_id", "left")
+    seen.select("pt", "obj_id", "x", "y", "z", F.col("feat").isNotNull().alias("has_feat"), "feat").write.parquet(path)
+
+
+def read_cloud(spark: SparkSession, path: str, dense: bool = True) -> DataFrame:
+    """The points of a cloud with their vectors, or all of them with the mask alone."""
+    cloud = spark.read.parquet(path)
+    return cloud.where("has_feat").drop("has_feat") if dense else cloud.drop("feat")
+
+
 def write_visibility(index: DataFrame, path: str, stride: int) -> None:
     """Both directions of the index are one table; what it was built by is a table of one row."""
     index.write.parquet(f"{path}/index")
