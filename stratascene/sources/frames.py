@@ -195,7 +195,9 @@ class _Reader(DataSourceReader):
         wide = max(1, self.per) * self.stride
         return [_Range(lo, min(lo + wide, last)) for lo in range(self.start, last, wide)]
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def read(self, partition: _Range | None) -> Iterator[tuple]:
+        if partition is None:  # there are no frames
+            return
         folder, colour, depth, poses = self._scene()
         wanted = range(partition.first, partition.last, self.stride)
         at = lambda names, k: names[k] if k < len(names) else None
