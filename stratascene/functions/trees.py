@@ -15,8 +15,8 @@ from ..storage import cut
 
 #: Points in a block, and children of a node.
 BLOCK, FANOUT = 64, 16
-#: Nodes or points that are broadcast, at most.
-BROADCAST = 4096
+#: Nodes that are broadcast, at most, and points that a target is held against without a tree.
+BROADCAST, DIRECT = 4096, 512
 
 
 def morton(coords: list[Column], low: list[float], high: list[float], bits: int) -> Column:
@@ -75,11 +75,10 @@ def best_scores(targets: DataFrame, points: DataFrame, key: str, axes: tuple[str
     """
     distinct = cut(points.select(*axes).dropna().distinct(), "places")
     n = distinct.count()
-    if n <= BROADCAST:
-        pairs = targets.withColumn("block", F.lit(0).cast("long")).join(F.broadcast(distinct.withColumn("block", F.lit(0).cast("long"))), "block")
-        return pairs.select(key, score({a: F.col(a) for a in axes}).alias("score")).groupBy(key).agg(F.max("score").alias("score")).where("score IS NOT NULL")
+    if n <= DIRECT:
+        return targets.crossJoin(F.broadcast(distinct)).select(key, score({a: F.col(a) for a in axes}).alias("score")).groupBy(key).agg(F.max("score").alias("score")).where("score IS NOT NULL")
     blocks, levels = packed(distinct, axes)
-    open_ = targets.withColumn("node", F.lit(0).cast("long"))
+    open_ = cut(targets.withColumn("node", F.lit(0).cast("long")), "targets")
     known = None
     least, most = bounds({a: (F.col(f"{a}_lo"), F.col(f"{a}_hi")) for a in axes})
     for level in levels:
