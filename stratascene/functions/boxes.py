@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,11 @@ def giou(a: Box, b: Box, eps: float = 1e-10) -> Column:
     return i / (union + eps) - (hull - union) / (hull + eps)
 
 
+def corner_points(box: Box) -> Column:
+    """The eight corners of a box, the last axis running fastest."""
+    return F.array(*[F.array(*(box[s][k] for k, s in enumerate(sides))) for sides in itertools.product((0, 1), repeat=3)])
+
+
 def widest(boxes: DataFrame, extents: tuple[str, ...] = ("ex", "ey")) -> float:
     """The largest extent: boxes whose centres are further apart don't meet. One row comes to the driver."""
     return float(boxes.agg(F.max(F.greatest(*extents))).first()[0] or 0.0) or 1.0

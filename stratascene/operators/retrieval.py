@@ -24,6 +24,13 @@ def region_features(features: DataFrame) -> DataFrame:
     return dims.groupBy("region").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("feat"))
 
 
+def explicit_regions(members: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``obj_id, region`` and ``region, n, feat`` (unit vectors) from regions as lists of objects (``region, obj_ids``); an object in several is in the lowest."""
+    own = members.select("region", F.explode("obj_ids").alias("obj_id")).groupBy("obj_id").agg(F.min("region").alias("region"))
+    means = region_features(own.join(features.where("feat IS NOT NULL").select("obj_id", "feat"), "obj_id"))
+    return own, means.withColumn("feat", normalise(F.col("feat")))
+
+
 def hierarchical_search(features: DataFrame, query: Column, regions: int, k: int) -> DataFrame:
     """The ``k`` closest objects of the ``regions`` closest regions; of all regions if those hold fewer than ``k`` objects."""
     best = region_features(features).select("region", cosine(F.col("feat"), query).alias("rsim")).orderBy(F.col("rsim").desc(), "region").limit(regions).select("region")

@@ -14,17 +14,25 @@ MAX_DISTANCE = 5.0
 IMAGE_WIDTH, IMAGE_HEIGHT, FOCAL = 1200.0, 680.0, 600.0
 
 
-def composite_score(visible: Column, quality: Column, resolution: Column, occlusion: Column, semantic: Column) -> Column:
-    return 0.25 * visible + 0.15 * quality + 0.20 * F.least(resolution / 100, F.lit(1.0)) + 0.15 * (1 - occlusion) + 0.25 * semantic
+# What each part of a view's score weighs.
+WEIGHTS = {"visibility": 0.25, "quality": 0.15, "resolution": 0.20, "occlusion": 0.15, "semantic": 0.25}
 
 
-def visibility(objects: DataFrame, poses: DataFrame) -> DataFrame:
+def composite_score(visible: Column, quality: Column, resolution: Column, occlusion: Column, semantic: Column, weights: dict[str, float] | None = None) -> Column:
+    """A view's score; ``weights`` replace some of ``WEIGHTS``."""
+    if unknown := {*(weights or {})} - {*WEIGHTS}:
+        raise ValueError(f"unknown parts of a score: {sorted(unknown)}")
+    w = WEIGHTS | (weights or {})
+    return w["visibility"] * visible + w["quality"] * quality + w["resolution"] * F.least(resolution / 100, F.lit(1.0)) + w["occlusion"] * (1 - occlusion) + w["semantic"] * semantic
+
+
+def visibility(objects: DataFrame, poses: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """``obj_id, view_id, distance, score`` of views within reach, found on a grid."""
     dist = norm(F.col("cx") - F.col("px"), F.col("cy") - F.col("py"), F.col("cz") - F.col("pz"))
     pairs = radius_join(objects.select("obj_id", "cx", "cy", "cz"), poses, MAX_DISTANCE, dist <= MAX_DISTANCE, ("cx", "cy"), ("px", "py")).withColumn("distance", dist)
     visible = F.greatest(F.lit(0.0), 1 - F.col("distance") / MAX_DISTANCE)
     ahead = ((F.col("cx") - F.col("px")) * F.col("fwx") + (F.col("cy") - F.col("py")) * F.col("fwy") + (F.col("cz") - F.col("pz")) * F.col("fwz")) / F.greatest(F.col("distance"), F.lit(1e-8))
-    score = composite_score(visible, F.greatest(F.lit(0.0), ahead), FOCAL / F.greatest(F.col("distance"), F.lit(0.1)), F.lit(0.0), F.lit(0.0))
+    score = composite_score(visible, F.greatest(F.lit(0.0), ahead), FOCAL / F.greatest(F.col("distance"), F.lit(0.1)), F.lit(0.0), F.lit(0.0), weights)
     return pairs.where(visible >= 0.1).select("obj_id", "view_id", "distance", score.alias("score"))
 
 

@@ -249,6 +249,13 @@ def visibility_top_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.top_per(v, "obj_id", 3, "view_id").select("obj_id", "view_id", _r("score", "score"), "rank")
 
 
+@query("visibility_own_weights", ", d AS (SELECT obj_id, view_id, sqrt((cx - px) * (cx - px) + (cy - py) * (cy - py) + (cz - pz) * (cz - pz)) AS d, (cx - px) * fwx + (cy - py) * fwy + (cz - pz) * fwz AS a FROM objects, poses) SELECT obj_id, max(round(0.6 * greatest(0.0, 1 - d / 5.0) + 0.15 * greatest(0.0, a / greatest(d, 1e-8)) + 0.05 * least(600.0 / greatest(d, 0.1) / 100, 1.0) + 0.15, 6)) AS score FROM d WHERE 1 - d / 5.0 >= 0.1 GROUP BY obj_id", "objects", "poses")
+def visibility_own_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best view's score by other weights."""
+    v = views.visibility(scene(spark, sf_dir, "objects"), scene(spark, sf_dir, "poses"), {"visibility": 0.6, "resolution": 0.05})
+    return v.groupBy("obj_id").agg(F.max(F.round("score", 6)).alias("score"))
+
+
 @query("visibility_top_objects", f", {_VIS} SELECT obj_id, view_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY view_id ORDER BY score DESC, obj_id) AS INT) AS rank FROM vis WHERE score >= 0.3) WHERE rank <= 5", "objects", "poses")
 def visibility_top_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views.visibility(scene(spark, sf_dir, "objects"), scene(spark, sf_dir, "poses"))

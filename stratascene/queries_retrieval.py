@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import boxes
 from .functions.vectors import cosine, literal, normalise
 from .operators import keyframes as K
 from .operators import retrieval, views
@@ -320,6 +321,30 @@ def masked_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scene(spark, sf_dir, "features").where(F.col("feat")[0] > 0).select("obj_id", _r(F.col("feat")[3], "third"))
 
 
+@query("stacked_boxes", "SELECT obj_id, CAST(k AS INT) AS k, round(cx + (k // 4 - 0.5) * ex, 6) AS x, round(cy + (k // 2 % 2 - 0.5) * ey, 6) AS y, round(cz + (k % 2 - 0.5) * ez, 6) AS z FROM objects, range(8) t(k) WHERE category = 'gear'", "objects")
+def stacked_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corners of boxes, of the rows that a mask lets through."""
+    o = scene(spark, sf_dir, "objects").where("category = 'gear'")
+    box = boxes.corners(tuple(F.col(f"c{a}") for a in "xyz"), tuple(F.col(f"e{a}") for a in "xyz"))
+    return o.select("obj_id", F.posexplode(boxes.corner_points(box)).alias("k", "p")).select("obj_id", "k", *(_r(F.col("p")[n], a) for n, a in enumerate("xyz")))
+
+
+@query("view_lists", "SELECT obj_id, list_reverse(list_sort(list(DISTINCT view_id)))[1:3] AS last, list_contains(list(view_id), 7) AS in_7, len(list_append(list(DISTINCT view_id), -1)) AS n FROM detections GROUP BY obj_id", "detections")
+def view_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each object's views as a list: its last three in reverse, whether it has one, and its length with one more at the end."""
+    d = scene(spark, sf_dir, "detections").groupBy("obj_id").agg(F.array_sort(F.collect_set("view_id")).alias("views"))
+    return d.select("obj_id", F.slice(F.reverse("views"), 1, 3).alias("last"), F.array_contains("views", F.lit(7)).alias("in_7"), F.size(F.array_append("views", F.lit(-1).cast("long"))).cast("long").alias("n"))
+
+
+@query("explicit_regions", ", m AS (SELECT obj_id, min(region) AS region FROM (SELECT obj_id, region FROM features UNION ALL SELECT obj_id, obj_id % 7 FROM features WHERE obj_id % 10 = 0) GROUP BY obj_id), d AS (SELECT region, k, avg(v) AS v, count(*) AS n FROM (SELECT region, unnest(feat) AS v, generate_subscripts(feat, 1) AS k FROM m JOIN features f USING (obj_id, region)  UNION ALL SELECT m.region, unnest(feat), generate_subscripts(feat, 1) FROM m JOIN features f ON f.obj_id = m.obj_id AND f.region <> m.region) GROUP BY region, k), r AS (SELECT region, max(n) AS n, sum(v) / sqrt(sum(v * v)) AS total FROM d GROUP BY region) SELECT obj_id, m.region::INTEGER AS region, n, round(total, 6) AS total FROM m JOIN r USING (region)", "features")
+def explicit_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each object's region, by regions that are given as lists, with the region's size and vector."""
+    f = scene(spark, sf_dir, "features")
+    given = f.select("region", "obj_id").unionByName(f.where("obj_id % 10 = 0").select((F.col("obj_id") % 7).cast("int").alias("region"), "obj_id"))
+    own, regions = retrieval.explicit_regions(given.groupBy("region").agg(F.collect_list("obj_id").alias("obj_ids")), f)
+    return own.join(regions, "region").select("obj_id", "region", "n", _r(F.aggregate("feat", F.lit(0.0), lambda a, x: a + x), "total"))
+
+
 @query("seen_objects", "SELECT DISTINCT obj_id FROM detections WHERE view_id = 7 INTERSECT SELECT obj_id FROM detections WHERE view_id = 8", "detections")
 def seen_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects that two views have in common."""
