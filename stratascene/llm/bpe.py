@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +34,9 @@ SEPARATOR = "\u2028"
 #: Patterns that match the same in less time: nothing but a letter can start what the first alternative matches after its space, so it may come before the contractions.
 SAME = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+": r" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
 
+#: The same for texts of ASCII characters only, for the standard library's faster engine; its white space is another, so that the class is spelled out.
+ASCII = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+": r" ?[A-Za-z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"}
+
 
 def byte_chars() -> list[str]:
     """One printable character for each byte: itself where printable, else the next character from 256 on."""
@@ -100,6 +104,7 @@ class ByteBpe:
         self.ranks = ranks
         self.largest = max(ranks.values())
         self.split = regex.compile(SAME.get(pattern, pattern))
+        self.ascii = re.compile(ASCII[pattern]) if pattern in ASCII else self.split
         self.chars = byte_chars()
         self.to_chars = dict(enumerate(self.chars)) | {255: SEPARATOR}
         self.whole = {t: struct.pack("<I", n) for t, n in ranks.items()}
@@ -151,7 +156,7 @@ class ByteBpe:
     def _pretokens(self, text: str) -> Iterator[list[str]]:
         """All pre-tokens in turn; a long text in spans, each of which starts where a match of the whole text starts."""
         if len(text) <= SPAN:
-            yield self.split.findall(text)
+            yield (self.ascii if text.isascii() else self.split).findall(text)
             return
         words, size = [], 0
         for m in self.split.finditer(text):

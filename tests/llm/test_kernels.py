@@ -135,3 +135,18 @@ def test_links_against_sets(n, monkeypatch):
         found = [found[i] if x == found[j] else x for x in found]
     same = lambda g: {frozenset(k for k, x in enumerate(g) if x == y) for y in g}
     assert same(found) == same(root)
+
+
+def test_ascii_pretokens():
+    import public_tokenizers
+
+    codec = bpe.ByteBpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert codec.ascii is not codec.split
+    r = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(r.choice(" \t\n\r\x0b\x0c\x1c\x1f\x00ab'stvel12.,!_") for _ in range(r.randrange(30)))
+        assert codec.ascii.findall(text) == codec.split.findall(text)
+    words = [f"w{r.random()}" for _ in range(50)]
+    for text in (" ".join(r.choices(words, k=300)), "x" * 500 + " " + "x" * 500, "a  b\n\n c"):  # new, known and long pre-tokens
+        assert codec.decode(codec.encode(text)) == text.encode() == codec.decode(codec.encode(text))
+    assert all(len(w) <= bpe.REMEMBERED for w in codec.known)
