@@ -199,7 +199,11 @@ def held_out(id_col: F.Column) -> F.Column:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = LABELLED) -> ToxicityModel:
-    """Fit on the labelled rows that aren't held out, ``max_labelled`` of them at most; the prior counts every document."""
+    """Fit on the labelled rows that aren't held out, ``max_labelled`` of them at most; the prior counts every document.
+
+    A label is 0 or 1; others, and those of null identifiers, count for nothing, and of several for one identifier the largest counts. Repeated rows count each; a null
+    text has no tokens. Without labels of both kinds, or without documents, every text scores the share of toxic labels.
+    """
     ship_package(docs.sparkSession)
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = stage_table(chosen.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled), "labelled")
