@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.relations import norm, relation_join
+from ..functions.trees import numbered
 from .retrieval import vector_top_k
 from .views import joint_coverage, top_per
 
@@ -140,8 +141,9 @@ def chosen_views(best: DataFrame, strategy: str, k: int) -> DataFrame:
 
 def best_views(scores: DataFrame, objects: DataFrame, k: int = 5) -> DataFrame:
     """``rank, obj_id, view_id, place``: the ``k`` best views of each object, objects ranked by identifier."""
-    ranked = objects.select("obj_id", F.row_number().over(Window.orderBy("obj_id")).alias("rank"))  # a handful of candidates
-    return top_per(scores.join(F.broadcast(ranked), "obj_id"), "obj_id", k, "view_id").select(F.col("rank").alias("place"), "obj_id", "view_id").join(F.broadcast(ranked), "obj_id").select("rank", "obj_id", "view_id", "place")
+    ranked = numbered(objects.select("obj_id"), "obj_id").select("obj_id", (F.col("number") + 1).alias("rank"))
+    best = top_per(scores.join(ranked.select("obj_id"), "obj_id"), "obj_id", k, "view_id").select(F.col("rank").alias("place"), "obj_id", "view_id")
+    return best.join(ranked, "obj_id").select("rank", "obj_id", "view_id", "place")
 
 
 def parsed_reply(text: Column) -> Column:
