@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import give_back, ship_package, small_batches
 
 #: Pre-tokens whose ids a worker remembers, of so many characters at most; a full memory is emptied, which costs time only, and so is one of more than ``KEPT`` after a task.
-MEMORY, REMEMBERED, KEPT = 600_000, 100, 100_000
+MEMORY, REMEMBERED, KEPT = 200_000, 100, 50_000
 #: Characters of one text that are cut into pre-tokens at once; bounds the memory for very long texts.
 SPAN = 1 << 18
 #: Parts the pre-tokens that one call encodes; stands for no byte.

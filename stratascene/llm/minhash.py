@@ -37,7 +37,7 @@ COLUMNS = 1 << 13
 #: A bucket of more classes names whole blocks for comparison, a smaller one its own classes.
 SMALL = 64
 #: Shingles that are sketched at once.
-CHUNK = 400_000
+CHUNK = 150_000
 #: Words whose hash a worker remembers.
 MEMORY = 150_000
 
@@ -127,8 +127,8 @@ def _chunks(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
 def _sketch_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 300):
+                part = batch.slice(lo, 300)
                 if len(_hashes) > MEMORY:
                     _hashes.clear()
                 sets = [shingle_hashes(words_of(x.as_py()), n) for x in part.column(1)]
