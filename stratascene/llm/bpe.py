@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import give_back, ship_package, small_batches
 
 #: Pre-tokens whose ids a worker remembers, of so many characters at most; a full memory is emptied, which costs time only, and so is one of more than ``KEPT`` after a task.
-MEMORY, REMEMBERED, KEPT = 200_000, 100, 50_000
+MEMORY, REMEMBERED, KEPT = 600_000, 100, 50_000
+#: The same where a stage follows others, whose workers wait.
+SHORT_MEMORY = 200_000
 #: Characters of one text that are cut into pre-tokens at once; bounds the memory for very long texts.
 SPAN = 1 << 18
 #: Parts the pre-tokens that one call encodes; stands for no byte.
@@ -109,6 +111,7 @@ class ByteBpe:
         self.to_chars = dict(enumerate(self.chars)) | {255: SEPARATOR}
         self.whole = {t: struct.pack("<I", n) for t, n in ranks.items()}
         self.known = _Known()
+        self.memory = MEMORY
         self.newer = newer_characters()
 
     def _ids(self, words: list[str]) -> dict[str, bytes]:
@@ -130,7 +133,7 @@ class ByteBpe:
         out = []
         known = self.known
         for words in self._pretokens(text):
-            if len(known) > MEMORY:
+            if len(known) > self.memory:
                 known.clear()
             ids = b"".join(map(known.__getitem__, words))
             if known.new:
@@ -193,6 +196,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
+        bpe.memory = SHORT_MEMORY
         for batch in small_batches(batches):
             ids = [bpe.encode(x) if x else b"" for x in (y.as_py() for y in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], ["id", "ids", "decoded"])
@@ -210,6 +214,7 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
+        bpe.memory = SHORT_MEMORY
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for text in (y.as_py() for y in batch.column(1)):
