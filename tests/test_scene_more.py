@@ -168,3 +168,14 @@ def test_plans_have_no_open_product(spark):
             assert all("Broadcast" in x and COUNTED.search(x) for x in loops), name
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_matches_by_volumes_of_extents(spark):
+    """Shares are taken of the volumes that extents give, as SQL does: the first two boxes tie, so the lower identifier wins; of the others the first is ahead."""
+    schema = "obj_id long, cx double, cy double, cz double, ex double, ey double, ez double, feat array<double>, contained int"
+    one, two = (1.74, 8.62, 0.51, 0.26, 0.7, 0.4), (8.54, 0.06, 0.37, 0.04, 0.3, 0.3)
+    tie = (1.57, 8.57, 0.58, 0.8, 0.6, 0.1), (1.75, 8.65, 0.59, 0.8, 0.6, 0.1)
+    ahead = (8.37, 0.01, 0.44, 0.62, 0.4, 0.2), (8.71, 0.11, 0.3, 0.62, 0.4, 0.2)
+    d = spark.createDataFrame([(1, *one, [1.0], 0), (4, *two, [1.0], 0)], schema)
+    o = spark.createDataFrame([(2, *tie[0], [1.0], 0), (3, *tie[1], [1.0], 0), (5, *ahead[1], [1.0], 0), (6, *ahead[0], [1.0], 0)], schema)
+    assert {r.det_id: r.obj_id for r in mapping.match_detections(d, o, 0.01, bias=1.0).collect()} == {1: 2, 4: 6}
