@@ -179,3 +179,12 @@ def test_matches_by_volumes_of_extents(spark):
     d = spark.createDataFrame([(1, *one, [1.0], 0), (4, *two, [1.0], 0)], schema)
     o = spark.createDataFrame([(2, *tie[0], [1.0], 0), (3, *tie[1], [1.0], 0), (5, *ahead[1], [1.0], 0), (6, *ahead[0], [1.0], 0)], schema)
     assert {r.det_id: r.obj_id for r in mapping.match_detections(d, o, 0.01, bias=1.0).collect()} == {1: 2, 4: 6}
+
+
+def test_object_filter_asks_no_more_than_it_did():
+    import stratascene.queries  # noqa: F401
+    from stratascene.registry import ORACLE_SQL
+
+    sql = ORACLE_SQL["object_filter"]
+    least = [int(x) for x in re.findall(r"HAVING count\(\*\) >= (\d+)", sql)]
+    assert max(least[1:]) <= 15 and "conf >=" not in sql
