@@ -39,13 +39,16 @@ def _own_vector(frame: DataFrame, value: str, name: str) -> DataFrame:
 def principal_axes(points: DataFrame, upright: bool = False) -> DataFrame:
     """``obj_id, n, yaw, u, v, w``: unit axes by falling variance, or, if boxes stay ``upright``, the axes turned by ``yaw`` about the vertical.
 
-    Objects of fewer than ``LEAST_POINTS`` points, and those whose axes aren't determined, have the axes of space.
+    Objects of fewer than ``LEAST_POINTS`` points, and those whose axes aren't determined, have the axes of space. Where x and y don't vary together, ``yaw`` is 0 or,
+    if y varies more, a right angle to the left.
     """
     c = covariances(points)
     few = F.col("n") < LEAST_POINTS
     units = [F.array(*(F.lit(1.0 if k == j else 0.0) for k in range(3))) for j in range(3)]
     if upright:
-        c = c.withColumn("yaw", F.when(few, 0.0).otherwise(F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2))
+        # a covariance that is 0 but for rounding has either sign, by the order in which partial sums meet, and would turn the box by half a turn
+        xy = F.when(F.abs("xy") > 1e-12 * (F.col("xx") + F.col("yy")), F.col("xy")).otherwise(0.0)
+        c = c.withColumn("yaw", F.when(few, 0.0).otherwise(F.atan2(2 * xy, F.col("xx") - F.col("yy")) / 2))
         cos, sin, zero = F.cos("yaw"), F.sin("yaw"), F.lit(0.0)
         return c.select("obj_id", "n", "yaw", F.array(cos, sin, zero).alias("u"), F.array(-sin, cos, zero).alias("v"), units[2].alias("w"))
     c = c.withColumn("q", (F.col("xx") + F.col("yy") + F.col("zz")) / 3)

@@ -99,3 +99,19 @@ def test_principal_boxes(spark):
         b = upright[obj]
         inside = (p - [b.cx, b.cy, b.cz]) @ np.array([b.u, b.v, b.w]).T
         assert b.w == [0.0, 0.0, 1.0] and np.allclose(np.ptp(inside, axis=0), [b.ex, b.ey, b.ez]) and abs(np.cov(inside.T)[0, 1]) < 1e-9
+
+
+def test_upright_boxes_without_covariance(spark):
+    """x and y don't vary together, but their sums of products round to either sign: the box turns the same way in every order of rows."""
+    r = random.Random(3)
+    rows, pt = [], 0
+    for obj in range(40):
+        half = [(r.randrange(1, 15) / 100, r.randrange(1, 40) / 100) for _ in range(8)]
+        points = [(a * sx + 3.37, b * sy + 5.83) for a, b in half for sx in (1, -1) for sy in (2, -2)]
+        r.shuffle(points)
+        for x, y in points:
+            rows.append((obj, pt, x, y, 0.1, ""))
+            pt += 1
+    for parts in (1, 7):
+        got = principal.oriented_boxes(spark.createDataFrame(rows, SCHEMA).repartition(parts), upright=True)
+        assert {round(x.yaw, 9) for x in got.collect()} == {round(np.pi / 2, 9)}
