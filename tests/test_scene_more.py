@@ -188,3 +188,24 @@ def test_object_filter_asks_no_more_than_it_did():
     sql = ORACLE_SQL["object_filter"]
     least = [int(x) for x in re.findall(r"HAVING count\(\*\) >= (\d+)", sql)]
     assert max(least[1:]) <= 15 and "conf >=" not in sql
+
+
+@pytest.mark.parametrize("name", ["on_top_of", "above", "below", "near", "against", "inside"])
+def test_reaches_against_all_pairs(spark, monkeypatch, name):
+    """Crowded anchors: the best of each target is found without holding it against all that are in reach."""
+    r = random.Random(5)
+    size = lambda k: round(r.choice([0.05, 0.3, 1.0]) * k, 2)
+    o = [(k, *(round(r.uniform(0, w), 1) for w in (6, 5, 2)), size(1.0), size(0.7), size(0.5)) for k in range(500)] + [(2000, None, 1.0, 0.0, 1.0, 1.0, 1.0), (2001, 50.0, 50.0, 0.0, 1.0, 1.0, 1.0)]
+    table = spark.createDataFrame(o, "obj_id long, cx double, cy double, cz double, ex double, ey double, ez double")
+    pairs = table.alias("t").crossJoin(table.select(*(F.col(c).alias(f"b{c}") for c in table.columns)))
+    if name == "inside":
+        ok, score = relations.inside((F.col("cx"), F.col("cy"), F.col("cz")), (F.col("bcx"), F.col("bcy"), F.col("bcz")), (F.col("bex"), F.col("bey"), F.col("bez")))
+    else:
+        ok, score = relations.relation(name, tuple(F.col(c) - F.col(f"b{c}") for c in ("cx", "cy", "cz")))
+    want = {x.obj_id: x.s for x in pairs.where(ok).groupBy("obj_id").agg(F.max(score).alias("s")).collect()}
+    monkeypatch.setattr(relations, "radius_join", None)  # no pairs by reach
+    for most, block, fanout in ((400, 64, 16), (10, 8, 4)):
+        monkeypatch.setattr(trees, "DIRECT", most)
+        monkeypatch.setattr(trees, "BLOCK", block)
+        monkeypatch.setattr(trees, "FANOUT", fanout)
+        assert {x.obj_id: x.score for x in relations.relation_join(table, table, name).collect()} == want
