@@ -209,3 +209,14 @@ def test_reaches_against_all_pairs(spark, monkeypatch, name):
         monkeypatch.setattr(trees, "BLOCK", block)
         monkeypatch.setattr(trees, "FANOUT", fanout)
         assert {x.obj_id: x.score for x in relations.relation_join(table, table, name).collect()} == want
+
+
+def test_nearest_first_looks_as_far_as_rows_are_apart(spark, monkeypatch):
+    r = random.Random(6)
+    right = [(k, *(r.random() for _ in range(3))) for k in range(3000)]
+    left = [(k, *(r.random() for _ in range(3))) for k in range(50)] + [(99, 5.0, 0.5, 0.5)]
+    seen, join = [], relations.radius_join
+    monkeypatch.setattr(relations, "radius_join", lambda a, b, reach, *rest: seen.append(reach) or join(a, b, reach, *rest))
+    tables = (spark.createDataFrame(rows, f"{name} long, x double, y double, z double") for name, rows in (("a", left), ("b", right)))
+    got = {x.a: x.b for x in relations.nearest_join(*tables, "a", "b", ("x", "y", "z"), ("x", "y", "z")).collect()}
+    assert got == {k: min(right, key=lambda b: (sum((p - q) ** 2 for p, q in zip(x, b[1:])), b[0]))[0] for k, *x in left} and seen[0] < 0.2
