@@ -8,6 +8,7 @@ fingerprints alone tell which branches differ, from the root down, and how much
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -32,21 +33,25 @@ def _joined(nodes: F.Column) -> F.Column:
     return F.sha2(F.array_join(nodes, ""), 256)
 
 
+def _once(value: F.Column, use: Callable[[F.Column], F.Column]) -> F.Column:
+    """``use(value)``, with a value that is used several times computed once; inside lambdas Spark doesn't see that it is the same."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fingerprint(text: F.Column) -> F.Column:
     """The fingerprint of a text that isn't null: ``root|section/section...``, a section ``node:paragraph.paragraph...``, a paragraph ``node=marks``."""
 
     def paragraph(p: F.Column) -> F.Column:
-        pieces = _pieces(p)
-        return F.struct(_joined(pieces).alias("node"), F.array_join(F.transform(pieces, lambda x: F.substring(x, 1, MARK)), "").alias("marks"))
+        marks = lambda pieces: F.array_join(F.transform(pieces, lambda x: F.substring(x, 1, MARK)), "")
+        return _once(_pieces(p), lambda pieces: F.struct(_joined(pieces).alias("node"), marks(pieces).alias("marks")))
 
     def section(s: F.Column) -> F.Column:
-        paragraphs = F.transform(F.split(s, "\n", -1), paragraph)
-        node = _joined(F.transform(paragraphs, lambda p: p["node"]))
-        short = F.array_join(F.transform(paragraphs, lambda p: F.concat(F.substring(p["node"], 1, NODE), F.lit("="), p["marks"])), ".")
-        return F.struct(node.alias("node"), F.concat(F.substring(node, 1, NODE), F.lit(":"), short).alias("short"))
+        short = lambda paragraphs: F.array_join(F.transform(paragraphs, lambda p: F.concat(F.substring(p["node"], 1, NODE), F.lit("="), p["marks"])), ".")
+        both = _once(F.transform(F.split(s, "\n", -1), paragraph), lambda x: F.struct(_joined(F.transform(x, lambda p: p["node"])).alias("node"), short(x).alias("short")))
+        return _once(both, lambda x: F.struct(x["node"].alias("node"), F.concat(F.substring(x["node"], 1, NODE), F.lit(":"), x["short"]).alias("short")))
 
-    sections = F.transform(F.split(text, "\n\n", -1), section)
-    return F.concat(_joined(F.transform(sections, lambda x: x["node"])), F.lit("|"), F.array_join(F.transform(sections, lambda x: x["short"]), "/"))
+    whole = lambda sections: F.concat(_joined(F.transform(sections, lambda x: x["node"])), F.lit("|"), F.array_join(F.transform(sections, lambda x: x["short"]), "/"))
+    return _once(F.transform(F.split(text, "\n\n", -1), section), whole)
 
 
 def _sections(print_: F.Column) -> F.Column:
@@ -58,16 +63,24 @@ def _paragraphs(section: F.Column) -> F.Column:
 
 
 def _paragraph_marks(print_: F.Column) -> F.Column:
-    return F.transform(F.flatten(F.transform(_sections(print_), _paragraphs)), lambda p: F.regexp_extract_all(F.substring_index(p, "=", -1), F.lit(f".{{{MARK}}}"), F.lit(0)))
+    return F.transform(F.flatten(F.transform(_sections(print_), _paragraphs)), lambda p: F.substring_index(p, "=", -1))
 
 
 def likeness(a: F.Column, b: F.Column) -> F.Column:
     """Share of pieces with equal marks at the same place of the same paragraph, from two fingerprints; 1 for equal roots."""
-    equal = F.transform(F.arrays_zip(_paragraph_marks(a).alias("x"), _paragraph_marks(b).alias("y")), lambda z: F.when(z["x"].isNull() | z["y"].isNull(), F.lit(0)).otherwise(F.size(F.filter(F.arrays_zip(z["x"].alias("p"), z["y"].alias("q")), lambda m: m["p"] == m["q"]))))
-    same = F.aggregate(equal, F.lit(0), lambda acc, n: acc + n)
-    size = lambda f: F.length(F.regexp_replace(F.substring_index(f, "|", -1), f"[0-9a-f]{{{NODE}}}[:=]|[./]", "")) / MARK
-    most = F.greatest(size(a), size(b))
-    return F.when(F.substring_index(a, "|", 1) == F.substring_index(b, "|", 1), F.lit(1.0)).when(most == 0, F.lit(0.0)).otherwise(same / most)
+    marks = lambda p: F.regexp_extract_all(p, F.lit(f".{{{MARK}}}"), F.lit(0))
+
+    def equal(z: F.Column) -> F.Column:
+        every = F.size(F.filter(F.arrays_zip(marks(z["x"]).alias("p"), marks(z["y"]).alias("q")), lambda m: m["p"] == m["q"]))
+        return F.when(z["x"].isNull() | z["y"].isNull() | (z["x"] == "") | (z["y"] == ""), F.lit(0)).when(z["x"] == z["y"], (F.length(z["x"]) / MARK).cast("int")).otherwise(every)
+
+    def of(z: F.Column) -> F.Column:
+        same = F.aggregate(F.transform(F.arrays_zip(z["x"].alias("x"), z["y"].alias("y")), equal), F.lit(0), lambda acc, n: acc + n)
+        size = lambda side: F.aggregate(side, F.lit(0), lambda acc, p: acc + F.length(p)) / MARK
+        return _once(F.greatest(size(z["x"]), size(z["y"])), lambda most: F.when(most == 0, F.lit(0.0)).otherwise(same / most))
+
+    pair = F.struct(_paragraph_marks(a).alias("x"), _paragraph_marks(b).alias("y"))
+    return F.when(F.substring_index(a, "|", 1) == F.substring_index(b, "|", 1), F.lit(1.0)).otherwise(_once(pair, of))
 
 
 def differing_branches(a: F.Column, b: F.Column) -> F.Column:

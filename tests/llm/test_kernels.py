@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from stratascene.llm import bpe, chaining, minhash, packing, suffix, toxicity
 
@@ -150,3 +151,11 @@ def test_ascii_pretokens():
     for text in (" ".join(r.choices(words, k=300)), "x" * 500 + " " + "x" * 500, "a  b\n\n c"):  # new, known and long pre-tokens
         assert codec.decode(codec.encode(text)) == text.encode() == codec.decode(codec.encode(text))
     assert all(len(w) <= bpe.REMEMBERED for w in codec.known)
+
+
+def test_fingerprints_hash_each_piece_once(spark):
+    """A part that several others are made of is written once in the expression, so that it isn't computed for each of them."""
+    from stratascene.llm import merkle
+
+    plan = spark.createDataFrame([(1, "a\n\nb")], "id long, body string").select(merkle.fingerprint(F.col("body")).alias("made"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all(") == 1
