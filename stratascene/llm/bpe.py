@@ -28,7 +28,7 @@ from .common import give_back, ship_package, small_batches
 #: Pre-tokens whose ids a worker remembers, of so many characters at most; a full memory is emptied, which costs time only, and so is one of more than ``KEPT`` after a task.
 MEMORY, REMEMBERED, KEPT = 600_000, 100, 50_000
 #: The same where a stage follows others, whose workers wait.
-SHORT_MEMORY = 200_000
+SHORT_MEMORY = 100_000
 #: Characters of one text that are cut into pre-tokens at once; bounds the memory for very long texts.
 SPAN = 1 << 18
 #: Parts the pre-tokens that one call encodes; stands for no byte.
@@ -182,8 +182,10 @@ class ByteBpe:
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> ByteBpe:
-    """The codec of a worker process, built once."""
-    return ByteBpe(path, pattern)
+    """The codec of a worker process, built once; what building it took goes back, since it would stay for the worker's life."""
+    made = ByteBpe(path, pattern)
+    give_back()
+    return made
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

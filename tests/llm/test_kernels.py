@@ -159,3 +159,15 @@ def test_fingerprints_hash_each_piece_once(spark):
 
     plan = spark.createDataFrame([(1, "a\n\nb")], "id long, body string").select(merkle.fingerprint(F.col("body")).alias("made"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract_all(") == 1
+
+
+def test_codec_gives_back_what_building_it_took(monkeypatch):
+    import public_tokenizers
+
+    from stratascene.llm import bpe
+
+    calls = []
+    monkeypatch.setattr(bpe, "give_back", lambda: calls.append(1))
+    bpe.codec.cache_clear()
+    bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert calls
