@@ -159,6 +159,19 @@ def test_passages_around_an_insertion(spark):
     assert chaining._common([b"a"] * 300, [b"a", b"b"] * 200) == 200
 
 
+def test_passages_whose_seeds_all_refer_elsewhere(spark):
+    """A line that very many say: of all that say it, two say what is around it alike, but for every fifth word, so that they share no other seed."""
+    line = " ".join(f"line{k}" for k in range(25))
+
+    def text(doc: int, alike: bool) -> str:
+        said = lambda side, own: " ".join(f"{side}{k}" if alike and k % 5 != own else f"own{doc}{side}{k}" for k in range(15))
+        return f"{' '.join(f'start{doc}x{k}' for k in range(30))} {said('left', 4)} {line} {said('right', 0)} {' '.join(f'end{doc}x{k}' for k in range(30))}"
+
+    rows = [(d, text(d, d in (7, 31))) for d in range(60)]
+    got = {r.id: r for r in chaining.document_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[d].class_id, got[d].n_links) for d in (7, 31)] == [(7, 1), (7, 1)] and sum(r.n_links for r in got.values()) == 2
+
+
 @pytest.mark.parametrize("every", [6, 8, 10, 15])
 def test_fuzzy_passages(spark, every):
     """Passages of 60 to 100 words with every n-th word changed."""
