@@ -220,3 +220,20 @@ def test_nearest_first_looks_as_far_as_rows_are_apart(spark, monkeypatch):
     tables = (spark.createDataFrame(rows, f"{name} long, x double, y double, z double") for name, rows in (("a", left), ("b", right)))
     got = {x.a: x.b for x in relations.nearest_join(*tables, "a", "b", ("x", "y", "z"), ("x", "y", "z")).collect()}
     assert got == {k: min(right, key=lambda b: (sum((p - q) ** 2 for p, q in zip(x, b[1:])), b[0]))[0] for k, *x in left} and seen[0] < 0.2
+
+
+def _places(spark, n, seed):
+    r = random.Random(seed)
+    return spark.createDataFrame([(k, r.uniform(0, 3), r.uniform(0, 3), r.uniform(0, 3)) for k in range(n)], "id long, x double, y double, z double")
+
+
+def test_radius_join_brings_nothing_to_the_driver(spark):
+    """Each row of the right side becomes nine, which its size doesn't tell: small tables were broadcast."""
+    a, b = _places(spark, 60, 1), _places(spark, 80, 2).toDF("id2", "x2", "y2", "z2")
+    near = sum((F.col(c) - F.col(c + "2")) * (F.col(c) - F.col(c + "2")) for c in "xyz") <= 0.25
+    want = sorted(map(tuple, a.crossJoin(b).where(near).select("id", "id2").collect()))
+    for at in (("x", "y"), ("x", "y", "z")):
+        for few in (False, True):
+            got = relations.radius_join(a, b, 0.5, near, at, tuple(c + "2" for c in at), few=few).select("id", "id2")
+            assert sorted(map(tuple, got.collect())) == want and want
+            assert ("Broadcast" in got._jdf.queryExecution().executedPlan().toString()) == few
