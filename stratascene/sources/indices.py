@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import normalise
 from ..operators.retrieval import kmeans_regions, region_features
-from ..operators.views import top_per, visibility
+from ..operators.views import top_of_many, top_per, visibility
 from . import spatial_index
 
 
@@ -35,7 +35,7 @@ def build_indices(objects: DataFrame, poses: DataFrame, features: DataFrame, poi
     seen.write.parquet(f"{path}/visibility")
     seen = objects.sparkSession.read.parquet(f"{path}/visibility")
     top_per(seen, "obj_id", most_views, "view_id").write.parquet(f"{path}/views_of")
-    top_per(seen, "view_id", most_views, "obj_id").write.parquet(f"{path}/objects_in")
+    top_of_many(seen, "view_id", most_views, "obj_id").write.parquet(f"{path}/objects_in")
     own = regions if regions is not None else kmeans_regions(objects.join(features.select("obj_id", "feat"), "obj_id", "left"))
     own.select("obj_id", F.col("region").cast("int").alias("region")).write.parquet(f"{path}/regions")
     assigned = objects.sparkSession.read.parquet(f"{path}/regions")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratascene.functions import relations, trees
-from stratascene.operators import graph, mapping, oriented, retrieval
+from stratascene.operators import graph, mapping, oriented, retrieval, views
 from stratascene.sources import poses, sinks
 from stratascene.streaming import windows
 
@@ -237,3 +237,18 @@ def test_radius_join_brings_nothing_to_the_driver(spark):
             got = relations.radius_join(a, b, 0.5, near, at, tuple(c + "2" for c in at), few=few).select("id", "id2")
             assert sorted(map(tuple, got.collect())) == want and want
             assert ("Broadcast" in got._jdf.queryExecution().executedPlan().toString()) == few
+
+
+def test_best_of_keys_of_many_rows(spark):
+    rows = spark.range(3000).select((F.col("id") % 4).alias("key"), "id", ((F.col("id") * 7919) % 101 / 10).alias("score")).where("key < 3 OR id < 10")
+    for least in (None, 9.0):
+        want = views.top_per(rows, "key", 5, "id", least)
+        assert sorted(map(tuple, views.top_of_many(rows, "key", 5, "id", least).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_objects_of_views_stay_in_their_tasks(spark):
+    """Objects are dealt by identifier, not by the few cells that a scene has."""
+    o = spark.range(50).select(F.col("id").alias("obj_id"), *(F.lit(1.0).alias(c) for c in ("cx", "cy", "cz")))
+    p = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0)], "view_id long, px double, py double, pz double, fwx double, fwy double, fwz double")
+    seen = views.visibility(o, p)
+    assert seen.count() == 50 and "SortMergeJoin" not in seen._jdf.queryExecution().executedPlan().toString()
