@@ -252,3 +252,11 @@ def test_objects_of_views_stay_in_their_tasks(spark):
     p = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0)], "view_id long, px double, py double, pz double, fwx double, fwy double, fwz double")
     seen = views.visibility(o, p)
     assert seen.count() == 50 and "SortMergeJoin" not in seen._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pixels_are_rounded_after_the_filter(spark):
+    """Rounding in a filter is done for every object in every view, once for each comparison."""
+    from stratascene.queries_geometry import pixel_mapping
+
+    plan = pixel_mapping(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" in plan and not [line for line in plan.splitlines() if "round(" in line and ("Filter" in line or "Join" in line)]
