@@ -2,6 +2,11 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from stratascene.functions import relations
+from stratascene.operators import oriented
 from stratascene.operators import points as P
 
 
@@ -21,3 +26,30 @@ def test_blended_features_look_for_no_points_without_features(spark, monkeypatch
             want[pt] = [sum(c) / len(near) for c in zip(*near)]
     assert met == [[20, 40]]
     assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
+
+
+def test_box_join_against_all_pairs(spark):
+    rng = random.Random(7)
+    rows = [(k, *(rng.uniform(-2, 2) for _ in range(2)), *(rng.choice((0.01, 0.1, 0.5, 3.0)) for _ in range(2))) for k in range(150)]
+    table = spark.createDataFrame(rows, "i long, x double, y double, w double, h double")
+    other = table.toDF("j", "bx", "by", "bw", "bh")
+    low, high = (lambda *c: tuple(F.col(n) for n in c)), (lambda *c: tuple(F.col(n) + F.col(e) for n, e in c))
+    found = relations.box_join(table, other, (low("x", "y"), high(("x", "w"), ("y", "h"))), (low("bx", "by"), high(("bx", "bw"), ("by", "bh"))), F.col("i") != F.col("j"))
+    want = [(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and all(a[k] <= b[k] + b[k + 2] and b[k] <= a[k] + a[k + 2] for k in (1, 2))]
+    got = [(r.i, r.j) for r in found.collect()]
+    assert len(got) == len(set(got)) and sorted(got) == sorted(want)
+    assert found.columns == [*table.columns, *other.columns]
+    assert relations.box_join(table.limit(0), other, (low("x", "y"), high(("x", "w"), ("y", "h"))), (low("bx", "by"), high(("bx", "bw"), ("by", "bh"))), F.lit(True)).count() == 0
+
+
+def test_hulls_are_no_larger_than_what_slices_add_up_to():
+    rng = np.random.default_rng(3)
+    a, b = (np.column_stack([rng.uniform(0, 0.2, (40, 3)), rng.uniform(0.3, 1, (40, 3)), rng.integers(0, 8, 40) * np.pi / 7]) for _ in range(2))
+    b[:5], b[5:10, 6] = a[:5], a[5:10, 6]
+    one = [oriented.hull_volume(np.concatenate([oriented.corners(x[:3], x[3:6], x[6]) for x in pair])) for pair in zip(a, b)]
+    assert np.abs(oriented.hull_volumes(a, b) - one).max() < 1e-8
+    directions = np.linspace(0, np.pi, 400, endpoint=False)
+    for x, y, volume in zip(a, b, one):  # no more than the height times the least rectangle about both, no less than either box
+        points = np.concatenate([oriented.corners(v[:3], v[3:6], v[6]) for v in (x, y)])
+        spread = lambda d: np.ptp(points[:, 0] * np.cos(d) + points[:, 1] * np.sin(d))  # noqa: B023, E731
+        assert max(x[3:6].prod(), y[3:6].prod()) - 1e-9 <= volume <= np.ptp(points[:, 2]) * min(spread(d) * spread(d + np.pi / 2) for d in directions) + 1e-9
