@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stratascene.functions import relations
-from stratascene.operators import oriented
+from stratascene.operators import graph, oriented
 from stratascene.operators import points as P
 
 
@@ -53,3 +53,19 @@ def test_hulls_are_no_larger_than_what_slices_add_up_to():
         points = np.concatenate([oriented.corners(v[:3], v[3:6], v[6]) for v in (x, y)])
         spread = lambda d: np.ptp(points[:, 0] * np.cos(d) + points[:, 1] * np.sin(d))  # noqa: B023, E731
         assert max(x[3:6].prod(), y[3:6].prod()) - 1e-9 <= volume <= np.ptp(points[:, 2]) * min(spread(d) * spread(d + np.pi / 2) for d in directions) + 1e-9
+
+
+def test_components_of_boxes_form_few_pairs(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(k, *(rng.uniform(0, 6) for _ in range(3)), *(rng.choice((0.02, 0.3, 0.9)) for _ in range(3))) for k in range(260)] + [(300 + k, *[20 + 0.01 * k] * 3, 1.0, 1.0, 1.0) for k in range(50)]
+    table = spark.createDataFrame(rows, "obj_id long, cx double, cy double, cz double, ex double, ey double, ez double")
+    volume = lambda a, b: np.prod([max(0.0, min(a[k] + a[k + 3] / 2, b[k] + b[k + 3] / 2) - max(a[k] - a[k + 3] / 2, b[k] - b[k + 3] / 2)) for k in (1, 2, 3)])
+    want = {r[0]: r[0] for r in rows}
+    for a, b in [(a, b) for a in rows for b in rows if a[0] < b[0] and volume(a, b) > 1e-9]:
+        low, high = sorted((want[a[0]], want[b[0]]))
+        want = {k: low if v == high else v for k, v in want.items()}
+    met, join = [], graph.box_join
+    monkeypatch.setattr(graph, "box_join", lambda *how: met.append(join(*how)) or met[-1])
+    assert dict(map(tuple, graph.box_components(table).collect())) == want
+    assert met[0].count() < 500  # the fifty boxes at one place alone are 1225 pairs
+    assert graph.box_components(table.limit(0)).count() == 0
