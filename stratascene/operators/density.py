@@ -1,13 +1,16 @@
 """Density clustering of each object's points as plans: neighbours on a grid, components of core points, the largest cluster.
 
-Nothing of an object meets in one task. Points at one place count as one with a weight. Pairs grow with the square of what is in a cell as
-wide as ``eps``; ``denoised`` bounds that by taking one point a voxel first.
+Points at one place count as one with a weight. Objects of up to ``SMALL`` places, of which a task holds some at a time, are clustered in Arrow batches; nothing of
+a larger one meets in one task. Pairs of those grow with the square of what is in a cell as wide as ``eps``; ``denoised`` bounds that by taking one point a voxel first.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,72 @@ _AXES = ("x", "y", "z")
 #: Half of the cells about one, so that each pair of cells meets once.
 _AHEAD = [d for d in itertools.product((-1, 0, 1), repeat=3) if d >= (0, 0, 0)]
 
+#: Places of an object that is clustered in one batch, at most, and pairs of places that are held at once.
+SMALL, PAIRS = 512, 2_000_000
+
+
+def _clustered(start: np.ndarray, size: np.ndarray, xyz: np.ndarray, w: np.ndarray, pt: np.ndarray, eps: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Clusters of the places of whole objects, and whether they are in one; ``start`` and ``size`` are those of each place's object."""
+    n = len(w)
+    a = np.repeat(np.arange(n), size)
+    b = start[a] + np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
+    d2 = sum(((xyz[a, k] - xyz[b, k]) * (xyz[a, k] - xyz[b, k]) for k in range(3)), np.zeros(len(a)))
+    near = d2 <= eps * eps
+    a, b, d2 = a[near], b[near], d2[near]
+    core = np.bincount(a, w[b], n) >= least
+    cluster, found = np.zeros(n, dtype=np.int64), core.copy()
+    inner = core[a] & core[b]
+    if inner.any():
+        i, j = a[inner], b[inner]  # each core point is near itself, and i is sorted
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        label = np.arange(n)
+        while True:
+            after = label.copy()
+            after[i[first]] = np.minimum.reduceat(label[j], first)
+            after = after[after]
+            if (after == label).all():
+                break
+            label = after
+        name = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(name, label[core], pt[core])
+        cluster[core] = name[label[core]]
+        border = ~core[a] & core[b]
+        i, j, d = a[border], b[border], d2[border]
+        order = np.lexsort((pt[j], d, i))
+        i, j = i[order], j[order]
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else i
+        cluster[i[first]], found[i[first]] = cluster[j[first]], True
+    return cluster, found
+
+
+def _small_clusters(spots: DataFrame, eps: float, least: int) -> DataFrame:
+    """``obj_id, x, y, z, cluster`` of the places of objects with up to ``SMALL`` of them that are in a cluster."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for f in itertools.chain(frames, [None]):
+            if f is not None:
+                f = f if rest is None else pd.concat((rest, f), ignore_index=True)
+                last = int((f["obj_id"] != f["obj_id"].iloc[-1]).sum()) if len(f) else 0  # rows are sorted; the last object may go on
+                f, rest = f.iloc[:last], f.iloc[last:]
+            else:
+                f, rest = rest, None
+            if f is None or not len(f):
+                continue
+            obj = f["obj_id"].to_numpy()
+            ends = np.r_[np.flatnonzero(obj[1:] != obj[:-1]) + 1, len(obj)]
+            sizes = np.diff(np.r_[0, ends])
+            part = np.cumsum(sizes * sizes) // PAIRS
+            xyz, w, pt = f[list(_AXES)].to_numpy(dtype=float), f["w"].to_numpy(dtype=float), f["pt"].to_numpy(dtype=np.int64)
+            for k in np.unique(part):
+                own, low = sizes[part == k], ends[part == k][0] - sizes[part == k][0]
+                rows = slice(low, low + own.sum())
+                cluster, found = _clustered(np.repeat(np.cumsum(own) - own, own), np.repeat(own, own), xyz[rows], w[rows], pt[rows], eps, least)
+                yield f.iloc[rows][["obj_id", *_AXES]].assign(cluster=cluster)[found]
+
+    types = {c: spots.schema[c].dataType.simpleString() for c in ("obj_id", *_AXES, "pt")}
+    return spots.select("obj_id", *_AXES, "w", "pt").repartition("obj_id").sortWithinPartitions("obj_id").mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in ("obj_id", *_AXES)) + f", cluster {types['pt']}")
+
 
 def near_pairs(spots: DataFrame, eps: float) -> DataFrame:
     """``a, b, wa, wb, d2``: pairs of spots (``obj_id, node, w, x, y, z``) of one object at most ``eps`` apart, each once."""
@@ -37,7 +106,12 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     others within ``eps`` of a core point in that of the nearest, ties by smaller ``pt``. Points without coordinates are noise.
     """
     spots = points.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").groupBy("obj_id", *_AXES).agg(F.count(F.lit(1)).alias("w"), F.min("pt").alias("pt"))
-    spots = cut(spots.withColumn("node", F.monotonically_increasing_id()), "spots")
+    spots = cut(spots.where("obj_id IS NOT NULL").withColumn("node", F.monotonically_increasing_id()), "spots")
+    large = cut(spots.groupBy("obj_id").agg(F.count(F.lit(1)).alias("n"), F.count("pt").alias("m")).where((F.col("n") > SMALL) | (F.col("n") > F.col("m"))).select("obj_id"), "large")
+    if large.isEmpty():
+        return points.join(_small_clusters(spots, eps, least), ["obj_id", *_AXES], "left").select(*points.columns, "cluster")
+    small = _small_clusters(spots.join(large, "obj_id", "left_anti"), eps, least)
+    spots = cut(spots.join(large, "obj_id"), "spots")
     pairs = cut(near_pairs(spots, eps), "near")
     ends = pairs.select(F.col("a").alias("node"), F.col("wb").alias("v")).unionByName(pairs.select(F.col("b").alias("node"), F.col("wa").alias("v")))
     about = ends.groupBy("node").agg(F.sum("v").alias("v"))
@@ -49,7 +123,7 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     sides = pairs.select(F.col("a").alias("node"), F.col("b").alias("core"), "d2").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("core"), "d2"))
     border = sides.join(named.select(F.col("node").alias("core"), "pt", "cluster"), "core").join(cores, "node", "left_anti")
     border = border.groupBy("node").agg(F.min(F.struct("d2", "pt", "cluster")).alias("m")).select("node", F.col("m.cluster").alias("cluster"))
-    found = spots.join(named.select("node", "cluster").unionByName(border), "node").select("obj_id", *_AXES, "cluster")
+    found = spots.join(named.select("node", "cluster").unionByName(border), "node").select("obj_id", *_AXES, "cluster").unionByName(small)
     return points.join(found, ["obj_id", *_AXES], "left").select(*points.columns, "cluster")
 
 

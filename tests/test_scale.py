@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stratascene.functions import relations
-from stratascene.operators import graph, oriented
+from stratascene.operators import density, graph, oriented
 from stratascene.operators import points as P
 
 
@@ -69,3 +70,18 @@ def test_components_of_boxes_form_few_pairs(spark, monkeypatch):
     assert dict(map(tuple, graph.box_components(table).collect())) == want
     assert met[0].count() < 500  # the fifty boxes at one place alone are 1225 pairs
     assert graph.box_components(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 30, 512])
+def test_clusters_of_small_and_large_objects_agree(spark, monkeypatch, most):
+    rng = random.Random(11)
+    rows = [(k % 7, k, *(round(rng.uniform(0, 0.5), 2) for _ in range(3))) for k in range(330) if k % 7 < 3 or k < 120]
+    table = spark.createDataFrame(rows, "obj_id long, pt long, x double, y double, z double").repartition(3)
+    formed, pairs = [], density.near_pairs
+    monkeypatch.setattr(density, "near_pairs", lambda spots, eps: formed.append(spots.select("obj_id").distinct().count()) or pairs(spots, eps))
+    monkeypatch.setattr(density, "SMALL", most)
+    monkeypatch.setattr(density, "PAIRS", 500)
+    got = {r.pt: r.cluster for r in density.dbscan(table, 0.12, 4).collect()}
+    assert formed == {0: [7], 30: [3], 512: []}[most]
+    test_clusters_of_small_and_large_objects_agree.seen = getattr(test_clusters_of_small_and_large_objects_agree, "seen", got)
+    assert got == test_clusters_of_small_and_large_objects_agree.seen and any(c is None for c in got.values()) and len(set(got.values())) > 7
