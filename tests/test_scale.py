@@ -85,3 +85,20 @@ def test_clusters_of_small_and_large_objects_agree(spark, monkeypatch, most):
     assert formed == {0: [7], 30: [3], 512: []}[most]
     test_clusters_of_small_and_large_objects_agree.seen = getattr(test_clusters_of_small_and_large_objects_agree, "seen", got)
     assert got == test_clusters_of_small_and_large_objects_agree.seen and any(c is None for c in got.values()) and len(set(got.values())) > 7
+
+
+def _crowd(spark, n, seed):
+    rng = random.Random(seed)
+    return [(k, rng.choice(("anvil", "gear", "rod", "ring")), *(round(rng.uniform(0, w), 2) for w in (1.0, 1.0, 0.5))) for k in range(n)] + [(n, "rod", 3.5, 0.5, 0.2), (n + 1, "plate", 7.0, 0.0, 0.0), (n + 2, "rod", None, 0.0, 0.0)]
+
+
+@pytest.mark.parametrize("other", [False, True])
+def test_near_anchors_are_searched_for_in_rings(spark, monkeypatch, other):
+    rows = _crowd(spark, 520, 4)
+    table = spark.createDataFrame(rows, "obj_id long, category string, cx double, cy double, cz double")
+    monkeypatch.setattr(relations, "best_scores", None)  # no tree
+    monkeypatch.setattr(relations, "radius_join", None)  # no pairs by reach
+    got = {r.obj_id: r.score for r in relations.relation_join(table, table, "hovering about", other).collect()}
+    near = {o: [sum((a - b) ** 2 for a, b in zip(at, to)) ** 0.5 for q, _, *to in rows if None not in to and not (other and q == o)] for o, _, *at in rows if None not in at}
+    want = {o: 1 - min(d) / 2 for o, d in near.items() if min(d) <= 2}
+    assert got.keys() == want.keys() and all(abs(got[o] - want[o]) < 1e-12 for o in want)
