@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratascene.functions import relations
-from stratascene.operators import density, graph, oriented
+from stratascene.operators import density, descriptions, graph, oriented
 from stratascene.operators import points as P
 
 
@@ -92,6 +92,28 @@ def _crowd(spark, n, seed):
     return [(k, rng.choice(("anvil", "gear", "rod", "ring")), *(round(rng.uniform(0, w), 2) for w in (1.0, 1.0, 0.5))) for k in range(n)] + [(n, "rod", 3.5, 0.5, 0.2), (n + 1, "plate", 7.0, 0.0, 0.0), (n + 2, "rod", None, 0.0, 0.0)]
 
 
+def test_neighbours_of_crowded_objects_form_few_pairs(spark, monkeypatch):
+    rows, formed, join = _crowd(spark, 500, 3), [], relations.radius_join
+
+    def counted(*args, **how):
+        formed.append(join(*args, **how).count())
+        return join(*args, **how)
+
+    for module in (relations, descriptions):
+        monkeypatch.setattr(module, "radius_join", counted, raising=False)
+    table = spark.createDataFrame(rows, "obj_id long, category string, cx double, cy double, cz double")
+    got = {r.obj_id: (None if r.distance is None else round(r.distance, 9), r.context) for r in descriptions.describe(table, {"forge": ("none",)}).collect()}
+    want = {}
+    for o, _, *at in rows:
+        near = [] if None in at else [(sum((a - b) ** 2 for a, b in zip(at, to)) ** 0.5, name) for q, name, *to in rows if q != o and None not in to]
+        names = sorted({name for d, name in near if d < 3})
+        want[o] = (min((round(d, 9) for d, _ in near if d < 2), default=None), "Near " + ", ".join(names[:3]) if names else "")
+    assert got == want and sum(formed) < 40 * len(rows)
+    assert {r.obj_id: r.names for r in descriptions.names_around(table.dropna(), 0.5).collect()} == {
+        o: sorted(names) for o, _, *at in rows if None not in at and (names := {n for q, n, *to in rows if q != o and None not in to and sum((a - b) ** 2 for a, b in zip(at, to)) < 0.25})
+    }
+
+
 @pytest.mark.parametrize("other", [False, True])
 def test_near_anchors_are_searched_for_in_rings(spark, monkeypatch, other):
     rows = _crowd(spark, 520, 4)
