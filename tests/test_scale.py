@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from stratascene.functions import relations
-from stratascene.operators import density, descriptions, graph, oriented
+from stratascene.operators import density, descriptions, graph, mapping, oriented
 from stratascene.operators import points as P
 
 
@@ -124,3 +125,16 @@ def test_near_anchors_are_searched_for_in_rings(spark, monkeypatch, other):
     near = {o: [sum((a - b) ** 2 for a, b in zip(at, to)) ** 0.5 for q, _, *to in rows if None not in to and not (other and q == o)] for o, _, *at in rows if None not in at}
     want = {o: 1 - min(d) / 2 for o, d in near.items() if min(d) <= 2}
     assert got.keys() == want.keys() and all(abs(got[o] - want[o]) < 1e-12 for o in want)
+
+
+def test_suppression_forms_no_pairs_of_what_stronger_boxes_cover(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    f = pd.DataFrame({"view_id": r.integers(0, 2, 1600), "det": range(1600), "conf": np.round(r.random(1600), 1), "x1": np.round(r.random(1600) * 60), "y1": np.round(r.random(1600) * 40)})
+    f["x2"], f["y2"] = f.x1 + np.round(10 + 30 * r.random(1600) ** 2), f.y1 + np.round(8 + 30 * r.random(1600) ** 2)
+    f = pd.concat([f, f.assign(det=f.det + 1600)], ignore_index=True)
+    formed, cut = [], mapping._cut
+    monkeypatch.setattr(mapping, "BATCH", 64, raising=False)
+    monkeypatch.setattr(mapping, "_cut", lambda df, *name: (lambda out: formed.append(out.count()) or out if out.columns == ["s", "w"] else out)(cut(df, *name)))
+    kept = sorted(d for _, g in f.groupby("view_id") for d in mapping.suppress(g)["det"])
+    assert sorted(x.det for x in mapping.non_maximum_suppression(spark.createDataFrame(f)).collect()) == kept
+    assert max(formed) < 3 * len(f)
