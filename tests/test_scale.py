@@ -1,6 +1,7 @@
 """That steps form no more rows than their results need, and the same results as plain loops."""
 
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -138,3 +139,20 @@ def test_suppression_forms_no_pairs_of_what_stronger_boxes_cover(spark, monkeypa
     kept = sorted(d for _, g in f.groupby("view_id") for d in mapping.suppress(g)["det"])
     assert sorted(x.det for x in mapping.non_maximum_suppression(spark.createDataFrame(f)).collect()) == kept
     assert max(formed) < 3 * len(f)
+
+
+@pytest.mark.parametrize("between", [False, True])
+def test_pairs_of_points_are_not_shuffled(spark, between):
+    rng = random.Random(9)
+    rows = [(k % 7, k, *(rng.random() for _ in range(3))) for k in range(300)]
+    table = spark.createDataFrame(rows, "obj_id long, pt long, x double, y double, z double")
+    sides = (table.where("obj_id < 3"), table.where("obj_id >= 3")) if between else (table, table)
+    found = mapping.point_overlap_between(*sides, 0.2) if between else mapping.point_overlap(table, 0.2)
+    want = {}
+    for o, _, *at in rows:
+        for j in {q for q, _, *to in rows if q != o and (not between or o < 3 <= q) and sum((a - b) ** 2 for a, b in zip(at, to)) ** 0.5 < 0.2}:
+            want[o, j] = want.get((o, j), 0) + 1
+    sizes = {o: sum(r[0] == o for r in rows) for o in range(7)}
+    assert {(r.i, r.j): r.ratio for r in found.collect()} == {(i, j): n / sizes[i] for (i, j), n in want.items()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and re.search(r"\ba#", line)], plan
