@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratascene.functions import relations
-from stratascene.operators import density, descriptions, graph, mapping, oriented
+from stratascene.operators import density, descriptions, graph, keyframes, mapping, oriented
 from stratascene.operators import points as P
 
 
@@ -156,3 +156,19 @@ def test_pairs_of_points_are_not_shuffled(spark, between):
     assert {(r.i, r.j): r.ratio for r in found.collect()} == {(i, j): n / sizes[i] for (i, j), n in want.items()}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and re.search(r"\ba#", line)], plan
+
+
+def test_texts_are_not_broadcast_to_names(spark):
+    names = ["red rod", "rod", "gear box", "gear"]
+    rows = [(k % 3, f"the {names[k % 4]} by the {names[k % 3]}", names[k % 4]) for k in range(60)]
+    table = spark.createDataFrame(rows, "k long, text string, category string")
+    found = keyframes.mentions(table, table)
+    want = {}
+    for k, text, _ in rows:
+        for name in names:
+            n = sum(text.split()[i : i + len(name.split())] == name.split() for i in range(len(text.split())))
+            if n:
+                want[k, name] = want.get((k, name), 0) + n
+    assert {(r.k, r.category): r.n for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan and "leftHint=(strategy=broadcast)" not in plan, plan
