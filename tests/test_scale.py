@@ -172,3 +172,22 @@ def test_texts_are_not_broadcast_to_names(spark):
     assert {(r.k, r.category): r.n for r in found.collect()} == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=broadcast)" in plan and "leftHint=(strategy=broadcast)" not in plan, plan
+
+
+def test_neighbours_are_summed_where_they_meet(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k % 40, k % 390, *(rng.random() for _ in range(3))) for k in range(400)]  # some points have the same identifier
+    feats = {o: [float(o), 1.0 / (o + 1)] for o in range(12)}
+    points = spark.createDataFrame(rows, "obj_id long, pt long, x double, y double, z double")
+    features = spark.createDataFrame([*feats.items()], "obj_id long, feat array<double>")
+    want = {}
+    for o, pt, *at in rows:
+        want[pt] = want.get(pt, []) + [feats[q] for q, _, *to in rows if q in feats and o % 20 == 0 and sum((a - b) ** 2 for a, b in zip(at, to)) <= 0.09]
+    for numbers in (1000, 8):
+        monkeypatch.setattr(P, "NUMBERS", numbers, raising=False)
+        found = P.blended_features(points, points.where("obj_id % 20 = 0"), features, 0.3)
+        got = {r.pt: list(r.feat) for r in found.collect()}
+        assert got.keys() == {pt for pt, near in want.items() if near}
+        assert all(abs(a - sum(c) / len(want[pt])) < 1e-9 for pt in got for a, c in zip(got[pt], zip(*want[pt])))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if re.search(r"Exchange hashpartitioning\(pt#\d+L?, \w*obj", line)], plan
