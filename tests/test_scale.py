@@ -8,8 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stratascene.functions import relations
-from stratascene.operators import density, descriptions, graph, keyframes, mapping, oriented
+from stratascene.functions import relations, sweeps
+from stratascene.operators import density, descriptions, graph, keyframes, mapping, oriented, overlaps
 from stratascene.operators import points as P
 
 
@@ -191,3 +191,39 @@ def test_neighbours_are_summed_where_they_meet(spark, monkeypatch):
         assert all(abs(a - sum(c) / len(want[pt])) < 1e-9 for pt in got for a, c in zip(got[pt], zip(*want[pt])))
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert not [line for line in plan.splitlines() if re.search(r"Exchange hashpartitioning\(pt#\d+L?, \w*obj", line)], plan
+
+
+@pytest.mark.parametrize("n, two", [(2, False), (3, False), (3, True), (2, True)])
+def test_sweeps_against_all_pairs(spark, monkeypatch, n, two):
+    rng = random.Random(n + 2 * two)
+    rows = [(k, [float(k), -1.0], *(rng.choice((0.0, 1.0, rng.uniform(-2, 2))) for _ in range(n)), *(rng.choice((0.0, 0.1, 0.5, 3.0)) for _ in range(n))) for k in range(300)]
+    at, ext = [f"p{k}" for k in range(n)], [f"e{k}" for k in range(n)]
+    table = spark.createDataFrame(rows, "id long, v array<double>, " + ", ".join(f"{c} double" for c in (*at, *ext))).repartition(3)
+    box = tuple(F.col(c) for c in at), tuple(F.col(c) + F.col(e) for c, e in zip(at, ext))
+    left, right = (table.where("id % 3 = 0"), table.where("id % 3 > 0")) if two else (table, None)
+    monkeypatch.setattr(sweeps, "BLOCK", 16)
+    monkeypatch.setattr(sweeps, "HELD", 40)
+    measure = lambda: lambda a, b: {"i": a["id"], "j": b["id"], "s": a["v"][:, 0] * b["v"][:, 1], "w": a["e0"]}
+    got = sweeps.swept(left, right, box, box if two else None, measure, "i long, j long, s double, w double").collect()
+    meet = lambda a, b: all(a[2 + k] <= b[2 + k] + b[2 + n + k] and b[2 + k] <= a[2 + k] + a[2 + n + k] for k in range(n))
+    if two:
+        assert sorted((r.i, r.j) for r in got) == sorted((a[0], b[0]) for a in rows for b in rows if a[0] % 3 == 0 < b[0] % 3 and meet(a, b))
+    else:
+        assert sorted(tuple(sorted((r.i, r.j))) for r in got) == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and meet(a, b))
+    assert all(r.s == -r.i and r.w == rows[r.i][2 + n] for r in got)
+    assert sweeps.swept(left.limit(0), right, box, box if two else None, measure, "i long, j long, s double, w double").count() == 0
+
+
+@pytest.mark.parametrize("k", [7, 40, 5000])
+def test_most_overlapping_pairs_with_ties(spark, monkeypatch, k):
+    rng = random.Random(k)
+    rows = [(o, *(round(rng.uniform(0, 2), 1) for _ in range(3)), *(rng.choice((0.1, 0.2, 0.6)) for _ in range(3))) for o in range(160)]
+    table = spark.createDataFrame(rows, "obj_id long, cx double, cy double, cz double, ex double, ey double, ez double").repartition(3)
+    monkeypatch.setattr(sweeps, "BLOCK", 16)
+    every = overlaps.box_overlaps(table, "va", both=True).select("i", "j", F.round(F.col("inter") / F.col("va"), 9).alias("ratio"))
+    want = sorted(map(tuple, every.collect()), key=lambda r: (-r[2], r[0], r[1]))
+    volume = lambda a, b: np.prod([max(0.0, min(a[c] + a[c + 3] / 2, b[c] + b[c + 3] / 2) - max(a[c] - a[c + 3] / 2, b[c] - b[c + 3] / 2)) for c in (1, 2, 3)])
+    assert sorted(r[:2] for r in want) == sorted((a[0], b[0]) for a in rows for b in rows if a != b and volume(a, b) > 1e-9)
+    assert list(map(tuple, overlaps.most_overlapping(table, k).collect())) == want[:k]
+    plan = every._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan, plan  # pairs are no rows of a join
