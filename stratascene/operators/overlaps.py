@@ -110,3 +110,46 @@ def most_overlapping(objects: DataFrame, k: int, least: float = 1e-9) -> DataFra
 
     found = swept(side(objects), None, corners(), None, measure, "i long, j long, ratio double").withColumn("ratio", F.round("ratio", 9))
     return found.orderBy(F.col("ratio").desc(), "i", "j").limit(k)
+
+
+def best_matches(detections: DataFrame, objects: DataFrame, threshold: float, bias: float, penalty: float) -> DataFrame:
+    """``det_id, obj_id, sim``: for detections the object with the highest (1 + bias) * spatial + (1 - bias) * visual, less a ``penalty`` where just one of both contains others, among
+    those whose boxes meet theirs, if it is ``threshold`` at least; ties to the lowest identifier.
+
+    Visual similarity is at most 1, so that vectors are compared only where the boxes leave room for the threshold, and a few rows a block leave a task. A vector with
+    a null, without length or of another length than the object's is like none.
+    """
+    rows = [t.where(~F.exists("feat", lambda x: x.isNull())) for t in (detections, objects)]
+    widest = max((t.agg(F.max(F.size("feat"))).first()[0] or 0) for t in rows)  # one row
+    sides = []
+    for t in rows:
+        size, squares = F.size("feat"), F.aggregate("feat", F.lit(0.0), lambda acc, x: acc + x * x)
+        flag = F.coalesce((F.col("contained") > 0).cast("int"), F.lit(-1))
+        t = side(t.withColumns({"norm": F.sqrt(squares), "size": size, "held": flag, "vec": F.concat(F.col("feat").cast("array<double>"), F.array_repeat(F.lit(0.0), F.lit(widest) - size))}), "norm", "size", "held", "vec")
+        sides.append(t)
+
+    def measure():
+        def take(a: Side, b: Side) -> dict[str, np.ndarray] | None:
+            a, b, inter = sharing(a, b, 0.0, True)
+            spatial = (1 + bias) * (inter / (a["v"] + b["v"] - inter + 1e-10))
+            if -1 <= bias <= 1 and penalty >= 0:
+                may = spatial + (1 - bias) + 1e-9 >= threshold
+                a, b, spatial = a.only(may), b.only(may), spatial[may]
+            if not len(spatial):
+                return None
+            size = a["size"]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                visual = np.einsum("ij,ij->i", a["vec"], b["vec"]) / (a["norm"] * b["norm"])
+            off = (a["held"] != b["held"]) & (a["held"] >= 0) & (b["held"] >= 0)
+            sim = spatial + (1 - bias) * visual - np.where(off, penalty, 0.0)
+            fit = np.flatnonzero((sim >= threshold) & (size == b["size"]))
+            det, obj, sim = a["id"][fit], b["id"][fit], sim[fit]
+            order = np.lexsort((obj, -sim, det))
+            first = order[np.concatenate(([True], det[order][1:] != det[order][:-1]))] if len(order) else order
+            return {"det_id": det[first], "obj_id": obj[first], "sim": sim[first]}
+
+        return take
+
+    found = swept(*sides, corners(), corners(), measure, "det_id long, obj_id long, sim double")
+    best = found.groupBy("det_id").agg(F.max(F.struct("sim", (-F.col("obj_id")).alias("last"))).alias("b"))
+    return best.select("det_id", (-F.col("b.last")).alias("obj_id"), "b.sim")

@@ -227,3 +227,32 @@ def test_most_overlapping_pairs_with_ties(spark, monkeypatch, k):
     assert list(map(tuple, overlaps.most_overlapping(table, k).collect())) == want[:k]
     plan = every._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan, plan  # pairs are no rows of a join
+
+
+@pytest.mark.parametrize("how", [{"threshold": 1.05}, {"threshold": 0.1, "meeting": True}, {"threshold": 0.055, "bias": 0.95, "penalty": 0.002}, {"threshold": 0.01, "bias": 1.0}])
+def test_matches_are_found_without_a_join_of_pairs(spark, monkeypatch, how):
+    rng = random.Random(12)
+
+    def row(o):
+        feat = [rng.uniform(-1, 1) for _ in range(3 if o % 19 else 2)]
+        return o, *(rng.uniform(0, 1.5) for _ in range(3)), *(rng.choice((0.2, 0.5)) for _ in range(3)), None if o % 17 == 0 else [0.0] * 3 if o % 23 == 0 else feat, rng.choice((0, 1, None))
+
+    rows = [row(o) for o in range(160)]
+    table = spark.createDataFrame(rows, "obj_id long, cx double, cy double, cz double, ex double, ey double, ez double, feat array<double>, contained int").repartition(3)
+    d, o = table.where("obj_id < 50"), table.where("obj_id >= 50")
+    monkeypatch.setattr(sweeps, "BLOCK", 16)
+    bias, want = how.get("bias", 0.0), {r[0]: (None, None) for r in rows[:50]}
+    for a in rows[:50]:
+        for b in rows[50:]:
+            inter = np.prod([max(0.0, min(a[c] + a[c + 3] / 2, b[c] + b[c + 3] / 2) - max(a[c] - a[c + 3] / 2, b[c] - b[c + 3] / 2)) for c in (1, 2, 3)])
+            if not inter or not a[7] or not b[7] or len(a[7]) != len(b[7]) or not any(a[7]) or not any(b[7]):
+                continue
+            sim = (1 + bias) * inter / (np.prod(a[4:7]) + np.prod(b[4:7]) - inter) + (1 - bias) * np.dot(a[7], b[7]) / np.linalg.norm(a[7]) / np.linalg.norm(b[7])
+            sim -= how.get("penalty", 0.0) * (None not in (a[8], b[8]) and a[8] != b[8])
+            if sim >= how["threshold"] and (want[a[0]][0] is None or sim > want[a[0]][1]):
+                want[a[0]] = b[0], sim
+    found = mapping.match_detections(d, o, **how)
+    got = {r.det_id: (r.obj_id, r.sim) for r in found.collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and any(v[0] for v in got.values())
+    assert all(v[1] is None or abs(v[1] - want[k][1]) < 1e-6 for k, v in got.items())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # the detections without a match
