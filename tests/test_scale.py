@@ -256,3 +256,25 @@ def test_matches_are_found_without_a_join_of_pairs(spark, monkeypatch, how):
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and any(v[0] for v in got.values())
     assert all(v[1] is None or abs(v[1] - want[k][1]) < 1e-6 for k, v in got.items())
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # the detections without a match
+
+
+def test_spanning_trees_of_boxes_keep_few_edges(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(o, *(round(rng.uniform(0, 0.9), 1) for _ in range(3)), *(rng.choice((0.1, 0.2, 0.3)) for _ in range(3))) for o in range(200)]
+    table = spark.createDataFrame(rows, "obj_id long, cx double, cy double, cz double, ex double, ey double, ez double").repartition(3)
+    edges = overlaps.box_overlaps(table, "va", "vb").select("i", "j", F.round(F.greatest(F.col("inter") / F.col("va"), F.col("inter") / F.col("vb")) + 1e-9, 6).alias("w")).collect()
+    tree, want = list(range(200)), []
+    for e in sorted(edges, key=lambda e: (e.w, e.i, e.j)):
+        a, b = sorted((tree[e.i], tree[e.j]))
+        if a != b:
+            tree = [a if x == b else x for x in tree]
+            want.append((e.i, e.j, e.w))
+    at, nodes, least = overlaps.smallest_forest(*(np.array(c) for c in zip(*edges)))
+    assert dict(zip(nodes.tolist(), least.tolist())) == {k: tree[k] for k in nodes.tolist()}
+    assert sorted(tuple(edges[k]) for k in at) == sorted(want)
+    for most, few in ((64, 100), (10_000, 10_000)):
+        monkeypatch.setattr(overlaps, "EDGES", most)
+        monkeypatch.setattr(graph, "FEW", few)
+        got = graph.box_spanning_trees(table).collect()
+        assert sorted((r.component, r.i, r.j, r.w) for r in got) == sorted((tree[i], i, j, w) for i, j, w in want)
+    assert overlaps.overlap_forests(table).count() < len(edges) / 2
