@@ -278,3 +278,22 @@ def test_spanning_trees_of_boxes_keep_few_edges(spark, monkeypatch):
         got = graph.box_spanning_trees(table).collect()
         assert sorted((r.component, r.i, r.j, r.w) for r in got) == sorted((tree[i], i, j, w) for i, j, w in want)
     assert overlaps.overlap_forests(table).count() < len(edges) / 2
+
+
+def test_equal_boxes_of_a_view_form_no_pairs(spark, monkeypatch):
+    rng = random.Random(14)
+    kinds = [(float(x), float(y), float(x + rng.choice((0, 40, 160, 300))), float(y + rng.choice((40, 90, 200)))) for x, y in ((rng.randrange(0, 400, 20), rng.randrange(0, 200, 20)) for _ in range(25))]
+    rows = [(k % 2, k % 190, *rng.choice(kinds)) for k in range(200)] * 2 + [(0, 500, None, 0.0, 1.0, 1.0)]
+    table = spark.createDataFrame(rows, "view_id long, det long, x1 double, y1 double, x2 double, y2 double").repartition(3)
+    want = {}
+    for v, d, *a in rows:
+        want.setdefault((v, d), 0)
+        for u, e, *b in rows if None not in a else ():
+            if v == u and d != e and None not in b:
+                inter = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+                want[v, d] += inter > 0.95 * (a[2] - a[0]) * (a[3] - a[1])
+    met, pairs = [], mapping.box_pairs
+    monkeypatch.setattr(mapping, "box_pairs", lambda f, *how, **more: met.append(f.count()) or pairs(f, *how, **more))
+    got = mapping.contained_counts(table).collect()
+    assert len(got) == len(rows) and all(r.n == want[r.view_id, r.det] for r in got) and any(want.values())
+    assert met[0] < 60  # 401 rows
