@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.relations import norm, radius_join
-from .operators.graph import geometric_label
+from .functions.sweeps import Side, near_pairs
+from .operators.graph import label as edge_label
 from .operators.retrieval import region_features
 from .registry import query
 from .registry import rounded as _r
@@ -176,8 +177,14 @@ def scene_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scene with its regions and the edges of its graph, written and read."""
     path = shared_path(spark, "scene")
     o, f = scene(spark, sf_dir, "objects"), scene(spark, sf_dir, "features")
-    near = radius_join(o.select(F.col("obj_id").alias("i"), "cx", "cy"), o.select(F.col("obj_id").alias("j"), F.col("cx").alias("x"), F.col("cy").alias("y")), 0.3, (F.col("i") < F.col("j")) & (norm(F.col("cx") - F.col("x"), F.col("cy") - F.col("y")) <= 0.3), ("cx", "cy"), ("x", "y"))
-    sinks.write_scene(path, o, region_features(f), f.select("obj_id", "region"), geometric_label(near.select("i", "j"), o))
+
+    def edges(a: Side, b: Side, far: np.ndarray) -> dict[str, np.ndarray]:
+        ways = [(x.only(k), y.only(k)) for x, y in ((a, b), (b, a)) for k in [x["obj_id"] < y["obj_id"]]]
+        told = {"i": lambda x, y: x["obj_id"], "j": lambda x, y: y["obj_id"], "rise": lambda x, y: x["cz"] - y["cz"], "tall": lambda x, y: x["ez"] + y["ez"]}
+        return {name: np.concatenate([of(x, y) for x, y in ways]) for name, of in told.items()}
+
+    near = near_pairs(o.select("obj_id", "cx", "cy", "cz", "ez"), ("cx", "cy"), 0.3, edges, "i long, j long, rise double, tall double")
+    sinks.write_scene(path, o, region_features(f), f.select("obj_id", "region"), near.select("i", "j", edge_label(F.col("rise"), F.col("tall")).alias("relation")))
     s = sinks.read_scene(spark, path)
     rows = lambda kind, table, a, b, label: table.select(F.lit(kind).alias("kind"), F.col(a).cast("long").alias("a"), (F.col(b) if b else F.lit(None)).cast("long").alias("b"), (F.col(label) if label else F.lit(None)).cast("string").alias("label"))
     parts = [rows("object", s["objects"], "obj_id", None, "category"), rows("region", s["regions"], "region", "n", None), rows("member", s["members"], "obj_id", "region", None), rows("edge", s["edges"], "i", "j", "relation")]

@@ -55,11 +55,11 @@ def write_snapshots(objects: DataFrame, path: str, columns: tuple[str, ...]) ->
 
 
 def write_scene(path: str, objects: DataFrame, regions: DataFrame, members: DataFrame, edges: DataFrame) -> None:
-    """A whole scene: objects, regions (``region, feat`` and more), which objects are in them (``obj_id, region``), and the edges of its graph (``i, j, relation``), each as JSON or, with vectors, as Parquet."""
+    """A whole scene: objects, regions (``region, feat`` and more), which objects are in them (``obj_id, region``), and the edges of its graph (``i, j, relation``), each as JSON or, with vectors, as Parquet; edges are many, and zipped."""
     objects.write.parquet(f"{path}/objects")
     regions.write.parquet(f"{path}/regions")
     members.select("obj_id", "region").write.json(f"{path}/members")
-    edges.select("i", "j", "relation").write.json(f"{path}/edges")
+    edges.select("i", "j", "relation").write.json(f"{path}/edges", compression="gzip")
 
 
 def read_scene(spark: SparkSession, path: str) -> dict[str, DataFrame]:

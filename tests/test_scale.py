@@ -297,3 +297,15 @@ def test_equal_boxes_of_a_view_form_no_pairs(spark, monkeypatch):
     got = mapping.contained_counts(table).collect()
     assert len(got) == len(rows) and all(r.n == want[r.view_id, r.det] for r in got) and any(want.values())
     assert met[0] < 60  # 401 rows
+
+
+def test_near_pairs_are_no_rows_of_a_join(spark):
+    rng = random.Random(15)
+    rows = [(k % 140, *(round(rng.uniform(-1, 1), 1) for _ in range(3))) for k in range(150)] + [(200, None, 0.0, 0.0)]
+    table = spark.createDataFrame(rows, "o long, x double, y double, z double").repartition(3)
+    found = sweeps.near_pairs(table, ("x", "y", "z"), 0.55, lambda a, b, far: {"i": a["o"], "j": b["o"], "far": far}, "i long, j long, far double")
+    far = lambda a, b: sum((p - q) ** 2 for p, q in zip(a[1:], b[1:])) ** 0.5
+    want = [(*sorted((a[0], b[0])), far(a, b)) for k, a in enumerate(rows[:150]) for b in rows[:k] if far(a, b) <= 0.55]
+    got = [(*sorted((r.i, r.j)), r.far) for r in found.collect()]
+    assert [r[:2] for r in sorted(got)] == [r[:2] for r in sorted(want)] and np.allclose(sorted(r[2] for r in got), sorted(r[2] for r in want))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
